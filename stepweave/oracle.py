@@ -13,7 +13,7 @@ WITH act AS (
   SELECT row_id, loaded_at, arguments FROM eval_actions
   WHERE domain = 'airline' AND arguments IS NOT NULL AND json_valid(arguments)
 ), refs AS (
-  SELECT 'agent_reservations' AS src_table, row_id AS src_row_id, 'user_id' AS ref_field, {_key("user_id")} AS ref_key, loaded_at AS at FROM agent_reservations
+  SELECT 'agent_reservations' AS src_table, row_id AS src_row_id, 'user_id' AS ref_field, {_key("user_id")} AS ref_key, loaded_at AS seen_at FROM agent_reservations
   UNION SELECT 'agent_reservations', row_id, 'flight_number', {_key("leg.flight_number")}, loaded_at
     FROM (SELECT row_id, loaded_at, unnest(flights) AS leg FROM agent_reservations)
   UNION SELECT 'agent_users', row_id, 'reservation_id', {_key("r")}, loaded_at
@@ -25,16 +25,16 @@ WITH act AS (
     WHERE regexp_replace(lower(t.key), '[^a-z]', '', 'g') IN ('userid', 'reservationid', 'flightnumber')
       AND t.type NOT IN ('OBJECT', 'ARRAY', 'NULL', 'BOOLEAN')
 ), versions AS (
-  SELECT 'user_id' AS ref_field, {_key("user_id")} AS ref_key, loaded_at AS at, row_id AS seq, deleted_at FROM agent_users
+  SELECT 'user_id' AS ref_field, {_key("user_id")} AS ref_key, loaded_at AS seen_at, row_id AS seq, deleted_at FROM agent_users
   UNION SELECT 'reservation_id', {_key("reservation_id")}, loaded_at, row_id, deleted_at FROM agent_reservations
   UNION SELECT 'flight_number', {_key("flight_number")}, loaded_at, row_id, deleted_at FROM agent_flights
 ), last AS (
-  SELECT r.*, arg_max({{'d': v.deleted_at}}, {{'a': v.at, 's': v.seq}}) AS v
-  FROM refs r LEFT JOIN versions v ON v.ref_field = r.ref_field AND v.ref_key = r.ref_key AND v.at <= r.at
-  WHERE regexp_matches(r.ref_key, '[0-9]') AND r.at IS NOT NULL
+  SELECT r.*, arg_max({{'d': v.deleted_at}}, {{'a': v.seen_at, 's': v.seq}}) AS v, count(v.seen_at) AS n
+  FROM refs r LEFT JOIN versions v ON v.ref_field = r.ref_field AND v.ref_key = r.ref_key AND v.seen_at <= r.seen_at
+  WHERE regexp_matches(r.ref_key, '[0-9]') AND r.seen_at IS NOT NULL
   GROUP BY ALL
 ), orphan AS (
-  SELECT * FROM last WHERE v IS NULL OR v.d <= at
+  SELECT * FROM last WHERE n = 0 OR v.d <= seen_at
 )
 """
 
@@ -45,9 +45,9 @@ WITH fields AS (
     CASE WHEN json_type(f.value) = 'NULL' THEN NULL ELSE f.value->>'$' END AS text
   FROM (SELECT feed_id, file_no, exported_at, entity, row_id, body::JSON AS body FROM telecom_snapshots WHERE json_valid(body)) s, json_each(s.body) f
 ), files AS (
-  SELECT feed_id, file_no, count(DISTINCT row_id) AS n, min(exported_at) AS at FROM fields GROUP BY ALL
+  SELECT feed_id, file_no, count(DISTINCT row_id) AS n, min(exported_at) AS seen_at FROM fields GROUP BY ALL
 ), ordered AS (
-  SELECT *, lag(file_no) OVER (PARTITION BY feed_id ORDER BY at, file_no) AS prev_no FROM files
+  SELECT *, lag(file_no) OVER (PARTITION BY feed_id ORDER BY seen_at, file_no) AS prev_no FROM files
 ), counted AS (
   SELECT feed_id, file_no, field, kind, count(*) AS n FROM fields GROUP BY ALL
 ), present AS (
@@ -59,7 +59,7 @@ WITH fields AS (
 
 SQL: dict[str, str] = {
     "p1_found": _ORPHANS + "SELECT DISTINCT src_table, src_row_id, ref_field, ref_key FROM orphan",
-    "p1_periods": _ORPHANS + "SELECT src_table, ref_field, strftime(at, '%Y-%m') AS period, count(*) AS n_orphans, count(DISTINCT ref_key) AS n_keys FROM orphan GROUP BY ALL",
+    "p1_periods": _ORPHANS + "SELECT src_table, ref_field, strftime(seen_at, '%Y-%m') AS period, count(*) AS n_orphans, count(DISTINCT ref_key) AS n_keys FROM orphan GROUP BY ALL",
     "p6_found": _TREE
     + """, pair AS (
   SELECT o.feed_id, o.file_no, o.prev_no FROM ordered o WHERE o.prev_no IS NOT NULL
