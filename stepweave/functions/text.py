@@ -14,7 +14,7 @@ def key_form(c: Column | str) -> Column:
 def name_form(c: Column | str) -> Column:
     """Lower case, every run of characters other than a-z one underscore, none at either end; null where that is empty."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.nullif(F.trim(F.lit("_"), F.regexp_replace(F.lower(c), "[^a-z]+", "_")), F.lit(""))
+    return F.nullif(F.trim(F.regexp_replace(F.lower(c), "[^a-z]+", "_"), F.lit("_")), F.lit(""))
 
 
 def name_forms(c: Column | str) -> Column:
