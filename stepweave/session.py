@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings that every job of this package relies on; sizes of partitions stay with the cluster's own settings.
 DEFAULTS = {
@@ -44,3 +45,8 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checked_broadcast(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows, else as it is. It is counted, so it should be cut."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
