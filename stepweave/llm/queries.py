@@ -9,12 +9,28 @@ from pyspark.sql import functions as F
 
 from ..functions.text import name_form, name_forms
 from ..sources.tables import table
-from . import bpe, packing, pairs, terms
+from . import bpe, packing, pairs, patterns, terms
 
 #: Tokens of a container.
 CAPACITY = 2048
 
 
+def _patterns(spark: SparkSession, d: str) -> DataFrame:
+    members = table(spark, d, "cluster_members").select(F.lit("members").alias("src"), "domain", "seq_id", name_forms("tokens").alias("items"))
+    accepted = table(spark, d, "sampler_accepted").select(F.lit("accepted").alias("src"), "domain", "seq_id", name_forms("tokens").alias("items"))
+    found = patterns.frequent_patterns(members.unionByName(accepted))
+    return found.withColumn("pattern", F.array_join("pattern", ">"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _patterns(spark, d).select("src", "domain", "pattern")
+
+
+def p2_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Frequent patterns with their support and the number of sequences."""
+    return _patterns(spark, d)
+
+
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "cluster_members").select("domain", "seq_id", name_forms("tokens").alias("terms"))
     vocabulary = table(spark, d, "model_vocab").select("domain", name_form("token").alias("term"))
@@ -59,7 +75,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_terms, p7_found, p7_pairs, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p2_found, p2_patterns, p5_found, p5_terms, p7_found, p7_pairs, p8_ids, p9_containers)}
 
 
 def _name(x: str) -> str:
