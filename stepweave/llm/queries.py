@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import name_form, name_forms
 from ..sources.tables import table
-from . import bpe, packing, pairs, patterns, terms
+from . import bpe, levels, packing, pairs, patterns, terms
 
 #: Tokens of a container.
 CAPACITY = 2048
@@ -74,8 +74,22 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_containers(sizes, CAPACITY)
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return levels.score(documents, levels.train(documents, table(spark, d, "reading_labels")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return levels.mostly_hard(_scored(spark, d)).select("doc_id").distinct()
+
+
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The estimated level of every document."""
+    return _scored(spark, d).withColumns({"mean_level": F.round("mean_level", 4), "hard_share": F.round("hard_share", 4)})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_patterns, p5_found, p5_terms, p7_found, p7_pairs, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p2_found, p2_patterns, p5_found, p5_terms, p7_found, p7_pairs, p8_ids, p9_containers, p10_found, p10_levels)}
 
 
 def _name(x: str) -> str:
