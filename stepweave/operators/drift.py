@@ -10,12 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Kinds of values, in the order that settles ties of the most frequent one.
 KINDS = ("string", "integer", "decimal", "boolean", "array", "object")
 #: A file has a field when more than one in so many of its records carry it.
 CARRY = 20
 #: A field was renamed when at least so many of so many pairs of values agree.
 AGREE, OF = 4, 5
+#: Chains of up to 2 to the power of this many renames are followed.
+DOUBLINGS = 30
 
 
 def tagged(raw: DataFrame, ids: dict[str, str]) -> DataFrame:
@@ -64,8 +68,9 @@ def changes(fields: DataFrame) -> DataFrame:
     A field that goes and one that comes are `renamed` when of the record ids with a value of both, at least AGREE in
     OF agree as text; a field may be so in several pairs, and all are given. Of an id that a file holds repeatedly, the
     least text counts. The first file of a feed gives none. Values are only compared for fields that come or go, by
-    record id: no group is larger than the copies of one record."""
-    files, present = file_fields(fields)
+    record id: no group is larger than the copies of one record. Bodies are parsed once: the tagged fields are cut."""
+    fields = cut(fields.select("feed_id", "file_no", "exported_at", "row_id", "record_id", "field", "kind", "text"))
+    files, present = (cut(x) for x in file_fields(fields))
     follow = files.where(F.col("prev_no").isNotNull()).select("feed_id", "file_no", "prev_no")
     new = present.join(follow, ["feed_id", "file_no"], "left_semi").select("feed_id", "file_no", "field", F.col("kind").alias("new_kind"), F.lit(True).alias("is_new"))
     old = present.select("feed_id", F.col("file_no").alias("prev_no"), "field", F.col("kind").alias("old_kind"), F.lit(True).alias("is_old")).join(follow, ["feed_id", "prev_no"]).drop("prev_no")
@@ -88,12 +93,15 @@ def changes(fields: DataFrame) -> DataFrame:
 def lineages(change_rows: DataFrame) -> DataFrame:
     """The canonical name of each renamed field: (feed_id, field, canonical), the name that a chain of renames began
     with. Chains are followed by pointer doubling over the renames alone, whose number is that of schema changes, not
-    of rows. Where renames merge or circle, the least name reached first is kept."""
-    step = change_rows.where(F.col("change") == "renamed").groupBy("feed_id", F.col("new_field").alias("field")).agg(F.min("old_field").alias("to"))
-    step = step.where(F.col("field") != F.col("to"))
-    for _ in range(6):
+    of rows. Where renames merge or circle, the least name that is reached is kept."""
+    step = change_rows.where((F.col("change") == "renamed") & (F.col("old_field") != F.col("new_field"))).groupBy("feed_id", F.col("new_field").alias("field")).agg(F.min("old_field").alias("to"))
+    step = cut(step)
+    for _ in range(DOUBLINGS):
         over = step.select("feed_id", F.col("field").alias("to"), F.col("to").alias("further"))
-        step = step.join(over, ["feed_id", "to"], "left").select("feed_id", "field", F.when(F.coalesce("further", "to") == F.col("field"), F.least("field", "to")).otherwise(F.coalesce("further", "to")).alias("to"))
+        moved = cut(step.join(over, ["feed_id", "to"], "left").select("feed_id", "field", F.when(F.col("further") == F.col("field"), F.least("field", "to")).otherwise(F.coalesce("further", "to")).alias("to"), F.col("to").alias("was")))
+        step = moved.drop("was")
+        if not moved.where(F.col("to") != F.col("was")).limit(1).count():
+            break
     return step.select("feed_id", "field", F.col("to").alias("canonical"))
 
 

@@ -151,7 +151,7 @@ def airline_inputs(users: DataFrame, flights: DataFrame, reservations: DataFrame
     def ref(df: DataFrame, src: str, field, value, src_key, gone) -> DataFrame:
         return df.select(F.lit(src).alias("src_table"), F.col("row_id").alias("src_row_id"), field.alias("ref_field"), target[field].alias("target"), key_form(value).alias("ref_key"), F.col("loaded_at").alias("at"), src_key.alias("src_key"), gone.alias("gone_at"))
 
-    none = F.lit(None).cast("string"), F.lit(None).cast("timestamp_ntz")
+    none = F.lit(None).cast("string"), F.lit(None).cast(reservations.schema["deleted_at"].dataType)
     res_key, user_key = key_form("reservation_id"), key_form("user_id")
     legs = reservations.select("row_id", "loaded_at", "reservation_id", "deleted_at", F.explode("flights.flight_number").alias("value"))
     listed = users.select("row_id", "loaded_at", "user_id", "deleted_at", F.explode("reservations").alias("value"))

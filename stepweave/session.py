@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,21 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or at
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per context, so that it needn't be installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_stepweave", False):
+        return
+    folder = Path(tempfile.mkdtemp(prefix="stepweave-"))
+    atexit.register(shutil.rmtree, folder, True)
+    root = Path(__file__).resolve().parent
+    with zipfile.ZipFile(folder / "stepweave.zip", "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(folder / "stepweave.zip"))
+    sc._stepweave = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, it survives lost executors, and what
     reads it several times doesn't compute it again. Columnar and compressed, unlike DataFrame.checkpoint()."""
