@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import name_form, name_forms
 from ..sources.tables import table
-from . import bpe, levels, packing, pairs, patterns, terms
+from . import bpe, levels, packing, pairs, patterns, terms, varied
 
 #: Tokens of a container.
 CAPACITY = 2048
+#: Sequences of a domain's varied subset.
+SUBSET = 40
 
 
 def _patterns(spark: SparkSession, d: str) -> DataFrame:
@@ -74,6 +76,14 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_containers(sizes, CAPACITY)
 
 
+def p4_subset(spark: SparkSession, d: str) -> DataFrame:
+    """SUBSET varied sequences per domain, of all members and medoids."""
+    members = table(spark, d, "cluster_members").select("domain", F.lit("members").alias("src"), F.col("seq_id").alias("id"), name_forms("tokens").alias("items"))
+    medoids = table(spark, d, "cluster_info").select("domain", F.lit("medoids").alias("src"), F.col("cluster_key").alias("id"), name_forms("medoid_sequence").alias("items"))
+    chosen = varied.varied_subset(members.distinct().unionByName(medoids.distinct()), SUBSET)
+    return chosen.select("domain", "src", "id", F.array_join("items", ">").alias("sequence"), "copies", F.round("spread", 6).alias("spread"))
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     return levels.score(documents, levels.train(documents, table(spark, d, "reading_labels")))
@@ -89,7 +99,7 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_patterns, p5_found, p5_terms, p7_found, p7_pairs, p8_ids, p9_containers, p10_found, p10_levels)}
+    return {f.__name__: f for f in (p2_found, p2_patterns, p4_subset, p5_found, p5_terms, p7_found, p7_pairs, p8_ids, p9_containers, p10_found, p10_levels)}
 
 
 def _name(x: str) -> str:
