@@ -109,25 +109,38 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Scores:
-    """A domain's score table in memory: bounded by contexts times tokens, not by data."""
+    """A domain's scores in memory, worked out from counts where a context is met: bounded by the contexts that were
+    seen, not by data."""
 
-    def __init__(self, rows: list[tuple[list[str], str, float]], vocabulary: list[str]):
-        self.vocabulary = sorted(vocabulary)
+    def __init__(self, counts: list[tuple[list[str], str, str, float]], vocabulary: list[str], config: Config):
+        self.vocabulary, self.config = sorted(vocabulary), config
         place = {t: i for i, t in enumerate(self.vocabulary)}
-        self.by_ctx: dict[tuple, np.ndarray] = {}
-        for ctx, token, s in rows:
-            self.by_ctx.setdefault(tuple(ctx), np.zeros(len(place)))[place[token]] = s
-
-    def generate(self, seed: int, key: int, length: int, tau: float, config: Config) -> list[str]:
+        self.seen: dict[tuple, np.ndarray] = {}
+        for ctx, token, sign, w in counts:
+            cell = self.seen.setdefault(tuple(ctx), np.zeros((2, len(place) + 1)))
+            cell[int(sign == "neg"), place.get(token, len(place))] += w
+        self.scores: dict[tuple, np.ndarray] = {}
+
+    def of(self, ctx: tuple) -> np.ndarray | None:
+        if ctx not in self.scores:
+            if (cell := self.seen.get(ctx)) is None:
+                return None
+            c = self.config
+            p = (c.alpha0 + cell[:, :-1]) / (len(self.vocabulary) * c.alpha0 + cell.sum(1, keepdims=True))
+            self.scores[ctx] = p[0] * (p[1] + c.eps) ** -c.lam if c.lam else p[0]
+        return self.scores[ctx]
+
+    def generate(self, seed: int, key: int, length: int, tau: float) -> list[str]:
         """A sequence of a length: each token is drawn with a weight of score^(1/tau), in the order of the vocabulary,
         uniformly where a context was never seen; ends are never drawn."""
         if length < 0 or tau <= 0:
             raise ValueError("length >= 0 and temperature > 0 are needed")
-        ctx, out = (config.bos,) * (config.n - 1), []
+        ctx, out = (self.config.bos,) * (self.config.n - 1), []
         with np.errstate(over="ignore"):
-            us = _mix(_mix(np.array([seed & (2**64 - 1)], np.uint64) ^ np.uint64(key & (2**64 - 1)))[0] + np.arange(length, dtype=np.uint64)) >> np.uint64(11)
-        for u in us / float(1 << 53):
-            s = self.by_ctx.get(ctx)
+            start = _mix(_mix(np.array([seed & (2**64 - 1)], np.uint64)) ^ np.uint64(key & (2**64 - 1)))
+            us = (_mix(start + np.arange(length, dtype=np.uint64)) >> np.uint64(11)) / float(1 << 53)
+        for u in us:
+            s = self.of(ctx)
             if s is None or not s.any():
                 i = int(u * len(self.vocabulary))
             else:
@@ -138,28 +151,35 @@ class Scores:
         return out
 
 
-def generate(attempts: DataFrame, scores: DataFrame, vocabulary: DataFrame, seed: int = 0, config: Config = Config()) -> DataFrame:
-    """attempts (domain, attempt, length, tau) with tokens: one sampled sequence each. A domain's score table goes with
-    its attempts in a cogroup, in pieces of attempts of a bounded size; the table is as small as its contexts."""
-    spec = attempts.select("domain", "attempt", "length", "tau")
-    table = scores.select("domain", F.lit(True).alias("is_score"), "ctx", "token", "score").unionByName(vocabulary.select("domain", F.lit(False).alias("is_score"), F.lit(None).cast("array<string>").alias("ctx"), "token", F.lit(None).cast("double").alias("score")).distinct())
-    pieces = 64
+#: Attempts that one task generates.
+PIECE = 5_000
+
+
+def generate(attempts: DataFrame, counts: DataFrame, vocabulary: DataFrame, seed: int = 0, config: Config = Config()) -> DataFrame:
+    """attempts (domain, attempt, length, tau) with tokens: one sampled sequence each, the same for the same seed and
+    attempt however rows are partitioned. Attempts go in pieces of PIECE, each with its domain's counts, which are as
+    small as the contexts seen. A domain without a vocabulary gives empty sequences."""
+    spec = attempts.select("domain", F.col("attempt").cast("long").alias("attempt"), "length", "tau")
+    seen = counts.select("domain", "ctx", "token", "sign", "w")
+    none = [F.lit(None).cast("array<string>").alias("ctx"), "token", F.lit(None).cast("string").alias("sign"), F.lit(None).cast("double").alias("w")]
+    table = seen.unionByName(vocabulary.select("domain", *none).distinct())
+    last = (spec.agg(F.max("attempt").alias("a")).first()["a"] or 0) // PIECE
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         rows = right.to_pylist()
-        table = Scores([(r["ctx"], r["token"], r["score"]) for r in rows if r["is_score"]], [r["token"] for r in rows if not r["is_score"]])
-        made = [table.generate(seed, a, n, tau, config) if table.vocabulary else [] for a, n, tau in zip(*(left.column(c).to_pylist() for c in ("attempt", "length", "tau")))]
+        scores = Scores([(r["ctx"], r["token"], r["sign"], r["w"]) for r in rows if r["sign"] is not None], [r["token"] for r in rows if r["sign"] is None], config)
+        made = [scores.generate(seed, a, n, tau) if scores.vocabulary else [] for a, n, tau in zip(*(left.column(c).to_pylist() for c in ("attempt", "length", "tau")))]
         return left.drop_columns(["piece"]).append_column("tokens", pa.array(made, pa.list_(pa.string())))
 
-    dealt = spec.withColumn("piece", F.pmod(F.xxhash64("attempt"), F.lit(pieces)).cast("int"))
-    copied = table.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    dealt = spec.withColumn("piece", F.floor(F.col("attempt") / PIECE).cast("int"))
+    copied = table.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(last)).cast("array<int>")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spec.schema.fields) + ", tokens array<string>"
     return dealt.groupBy("domain", "piece").cogroup(copied.groupBy("domain", "piece")).applyInArrow(run, schema)
 
 
 def _attempts(vocabulary: DataFrame, start: int, end: int) -> DataFrame:
     """(domain, attempt) for attempts from start to end, exclusive, in each domain."""
-    return vocabulary.select("domain").distinct().withColumn("attempt", F.explode(F.sequence(F.lit(start), F.lit(end - 1))).cast("long"))
+    return vocabulary.select("domain").distinct().withColumn("attempt", F.explode(F.sequence(F.lit(start), F.lit(end - 1)).cast("array<long>")))
 
 
 def merge_counts(counts: DataFrame, delta: DataFrame) -> DataFrame:
@@ -185,7 +205,7 @@ def train(spark: SparkSession, seeds: DataFrame, vocabulary: DataFrame, verdict,
     ledgers = []
     for start in range(0, samples, batch):
         attempts = _attempts(vocabulary, start, min(start + batch, samples)).withColumns({"length": lengths.cast("int"), "tau": temperature(F.col("attempt"), config.tau0, config.decay)})
-        made = generate(attempts, score_table(counts, vocabulary, config), vocabulary, seed, config)
+        made = generate(attempts, counts, vocabulary, seed, config)
         judged = cut(verdict(made.withColumn("t", F.col("attempt") + 1)))
         ledgers.append(judged.select("domain", "t", "tokens", "valid", "reason", "bad_idx"))
         counts = cut(merge_counts(counts, count(feedback(judged), vocabulary, config)))
@@ -206,7 +226,7 @@ def until_valid(spark: SparkSession, counts: DataFrame, vocabulary: DataFrame, v
     known = spark.createDataFrame([], "domain string, tokens array<string>")
     for r in range(rounds):
         attempts = _attempts(vocabulary, r * batch, (r + 1) * batch).withColumns({"length": F.lit(length), "tau": F.lit(1.0)})
-        made = generate(attempts, score_table(counts, vocabulary, config), vocabulary, seed, config).dropDuplicates(["domain", "tokens"])
+        made = generate(attempts, counts, vocabulary, seed, config).dropDuplicates(["domain", "tokens"])
         judged = cut(verdict(made.join(known.withColumnsRenamed({"domain": "_d", "tokens": "_t"}), F.col("domain").eqNullSafe(F.col("_d")) & (F.col("tokens") == F.col("_t")), "left_anti")))
         known = cut(known.unionByName(judged.where("valid").select("domain", "tokens")))
         weighted = judged.select("domain", "tokens", F.when(F.col("valid"), "pos").otherwise("neg").alias("sign"), F.lit(1.0).alias("weight"), F.lit(None).cast("array<int>").alias("bad_idx"))

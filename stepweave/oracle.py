@@ -85,3 +85,198 @@ UNION ALL SELECT feed_id, file_no, 'removed', field, '' FROM gone g WHERE NOT EX
 UNION ALL SELECT feed_id, file_no, 'retyped', field, field FROM now JOIN was USING (feed_id, file_no, field) WHERE now.kind <> was.kind""",
     "p6_kinds": _TREE + "SELECT c.feed_id, c.file_no, c.field, c.kind, c.n FROM counted c JOIN present p USING (feed_id, file_no, field) WHERE c.kind IS NOT NULL",
 }
+
+
+def _name(x: str) -> str:
+    return f"nullif(trim(regexp_replace(lower({x}), '[^a-z]+', '_', 'g'), '_'), '')"
+
+
+def _names(x: str) -> str:
+    return f"coalesce(list_filter([{_name('x')} FOR x IN {x}], lambda y: y IS NOT NULL), [])"
+
+
+#: Members and accepted sequences, their windows of three, and the deterministic verdict on members.
+_SEQS = f"""
+WITH m AS (
+  SELECT DISTINCT domain, seq_id, cluster_key, is_medoid, distance_to_medoid AS distance, {_names("tokens")} AS tokens FROM cluster_members
+), acc AS (
+  SELECT DISTINCT domain, seq_id, t, {_names("tokens")} AS tokens FROM sampler_accepted
+), known AS (
+  SELECT domain, list(DISTINCT token) AS known FROM model_vocab GROUP BY ALL
+)
+"""
+
+
+def _verdict(source: str, alias: str) -> str:
+    i = "range(len(tokens))"
+    return f"""
+, {alias}_idx AS (
+  SELECT s.*, [i FOR i IN {i} IF NOT list_contains(k.known, tokens[i + 1])] AS unknown,
+    [i FOR i IN {i} IF i >= 2 AND tokens[i + 1] = tokens[i] AND tokens[i] = tokens[i - 1]] AS runs,
+    [i FOR i IN {i} IF tokens[i + 1] = 'transfer_to_human_agents' AND i < len(tokens) - 1] AS early
+  FROM {source} s LEFT JOIN known k USING (domain)
+), {alias} AS (
+  SELECT *, reason IS NULL AS valid, CASE reason WHEN 'unknown action' THEN unknown WHEN 'repeated' THEN runs WHEN 'not at the end' THEN early ELSE [] END AS bad_idx
+  FROM (SELECT *, CASE WHEN len(tokens) = 0 THEN 'empty' WHEN len(unknown) > 0 THEN 'unknown action' WHEN len(runs) > 0 THEN 'repeated' WHEN len(early) > 0 THEN 'not at the end' END AS reason FROM {alias}_idx)
+)
+"""
+
+
+_JUDGED = _SEQS + _verdict("m", "judged")
+
+_GRAMS = _JUDGED + """
+, fed AS (
+  SELECT domain, 'pos' AS sign, tokens, NULL::BIGINT[] AS bad_idx FROM acc
+  UNION ALL SELECT domain, 'neg', tokens, bad_idx FROM judged WHERE NOT valid AND len(bad_idx) > 0
+), windows AS (
+  SELECT domain, sign, bad_idx, len(tokens) AS n, pos, p[pos + 1] || '>' || p[pos + 2] AS ctx, p[pos + 3] AS token
+  FROM (SELECT *, unnest(range(len(tokens) + 1)) AS pos FROM (SELECT *, ['|BOS|', '|BOS|'] || tokens || ['|EOS|'] AS p FROM fed))
+), counts AS (
+  SELECT domain, sign, ctx, token, count(*)::DOUBLE AS w FROM windows w
+  WHERE (bad_idx IS NULL OR (list_contains(bad_idx, pos) AND pos < n)) AND (token = '|EOS|' OR EXISTS (FROM model_vocab v WHERE v.domain = w.domain AND v.token = w.token))
+  GROUP BY ALL
+), size AS (
+  SELECT domain, count(DISTINCT token) AS v FROM model_vocab GROUP BY ALL
+), totals AS (
+  SELECT domain, ctx, coalesce(sum(w) FILTER (sign = 'pos'), 0) AS tp, coalesce(sum(w) FILTER (sign = 'neg'), 0) AS tn FROM counts GROUP BY ALL
+), cells AS (
+  SELECT domain, ctx, token, coalesce(sum(w) FILTER (sign = 'pos'), 0) AS cp, coalesce(sum(w) FILTER (sign = 'neg'), 0) AS cn FROM counts GROUP BY ALL
+), grid AS (
+  SELECT t.domain, t.ctx, v.token, c.token IS NOT NULL AS seen, (0.1::DOUBLE + coalesce(cp, 0)) / (v * 0.1::DOUBLE + tp) AS p_pos, (0.1::DOUBLE + coalesce(cn, 0)) / (v * 0.1::DOUBLE + tn) AS p_neg
+  FROM totals t JOIN size USING (domain) JOIN (SELECT DISTINCT domain, token FROM model_vocab) v USING (domain) LEFT JOIN cells c ON c.domain = t.domain AND c.ctx = t.ctx AND c.token = v.token
+), scored AS (
+  SELECT *, p_pos * pow(p_neg + 1e-12, -1) AS score FROM grid
+)
+"""
+
+_ENCODED = _SEQS + """
+, medoid AS (
+  SELECT cluster_key, arg_min(tokens, seq_id) AS medoid FROM m WHERE is_medoid GROUP BY ALL
+), pair AS (
+  SELECT m.domain, seq_id, tokens, medoid, list_distinct(list_concat(tokens, medoid)) AS names FROM m JOIN medoid USING (cluster_key)
+), measured AS (
+  SELECT domain, seq_id, greatest(len(tokens), len(medoid)) AS longest,
+    levenshtein(array_to_string([chr(32 + list_position(names, x)::INT) FOR x IN tokens], ''), array_to_string([chr(32 + list_position(names, x)::INT) FOR x IN medoid], '')) AS d
+  FROM pair
+)
+"""
+
+_REPLACED = _JUDGED + """
+, medoid AS (
+  SELECT cluster_key, arg_min({'seq_id': seq_id, 'tokens': tokens, 'valid': valid, 'reason': reason, 'bad': bad_idx}, seq_id) AS x FROM judged WHERE is_medoid GROUP BY ALL
+), other AS (
+  SELECT j.*, x, row_number() OVER (PARTITION BY cluster_key ORDER BY CASE WHEN len(x.bad) = 0 OR len([i FOR i IN x.bad IF i >= len(j.tokens) OR j.tokens[i + 1] <> x.tokens[i + 1]]) > 0 THEN 1 ELSE 2 END, coalesce(distance, 'inf'::DOUBLE), j.seq_id) AS rank
+  FROM judged j JOIN medoid USING (cluster_key) WHERE NOT x.valid AND j.seq_id <> x.seq_id
+), best AS (
+  SELECT cluster_key, count(*) AS n, min(rank) FILTER (valid) AS tries, arg_min(tokens, rank) FILTER (valid) AS tokens FROM other GROUP BY ALL
+), replaced AS (
+  SELECT cluster_key, CASE WHEN x.valid THEN 'valid_medoid' WHEN tries <= 3 THEN 'replaced' ELSE 'unusable' END AS status,
+    CASE WHEN x.valid THEN x.tokens WHEN tries <= 3 THEN tokens END AS final,
+    CASE WHEN x.valid THEN 1 WHEN tries <= 3 THEN 1 + tries ELSE 1 + least(3, coalesce(n, 0) * CASE WHEN len(x.bad) = 0 THEN 2 ELSE 1 END) END AS attempts,
+    x.valid AS original_valid, CASE WHEN NOT x.valid THEN x.reason END AS reason
+  FROM medoid LEFT JOIN best USING (cluster_key)
+)
+"""
+
+_AGENT = f"""
+WITH u AS (
+  SELECT DISTINCT row_id, {_key("user_id")} AS user, email, membership, reservations, loaded_at FROM agent_users
+), r AS (
+  SELECT DISTINCT *, {_key("user_id")} AS user, {_key("reservation_id")} AS reservation FROM agent_reservations
+), links AS (
+  SELECT DISTINCT user, {_key("x")} AS link FROM (SELECT user, unnest(reservations) AS x FROM u)
+)
+"""
+
+_ACTIONS = f"WITH a AS (SELECT DISTINCT *, {_name('name')} AS step FROM eval_actions)"
+
+_CRITERIA = """
+WITH c AS (
+  SELECT row_id, task_id, created_at, CASE WHEN json_type(j) = 'VARCHAR' AND json_valid(j->>'$') THEN (j->>'$')::JSON ELSE j END AS j
+  FROM (SELECT DISTINCT row_id, task_id, created_at, evaluation_criteria::JSON AS j FROM tasks WHERE json_valid(evaluation_criteria))
+), a AS (
+  SELECT row_id, task_id, unnest(range(len(l))) AS pos, unnest(l) AS a FROM (SELECT row_id, task_id, (j->'$.actions')::JSON[] AS l FROM c WHERE json_type(j->'$.actions') = 'ARRAY')
+)
+"""
+
+SQL |= {
+    "seq_tokens": _SEQS + "SELECT domain, seq_id, unnest(range(len(tokens))) AS pos, unnest(tokens) AS token FROM m",
+    "seed_sequences": _CRITERIA + "SELECT c.row_id, c.task_id, coalesce((SELECT string_agg(a->>'$.name', '>' ORDER BY pos) FROM a WHERE a.row_id = c.row_id AND a->>'$.name' IS NOT NULL), '') AS tokens FROM c WHERE json_type(j->'$.actions') = 'ARRAY'",
+    "seq_length_stats": _SEQS + "SELECT domain, count(*) AS n, round(median(len(tokens)), 6) AS median, round(stddev_pop(len(tokens)), 6) AS std, greatest(1, min(len(tokens))) AS low, max(len(tokens)) AS high, round(greatest(greatest(1, min(len(tokens))), quantile_cont(len(tokens), 0.1)), 6) AS p10, round(least(max(len(tokens)), quantile_cont(len(tokens), 0.9)), 6) AS p90 FROM m GROUP BY ALL",
+    "length_histogram": _SEQS + "SELECT domain, len(tokens)::VARCHAR AS length, count(*) AS k FROM m GROUP BY ALL",
+    "ngram_counts": _GRAMS + "SELECT * FROM counts",
+    "context_totals": _GRAMS + "SELECT domain, sign, ctx, sum(w) AS total FROM counts GROUP BY ALL",
+    "seen_scores": _GRAMS + "SELECT domain, ctx, token, round(p_pos, 7) AS p_pos, round(p_neg, 7) AS p_neg, round(score, 7) AS score FROM scored WHERE seen",
+    "top_continuation": _GRAMS + "SELECT domain, ctx, token, round(score, 7) AS score FROM scored QUALIFY row_number() OVER (PARTITION BY domain, ctx ORDER BY round(score, 7) DESC, token) = 1",
+    "temperature_schedule": "SELECT DISTINCT t, round(1 + 2 * exp(-t / 1500.0), 9) AS temperature FROM sampler_accepted",
+    "window_acceptance": _SEQS + _verdict("acc", "judged") + "SELECT domain, (t - 1) // 400 AS \"window\", min(t) AS first_t, max(t) AS last_t, count(*) AS attempted, count(*) FILTER (valid) AS accepted, count(*) FILTER (NOT valid) AS rejected, round(count(*) FILTER (valid) / count(*), 6) AS acceptance_rate FROM judged GROUP BY ALL",
+    "write_fractions": _SEQS + """, types AS (
+  SELECT domain, list(token) FILTER (action_type = 'WRITE') AS writes, list(token) FILTER (coalesce(action_type, 'GENERIC') IN ('WRITE', 'GENERIC')) AS fine FROM model_vocab GROUP BY ALL
+)
+SELECT m.domain, seq_id, CASE WHEN len(tokens) = 0 THEN 0 ELSE round(len([x FOR x IN tokens IF list_contains(writes, x)]) / len(tokens), 9) END AS write_fraction, len([x FOR x IN tokens IF NOT list_contains(fine, x)]) = 0 AS only_writes FROM m LEFT JOIN types USING (domain)""",
+    "token_classes": "SELECT domain, token, coalesce(action_type, 'GENERIC') AS type, CASE coalesce(action_type, 'GENERIC') WHEN 'GENERIC' THEN 'READ' ELSE action_type END AS effective_type, split_part(token, '_', 1) AS action_group FROM model_vocab",
+    "rubric_verdicts": _JUDGED + "SELECT domain, seq_id, valid, reason, array_to_string(bad_idx, ',') AS bad_idx FROM judged",
+    "ordering_rules": _SEQS + """, p AS (
+  SELECT domain, seq_id, len(tokens) AS n,
+    [i FOR i IN range(len(tokens)) IF tokens[i + 1] = 'transfer_to_human_agents'] AS transfer,
+    [i FOR i IN range(len(tokens)) IF tokens[i + 1] IN ('find_user_id_by_email', 'find_user_id_by_name_zip')] AS auth,
+    list_position(tokens, 'get_user_details') AS details, list_position(tokens, 'cancel_reservation') AS cancel,
+    [i FOR i IN range(len(tokens)) IF tokens[i + 1] = 'get_order_details'] AS lookups,
+    [i FOR i IN range(len(tokens)) IF tokens[i + 1] = 'return_delivered_order_items'] AS returns,
+    [i FOR i IN range(len(tokens)) IF tokens[i + 1] = 'exchange_delivered_order_items'] AS exchanges,
+    [i FOR i IN range(len(tokens)) IF tokens[i + 1] = 'resume_line'] AS resumes, list_position(tokens, 'reboot_device') AS reboot
+  FROM m
+), two AS (
+  SELECT DISTINCT domain, seq_id FROM (SELECT *, least(a, b) AS lo, greatest(a, b) AS hi FROM (SELECT domain, seq_id, lookups, a, unnest(exchanges) AS b FROM (SELECT domain, seq_id, lookups, exchanges, unnest(returns) AS a FROM p)))
+  WHERE len([x FOR x IN lookups IF x > lo AND x < hi]) = 0
+)
+SELECT domain, seq_id, '0:only_last' AS rule FROM p WHERE len([i FOR i IN transfer IF i <> n - 1]) > 0
+UNION ALL SELECT domain, seq_id, '1:first_block' FROM p WHERE len(auth) > 0 AND list_max(auth) <> len(auth) - 1
+UNION ALL SELECT domain, seq_id, '2:before' FROM p WHERE cancel > 0 AND (coalesce(details, 0) = 0 OR cancel < details)
+UNION ALL SELECT domain, seq_id, '3:between' FROM two
+UNION ALL SELECT domain, seq_id, '4:not_after' FROM p WHERE reboot > 0 AND list_max(resumes) > reboot - 1""",
+    "duplicate_status": _JUDGED + "SELECT domain, seq_id, CASE WHEN tokens IN (SELECT tokens FROM acc) THEN 'accepted_dup' WHEN tokens IN (SELECT tokens FROM judged WHERE is_medoid AND NOT valid) THEN 'rejected_dup' ELSE 'new' END AS status FROM m",
+    "edit_distances": _ENCODED + "SELECT domain, seq_id, d AS distance, CASE WHEN longest = 0 THEN 0 ELSE round(d / longest, 9) END AS normalized FROM measured",
+    "nearest_center": _SEQS + """, sized AS (
+  SELECT domain, cluster_key, count(*) AS n, arg_min(tokens, seq_id) FILTER (is_medoid) AS tokens FROM m GROUP BY ALL HAVING count(*) FILTER (is_medoid) > 0
+), center AS (
+  SELECT domain, tokens, row_number() OVER (PARTITION BY domain ORDER BY n DESC, cluster_key) - 1 AS place FROM sized QUALIFY place < 8
+), pair AS (
+  SELECT m.domain, seq_id, place, m.tokens AS a, c.tokens AS b, list_distinct(list_concat(m.tokens, c.tokens)) AS names FROM m JOIN center c USING (domain)
+), measured AS (
+  SELECT domain, seq_id, place, CASE WHEN greatest(len(a), len(b)) = 0 THEN 0 ELSE levenshtein(array_to_string([chr(32 + list_position(names, x)::INT) FOR x IN a], ''), array_to_string([chr(32 + list_position(names, x)::INT) FOR x IN b], '')) / greatest(len(a), len(b)) END AS d FROM pair
+)
+SELECT domain, seq_id, round(min(d), 9) AS min_distance, arg_min(place, d * 1000000 + place) AS nearest, round(avg(d), 9) AS mean_distance FROM measured GROUP BY ALL""",
+    "cluster_sizes": _SEQS + "SELECT domain, count(*) AS n_clusters, min(size) AS min_size, max(size) AS max_size, round(avg(size), 6) AS mean_size, median(size) AS median_size FROM (SELECT domain, cluster_key, count(*) AS size FROM m GROUP BY ALL) GROUP BY ALL",
+    "medoid_replacement": _REPLACED + "SELECT cluster_key, status, array_to_string(final, '>') AS final_sequence, attempts, original_valid, reason FROM replaced",
+    "validation_status": _REPLACED + "SELECT status, count(*) AS n, sum(attempts) AS attempts FROM replaced GROUP BY ALL",
+    "merged_validation": _REPLACED + "SELECT i.*, r.status, r.attempts FROM (SELECT DISTINCT cluster_key, domain, status AS listed_status, n_members FROM cluster_info) i LEFT JOIN replaced r USING (cluster_key)",
+    "first_valid_member": _JUDGED + "SELECT cluster_key, seq_id FROM judged QUALIFY row_number() OVER (PARTITION BY cluster_key ORDER BY NOT valid, coalesce(distance, 'inf'::DOUBLE), seq_id) = 1",
+    "pending_clusters": _JUDGED + "SELECT DISTINCT cluster_key, domain, status FROM cluster_info i WHERE status IN ('valid_medoid', 'replaced') AND NOT EXISTS (FROM judged j WHERE j.cluster_key = i.cluster_key AND valid)",
+    "write_summary": _REPLACED + ", each AS (SELECT domain, unnest(final) AS token FROM replaced JOIN (SELECT DISTINCT cluster_key, domain FROM m) USING (cluster_key)) SELECT domain, count(*) AS total_actions, count(*) FILTER (action_type = 'WRITE') AS write_actions, round(count(*) FILTER (action_type = 'WRITE') / count(*), 6) AS write_share FROM each LEFT JOIN model_vocab USING (domain, token) GROUP BY ALL",
+    "missing_users": _AGENT + "SELECT row_id, user FROM r WHERE user IS NOT NULL AND user NOT IN (SELECT user FROM u WHERE user IS NOT NULL)",
+    "unlisted_reservations": _AGENT + "SELECT row_id, user, reservation FROM r WHERE user IN (SELECT user FROM u) AND NOT EXISTS (FROM links l WHERE l.user = r.user AND l.link = r.reservation)",
+    "users_over_limit": _AGENT + "SELECT user, count(*) FILTER (cabin = 'business') AS n FROM r GROUP BY ALL HAVING n > 3",
+    "reused_flights": _AGENT + f"SELECT row_id, flight, count(*) AS n FROM (SELECT row_id, {_key('l.flight_number')} AS flight FROM (SELECT row_id, unnest(flights) AS l FROM r)) WHERE flight IS NOT NULL GROUP BY ALL HAVING n > 1",
+    "ambiguous_flights": f"WITH f AS (SELECT DISTINCT origin, destination, unnest(map_keys(dates)) AS date, {_key('flight_number')} AS flight FROM agent_flights WHERE origin IS NOT NULL AND destination IS NOT NULL) SELECT origin, destination, date, min(flight) AS flight, array_to_string(list_sort(list(flight))[2:], ',') AS others FROM f GROUP BY ALL HAVING count(*) > 1",
+    "rule_chain": _AGENT + """, v AS (
+  SELECT row_id, 0 AS o, 'shape' AS rule, 'no flights' AS message FROM r WHERE coalesce(len(flights), 0) < 1
+  UNION ALL SELECT row_id, 1, 'references', 'unknown user ' || user FROM r WHERE user IS NOT NULL AND user NOT IN (SELECT user FROM u WHERE user IS NOT NULL)
+  UNION ALL SELECT row_id, 1, 'references', 'missing required argument user_id' FROM r WHERE coalesce(user, '') = ''
+)
+SELECT row_id, rule, message, CASE WHEN rule = 'references' AND NOT contains(message, 'missing required argument') THEN 'db_only' ELSE 'task_and_db' END AS patch FROM v QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY o, rule, message) = 1""",
+    "merged_users": _AGENT + "SELECT user, arg_max(email, (loaded_at, row_id)) FILTER (email IS NOT NULL) AS email, arg_max(membership, (loaded_at, row_id)) FILTER (membership IS NOT NULL) AS membership FROM u GROUP BY ALL",
+    "merged_reservation_lists": _AGENT + "SELECT user, string_agg(x, ',' ORDER BY a, p, x) AS reservations FROM (SELECT user, x, min({'a': loaded_at, 'p': p}).a AS a, min({'a': loaded_at, 'p': p}).p AS p FROM (SELECT user, loaded_at, unnest(range(len(reservations))) AS p, unnest(reservations) AS x FROM u) WHERE x IS NOT NULL GROUP BY ALL) GROUP BY ALL",
+    "back_links": _AGENT + "SELECT user, coalesce(string_agg(link, ',' ORDER BY link), '') AS links FROM (SELECT DISTINCT user FROM u) LEFT JOIN (SELECT user, link FROM links WHERE link IS NOT NULL UNION SELECT user, reservation FROM r WHERE reservation IS NOT NULL) USING (user) GROUP BY ALL",
+    "flight_dates": "SELECT DISTINCT row_id, e.key AS date, e.value.status AS status, e.value.available_seats AS available_seats FROM (SELECT row_id, unnest(map_entries(dates)) AS e FROM agent_flights)",
+    "follow_ups": _ACTIONS + """, t AS (SELECT * FROM a WHERE domain = 'telecom'), n AS (
+  SELECT *, lead(CASE WHEN step LIKE 'check\\_%' ESCAPE '\\' OR step = 'reboot_device' THEN step = 'reboot_device' END IGNORE NULLS) OVER (PARTITION BY task_id, trial ORDER BY position) AS nxt FROM t
+)
+SELECT row_id, task_id, trial, position FROM n WHERE step = 'resume_line' AND NOT coalesce(nxt, false)""",
+    "redacted_arguments": _ACTIONS + "SELECT domain, trial, task_id, count(*) AS n, CASE WHEN count(*) FILTER (requestor = 'assistant') = 0 THEN 0 ELSE greatest(1, floor(count(*) FILTER (requestor = 'assistant') * 0.33))::BIGINT END AS n_covered FROM a GROUP BY ALL",
+    "argument_parse_stages": _ACTIONS + "SELECT row_id, CASE WHEN arguments IS NULL THEN NULL WHEN json_valid(arguments) THEN 1 WHEN json_valid(regexp_replace(arguments, ',(\\s*[\\]}])', '\\1', 'g')) THEN 2 ELSE 0 END AS stage FROM a",
+    "template_marks": "SELECT doc_id, unnest(regexp_extract_all(text, '\\{[a-zA-Z_][a-zA-Z0-9_]*\\}')) AS mark FROM documents",
+    "task_actions": _CRITERIA + "SELECT row_id, pos, coalesce(a->>'$.action_id', pos::VARCHAR) AS action_id, coalesce(a->>'$.name', a->>'$.tool_name', a->>'$.action_name') AS name, coalesce(a->>'$.requestor', 'assistant') AS requestor, CASE WHEN json_type(a->'$.info') = 'VARCHAR' THEN a->>'$.info' END AS info FROM a WHERE json_type(a) = 'OBJECT'",
+    "trial_mismatches": _ACTIONS + "SELECT task_id, position, e.step AS expected, x.step AS actual FROM (FROM a WHERE trial = 0) e FULL JOIN (FROM a WHERE trial = 1) x USING (task_id, position) WHERE e.step IS DISTINCT FROM x.step",
+    "stream_daily": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
+}
