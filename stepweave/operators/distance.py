@@ -124,3 +124,30 @@ def to_set(df: DataFrame, tokens: str, by: str, given: Mapping[object, list[list
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, mask=none), pa.array(which.astype(np.int32), mask=none), pa.array(mean, mask=none)], [*batch.schema.names, "min_distance", "nearest", "mean_distance"])
 
     return df.mapInArrow(run, schema)
+
+
+#: Sequences of a pool at most, and of a block of it.
+POOL, BLOCK = 5_000, 250
+
+
+def all_pairs(pools: DataFrame, costs: Costs) -> DataFrame:
+    """(domain, i, j, distance), i < j, of pools (domain, idx, tokens): the upper triangle of each pool's matrix.
+
+    A pool has a stated size, POOL at most (more is an error), so each sequence is sent to at most POOL / BLOCK tasks, one
+    per pair of blocks. For distances of any number of sequences to a given set see to_set()."""
+    kept = pools.select("domain", F.col("idx").cast("int").alias("idx"), "tokens")
+    last = F.lit((POOL - 1) // BLOCK)
+    block = F.when(F.col("idx") < POOL, F.floor(F.col("idx") / BLOCK).cast("int")).otherwise(F.raise_error(F.lit("a pool is too large")).cast("int"))
+    sizes = kept.groupBy("domain").agg(F.floor(F.max("idx") / BLOCK).cast("int").alias("_last")).withColumnRenamed("domain", "_d")
+    placed = kept.withColumn("block", block).join(sizes, F.col("domain").eqNullSafe(F.col("_d")))
+    both = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.least(last, F.col("_last")))))
+    dealt = both.select("domain", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "idx", "tokens")
+
+    def measure(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(t.column("idx").to_pylist(), t.column("block").to_pylist(), t.column("tokens").to_pylist()), key=lambda r: r[0])
+        a, b = t.column("a")[0].as_py(), t.column("b")[0].as_py()
+        pairs = [(x, y) for n, x in enumerate(rows) for y in (rows[n + 1 :] if x[1] == a else ()) if y[1] == b]
+        d = pair_distances([x[2] or [] for x, _ in pairs], [y[2] or [] for _, y in pairs], costs) if pairs else np.zeros(0)
+        return pa.table({"domain": pa.array([t.column("domain")[0].as_py()] * len(pairs), pa.string()), "i": pa.array([x[0] for x, _ in pairs], pa.int32()), "j": pa.array([y[0] for _, y in pairs], pa.int32()), "distance": pa.array(d / 100.0, pa.float64())})
+
+    return dealt.groupBy("domain", "a", "b").applyInArrow(measure, "domain string, i int, j int, distance double")

@@ -21,12 +21,16 @@ def list_to_map(items: Column, id_name: str) -> Column:
     return F.aggregate(kept, F.create_map().cast("map<string,string>"), lambda acc, e: F.map_concat(F.map_filter(acc, lambda k, _: k != e[id_name].cast("string")), F.create_map(e[id_name].cast("string"), F.to_json(e))))
 
 
+def _without(record: Column, name: str) -> Column:
+    return F.map_filter(record, lambda k, _: k != name)
+
+
 def rename_fields(record: Column, aliases: Mapping[str, str | None]) -> Column:
     """A map<string,string> with wrong names put right: an alias becomes its name if that is absent, else it is dropped;
     an alias of None is dropped."""
     out = record
     for wrong, right in aliases.items():
-        without = F.map_filter(out, lambda k, _, wrong=wrong: k != wrong)
+        without = _without(out, wrong)
         if right is None:
             out = without
         else:

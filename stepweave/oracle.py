@@ -161,6 +161,14 @@ _ENCODED = _SEQS + """
 )
 """
 
+_CENTERS = """
+, sized AS (
+  SELECT domain, cluster_key, count(*) AS n, arg_min(tokens, seq_id) FILTER (is_medoid) AS tokens FROM m GROUP BY ALL HAVING count(*) FILTER (is_medoid) > 0
+), center AS (
+  SELECT domain, tokens, row_number() OVER (PARTITION BY domain ORDER BY n DESC, cluster_key) - 1 AS place FROM sized QUALIFY place < 8
+)
+"""
+
 _REPLACED = _JUDGED + """
 , medoid AS (
   SELECT cluster_key, arg_min({'seq_id': seq_id, 'tokens': tokens, 'valid': valid, 'reason': reason, 'bad': bad_idx}, seq_id) AS x FROM judged WHERE is_medoid GROUP BY ALL
@@ -237,11 +245,10 @@ UNION ALL SELECT domain, seq_id, '3:between' FROM two
 UNION ALL SELECT domain, seq_id, '4:not_after' FROM p WHERE reboot > 0 AND list_max(resumes) > reboot - 1""",
     "duplicate_status": _JUDGED + "SELECT domain, seq_id, CASE WHEN tokens IN (SELECT tokens FROM acc) THEN 'accepted_dup' WHEN tokens IN (SELECT tokens FROM judged WHERE is_medoid AND NOT valid) THEN 'rejected_dup' ELSE 'new' END AS status FROM m",
     "edit_distances": _ENCODED + "SELECT domain, seq_id, d AS distance, CASE WHEN longest = 0 THEN 0 ELSE round(d / longest, 9) END AS normalized FROM measured",
-    "nearest_center": _SEQS + """, sized AS (
-  SELECT domain, cluster_key, count(*) AS n, arg_min(tokens, seq_id) FILTER (is_medoid) AS tokens FROM m GROUP BY ALL HAVING count(*) FILTER (is_medoid) > 0
-), center AS (
-  SELECT domain, tokens, row_number() OVER (PARTITION BY domain ORDER BY n DESC, cluster_key) - 1 AS place FROM sized QUALIFY place < 8
-), pair AS (
+    "center_pairs": _SEQS + _CENTERS + """
+SELECT domain, i, j, levenshtein(array_to_string([chr(32 + list_position(names, x)::INT) FOR x IN a], ''), array_to_string([chr(32 + list_position(names, x)::INT) FOR x IN b], ''))::DOUBLE AS distance
+FROM (SELECT x.domain, x.place AS i, y.place AS j, x.tokens AS a, y.tokens AS b, list_distinct(list_concat(x.tokens, y.tokens)) AS names FROM center x JOIN center y ON x.domain = y.domain AND x.place < y.place)""",
+    "nearest_center": _SEQS + _CENTERS + """, pair AS (
   SELECT m.domain, seq_id, place, m.tokens AS a, c.tokens AS b, list_distinct(list_concat(m.tokens, c.tokens)) AS names FROM m JOIN center c USING (domain)
 ), measured AS (
   SELECT domain, seq_id, place, CASE WHEN greatest(len(a), len(b)) = 0 THEN 0 ELSE levenshtein(array_to_string([chr(32 + list_position(names, x)::INT) FOR x IN a], ''), array_to_string([chr(32 + list_position(names, x)::INT) FOR x IN b], '')) / greatest(len(a), len(b)) END AS d FROM pair

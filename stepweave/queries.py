@@ -187,8 +187,7 @@ def edit_distances(spark: SparkSession, d: str) -> DataFrame:
 
 def weighted_distances(spark: SparkSession, d: str) -> DataFrame:
     """Weighted edit distance of each member to its medoid; types come from the vocabulary, a table of fixed size."""
-    types = {r.token: r.type for r in sequences.action_types(_vocab(spark, d)).select("token", "type").distinct().limit(10_000).collect()}
-    return distance.weighted(_to_medoid(spark, d), "tokens", "medoid", distance.Costs(types)).select("domain", "seq_id", F.round("distance", 2).alias("distance"))
+    return distance.weighted(_to_medoid(spark, d), "tokens", "medoid", distance.Costs(_types(_vocab(spark, d)))).select("domain", "seq_id", F.round("distance", 2).alias("distance"))
 
 
 def _centers(spark: SparkSession, d: str) -> DataFrame:
@@ -207,6 +206,24 @@ def nearest_center(spark: SparkSession, d: str) -> DataFrame:
     return out.select("domain", "seq_id", F.round("min_distance", 9).alias("min_distance"), "nearest", F.round("mean_distance", 9).alias("mean_distance"))
 
 
+def center_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Plain edit distances of all pairs of the given centers."""
+    return distance.all_pairs(_centers(spark, d).withColumnRenamed("place", "idx"), distance.Costs(None))
+
+
+def pool_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted distances of all pairs of a sampled pool of 300 sequences per domain."""
+    counts, vocab = cut(_counts(spark, d)), _vocab(spark, d)
+    drawn = lengths.skew_normal(lengths.LengthConfig("skew_normal", 7.0, 5.0, 2.0, 1, 15), F.lit(1.0), F.lit(15.0), "domain", "attempt")
+    pool = pipeline.sample_pool(counts, vocab, 300, drawn, seed=5)
+    return distance.all_pairs(cut(pool), distance.Costs(_types(vocab)))
+
+
+def _types(vocab: DataFrame) -> dict[str, str]:
+    """The types of a vocabulary, a table of fixed size."""
+    return {r.token: r.type for r in sequences.action_types(vocab).select("token", "type").distinct().limit(10_000).collect()}
+
+
 def cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
     return select.cluster_sizes(_members(spark, d), "cluster_key", "domain").withColumn("mean_size", F.round("mean_size", 6))
 
@@ -375,8 +392,7 @@ def clustered_pool(spark: SparkSession, d: str) -> DataFrame:
     counts, vocab = cut(_counts(spark, d)), _vocab(spark, d)
     config = lengths.LengthConfig("skew_normal", 7.0, 5.0, 2.0, 1, 15)
     drawn = lengths.skew_normal(config, F.lit(1.0), F.lit(15.0), "domain", "attempt")
-    types = {r.token: r.type for r in sequences.action_types(vocab).select("token", "type").distinct().limit(10_000).collect()}
-    out = pipeline.cluster_and_validate(spark, counts, vocab, providers.by_rules(vocab), 12, 150, drawn, distance.Costs(types), seed=42, rounds=2)
+    out = pipeline.cluster_and_validate(spark, counts, vocab, providers.by_rules(vocab), 12, 150, drawn, distance.Costs(_types(vocab)), seed=42, rounds=2)
     return out.select("domain", "cluster_idx", "status", F.array_join("final_sequence", ">").alias("final_sequence"), "attempts")
 
 
@@ -390,7 +406,7 @@ def stream_daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_periods, p1_current, p3_found, p3_tables, p6_found, p6_kinds, p6_table, seq_tokens, seed_sequences, seq_length_stats, length_histogram, ngram_counts, context_totals, seen_scores, top_continuation, temperature_schedule, window_acceptance, write_fractions, token_classes, rubric_verdicts, ordering_rules, duplicate_status, edit_distances, weighted_distances, nearest_center, cluster_sizes, medoid_replacement, validation_status, merged_validation, first_valid_member, pending_clusters, write_summary, missing_users, unlisted_reservations, users_over_limit, reused_flights, ambiguous_flights, rule_chain, merged_users, merged_reservation_lists, back_links, flight_dates, follow_ups, redacted_arguments, argument_parse_stages, template_marks, task_actions, task_changes, trial_mismatches, sampled_sequences, clustered_pool, stream_daily)}
+    return {f.__name__: f for f in (p1_found, p1_periods, p1_current, p3_found, p3_tables, p6_found, p6_kinds, p6_table, seq_tokens, seed_sequences, seq_length_stats, length_histogram, ngram_counts, context_totals, seen_scores, top_continuation, temperature_schedule, window_acceptance, write_fractions, token_classes, rubric_verdicts, ordering_rules, duplicate_status, edit_distances, weighted_distances, nearest_center, center_pairs, pool_distances, cluster_sizes, medoid_replacement, validation_status, merged_validation, first_valid_member, pending_clusters, write_summary, missing_users, unlisted_reservations, users_over_limit, reused_flights, ambiguous_flights, rule_chain, merged_users, merged_reservation_lists, back_links, flight_dates, follow_ups, redacted_arguments, argument_parse_stages, template_marks, task_actions, task_changes, trial_mismatches, sampled_sequences, clustered_pool, stream_daily)}
 
 
 def oracle_sql() -> dict[str, str]:
