@@ -287,3 +287,66 @@ SELECT row_id, task_id, trial, position FROM n WHERE step = 'resume_line' AND NO
     "trial_mismatches": _ACTIONS + "SELECT task_id, position, e.step AS expected, x.step AS actual FROM (FROM a WHERE trial = 0) e FULL JOIN (FROM a WHERE trial = 1) x USING (task_id, position) WHERE e.step IS DISTINCT FROM x.step",
     "stream_daily": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
+
+
+def _opened(x: str) -> str:
+    """A JSON value, or the content of a string that holds JSON, three times over; broken JSON is null."""
+    for _ in range(3):
+        x = f"(SELECT CASE WHEN json_type(_o) = 'VARCHAR' AND regexp_matches(_o->>'$', '^\\s*[\\[{{\"]') THEN CASE WHEN json_valid(_o->>'$') THEN (_o->>'$')::JSON END ELSE _o END FROM (SELECT {x} AS _o))"
+    return x
+
+
+def _elements(name: str, collections: str) -> str:
+    """CTEs that give the records (row_id, tab, parent, key, v) of collections (row_id, tab, own, parent, v)."""
+    return f"""
+, {name}_c AS (
+  SELECT row_number() OVER () AS id, * FROM ({collections}) WHERE json_type(v) IN ('OBJECT', 'ARRAY')
+), {name}_e AS (
+  SELECT c.* EXCLUDE (v), json_type(c.v) AS kind, c.v AS whole, j.key, {_opened("j.value")} AS v FROM {name}_c c, json_each(c.v) AS j
+), {name}_s AS (
+  SELECT *, bool_and(coalesce(json_type(v), 'NULL') IN ('OBJECT', 'NULL')) OVER (PARTITION BY id) AS named FROM {name}_e
+), {name} AS (
+  SELECT row_id, tab, parent, CASE WHEN kind = 'ARRAY' THEN coalesce(nullif(v->>own, ''), key::VARCHAR) ELSE key::VARCHAR END AS key, v FROM {name}_s WHERE json_type(v) = 'OBJECT' AND (kind = 'ARRAY' OR named)
+  UNION ALL SELECT DISTINCT row_id, tab, parent, '0', whole FROM {name}_s WHERE kind = 'OBJECT' AND NOT named
+)"""
+
+
+_TOP = "users user, reservations reservation, flights flight, orders order, products product, customers customer, lines line, bills bill, devices device, plans plan"
+_BELOW = "user payment_methods payment_method, customer payment_methods payment_method, reservation flights leg, reservation passengers passenger, flight dates flight_date, order items order_item, product variants variant, bill line_items bill_item"
+_OWN = {"user": "user_id", "reservation": "reservation_id", "flight": "flight_number", "order": "order_id", "product": "product_id", "customer": "customer_id", "line": "line_id", "bill": "bill_id", "device": "device_id", "plan": "plan_id"}
+
+
+def _children() -> str:
+    top = " UNION ALL ".join(f"SELECT row_id, '{t}' AS tab, '$.{_OWN[t]}' AS own, '' AS parent, {_opened(f'agent->{c!r}')} AS v FROM agent" for c, t in (x.split() for x in _TOP.split(", ")))
+    below = " UNION ALL ".join(f"SELECT row_id, '{t}' AS tab, '$.-' AS own, key AS parent, {_opened(f'v->{c!r}')} AS v FROM top WHERE tab = '{p}'" for p, c, t in (x.split() for x in _BELOW.split(", ")))
+    more = " UNION ALL ".join(f"SELECT row_id, '{t}' AS tab, '$.-' AS own, key AS parent, {_opened(_opened('v->' + repr('arguments')) + f'->{c!r}')} AS v FROM act" for c, t in (("flights", "action_leg"), ("payment_methods", "action_payment")))
+    return (
+        f"""WITH doc AS (
+  SELECT DISTINCT row_id, {_opened(_opened("CASE WHEN json_valid(initial_state) THEN initial_state::JSON END") + "->'initialization_data'")} AS init, {_opened("CASE WHEN json_valid(evaluation_criteria) THEN evaluation_criteria::JSON END")} AS crit FROM tasks
+), agent AS (SELECT row_id, {_opened("init->'agent_data'")} AS agent FROM doc), device AS (SELECT row_id, {_opened(_opened("init->'user_data'") + "->'device'")} AS device FROM doc)"""
+        + _elements("top", top)
+        + _elements("below", below)
+        + _elements("app", f"SELECT row_id, 'app_status' AS tab, '$.app_name' AS own, 'device' AS parent, {_opened('device->' + repr('app_statuses'))} AS v FROM device")
+        + _elements("act", f"SELECT row_id, 'action' AS tab, '$.-' AS own, '' AS parent, {_opened('crit->' + repr('actions'))} AS v FROM doc")
+        + _elements("more", more)
+        + "\nSELECT DISTINCT row_id, tab AS child_table, parent AS parent_key, key AS child_key FROM (FROM top UNION ALL FROM below UNION ALL FROM app UNION ALL FROM act UNION ALL FROM more)"
+    )
+
+
+SQL |= {
+    "p3_found": _children(),
+    "p1_current": _ORPHANS
+    + f""", src AS (
+  SELECT 'agent_reservations' AS src_table, row_id AS src_row_id, {_key("reservation_id")} AS k, loaded_at, deleted_at FROM agent_reservations
+  UNION SELECT 'agent_users', row_id, {_key("user_id")}, loaded_at, deleted_at FROM agent_users
+  UNION SELECT 'eval_actions', row_id, NULL, NULL, NULL FROM eval_actions
+), live AS (
+  SELECT src_table, src_row_id FROM (
+    SELECT s.*, max(s.loaded_at) OVER (PARTITION BY s.src_table, k) AS newest FROM src s JOIN (SELECT DISTINCT src_table, src_row_id FROM refs WHERE regexp_matches(ref_key, '[0-9]')) USING (src_table, src_row_id))
+  WHERE (k IS NULL OR loaded_at = newest) AND deleted_at IS NULL
+), here AS (
+  SELECT ref_field, ref_key FROM versions WHERE ref_key IS NOT NULL GROUP BY ALL HAVING arg_max({{'d': deleted_at}}, {{'a': seen_at, 's': seq}}).d IS NULL
+)
+SELECT CASE ref_field WHEN 'user_id' THEN 'agent_users' WHEN 'reservation_id' THEN 'agent_reservations' ELSE 'agent_flights' END AS target, ref_key, count(*) AS refs
+FROM refs SEMI JOIN live USING (src_table, src_row_id) ANTI JOIN here USING (ref_field, ref_key) WHERE regexp_matches(ref_key, '[0-9]') GROUP BY ALL""",
+}
