@@ -144,7 +144,33 @@ WITH basket AS (
 )
 """
 
+def _grown() -> str:
+    """Prefix growth: at each length, the first place where a pattern of frequent steps ends in each sequence."""
+    steps = f"""
+WITH seqs AS (
+  SELECT DISTINCT 'members' AS src, domain, seq_id, tokens FROM cluster_members UNION ALL SELECT DISTINCT 'accepted', domain, seq_id, tokens FROM sampler_accepted
+), least AS (
+  SELECT src, domain, count(*) AS n, greatest(10, ceil(count(*) / 8))::BIGINT AS least FROM seqs GROUP BY ALL
+), step AS (
+  SELECT src, domain, seq_id, pos, {_name("t")} AS t FROM (SELECT src, domain, seq_id, unnest(range(len(tokens))) AS pos, unnest(tokens) AS t FROM seqs) WHERE {_name("t")} IS NOT NULL
+), g1 AS (
+  SELECT src, domain, seq_id, t AS pattern, min(pos) AS pos FROM step GROUP BY ALL
+), f1 AS (
+  SELECT src, domain, pattern, support FROM (SELECT src, domain, pattern, count(*) AS support FROM g1 GROUP BY ALL) JOIN least USING (src, domain) WHERE support >= least
+)"""
+    for k in range(2, 6):
+        steps += f""", g{k} AS (
+  SELECT g.src, g.domain, g.seq_id, g.pattern || '>' || s.t AS pattern, min(s.pos) AS pos
+  FROM g{k - 1} g JOIN f{k - 1} f USING (src, domain, pattern) JOIN step s ON s.src = g.src AND s.domain = g.domain AND s.seq_id = g.seq_id AND s.pos > g.pos GROUP BY ALL
+), f{k} AS (
+  SELECT src, domain, pattern, support FROM (SELECT src, domain, pattern, count(*) AS support FROM g{k} GROUP BY ALL) JOIN least USING (src, domain) WHERE support >= least
+)"""
+    return steps + ", found AS (FROM f3 UNION ALL FROM f4 UNION ALL FROM f5)\n"
+
+
 SQL: dict[str, str] = {
+    "p2_found": _grown() + "SELECT src, domain, pattern FROM found",
+    "p2_patterns": _grown() + "SELECT src, domain, pattern, support, n FROM found JOIN least USING (src, domain)",
     "p5_found": _TERMS + "SELECT domain, term, mark FROM marked WHERE mark IS NOT NULL",
     "p5_terms": _TERMS + "SELECT * FROM marked",
     "p7_found": _PAIRS + "SELECT src, domain, item_a, item_b FROM scored WHERE n_ab >= 5 AND 200 * n_ab >= n AND n_ab * n >= 3 * n_a * n_b",
