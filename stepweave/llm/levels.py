@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,38 +30,44 @@ LETTERS = 0.6
 
 #: A line of a log: a call and what came of it.
 _CALL = re.compile(r"\s*\w+\([^()]*\)\s*(->|=>|:|$)").match
-_TOKEN = re.compile(r"\w+").findall
+#: Words, and names with underscores or digits, which are no words.
+_WORDS, _ODD, _NAME = re.compile(r"[^\W\d_]+").findall, re.compile(r"[\d_]").search, re.compile(r"\b[^\W\d_]*+[\d_]\w*")
 #: Scripts without blanks between words: each character is a word.
-_DENSE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿가-힯]")
+_DENSE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿가-힯]")
 
 
-def windows(text: str | None) -> Iterator[list[str]]:
-    """The words of the running text, line by line, at most WINDOW at a time. Lines that are mostly something else than
-    letters (logs, dumps, calls, tables of numbers) are no running text; names with underscores within a line don't count
-    either way."""
+def running_text(text: str | None) -> tuple[list[str], list[int]]:
+    """The words of the running text and the sizes of the windows that they fall into, line by line. Lines that are
+    mostly something else than letters (logs, dumps, calls, tables of numbers) are no running text; names with
+    underscores within a line don't count either way."""
+    words: list[str] = []
+    sizes: list[int] = []
     for line in (text or "").splitlines():
         if _CALL(line):
             continue
-        words, letters, named = [], 0, 0
-        for t in _TOKEN(line.lower()):
-            if t.isalpha():
-                letters += len(t)
-                if t.isascii() or not _DENSE.search(t):
-                    words.append(t)
-                else:
-                    words.extend(t)
-            elif "_" in t:
-                named += len(t)
-        if not words:
+        line = line.lower()
+        solid = len("".join(line.split()))
+        plain = line
+        if _ODD(line):
+            solid -= sum(len(n) for n in _NAME.findall(line) if "_" in n)
+            plain = _NAME.sub(" ", line)
+        found = _WORDS(plain)
+        if not found:
             continue
-        solid = sum(map(len, line.split())) - named
-        odd = 0 if line.isascii() else sum(c > "\x7f" and not c.isalpha() and not c.isspace() for c in line)
-        if letters + odd < LETTERS * solid:
+        letters = sum(map(len, found))
+        if not line.isascii():
+            letters += sum(c > "\x7f" and not c.isalpha() and not c.isspace() for c in line)
+        if letters < LETTERS * solid:
             continue
-        n = len(words)
+        if not line.isascii() and _DENSE.search(line):
+            found = [c for w in found for c in (w if _DENSE.search(w) else (w,))]
+        n = len(found)
         size = -(-n // -(-n // WINDOW))
-        for i in range(0, n, size):
-            yield words[i : i + size]
+        words += found
+        sizes += [size] * (n // size)
+        if n % size:
+            sizes.append(n % size)
+    return words, sizes
 
 
 class LevelModels:
@@ -69,19 +76,16 @@ class LevelModels:
     def __init__(self, words: list[str], counts: np.ndarray):
         self.index = {w: i for i, w in enumerate(words)}
         totals = counts.sum(0)
-        self.log = np.log((counts + ALPHA) / (totals + ALPHA * max(len(words), 1)))
-
-    def scores(self, parts: list[list[str]]) -> np.ndarray:
-        """The log likelihood of each window per level; words that weren't seen in training say nothing."""
-        get = self.index.get
-        known = [[i for w in p if (i := get(w)) is not None] for p in parts]
-        lengths = np.fromiter(map(len, known), np.int64, len(known))
-        out = np.zeros((len(parts), LEVELS))
-        if lengths.sum():
-            flat = self.log[np.fromiter((i for k in known for i in k), np.int64, int(lengths.sum()))]
-            has = np.flatnonzero(lengths)
-            out[has] = np.add.reduceat(flat, (np.cumsum(lengths) - lengths)[has], axis=0)
-        return out
+        log = np.log((counts + ALPHA) / (totals + ALPHA * max(len(words), 1)))
+        self.log = np.vstack([log, np.zeros((1, LEVELS))])  # the last row is that of unknown words
+
+    def scores(self, words: list[str], sizes: list[int]) -> np.ndarray:
+        """The log likelihood per level of each window; words that weren't seen in training say nothing."""
+        if not sizes:
+            return np.zeros((0, LEVELS))
+        ids = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        starts = np.cumsum(sizes) - sizes
+        return np.add.reduceat(self.log[ids], starts, axis=0)
 
     @staticmethod
     def posterior(log_likelihood: np.ndarray, prior: np.ndarray | float = 1.0) -> np.ndarray:
@@ -108,9 +112,12 @@ def train(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_lab
         for b in batches:
             words, prior = [], []
             for text, p in zip(b.column("text").to_pylist(), b.column("prior").to_pylist()):
-                for w in windows(text):
-                    words.append(w)
+                flat, sizes = running_text(text)
+                at = 0
+                for n in sizes:
+                    words.append(flat[at : at + n])
                     prior.append(p)
+                    at += n
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), pa.array(prior, pa.list_(pa.float64()))], ["words", "prior"])
 
     parts = cut(labelled.mapInArrow(split, "words array<string>, prior array<double>"))
@@ -124,16 +131,12 @@ def train(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_lab
                 weight = np.array(b.column("prior").to_pylist()).reshape(-1, LEVELS)
                 weight = weight / weight.sum(1, keepdims=True)
                 if sent is not None and len(words):
-                    weight = LevelModels.posterior(sent.value.scores(words), weight)
-                seen: dict[str, np.ndarray] = {}
-                for ws, p in zip(words, weight):
-                    for w in ws:
-                        if w in seen:
-                            seen[w] += p
-                        else:
-                            seen[w] = p.copy()
-                table = np.array(list(seen.values())).reshape(-1, LEVELS)
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array(table[:, k]) for k in range(LEVELS))], ["word", *(f"c{k}" for k in range(LEVELS))])
+                    weight = LevelModels.posterior(sent.value.scores([w for ws in words for w in ws], list(map(len, words))), weight)
+                place: dict[str, int] = {}
+                ids = np.fromiter((place.setdefault(w, len(place)) for ws in words for w in ws), np.int64)
+                each = np.repeat(weight, list(map(len, words)), axis=0) if words else weight
+                table = np.stack([np.bincount(ids, each[:, k], len(place)) for k in range(LEVELS)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(list(place), pa.string()), *(pa.array(table[:, k]) for k in range(LEVELS))], ["word", *(f"c{k}" for k in range(LEVELS))])
 
         each = parts.mapInArrow(weigh, "word string, " + ", ".join(f"c{k} double" for k in range(LEVELS)))
         counts = each.groupBy("word").agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(LEVELS)))
@@ -155,15 +158,15 @@ def score(documents: DataFrame, model: LevelModels) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 b = batch.slice(at, 1000)
-                parts, owner = [], []
+                words, sizes, owner = [], [], []
                 for i, text in enumerate(b.column("text").to_pylist()):
-                    for w in windows(text):
-                        parts.append(w)
-                        owner.append(i)
+                    w, s = running_text(text)
+                    words += w
+                    sizes += s
+                    owner += [i] * len(s)
                 mass = np.zeros((b.num_rows, LEVELS))
-                if parts:
-                    sizes = np.fromiter(map(len, parts), np.float64, len(parts))
-                    np.add.at(mass, np.array(owner), m.posterior(m.scores(parts)) * sizes[:, None])
+                if sizes:
+                    np.add.at(mass, np.array(owner), m.posterior(m.scores(words, sizes)) * np.array(sizes, np.float64)[:, None])
                 n = mass.sum(1)
                 none = n == 0
                 safe = np.where(none, 1, n)
