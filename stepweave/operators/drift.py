@@ -124,3 +124,41 @@ def consistent(fields: DataFrame, change_rows: DataFrame) -> DataFrame:
 
 
 TELECOM_IDS = {"device": "device_id", "customers": "customer_id", "lines": "line_id"}
+
+
+#: Fields of an entity's table at most; more are an error, as they would be values taken for names.
+MOST_FIELDS = 5_000
+_TYPES = {"string": "string", "integer": "bigint", "decimal": "double", "boolean": "boolean", "array": "string", "object": "string"}
+
+
+def entity_table(long: DataFrame, present: DataFrame, entity: str) -> DataFrame:
+    """One row per record of an entity: feed_id, file_no, row_id, record_id, a column per field, branches, and other.
+
+    long is that of consistent(), present that of file_fields(). A field that some file has is a column of its most
+    frequent kind (ties by KINDS), under its canonical name: values of other kinds are converted to it where that is
+    possible, and stand as they are in a branch <field>__<kind> for each other kind that occurs. Arrays and objects are
+    JSON. Fields that no file has as a whole are kept in the map other. Names that differ in case only get a suffix."""
+    mine = long.where(F.col("entity") == entity)
+    whole = mine.join(present.select("feed_id", F.col("field").alias("source_field")).distinct(), ["feed_id", "source_field"], "left_semi")
+    kinds = whole.where(F.col("kind").isNotNull()).groupBy("field", "kind").agg(F.count(F.lit(1)).alias("n")).limit(MOST_FIELDS + 1).collect()
+    if len(kinds) > MOST_FIELDS:
+        raise ValueError(f"more than {MOST_FIELDS} fields and kinds")
+    fields: dict[str, dict[str, int]] = {}
+    for r in kinds:
+        fields.setdefault(r.field, {})[r.kind] = r.n
+    columns, taken = [], {"feed_id", "file_no", "row_id", "record_id", "other"}
+
+    def name(n: str) -> str:
+        k, base = 2, n
+        while n.lower() in taken:
+            n, k = f"{base}__{k}", k + 1
+        taken.add(n.lower())
+        return n
+
+    for f in sorted(fields):
+        main = max(KINDS, key=lambda k, f=f: (fields[f].get(k, 0), -KINDS.index(k)))
+        is_f = F.col("field") == f
+        columns.append(F.max(F.when(is_f, F.col("canonical"))).try_cast(_TYPES[main]).alias(name(f)))
+        columns += [F.max(F.when(is_f & (F.col("kind") == k), F.col("canonical"))).try_cast(_TYPES[k]).alias(name(f"{f}__{k}")) for k in KINDS if k != main and k in fields[f]]
+    other = F.map_from_entries(F.array_distinct(F.collect_list(F.when(~F.col("field").isin(*fields) if fields else F.lit(True), F.struct("field", "canonical")))))
+    return mine.groupBy("feed_id", "file_no", "row_id", "record_id").agg(*columns, other.alias("other"))

@@ -150,3 +150,25 @@ def task_tables(tasks: DataFrame) -> DataFrame:
     """All child tables of tasks in one long form; repeated deliveries of a row are collapsed by their labels."""
     nodes = dewey_nodes(tasks, "row_id", ["initial_state", "evaluation_criteria"], TASK_COLLECTIONS)
     return child_tables(nodes, "row_id", TASK_TABLES)
+
+
+#: Names of a table's scalars at most; more are an error, as they would be values taken for names.
+MOST_COLUMNS = 2_000
+
+
+def flat_table(tables: DataFrame, id_column: str, child_table: str) -> DataFrame:
+    """One of child_tables() as a flat table: id_column, parent_label, label, parent_key, child_key and a text column per
+    scalar; names that are taken, in any case, get a suffix. Repeated records count once."""
+    mine = tables.where(F.col("child_table") == child_table)
+    names = sorted(r[0] for r in mine.select(F.explode(F.map_keys("attrs"))).distinct().limit(MOST_COLUMNS + 1).collect())
+    if len(names) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} names")
+    columns, taken = [], {id_column.lower(), "parent_label", "label", "parent_key", "child_key"}
+    for n in names:
+        as_, k = n, 2
+        while as_.lower() in taken:
+            as_, k = f"{n}__{k}", k + 1
+        taken.add(as_.lower())
+        columns.append(F.try_element_at("attrs", F.lit(n)).alias(as_))
+    dotted = lambda c: F.array_join(F.col(c), ".").alias(c)
+    return mine.select(id_column, dotted("parent_label"), dotted("label"), "parent_key", "child_key", *columns).distinct()

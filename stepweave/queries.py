@@ -47,6 +47,11 @@ def p3_tables(spark: SparkSession, d: str) -> DataFrame:
     return t.select("row_id", "child_table", dotted("parent_label").alias("parent_label"), dotted("label").alias("label"), "parent_key", "child_key", F.to_json("attrs").alias("attrs")).distinct()
 
 
+def p3_legs(spark: SparkSession, d: str) -> DataFrame:
+    """The legs of reservations as a flat table."""
+    return shred.flat_table(cut(shred.task_tables(table(spark, d, "tasks"))), "row_id", "leg")
+
+
 def _fields(spark: SparkSession, d: str) -> DataFrame:
     return drift.tagged(table(spark, d, "telecom_snapshots"), drift.TELECOM_IDS)
 
@@ -61,6 +66,14 @@ def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
     return present.select("feed_id", "file_no", "field", F.explode("kinds").alias("kind", "n")).where("n > 0")
 
 
+def p6_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of all files as one table of typed columns, with branches for values of other kinds."""
+    fields = _fields(spark, d)
+    _, present = drift.file_fields(fields)
+    out = drift.entity_table(cut(drift.consistent(fields, cut(drift.changes(fields)))), cut(present.drop("kinds")), "lines")
+    return out.withColumn("other", F.to_json("other"))
+
+
 def p6_table(spark: SparkSession, d: str) -> DataFrame:
     """All records of all files in one consistent table."""
     fields = _fields(spark, d)
@@ -406,7 +419,7 @@ def stream_daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_periods, p1_current, p3_found, p3_tables, p6_found, p6_kinds, p6_table, seq_tokens, seed_sequences, seq_length_stats, length_histogram, ngram_counts, context_totals, seen_scores, top_continuation, temperature_schedule, window_acceptance, write_fractions, token_classes, rubric_verdicts, ordering_rules, duplicate_status, edit_distances, weighted_distances, nearest_center, center_pairs, pool_distances, cluster_sizes, medoid_replacement, validation_status, merged_validation, first_valid_member, pending_clusters, write_summary, missing_users, unlisted_reservations, users_over_limit, reused_flights, ambiguous_flights, rule_chain, merged_users, merged_reservation_lists, back_links, flight_dates, follow_ups, redacted_arguments, argument_parse_stages, template_marks, task_actions, task_changes, trial_mismatches, sampled_sequences, clustered_pool, stream_daily)}
+    return {f.__name__: f for f in (p1_found, p1_periods, p1_current, p3_found, p3_tables, p3_legs, p6_found, p6_kinds, p6_table, p6_lines, seq_tokens, seed_sequences, seq_length_stats, length_histogram, ngram_counts, context_totals, seen_scores, top_continuation, temperature_schedule, window_acceptance, write_fractions, token_classes, rubric_verdicts, ordering_rules, duplicate_status, edit_distances, weighted_distances, nearest_center, center_pairs, pool_distances, cluster_sizes, medoid_replacement, validation_status, merged_validation, first_valid_member, pending_clusters, write_summary, missing_users, unlisted_reservations, users_over_limit, reused_flights, ambiguous_flights, rule_chain, merged_users, merged_reservation_lists, back_links, flight_dates, follow_ups, redacted_arguments, argument_parse_stages, template_marks, task_actions, task_changes, trial_mismatches, sampled_sequences, clustered_pool, stream_daily)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -34,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="stepweave-")
         atexit.register(shutil.rmtree, at[7:], True)
     if not sc.getCheckpointDir():
@@ -56,10 +58,20 @@ def ship(spark: SparkSession) -> None:
     sc._stepweave = True
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """What was cut is removed when the program ends, as far as the session still lives."""
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, it survives lost executors, and what
     reads it several times doesn't compute it again. Columnar and compressed, unlike DataFrame.checkpoint()."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    atexit.register(_remove, df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -57,3 +57,15 @@ def test_null_columns(spark):
     body = '{"line_id": null, "a": 1}'
     df = spark.createDataFrame([(None, None, None, None, None, None, body, None, None), (1, 1, 1, "", "lines", None, body, 0, 0), (2, 1, 2, "", "other", None, '{"b": 1}', 0, 0)], SCHEMA)
     assert D.changes(D.tagged(df, D.TELECOM_IDS)).count() == 3
+
+
+def test_entity_table_has_branches_and_keeps_strays(spark):
+    files = [(1, 1, recs(10, lambda i: {"a": i, "Feed_Id": "x"} | ({"stray": [i]} if i == 0 else {}))), (2, 2, recs(30, lambda i: {"b": str(i) if i else "no", "feed_id": "y"} | ({"odd": 1} if i == 1 else {})))]
+    fields = D.tagged(table(spark, files), D.TELECOM_IDS)
+    _, present = D.file_fields(fields)
+    t = D.entity_table(D.consistent(fields, D.changes(fields)), present, "lines")
+    rows = t.orderBy("row_id").collect()
+    assert len(rows) == 40 and {"a", "a__integer"} <= set(t.columns) and len({c.lower() for c in t.columns}) == len(t.columns)
+    assert [(r.a, r.a__integer) for r in rows[:2]] == [("0", 0), ("1", 1)] and (rows[10].a, rows[10].a__integer) == ("no", None)
+    assert rows[11].other == {"odd": "1"} and rows[0].other == {} and rows[0].stray == "[0]"
+    assert D.entity_table(D.consistent(fields, D.changes(fields)), present, "device").count() == 0

@@ -58,3 +58,13 @@ def test_names_with_separators_are_no_paths(spark):
 def test_null_row_id(spark):
     df = spark.createDataFrame([(None, state({"users": {"a": {}}}), None)], "row_id long, initial_state string, evaluation_criteria string")
     assert [r.row_id for r in S.task_tables(df).collect()] == [None]
+
+
+def test_flat_table(spark):
+    doc = state({"bills": [{"bill_id": "b", "line_items": [{"amount": 1, "Label": "x"}, {"note": None, "amount": "2"}]}]})
+    df = spark.createDataFrame([(1, doc, None), (1, doc, None)], "row_id long, initial_state string, evaluation_criteria string")
+    t = S.flat_table(S.task_tables(df), "row_id", "bill_item")
+    rows = sorted(t.collect(), key=lambda r: r.child_key)
+    assert t.columns[-2:] == ["Label__2", "amount"] and [(r.parent_key, r.child_key, r.amount, r.Label__2) for r in rows] == [("b", "0", "1", "x"), ("b", "1", "2", None)]
+    assert all(r.label.startswith(r.parent_label + ".") for r in rows)
+    assert S.flat_table(S.task_tables(df), "row_id", "plan").count() == 0
