@@ -27,11 +27,12 @@ def tagged(raw: DataFrame, ids: dict[str, str]) -> DataFrame:
     (null for a null), text (the value as text, objects with sorted names), value (variant).
 
     raw has feed_id, file_no, exported_at, entity, row_id and body; a repeated row counts once. Bodies that are null,
-    not valid JSON or no object give nothing. ids gives the name of each entity's record id. All in the JVM."""
+    not valid JSON (which a name given twice in one object isn't here) or no object give nothing. A whole number of 19
+    digits and more is an integer too. ids gives the name of each entity's record id. All in the JVM."""
     kept = raw.select("feed_id", "file_no", "exported_at", "entity", "row_id", "body")
     one = kept.where(F.col("row_id").isNotNull()).groupBy("feed_id", "file_no", "entity", "row_id").agg(F.max_by("exported_at", "body").alias("exported_at"), F.max("body").alias("body"))
     one = one.unionByName(kept.where(F.col("row_id").isNull()).distinct())
-    parsed = one.withColumn("body", F.try_parse_json("body"))
+    parsed = one.where(F.rtrim("body").endswith("}")).withColumn("body", F.try_parse_json("body"))
     records = parsed.where(F.schema_of_variant("body").startswith("OBJECT")).withColumn("members", F.col("body").cast("map<string,variant>"))
     id_name = F.create_map(*(F.lit(x) for kv in ids.items() for x in kv))[F.col("entity")]
     entry = records.withColumn("record_id", F.try_element_at("members", id_name).cast("string") if ids else F.lit(None).cast("string"))
@@ -39,7 +40,7 @@ def tagged(raw: DataFrame, ids: dict[str, str]) -> DataFrame:
     schema = F.schema_of_variant("value")
     kind = (
         F.when(schema == "STRING", "string")
-        .when(schema == "BIGINT", "integer")
+        .when((schema == "BIGINT") | schema.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), "integer")
         .when(schema.startswith("DECIMAL") | schema.isin("DOUBLE", "FLOAT"), "decimal")
         .when(schema == "BOOLEAN", "boolean")
         .when(schema.startswith("ARRAY"), "array")
