@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import checked_broadcast, cut
 
 
 def collapse(baskets: DataFrame) -> DataFrame:
@@ -30,8 +30,8 @@ def pair_counts(weighted: DataFrame, min_count: int = 1, min_share: int | None =
 
     conviction is that of item_a -> item_b, null where item_b is never missing. With min_share, items that are too
     rare for any such pair are left out before pairs are made: a pair is never more frequent than its items, so the
-    result is whole. So few items are left (less than min_share times a basket's average size per domain) that their
-    table may be broadcast. Baskets with fewer than two items give no pair but count in n. Null domains are a domain."""
+    result is whole. Of a domain fewer items are left than min_share times a basket's average size; their table is
+    broadcast behind a check of its size. Baskets with fewer than two items give no pair but count in n. Null domains are a domain."""
     same = lambda a, b: F.col(f"{a}.src").eqNullSafe(F.col(f"{b}.src")) & F.col(f"{a}.domain").eqNullSafe(F.col(f"{b}.domain"))
     weighted = cut(weighted)
     n = weighted.groupBy("src", "domain").agg(F.sum("weight").alias("n"))
@@ -39,8 +39,8 @@ def pair_counts(weighted: DataFrame, min_count: int = 1, min_share: int | None =
     items = singles.alias("s").join(n.alias("t"), same("s", "t")).select("s.*", "n").where(F.col("n_item") >= min_count)
     if min_share is not None:
         items = cut(items.where(F.col("n_item") * min_share >= F.col("n")))
-        frequent = items.groupBy("src", "domain").agg(F.collect_set("item").alias("frequent"))
-        pruned = weighted.alias("w").join(F.broadcast(frequent).alias("f"), same("w", "f")).select("w.src", "w.domain", F.sort_array(F.array_intersect("items", "frequent")).alias("items"), "weight")
+        frequent = cut(items.groupBy("src", "domain").agg(F.collect_set("item").alias("frequent")))
+        pruned = weighted.alias("w").join(checked_broadcast(frequent, 10_000).alias("f"), same("w", "f")).select("w.src", "w.domain", F.sort_array(F.array_intersect("items", "frequent")).alias("items"), "weight")
         weighted = pruned.where(F.size("items") > 1).groupBy("src", "domain", "items").agg(F.sum("weight").alias("weight"))
     firsts = weighted.where(F.size("items") > 1).select("src", "domain", "items", "weight", F.posexplode("items").alias("i", "item_a"))
     pairs = firsts.select("src", "domain", "item_a", "weight", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("item_b"))
