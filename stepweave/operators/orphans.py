@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.text import has_digit, key_form
 from ..session import cut
 
-#: A key with more references than this, and than one in HOT_SHARE of all, is spread over several tasks.
+#: A key's day with more references than this, and than one in HOT_SHARE of all, is spread over several tasks.
 HOT_ROWS, HOT_SHARE = 20_000, 1_000
 
 
@@ -89,12 +89,15 @@ def existence_deltas(versions: DataFrame) -> DataFrame:
 
     A version counts from its at to its deleted_at or the key's next version, whichever comes first, and not at all
     when it was deleted by then already. Of versions with one at, that of the largest seq rules. Rows without a key
-    or an at change nothing. Repeated rows collapse in the first, partially aggregated step."""
-    one = versions.where(F.col("ref_key").isNotNull() & F.col("at").isNotNull()).groupBy("target", "ref_key", "at").agg(F.max(F.struct("seq", "deleted_at")).alias("v"))
-    timed = one.withColumn("next_at", F.lead("at").over(Window.partitionBy("target", "ref_key").orderBy("at")))
-    ends = timed.select("target", "ref_key", "at", F.least("next_at", "v.deleted_at").alias("until")).where(F.col("until").isNull() | (F.col("until") > F.col("at")))
+    or an at change nothing. Repeated rows collapse in the first, partially aggregated step. The next version is looked
+    for within a day, then among the first ones of later days, so a key with most of the rows is split by days."""
+    on = ["target", "ref_key"]
+    one = versions.where(F.col("ref_key").isNotNull() & F.col("at").isNotNull()).groupBy(*on, "at").agg(F.max(F.struct("seq", "deleted_at")).alias("v")).withColumn("day", F.to_date("at"))
+    firsts = one.groupBy(*on, "day").agg(F.min("at").alias("first_at")).select(*on, "day", F.lead("first_at").over(Window.partitionBy(*on).orderBy("day")).alias("later"))
+    timed = one.withColumn("soon", F.lead("at").over(Window.partitionBy(*on, "day").orderBy("at"))).join(firsts, [*on, "day"])
+    ends = timed.select(*on, "at", F.least(F.coalesce("soon", "later"), "v.deleted_at").alias("until")).where(F.col("until").isNull() | (F.col("until") > F.col("at")))
     both = F.array(F.struct(F.col("at").alias("at"), F.lit(1).alias("delta")), F.struct(F.col("until").alias("at"), F.lit(-1).alias("delta")))
-    return ends.select("target", "ref_key", F.inline(both)).where(F.col("at").isNotNull())
+    return ends.select(*on, F.inline(both)).where(F.col("at").isNotNull())
 
 
 def orphans(refs: DataFrame, versions: DataFrame, hot_rows: int = HOT_ROWS, hot_share: int = HOT_SHARE) -> DataFrame:
@@ -102,21 +105,28 @@ def orphans(refs: DataFrame, versions: DataFrame, hot_rows: int = HOT_ROWS, hot_
     at), distinct.
 
     refs has those columns, versions those of existence_deltas(). Per key, in order of time and with existence before
-    references of the same instant, the running sum of existence deltas is read at every reference. Hot keys (at most
-    hot_share of them, as each has more than that share of all references) are salted: their references are spread,
-    their few deltas are repeated for each salt. References without a time or key are never due and give no row.
-    Empty inputs give an empty result."""
+    references of the same instant, the running sum of existence deltas is read at every reference. The timeline of a
+    key is split into days, each of which begins with what the days before add up to, from sums by key and day. Days of
+    a key with very many references (at most hot_share of them, as each has more than that share of all) are salted:
+    their references are spread, their few deltas are repeated for each salt. References without a time or key are
+    never due and give no row. Empty inputs give an empty result."""
+    on = ["target", "ref_key", "day"]
     refs = cut(refs.where(F.col("ref_key").isNotNull() & F.col("at").isNotNull()).select("src_table", "src_row_id", "ref_field", "target", "ref_key", "at"))
-    counts = refs.groupBy("target", "ref_key").agg(F.count(F.lit(1)).alias("n"))
-    total = F.coalesce(F.sum("n"), F.lit(0))
-    limit = max(hot_rows, (counts.agg(total.alias("t")).first()["t"]) // hot_share)
-    hot = F.broadcast(counts.where(F.col("n") > limit).select("target", "ref_key", F.ceil(F.col("n") / limit).cast("int").alias("salts")))
-    on = ["target", "ref_key"]
+    refs = refs.withColumn("day", F.to_date("at"))
+    counts = cut(refs.groupBy(*on).agg(F.count(F.lit(1)).alias("n")))
+    limit = max(hot_rows, (counts.agg(F.sum("n").alias("t")).first()["t"] or 0) // hot_share)
+    hot = F.broadcast(counts.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("salts")))
     spread = F.pmod(F.xxhash64("src_row_id", "ref_field", "at"), F.coalesce("salts", F.lit(1))).cast("int")
-    asked = refs.join(hot, on, "left").select(*on, spread.alias("salt"), "at", F.lit(1).alias("asks"), F.lit(0).alias("delta"), "src_table", "src_row_id", "ref_field")
-    deltas = existence_deltas(versions).join(hot, on, "left").select(*on, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), "at", F.lit(0).alias("asks"), "delta", F.lit(None).cast("string").alias("src_table"), F.lit(None).cast(refs.schema["src_row_id"].dataType).alias("src_row_id"), F.lit(None).cast("string").alias("ref_field"))
+    asked = refs.join(hot, on, "left").select(*on, spread.alias("salt"), "at", F.lit(1).alias("asks"), F.lit(0).cast("long").alias("delta"), "src_table", "src_row_id", "ref_field")
+    deltas = cut(existence_deltas(versions).withColumn("day", F.to_date("at")))
+    zero = F.lit(0).cast("long")
+    days = counts.select(*on, "n", zero.alias("s")).unionByName(deltas.select(*on, zero.alias("n"), F.col("delta").cast("long").alias("s"))).groupBy(*on).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    before = days.withColumn("delta", F.sum("s").over(Window.partitionBy("target", "ref_key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)))
+    carried = before.where((F.col("n") > 0) & (F.col("delta") != 0)).select(*on, F.col("day").cast(refs.schema["at"].dataType).alias("at"), F.lit(-1).alias("asks"), "delta")
+    known = deltas.select(*on, "at", F.lit(0).alias("asks"), F.col("delta").cast("long").alias("delta")).unionByName(carried)
+    told = known.join(hot, on, "left").select(*on, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), "at", "asks", "delta", F.lit(None).cast("string").alias("src_table"), F.lit(None).cast(refs.schema["src_row_id"].dataType).alias("src_row_id"), F.lit(None).cast("string").alias("ref_field"))
     w = Window.partitionBy(*on, "salt").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    state = asked.unionByName(deltas).withColumn("exists", F.sum("delta").over(w))
+    state = asked.unionByName(told).withColumn("exists", F.sum("delta").over(w))
     return state.where((F.col("asks") == 1) & (F.col("exists") == 0)).select("src_table", "src_row_id", "ref_field", "target", "ref_key", "at").distinct()
 
 
@@ -124,8 +134,8 @@ def reference_deltas(refs: DataFrame) -> DataFrame:
     """Signed reference deltas (src_table, ref_field, target, ref_key, delta) of refs that have a referring record's
     src_key besides the columns of orphans(): +1 for each reference of a record's last version that isn't deleted; what
     earlier versions pointed at is taken back. Rows with a null src_key are records of their own."""
-    w = Window.partitionBy("src_table", "src_key")
-    latest = refs.withColumn("last_at", F.max("at").over(w))
+    last = refs.where(F.col("src_key").isNotNull()).groupBy("src_table", "src_key").agg(F.max("at").alias("last_at"))
+    latest = refs.join(last, ["src_table", "src_key"], "left")
     live = (F.col("src_key").isNull() | (F.col("at") == F.col("last_at"))) & F.coalesce(F.col("gone_at") > F.col("at"), F.lit(True)) & F.col("gone_at").isNull()
     return latest.where(F.col("ref_key").isNotNull() & live).select("src_table", "ref_field", "target", "ref_key", "src_row_id").distinct().select("src_table", "ref_field", "target", "ref_key", F.lit(1).alias("delta"))
 

@@ -11,7 +11,7 @@ VERSIONS = "target string, ref_key string, at timestamp_ntz, seq long, deleted_a
 
 
 def day(n):
-    return None if n is None else T0 + timedelta(days=n)
+    return None if n is None else T0 + timedelta(hours=8 * n)
 
 
 def brute(refs, versions):
@@ -30,9 +30,9 @@ def brute(refs, versions):
 def test_against_brute_force_with_ties_repeats_and_hot_keys(spark):
     rnd = random.Random(5)
     pick = lambda: rnd.choice(["A1", "B2", "C3", None])
-    versions = [("t", pick(), day(rnd.choice([None, *range(8)])), i, day(rnd.choice([None, None, *range(9)])), 1, "x") for i in range(40)]
+    versions = [("t", pick(), day(rnd.choice([None, *range(14)])), i, day(rnd.choice([None, None, *range(16)])), 1, "x") for i in range(40)]
     versions += versions[:5]
-    refs = [("s", i, "f", "t", rnd.choice(["A1"] * 5 + ["B2", "C3", "Z9", None]), day(rnd.choice([None, *range(10)]))) for i in range(120)]
+    refs = [("s", i, "f", "t", rnd.choice(["A1"] * 5 + ["B2", "C3", "Z9", None]), day(rnd.choice([None, *range(18)]))) for i in range(120)]
     refs += refs[:7]
     want = brute(refs, versions)
     for hot in (1_000, 5):
