@@ -25,3 +25,8 @@ def name_forms(c: Column | str) -> Column:
 
 def has_digit(c: Column) -> Column:
     return c.rlike(r"\p{Nd}")
+
+
+def numbered(items: Column) -> Column:
+    """A list of texts as numbered lines, from 1."""
+    return F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")

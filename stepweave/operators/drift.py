@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import checked_broadcast, cut
 
 #: Kinds of values, in the order that settles ties of the most frequent one.
 KINDS = ("string", "integer", "decimal", "boolean", "array", "object")
@@ -79,7 +79,7 @@ def changes(fields: DataFrame) -> DataFrame:
     retyped = both.where((F.col("is_new") & F.col("is_old")) & (F.col("new_kind") != F.col("old_kind"))).select("feed_id", "file_no", F.lit("retyped").alias("change"), F.col("field").alias("old_field"), F.col("field").alias("new_field"))
     come = both.where(F.col("is_old").isNull()).select("feed_id", "file_no", F.col("field").alias("new_field"))
     gone = both.where(F.col("is_new").isNull()).select("feed_id", "file_no", F.col("field").alias("old_field"))
-    pairs = gone.join(come, ["feed_id", "file_no"]).join(follow, ["feed_id", "file_no"])
+    pairs = checked_broadcast(cut(gone.join(come, ["feed_id", "file_no"]).join(follow, ["feed_id", "file_no"])))
     values = fields.where(F.col("record_id").isNotNull() & F.col("text").isNotNull()).select("feed_id", F.col("file_no").alias("at_no"), "record_id", "field", "text")
     keys = ["feed_id", "file_no", "old_field", "new_field", "record_id"]
     left = values.join(pairs.withColumnsRenamed({"prev_no": "at_no"}).withColumn("field", F.col("old_field")), ["feed_id", "at_no", "field"]).groupBy(keys).agg(F.min("text").alias("was"))

@@ -103,3 +103,16 @@ def mismatches(expected: DataFrame, actual: DataFrame, keys: Sequence[str], posi
     e = expected.select(*keys, position, F.col(value).alias("expected"))
     a = actual.select(*keys, position, F.col(value).alias("actual"))
     return e.join(a, [*keys, position], "full").where(~F.col("expected").eqNullSafe(F.col("actual")))
+
+
+def split_by(df: DataFrame, kind: str, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows of other kinds, rows of the kinds named); null kinds are other ones."""
+    named = F.coalesce(F.col(kind).isin(*names), F.lit(False))
+    return df.where(~named), df.where(named)
+
+
+def described(entities: DataFrame, group: Sequence[str], kind: str, key: str, body: str) -> DataFrame:
+    """(group..., summary): one line per entity, `kind key: body`, ordered by kind and key."""
+    line = F.struct(kind, key, F.format_string("%s %s: %s", kind, key, body).alias("line"))
+    listed = entities.groupBy(*group).agg(F.array_sort(F.collect_list(line)).alias("_l"))
+    return listed.select(*group, F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("summary"))

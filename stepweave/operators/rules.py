@@ -94,3 +94,8 @@ def usage_costs(usage: DataFrame, prices: dict[str, tuple[float, float]], defaul
     name = F.substring_index("model", "/", -1)
     pick = lambda i: F.coalesce(*([F.try_element_at(F.create_map(*(F.lit(x) for m, p in prices.items() for x in (m, p[i]))), name)] if prices else []), F.lit(default[i]))
     return usage.withColumn("cost_usd", ((F.col("prompt_tokens") * pick(0) + F.col("completion_tokens") * pick(1)) / 1e6).cast("decimal(18,9)"))
+
+
+def collisions(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of new whose keys exist already."""
+    return new.join(existing.select(*keys).distinct(), list(keys), "left_semi")

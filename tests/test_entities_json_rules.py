@@ -114,3 +114,17 @@ def test_chain_routing_and_priority(spark, rows):
 def test_costs(spark):
     u = spark.createDataFrame([("vertex/m1", 1_000_000, 500_000), ("other", 1_000_000, 0)], "model string, prompt_tokens long, completion_tokens long")
     assert [float(r.cost_usd) for r in R.usage_costs(u, {"m1": (2.0, 10.0)}, (0.3, 2.5)).collect()] == [7.0, 0.3]
+
+
+def test_small_helpers(spark, rows):
+    from stepweave.functions.text import has_digit, key_form, name_form, numbered
+
+    df = spark.createDataFrame([(1, "a", "x"), (2, None, "y")], "i int, k string, b string")
+    other, named = N.split_by(df, "k", ["a"])
+    assert rows(other.select("i")) == [(2,)] and rows(named.select("i")) == [(1,)]
+    assert rows(R.collisions(df, df.limit(1), ["k"]).select("i")) == [(1,)]
+    both = spark.createDataFrame([(1, "b", "z", "2"), (1, "a", "y", "1")], "g int, k string, e string, b string")
+    assert rows(N.described(both, ["g"], "k", "e", "b")) == [(1, "a y: 1\nb z: 2")]
+    t = spark.createDataFrame([(["p", "q"], " #ab-1_c ", " Get.User--Details9 "), (None, None, "--"), ([], "", None)], "l array<string>, k string, n string")
+    got = [tuple(r) for r in t.select(numbered(F.col("l")), key_form("k"), has_digit(F.col("k")), name_form("n")).collect()]
+    assert got == [("1. p\n2. q", "AB1C", True, "get_user_details"), (None, None, None, None), ("", "", False, None)]
