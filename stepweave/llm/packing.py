@@ -87,19 +87,20 @@ def fill_containers(sizes: DataFrame, capacity: int, id_column: str = "doc_id",
     An item larger than the capacity is cut into full containers and a rest; no other is split. part counts the parts
     of an item from 0, start is where a part begins in it. Items of size 0, and null or negative sizes, which count as
     0, get a container too and take no room. Repeated ids are items of their own. container names a container; fill is
-    the sum of its sizes. Every task packs at most about `group` items, whatever the sizes or ids are; a round opens
+    the sum of its sizes. Every task packs at most about `group` items, whatever
+    the sizes or ids are, as groups are drawn by row; a round opens
     less than half as many items as the last or ends the search. An empty input gives an empty result."""
     size = F.greatest(F.coalesce(F.col("size").cast("long"), F.lit(0)), F.lit(0))
     items = sizes.select(id_column, size.alias("whole"))
     parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("whole") / capacity) - 1, F.lit(0)).cast("int"))
     pieces = items.withColumn("part", F.explode(parts)).select(id_column, "part", (F.col("part").cast("long") * capacity).alias("start"), F.least(F.col("whole") - F.col("part").cast("long") * capacity, F.lit(capacity).cast("long")).alias("size"))
-    pieces = cut(pieces)
-    full = pieces.where(F.col("size") == capacity).select(id_column, "part", "start", "size", F.concat_ws("-", F.lit("full"), id_column, "part", F.monotonically_increasing_id().cast("string")).alias("container"), F.col("size").alias("fill"))
+    pieces = cut(pieces.withColumn("nr", F.monotonically_increasing_id()))
+    full = pieces.where(F.col("size") == capacity).select(id_column, "part", "start", "size", F.concat_ws("-", F.lit("full"), "nr").alias("container"), F.col("size").alias("fill"))
     done, left, round_no = [cut(full)], pieces.where(F.col("size") < capacity), 0
     n, last = left.count(), None
     while n:
         groups = max(1, -(-n // group))
-        spread = F.pmod(F.xxhash64(id_column, "part", "start", "size") if round_no == 0 else F.xxhash64("was"), F.lit(groups)).cast("int")
+        spread = F.pmod(F.xxhash64("nr" if round_no == 0 else "was"), F.lit(groups)).cast("int")
         columns = left.withColumn("group", spread).select(id_column, "part", "start", "size", "group")
         packed = cut(_pack_groups(columns, capacity, ["part", "start"]).withColumn("container", F.concat_ws("-", F.lit(round_no), "group", "bin")))
         final = groups == 1 or (last is not None and n * 2 > last)

@@ -157,31 +157,26 @@ def frequent(c: Chunk, d: int, shortest: int = 3, longest: int = 5) -> Iterator[
                         yield [names[i] for i in pattern], len(r)
 
 
-def _chunk_items(t: pa.Table) -> tuple[pa.Array, int]:
-    """The items of a chunk, each sequence once, and the number of sequences."""
-    ids = t.column("seq_key").combine_chunks()
-    first = np.unique(ids.to_numpy(zero_copy_only=False), return_index=True)[1]
-    return t.column("items").combine_chunks().take(pa.array(np.sort(first))), len(first)
-
-
 def frequent_patterns(sequences: DataFrame, least: int = 10, share: int = 8, shortest: int = 3, longest: int = 5, chunk: int = CHUNK) -> DataFrame:
     """(src, domain, pattern array<string>, support, n) of sequences (src, domain, seq_id, items array<string>).
 
     The result holds each ordered pattern of shortest to longest steps (steps may repeat, others may lie between) that
     at least `least` and at least one in `share` of the n sequences of its src and domain hold, with its exact
     support. A sequence counts once per seq_id, also when its items are null or empty; sequences without an id are
-    told apart by their items. Null items are no steps. Null domains are a domain. One task mines about `chunk`
+    told apart by their items. Null items are no steps. Null domains are a domain. Repeated rows collapse before they are
+    sent to chunks. One task mines about `chunk`
     sequences, drawn by a hash of their ids, whatever the sizes of domains are; what tasks return is bounded by
     patterns that are frequent in a chunk, not by sequences."""
     items = F.filter(F.coalesce("items", F.array().cast("array<string>")), lambda x: x.isNotNull())
     rows = sequences.select("src", "domain", "seq_id", items.alias("items"))
     rows = rows.select("src", "domain", F.when(F.col("seq_id").isNull(), F.xxhash64("items")).otherwise(F.col("seq_id").cast("long")).alias("seq_key"), "items")
-    sizes = cut(rows.groupBy("src", "domain").agg(F.count_distinct("seq_key").alias("n")).select(F.col("src").alias("s"), F.col("domain").alias("d"), "n", F.greatest(F.lit(least), F.ceil(F.col("n") / share)).cast("long").alias("least")))
+    rows = cut(rows.groupBy("src", "domain", "seq_key").agg(F.first("items").alias("items")))
+    sizes = cut(rows.groupBy("src", "domain").agg(F.count(F.lit(1)).alias("n")).select(F.col("src").alias("s"), F.col("domain").alias("d"), "n", F.greatest(F.lit(least), F.ceil(F.col("n") / share)).cast("long").alias("least")))
     mine = F.col("src").eqNullSafe(F.col("s")) & F.col("domain").eqNullSafe(F.col("d"))
     placed = rows.join(checked_broadcast(sizes), mine).select("src", "domain", F.pmod(F.xxhash64("seq_key"), F.ceil(F.col("n") / chunk)).cast("int").alias("chunk"), "seq_key", "items", "n", "least")
 
     def mine_chunk(key: tuple, t: pa.Table) -> pa.Table:
-        lists, size = _chunk_items(t)
+        lists, size = t.column("items").combine_chunks(), t.num_rows
         n, needed = t.column("n")[0].as_py(), t.column("least")[0].as_py()
         d = -(-needed * size // n)
         found = [(None, d)]
@@ -206,7 +201,7 @@ def frequent_patterns(sequences: DataFrame, least: int = 10, share: int = 8, sho
         wanted = right.column("pattern").to_pylist()
         counts = []
         if wanted and left.num_rows:
-            c = Chunk.of(_chunk_items(left)[0], 1)
+            c = Chunk.of(left.column("items").combine_chunks(), 1)
             counts = [c.count(p) for p in wanted]
         m = len(counts)
         return pa.table({"src": pa.array([key[0].as_py()] * m, pa.string()), "domain": pa.array([key[1].as_py()] * m, pa.string()), "pattern": pa.array(wanted[:m], pa.list_(pa.string())), "more": pa.array(counts, pa.int64())})
