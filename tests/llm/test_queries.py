@@ -38,3 +38,23 @@ def test_patterns_of_whole_tables_by_brute_force(spark):
             want |= {(src, domain, ">".join(p)) for p, n in held.items() if n >= 10 and 8 * n >= len(lists)}
     got = [tuple(r) for r in Q.p2_found(spark, oracle.DATA).select("src", "domain", "pattern").collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_ids_of_whole_tables_by_two_public_libraries(spark):
+    import base64
+
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from stepweave.llm import bpe
+
+    folder = os.path.dirname(bpe.VOCABULARY)
+    one = Tokenizer.from_file(f"{folder}/byte_bpe_50k.json")
+    one.encode_special_tokens = True
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe.VOCABULARY, "rb"))}
+    two = tiktoken.Encoding("own", pat_str=bpe.WORD.replace(r"\P{White_Space}", r"\S").replace(r"\p{White_Space}", r"\s"), mergeable_ranks=ranks, special_tokens={})
+    texts = dict(oracle.connect().sql("SELECT doc_id, text FROM documents").fetchall())
+    got = {r.doc_id: list(r.ids) for r in Q.p8_ids(spark, oracle.DATA).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        assert got[i] == one.encode(text or "", add_special_tokens=False).ids == two.encode_ordinary(text or "")
