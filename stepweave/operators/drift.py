@@ -32,12 +32,12 @@ def tagged(raw: DataFrame, ids: dict[str, str]) -> DataFrame:
     kept = raw.select("feed_id", "file_no", "exported_at", "entity", "row_id", "body")
     one = kept.where(F.col("row_id").isNotNull()).groupBy("feed_id", "file_no", "entity", "row_id").agg(F.max_by("exported_at", "body").alias("exported_at"), F.max("body").alias("body"))
     one = one.unionByName(kept.where(F.col("row_id").isNull()).distinct())
-    parsed = one.where(F.rtrim("body").endswith("}")).withColumn("body", F.try_parse_json("body"))
-    records = parsed.where(F.schema_of_variant("body").startswith("OBJECT")).withColumn("members", F.col("body").cast("map<string,variant>"))
+    objects = one.where(F.rlike("body", F.lit(r"(?s)^\s*\{.*\}\s*$"))).withColumn("body", F.try_parse_json("body"))
+    records = objects.where(F.col("body").isNotNull()).withColumn("members", F.col("body").cast("map<string,variant>"))
     id_name = F.create_map(*(F.lit(x) for kv in ids.items() for x in kv))[F.col("entity")]
     entry = records.withColumn("record_id", F.try_element_at("members", id_name).cast("string") if ids else F.lit(None).cast("string"))
     entry = entry.select("feed_id", "file_no", "exported_at", "entity", "row_id", "record_id", F.explode("members").alias("field", "value"))
-    schema = F.schema_of_variant("value")
+    entry, schema = entry.withColumn("schema", F.schema_of_variant("value")), F.col("schema")  # once per value
     kind = (
         F.when(schema == "STRING", "string")
         .when((schema == "BIGINT") | schema.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), "integer")
@@ -46,8 +46,8 @@ def tagged(raw: DataFrame, ids: dict[str, str]) -> DataFrame:
         .when(schema.startswith("ARRAY"), "array")
         .when(schema.startswith("OBJECT"), "object")
     )
-    text = F.when(kind.isin("array", "object"), F.to_json("value")).when(kind.isNotNull(), F.col("value").cast("string"))
-    return entry.withColumns({"kind": kind, "text": text})
+    text = F.when(F.col("kind").isin("array", "object"), F.to_json("value")).when(F.col("kind").isNotNull(), F.col("value").cast("string"))
+    return entry.withColumn("kind", kind).withColumn("text", text).drop("schema")
 
 
 def file_fields(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
