@@ -116,7 +116,7 @@ def orphans(refs: DataFrame, versions: DataFrame, hot_rows: int = HOT_ROWS, hot_
     counts = cut(refs.groupBy(*on).agg(F.count(F.lit(1)).alias("n")))
     limit = max(hot_rows, (counts.agg(F.sum("n").alias("t")).first()["t"] or 0) // hot_share)
     hot = F.broadcast(counts.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("salts")))
-    spread = F.pmod(F.xxhash64("src_row_id", "ref_field", "at"), F.coalesce("salts", F.lit(1))).cast("int")
+    spread = F.pmod(F.monotonically_increasing_id(), F.coalesce("salts", F.lit(1))).cast("int")  # copies are spread too
     asked = refs.join(hot, on, "left").select(*on, spread.alias("salt"), "at", F.lit(1).alias("asks"), F.lit(0).cast("long").alias("delta"), "src_table", "src_row_id", "ref_field")
     deltas = cut(existence_deltas(versions).withColumn("day", F.to_date("at")))
     zero = F.lit(0).cast("long")
