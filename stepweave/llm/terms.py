@@ -21,11 +21,12 @@ def term_bitmaps(records: DataFrame) -> DataFrame:
     """The vertical layout (domain, bucket, term, bitmap, occurrences) of records (domain, seq_id, terms array<string>).
 
     A record that is repeated counts once. Records without an id are told apart by their content. Null terms are none;
-    a null or empty array is a record without terms. The term ALL has the bitmap of all records. One shuffle, of
-    whole records by bucket; a domain with most of the rows is spread over its buckets."""
+    a null or empty array is a record without terms. The term ALL has the bitmap of all records. Whole records are
+    shuffled twice: by id, where copies collapse before they are sent, and by bucket; a domain with most of the rows is
+    spread over its buckets."""
     ident = F.coalesce(F.col("seq_id").cast("long"), F.abs(F.xxhash64("domain", "terms")))
     placed = records.select("domain", "terms", ident.alias("seq_id")).withColumn("bucket", F.bitmap_bucket_number("seq_id"))
-    once = placed.repartition("domain", "bucket").groupBy("domain", "bucket", "seq_id").agg(F.first("terms").alias("terms"))
+    once = placed.groupBy("domain", "bucket", "seq_id").agg(F.first("terms").alias("terms")).repartition("domain", "bucket")
     kept = F.concat(F.array(F.lit(ALL)), F.filter(F.coalesce("terms", F.array().cast("array<string>")), lambda t: t.isNotNull() & (t != ALL)))
     each = once.select("domain", "bucket", F.bitmap_bit_position("seq_id").alias("bit"), F.explode(kept).alias("term"))
     return each.groupBy("domain", "bucket", "term").agg(F.bitmap_construct_agg("bit").alias("bitmap"), F.count(F.lit(1)).alias("occurrences"))
