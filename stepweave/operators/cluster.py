@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .distance import Costs, pair_distances
+from .distance import Costs, Encoded
 from .ngram import _mix
 
 #: Sequences of a pool at most, and rounds of one run.
@@ -29,10 +29,9 @@ def unique_pool(attempts: DataFrame, size: int, keep=None) -> DataFrame:
 
 def matrix(lists: list[list[str]], costs: Costs) -> np.ndarray:
     """All distances of a pool: each pair once, mirrored."""
-    n = len(lists)
-    out = np.zeros((n, n))
-    for i in range(n - 1):
-        out[i, i + 1 :] = pair_distances([lists[i]] * (n - 1 - i), lists[i + 1 :], costs) / 100.0
+    out = np.zeros((len(lists), len(lists)))
+    i, j = np.triu_indices(len(lists), 1)
+    out[i, j] = Encoded(lists, costs).distances(i, j) / 100.0
     return out + out.T
 
 

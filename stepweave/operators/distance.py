@@ -52,30 +52,48 @@ class Costs:
         return out
 
 
-def pair_distances(a: list[list[str]], b: list[list[str]], costs: Costs) -> np.ndarray:
-    """Weighted edit distances of pairs, in hundredths: one dynamic program over all pairs at once."""
-    out = np.zeros(len(a), np.int64)
-    for at in range(0, len(a), BATCH):
-        pa_, pb = a[at : at + BATCH], b[at : at + BATCH]
-        names = sorted({t for s in (*pa_, *pb) for t in s})
+class Encoded:
+    """Lists of tokens as a padded matrix of numbers, with the costs among the tokens that occur."""
+
+    def __init__(self, lists: list[list[str]], costs: Costs):
+        names = sorted({t for s in lists for t in s})
         place = {t: i for i, t in enumerate(names)}
-        cost = costs.matrix(names) if names else np.zeros((1, 1), np.int32)
-        la, lb = np.array([len(s) for s in pa_]), np.array([len(s) for s in pb])
-        ca, cb = np.zeros((len(pa_), max(la.max(), 1)), np.int32), np.zeros((len(pb), max(lb.max(), 1)), np.int32)
-        for m, lists in ((ca, pa_), (cb, pb)):
-            for i, s in enumerate(lists):
-                m[i, : len(s)] = [place[t] for t in s]
-        row = np.tile(np.arange(lb.max() + 1, dtype=np.int64) * INDEL, (len(pa_), 1))
-        done = np.where(la == 0, row[np.arange(len(pa_)), lb], -1)
-        for i in range(la.max()):
-            new = np.empty_like(row)
-            new[:, 0] = (i + 1) * INDEL
-            for j in range(lb.max()):
-                new[:, j + 1] = np.minimum(np.minimum(row[:, j + 1] + INDEL, new[:, j] + INDEL), row[:, j] + cost[ca[:, i], cb[:, j]])
-            row = new
-            done = np.where(la == i + 1, row[np.arange(len(pa_)), lb], done)
-        out[at : at + BATCH] = done
-    return out
+        self.cost = costs.matrix(names) if names else np.zeros((1, 1), np.int32)
+        self.lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.codes = np.zeros((len(lists), max(int(self.lengths.max()) if len(lists) else 0, 1)), np.int32)
+        for i, s in enumerate(lists):
+            self.codes[i, : len(s)] = [place[t] for t in s]
+
+    def distances(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Weighted edit distances of the lists at a to those at b, in hundredths: one dynamic program over many pairs at
+        once. Pairs are taken in the order of their lengths, so that short ones don't wait for long ones."""
+        out = np.zeros(len(a), np.int64)
+        order = np.lexsort((self.lengths[b], self.lengths[a]))
+        for at in range(0, len(a), BATCH):
+            idx = order[at : at + BATCH]
+            ia, ib = a[idx], b[idx]
+            la, lb = self.lengths[ia], self.lengths[ib]
+            ca, cb, rows = self.codes[ia], self.codes[ib], np.arange(len(idx))
+            row = np.tile(np.arange(lb.max() + 1, dtype=np.int64)[:, None] * INDEL, (1, len(idx)))
+            done = np.where(la == 0, row[lb, rows], -1)
+            for i in range(la.max()):
+                new = np.empty_like(row)
+                new[0] = (i + 1) * INDEL
+                sub = self.cost[ca[:, i, None], cb[:, : lb.max()]].T
+                for j in range(lb.max()):
+                    new[j + 1] = np.minimum(np.minimum(row[j + 1], new[j]) + INDEL, row[j] + sub[j])
+                row = new
+                ended = la == i + 1
+                if ended.any():
+                    done[ended] = row[lb[ended], rows[ended]]
+            out[idx] = done
+        return out
+
+
+def pair_distances(a: list[list[str]], b: list[list[str]], costs: Costs) -> np.ndarray:
+    """Weighted edit distances of pairs of lists, in hundredths."""
+    n = len(a)
+    return Encoded([*a, *b], costs).distances(np.arange(n), np.arange(n, 2 * n)) if n else np.zeros(0, np.int64)
 
 
 def weighted(df: DataFrame, a: str, b: str, costs: Costs, to: str = "distance") -> DataFrame:
@@ -86,7 +104,7 @@ def weighted(df: DataFrame, a: str, b: str, costs: Costs, to: str = "distance")
         for batch in batches:
             la, lb = batch.column(a).to_pylist(), batch.column(b).to_pylist()
             null = np.array([x is None or y is None for x, y in zip(la, lb)], bool)
-            d = pair_distances([x or [] for x in la], [y or [] for y in lb], costs) if len(la) else np.zeros(0)
+            d = pair_distances([x or [] for x in la], [y or [] for y in lb], costs)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d / 100.0, pa.float64(), mask=null)], [*batch.schema.names, to])
 
     return df.mapInArrow(run, schema)
@@ -110,11 +128,12 @@ def to_set(df: DataFrame, tokens: str, by: str, given: Mapping[object, list[list
                     groups.setdefault(g, []).append((i, s))
             for g, rows in groups.items():
                 idx = np.array([i for i, _ in rows])
-                total = np.zeros(len(rows))
-                for place, other in enumerate(sets[g]):
-                    d = pair_distances([s for _, s in rows], [other] * len(rows), cost) / 100.0
+                total, n_rows = np.zeros(len(rows)), len(rows)
+                coded = Encoded([*(s for _, s in rows), *sets[g]], cost)
+                for place in range(len(sets[g])):
+                    d = coded.distances(np.arange(n_rows), np.full(n_rows, n_rows + place)) / 100.0
                     if normalize:
-                        longest = np.array([max(len(s), len(other)) for _, s in rows])
+                        longest = np.maximum(coded.lengths[:n_rows], coded.lengths[n_rows + place])
                         d = d / np.where(longest > 0, longest, 1)
                     total += d
                     closer = (which[idx] < 0) | (d < best[idx])
@@ -146,8 +165,12 @@ def all_pairs(pools: DataFrame, costs: Costs) -> DataFrame:
     def measure(t: pa.Table) -> pa.Table:
         rows = sorted(zip(t.column("idx").to_pylist(), t.column("block").to_pylist(), t.column("tokens").to_pylist()), key=lambda r: r[0])
         a, b = t.column("a")[0].as_py(), t.column("b")[0].as_py()
-        pairs = [(x, y) for n, x in enumerate(rows) for y in (rows[n + 1 :] if x[1] == a else ()) if y[1] == b]
-        d = pair_distances([x[2] or [] for x, _ in pairs], [y[2] or [] for _, y in pairs], costs) if pairs else np.zeros(0)
-        return pa.table({"domain": pa.array([t.column("domain")[0].as_py()] * len(pairs), pa.string()), "i": pa.array([x[0] for x, _ in pairs], pa.int32()), "j": pa.array([y[0] for _, y in pairs], pa.int32()), "distance": pa.array(d / 100.0, pa.float64())})
+        idx, block = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        x, y = np.triu_indices(len(rows), 1)
+        use = (block[x] == a) & (block[y] == b)
+        x, y = x[use], y[use]
+        d = Encoded([r[2] or [] for r in rows], costs).distances(x, y) / 100.0
+        domain = pa.array([t.column("domain")[0].as_py()] * len(x), pa.string())
+        return pa.table({"domain": domain, "i": pa.array(idx[x].astype(np.int32)), "j": pa.array(idx[y].astype(np.int32)), "distance": pa.array(d, pa.float64())})
 
     return dealt.groupBy("domain", "a", "b").applyInArrow(measure, "domain string, i int, j int, distance double")
