@@ -56,6 +56,7 @@ class Encoded:
     """Lists of tokens as a padded matrix of numbers, with the costs among the tokens that occur."""
 
     def __init__(self, lists: list[list[str]], costs: Costs):
+        lists = [[t for t in s if t is not None] for s in lists]  # null tokens are no steps
         names = sorted({t for s in lists for t in s})
         place = {t: i for i, t in enumerate(names)}
         self.cost = costs.matrix(names) if names else np.zeros((1, 1), np.int32)

@@ -158,11 +158,11 @@ PIECE = 5_000
 def generate(attempts: DataFrame, counts: DataFrame, vocabulary: DataFrame, seed: int = 0, config: Config = Config()) -> DataFrame:
     """attempts (domain, attempt, length, tau) with tokens: one sampled sequence each, the same for the same seed and
     attempt however rows are partitioned. Attempts go in pieces of PIECE, each with its domain's counts, which are as
-    small as the contexts seen. A domain without a vocabulary gives empty sequences."""
+    small as the contexts seen. A domain without a vocabulary gives empty sequences; null tokens are none."""
     spec = attempts.select("domain", F.col("attempt").cast("long").alias("attempt"), "length", "tau")
     seen = counts.select("domain", "ctx", "token", "sign", "w")
     none = [F.lit(None).cast("array<string>").alias("ctx"), "token", F.lit(None).cast("string").alias("sign"), F.lit(None).cast("double").alias("w")]
-    table = seen.unionByName(vocabulary.select("domain", *none).distinct())
+    table = seen.unionByName(vocabulary.where(F.col("token").isNotNull()).select("domain", *none).distinct())
     last = (spec.agg(F.max("attempt").alias("a")).first()["a"] or 0) // PIECE
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
