@@ -7,6 +7,8 @@ subset of that one is the answer. The distance is the Jaccard distance of the se
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,15 +24,14 @@ class Distances:
     """Jaccard distances among lists of steps. rows() gives those of one list to all, for a few lists at a time."""
 
     def __init__(self, lists: list[list[str]]):
-        index: dict = {}
-        members, at = [], []
-        for i, steps in enumerate(lists):
-            features = {*steps, *zip(steps, steps[1:])}
-            members.extend(index.setdefault(f, len(index)) for f in features)
-            at.extend([i] * len(features))
+        features = [{*steps, *zip(steps, steps[1:])} for steps in lists]
+        held = Counter(f for s in features for f in s)
+        index = {f: i for i, f in enumerate(f for f, n in held.items() if n > 1)}  # others are shared with no list
+        members = [index[f] for s in features for f in s if f in index]
+        at = np.repeat(np.arange(len(lists)), np.array([sum(f in index for f in s) for s in features], np.int64))
         self.x = np.zeros((len(lists), max(len(index), 1)), np.float32)
-        self.x[at, members] = 1
-        self.size = self.x.sum(1)
+        self.x[at, np.array(members, np.int64)] = 1
+        self.size = np.fromiter(map(len, features), np.float32, len(lists))
 
     def row(self, i: int) -> np.ndarray:
         both = self.x @ self.x[i]
