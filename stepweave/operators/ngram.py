@@ -120,6 +120,17 @@ class Scores:
             cell = self.seen.setdefault(tuple(ctx), np.zeros((2, len(place) + 1)))
             cell[int(sign == "neg"), place.get(token, len(place))] += w
         self.scores: dict[tuple, np.ndarray] = {}
+        self.sums: dict[tuple, np.ndarray | None] = {}
+
+    def weights(self, ctx: tuple, tau: float) -> np.ndarray | None:
+        """The running sums of the weights score^(1/tau), in the order of the vocabulary; None where a context was never
+        seen. Kept for a temperature as long as it stays."""
+        if (ctx, tau) not in self.sums:
+            if len(self.sums) > 50_000:
+                self.sums.clear()
+            s = self.of(ctx)
+            self.sums[ctx, tau] = None if s is None or not s.any() else np.cumsum((s / s.max()) ** (1 / tau))
+        return self.sums[ctx, tau]
 
     def of(self, ctx: tuple) -> np.ndarray | None:
         if ctx not in self.scores:
@@ -140,11 +151,10 @@ class Scores:
             start = _mix(_mix(np.array([seed & (2**64 - 1)], np.uint64)) ^ np.uint64(key & (2**64 - 1)))
             us = (_mix(start + np.arange(length, dtype=np.uint64)) >> np.uint64(11)) / float(1 << 53)
         for u in us:
-            s = self.of(ctx)
-            if s is None or not s.any():
+            weights = self.weights(ctx, tau)
+            if weights is None:
                 i = int(u * len(self.vocabulary))
             else:
-                weights = np.cumsum((s / s.max()) ** (1 / tau))
                 i = min(int(np.searchsorted(weights, u * weights[-1])), len(self.vocabulary) - 1)
             out.append(self.vocabulary[i])
             ctx = (*ctx[1:], out[-1])
