@@ -91,6 +91,16 @@ def changes(fields: DataFrame) -> DataFrame:
     return renamed.unionByName(added).unionByName(removed).unionByName(retyped)
 
 
+def alternatives(fields: DataFrame) -> DataFrame:
+    """(feed_id, file_no, field, kind, n): kinds that a field has in a file, in n records, and hadn't in the file before,
+    which has the field as well; stray values show here before they become a change of kind."""
+    files, present = file_fields(fields)
+    each = present.select("feed_id", "file_no", "field", F.explode("kinds").alias("kind", "n"))
+    old = each.select("feed_id", F.col("file_no").alias("prev_no"), "field", "kind", F.col("n").alias("old_n"))
+    both = each.join(files.where(F.col("prev_no").isNotNull()).select("feed_id", "file_no", "prev_no"), ["feed_id", "file_no"]).join(old, ["feed_id", "prev_no", "field", "kind"])
+    return both.where((F.col("n") > 0) & (F.col("old_n") == 0)).select("feed_id", "file_no", "field", "kind", "n")
+
+
 def lineages(change_rows: DataFrame) -> DataFrame:
     """The canonical name of each renamed field: (feed_id, field, canonical), the name that a chain of renames began
     with. Chains are followed by pointer doubling over the renames alone, whose number is that of schema changes, not

@@ -83,6 +83,10 @@ SELECT feed_id, file_no, 'renamed' AS change, old_field, new_field FROM renamed
 UNION ALL SELECT feed_id, file_no, 'added', '', field FROM come c WHERE NOT EXISTS (FROM renamed r WHERE r.feed_id = c.feed_id AND r.file_no = c.file_no AND r.new_field = c.field)
 UNION ALL SELECT feed_id, file_no, 'removed', field, '' FROM gone g WHERE NOT EXISTS (FROM renamed r WHERE r.feed_id = g.feed_id AND r.file_no = g.file_no AND r.old_field = g.field)
 UNION ALL SELECT feed_id, file_no, 'retyped', field, field FROM now JOIN was USING (feed_id, file_no, field) WHERE now.kind <> was.kind""",
+    "p6_alternatives": _TREE
+    + """SELECT c.feed_id, c.file_no, c.field, c.kind, c.n FROM counted c JOIN present p USING (feed_id, file_no, field) JOIN ordered o USING (feed_id, file_no)
+JOIN present b ON b.feed_id = c.feed_id AND b.file_no = o.prev_no AND b.field = c.field
+WHERE c.kind IS NOT NULL AND NOT EXISTS (FROM counted x WHERE x.feed_id = c.feed_id AND x.file_no = o.prev_no AND x.field = c.field AND x.kind = c.kind)""",
     "p6_kinds": _TREE + "SELECT c.feed_id, c.file_no, c.field, c.kind, c.n FROM counted c JOIN present p USING (feed_id, file_no, field) WHERE c.kind IS NOT NULL",
 }
 
