@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Substitution costs in hundredths: the same type and group, the same type, different types. Insertions cost 100.
+#: Substitution costs in hundredths for the same type and group, the same type, different types; insertions.
 SAME_GROUP, SAME_TYPE, OTHER_TYPE, INDEL = 33, 66, 100, 100
 #: Distinct tokens of a pair for which the built-in distance can be used.
 ALPHABET = "".join(map(chr, range(0x4E00, 0x4E00 + 4000)))

@@ -16,7 +16,7 @@ from . import sequences as S
 @dataclass(frozen=True)
 class Config:
     """alpha0 is the prior of each token, lam weighs negatives, eps keeps them from zero, tau0 and decay set the
-    temperature."""
+    temperature. The defaults are fixed values."""
 
     n: int = 3
     alpha0: float = 0.1

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The marks of a sequence's begin and end, and the types of actions.
 BOS, EOS = "|BOS|", "|EOS|"
 READ, WRITE, GENERIC = "READ", "WRITE", "GENERIC"
 

@@ -53,8 +53,8 @@ def test_files_of_a_run(spark, tmp_path):
 
 
 def test_tool_specs(spark, tmp_path):
-    (tmp_path / "tool_spec.json").write_text(json.dumps({"b": {"type": "WRITE", "parameters": {"p": {"type": "string"}}}, "a": {"description": "x"}}))
-    got = A.tool_specs(spark, str(tmp_path / "tool_spec.json")).orderBy("pos").collect()
+    (tmp_path / "specs.json").write_text(json.dumps({"b": {"type": "WRITE", "parameters": {"p": {"type": "string"}}}, "a": {"description": "x"}}))
+    got = A.tool_specs(spark, str(tmp_path / "specs.json")).orderBy("pos").collect()
     assert [(r.name, r.type, list(r.params)) for r in got] == [("b", "WRITE", ["p"]), ("a", "GENERIC", [])]
 
 
