@@ -76,7 +76,7 @@ def _pack_groups(items: DataFrame, capacity: int, keys: list[str]) -> DataFrame:
         fill = np.zeros(max(packing.made, 1), np.int64)
         np.add.at(fill, bins, sizes)
         t = t.append_column("bin", pa.array(bins)).append_column("fill", pa.array(fill[bins]))
-        yield from t.cast(pa.schema([*t.schema])).to_batches()
+        yield from t.to_batches()
 
     return items.groupBy("group").applyInArrow(pack, spec)
 
