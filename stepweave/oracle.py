@@ -289,6 +289,12 @@ SELECT row_id, task_id, trial, position FROM n WHERE step = 'resume_line' AND NO
     "template_marks": "SELECT doc_id, unnest(regexp_extract_all(text, '\\{[a-zA-Z_][a-zA-Z0-9_]*\\}')) AS mark FROM documents",
     "task_actions": _CRITERIA + "SELECT row_id, pos, coalesce(a->>'$.action_id', pos::VARCHAR) AS action_id, coalesce(a->>'$.name', a->>'$.tool_name', a->>'$.action_name') AS name, coalesce(a->>'$.requestor', 'assistant') AS requestor, CASE WHEN json_type(a->'$.info') = 'VARCHAR' THEN a->>'$.info' END AS info FROM a WHERE json_type(a) = 'OBJECT'",
     "trial_mismatches": _ACTIONS + "SELECT task_id, position, e.step AS expected, x.step AS actual FROM (FROM a WHERE trial = 0) e FULL JOIN (FROM a WHERE trial = 1) x USING (task_id, position) WHERE e.step IS DISTINCT FROM x.step",
+    "all_trial_mismatches": _ACTIONS + """, t AS (
+  SELECT task_id, trial FROM a WHERE trial > 0 UNION SELECT task_id, 1 FROM a WHERE trial = 0
+), e AS (
+  SELECT a.task_id, t.trial, a.position, a.step FROM a JOIN t ON a.task_id IS NOT DISTINCT FROM t.task_id WHERE a.trial = 0
+)
+SELECT task_id, trial, position, e.step AS expected, x.step AS actual FROM e FULL JOIN (FROM a WHERE trial > 0) x USING (task_id, trial, position) WHERE e.step IS DISTINCT FROM x.step""",
     "stream_daily": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
 

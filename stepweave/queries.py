@@ -396,6 +396,17 @@ def trial_mismatches(spark: SparkSession, d: str) -> DataFrame:
     return entities.mismatches(a.where("trial = 0"), a.where("trial = 1"), ["task_id"], "position", "step")
 
 
+def all_trial_mismatches(spark: SparkSession, d: str) -> DataFrame:
+    """Steps of every later trial of a task that differ from its trial 0. Trial 1 counts for each task, as in
+    trial_mismatches, also where it was never run; others where they have rows."""
+    a = cut(_actions(spark, d).select("task_id", "trial", "position", "step"))
+    first, later = a.where("trial = 0").drop("trial"), a.where("trial > 0")
+    second = first.select("task_id", F.lit(1).cast(a.schema["trial"].dataType).alias("trial"))
+    trials = later.select("task_id", "trial").unionByName(second).distinct().withColumnRenamed("task_id", "_t")
+    expected = first.join(trials, F.col("task_id").eqNullSafe(F.col("_t")))
+    return entities.mismatches(expected, later, ["task_id", "trial"], "position", "step")
+
+
 def sampled_sequences(spark: SparkSession, d: str) -> DataFrame:
     """200 sampled sequences per domain, of lengths by a kernel density of the accepted ones."""
     counts, vocab = cut(_counts(spark, d)), _vocab(spark, d)
@@ -424,7 +435,7 @@ def stream_daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_periods, p1_current, p3_found, p3_tables, p3_legs, p6_found, p6_kinds, p6_table, p6_alternatives, p6_lines, seq_tokens, seed_sequences, seq_length_stats, length_histogram, ngram_counts, context_totals, seen_scores, top_continuation, temperature_schedule, window_acceptance, write_fractions, token_classes, rubric_verdicts, ordering_rules, duplicate_status, edit_distances, weighted_distances, nearest_center, center_pairs, pool_distances, cluster_sizes, medoid_replacement, validation_status, merged_validation, first_valid_member, pending_clusters, write_summary, missing_users, unlisted_reservations, users_over_limit, reused_flights, ambiguous_flights, rule_chain, merged_users, merged_reservation_lists, back_links, flight_dates, follow_ups, redacted_arguments, argument_parse_stages, template_marks, task_actions, task_changes, trial_mismatches, sampled_sequences, clustered_pool, stream_daily)}
+    return {f.__name__: f for f in (p1_found, p1_periods, p1_current, p3_found, p3_tables, p3_legs, p6_found, p6_kinds, p6_table, p6_alternatives, p6_lines, seq_tokens, seed_sequences, seq_length_stats, length_histogram, ngram_counts, context_totals, seen_scores, top_continuation, temperature_schedule, window_acceptance, write_fractions, token_classes, rubric_verdicts, ordering_rules, duplicate_status, edit_distances, weighted_distances, nearest_center, center_pairs, pool_distances, cluster_sizes, medoid_replacement, validation_status, merged_validation, first_valid_member, pending_clusters, write_summary, missing_users, unlisted_reservations, users_over_limit, reused_flights, ambiguous_flights, rule_chain, merged_users, merged_reservation_lists, back_links, flight_dates, follow_ups, redacted_arguments, argument_parse_stages, template_marks, task_actions, task_changes, trial_mismatches, all_trial_mismatches, sampled_sequences, clustered_pool, stream_daily)}
 
 
 def oracle_sql() -> dict[str, str]:

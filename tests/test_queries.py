@@ -26,3 +26,16 @@ def test_entry(spark):
     import __spark_entry__ as E
 
     assert set(Q.queries()) <= set(E.queries()) and E.entry(spark).count() > 0
+
+
+def test_mismatches_of_all_trials(spark, rows, tmp_path):
+    acts = [("t", 0, 0, "a"), ("t", 0, 1, "b"), ("t", 1, 0, "a"), ("t", 1, 1, "b"), ("t", 2, 0, "a"), ("t", 2, 1, "c"), ("t", 7, 0, "a"), ("u", 0, 0, "a"), ("v", 3, 0, "d")]
+    table = [(i, "airline", task, trial, position, name, "{}", "assistant") for i, (task, trial, position, name) in enumerate(acts)]
+    spark.createDataFrame(table, "row_id long, domain string, task_id string, trial int, position int, name string, arguments string, requestor string").write.parquet(f"{tmp_path}/eval_actions.parquet")
+    want = [("t", 2, 1, "b", "c"), ("t", 7, 1, "b", None), ("u", 1, 0, "a", None), ("v", 3, 0, None, "d")]
+    assert rows(Q.all_trial_mismatches(spark, str(tmp_path))) == want
+
+
+def test_all_trials_hold_the_first_two(spark, rows):
+    every = Q.all_trial_mismatches(spark, oracle.DATA)
+    assert rows(every.where("trial = 1").drop("trial")) == rows(Q.trial_mismatches(spark, oracle.DATA)) and every.where("trial > 1").count()
