@@ -17,10 +17,13 @@ CAPACITY = 2048
 SUBSET = 40
 
 
-def _patterns(spark: SparkSession, d: str) -> DataFrame:
+def _patterns(spark: SparkSession, d: str, medoids: bool = False) -> DataFrame:
     members = table(spark, d, "cluster_members").select(F.lit("members").alias("src"), "domain", "seq_id", name_forms("tokens").alias("items"))
     accepted = table(spark, d, "sampler_accepted").select(F.lit("accepted").alias("src"), "domain", "seq_id", name_forms("tokens").alias("items"))
-    found = patterns.frequent_patterns(members.unionByName(accepted))
+    sequences = members.unionByName(accepted)
+    if medoids:
+        sequences = sequences.unionByName(table(spark, d, "cluster_info").select(F.lit("medoids").alias("src"), "domain", F.col("cluster_key").alias("seq_id"), name_forms("medoid_sequence").alias("items")))
+    found = patterns.frequent_patterns(sequences)
     return found.withColumn("pattern", F.array_join("pattern", ">"))
 
 
@@ -33,6 +36,11 @@ def p2_patterns(spark: SparkSession, d: str) -> DataFrame:
     return _patterns(spark, d)
 
 
+def p2_all_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """p2_patterns with the medoids of cluster_info as a third source, one per cluster."""
+    return _patterns(spark, d, medoids=True)
+
+
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "cluster_members").select("domain", "seq_id", name_forms("tokens").alias("terms"))
     vocabulary = table(spark, d, "model_vocab").select("domain", name_form("token").alias("term"))
@@ -99,7 +107,7 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_patterns, p4_subset, p5_found, p5_terms, p7_found, p7_pairs, p8_ids, p9_containers, p10_found, p10_levels)}
+    return {f.__name__: f for f in (p2_found, p2_patterns, p2_all_patterns, p4_subset, p5_found, p5_terms, p7_found, p7_pairs, p8_ids, p9_containers, p10_found, p10_levels)}
 
 
 def _name(x: str) -> str:
@@ -144,11 +152,11 @@ WITH basket AS (
 )
 """
 
-def _grown() -> str:
+def _grown(more: str = "") -> str:
     """Prefix growth: at each length, the first place where a pattern of frequent steps ends in each sequence."""
     steps = f"""
 WITH seqs AS (
-  SELECT DISTINCT 'members' AS src, domain, seq_id, tokens FROM cluster_members UNION ALL SELECT DISTINCT 'accepted', domain, seq_id, tokens FROM sampler_accepted
+  SELECT DISTINCT 'members' AS src, domain, seq_id, tokens FROM cluster_members UNION ALL SELECT DISTINCT 'accepted', domain, seq_id, tokens FROM sampler_accepted{more}
 ), least AS (
   SELECT src, domain, count(*) AS n, greatest(10, ceil(count(*) / 8))::BIGINT AS least FROM seqs GROUP BY ALL
 ), step AS (
@@ -171,6 +179,7 @@ WITH seqs AS (
 SQL: dict[str, str] = {
     "p2_found": _grown() + "SELECT src, domain, pattern FROM found",
     "p2_patterns": _grown() + "SELECT src, domain, pattern, support, n FROM found JOIN least USING (src, domain)",
+    "p2_all_patterns": _grown(" UNION ALL SELECT DISTINCT 'medoids', domain, cluster_key, medoid_sequence FROM cluster_info") + "SELECT src, domain, pattern, support, n FROM found JOIN least USING (src, domain)",
     "p5_found": _TERMS + "SELECT domain, term, mark FROM marked WHERE mark IS NOT NULL",
     "p5_terms": _TERMS + "SELECT * FROM marked",
     "p7_found": _PAIRS + "SELECT src, domain, item_a, item_b FROM scored WHERE n_ab >= 5 AND 200 * n_ab >= n AND n_ab * n >= 3 * n_a * n_b",
