@@ -146,21 +146,61 @@ def to_set(df: DataFrame, tokens: str, by: str, given: Mapping[object, list[list
     return df.mapInArrow(run, schema)
 
 
+#: Sequences of a group, and members of its set, that one task of to_sets() compares.
+ROWS, PLACES = 4_000, 1_000
+
+
+def to_sets(df: DataFrame, sets: DataFrame, costs: Costs | None = None) -> DataFrame:
+    """(domain, tokens, min_distance, nearest, mean_distance) of the distinct sequences of df (domain, tokens), to sets
+    (domain, place, tokens) of any size: what to_set() gives with normalize, but blocks of ROWS sequences and PLACES
+    places meet in tasks, so that neither side goes through the driver. Null domains and null sequences are left out, as
+    are domains without a set."""
+    left = df.select("domain", "tokens").where("domain is not null and tokens is not null").distinct()
+    blocks = left.groupBy("domain").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("_n"))
+    given = sets.select("domain", F.col("place").cast("int").alias("place"), F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+    given = given.join(blocks, "domain").withColumns({"b": F.floor(F.col("place") / PLACES).cast("int"), "a": F.explode(F.sequence(F.lit(0), F.col("_n") - 1))})
+    last = sets.groupBy("domain").agg(F.floor(F.max("place") / PLACES).cast("int").alias("_last"))
+    dealt = left.join(blocks, "domain").join(last, "domain").withColumns({"a": F.pmod(F.xxhash64("tokens"), F.col("_n")).cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("_last")))})
+    cost = costs or Costs(None)
+
+    def measure(rows: pa.Table, places: pa.Table) -> pa.Table:
+        lists, n = rows.column("tokens").to_pylist(), rows.num_rows
+        places = places.sort_by("place")
+        place = places.column("place").to_pylist()
+        best, which, total = np.full(n, np.inf), np.full(n, -1), np.zeros(n)
+        coded = Encoded([*lists, *places.column("tokens").to_pylist()], cost)
+        for k, p in enumerate(place):
+            longest = np.maximum(coded.lengths[:n], coded.lengths[n + k] if n else 0)
+            d = coded.distances(np.arange(n), np.full(n, n + k)) / 100.0 / np.where(longest > 0, longest, 1)
+            total += d
+            closer = d < best
+            best[closer], which[closer] = d[closer], p
+        use = np.flatnonzero(which >= 0)
+        took = pa.array(use)
+        return pa.table({"domain": rows.column("domain").take(took), "tokens": rows.column("tokens").take(took), "best": pa.array(best[use]), "place": pa.array(which[use].astype(np.int32)), "total": pa.array(total[use]), "n": pa.array(np.full(len(use), len(place)))})
+
+    parts = dealt.select("domain", "a", "b", "tokens").groupBy("domain", "a", "b").cogroup(given.select("domain", "a", "b", "place", "tokens").groupBy("domain", "a", "b")).applyInArrow(measure, "domain string, tokens array<string>, best double, place int, total double, n long")
+    whole = parts.groupBy("domain", "tokens").agg(F.min(F.struct("best", "place")).alias("x"), (F.sum("total") / F.sum("n")).alias("mean_distance"))
+    return whole.select("domain", "tokens", F.col("x.best").alias("min_distance"), F.col("x.place").alias("nearest"), "mean_distance")
+
+
 #: Sequences of a pool at most, and of a block of it.
 POOL, BLOCK = 5_000, 250
 
 
-def all_pairs(pools: DataFrame, costs: Costs) -> DataFrame:
+def all_pairs(pools: DataFrame, costs: Costs, limit: int | None = POOL) -> DataFrame:
     """(domain, i, j, distance), i < j, of pools (domain, idx, tokens): the upper triangle of each pool's matrix.
 
     A pool has a stated size, POOL at most (more is an error), so each sequence is sent to at most POOL / BLOCK tasks, one
-    per pair of blocks. For distances of any number of sequences to a given set see to_set()."""
+    per pair of blocks; limit=None takes pools of any size, whose pairs grow with the square. For distances of any number
+    of sequences to a given set see to_set()."""
     kept = pools.select("domain", F.col("idx").cast("int").alias("idx"), "tokens")
-    last = F.lit((POOL - 1) // BLOCK)
-    block = F.when(F.col("idx") < POOL, F.floor(F.col("idx") / BLOCK).cast("int")).otherwise(F.raise_error(F.lit("a pool is too large")).cast("int"))
+    block = F.floor(F.col("idx") / BLOCK).cast("int")
+    if limit is not None:
+        block = F.when(F.col("idx") < limit, block).otherwise(F.raise_error(F.lit("a pool is too large")).cast("int"))
     sizes = kept.groupBy("domain").agg(F.floor(F.max("idx") / BLOCK).cast("int").alias("_last")).withColumnRenamed("domain", "_d")
     placed = kept.withColumn("block", block).join(sizes, F.col("domain").eqNullSafe(F.col("_d")))
-    both = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.least(last, F.col("_last")))))
+    both = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_last") if limit is None else F.least(F.lit((limit - 1) // BLOCK), F.col("_last")))))
     dealt = both.select("domain", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "idx", "tokens")
 
     def measure(t: pa.Table) -> pa.Table:

@@ -173,6 +173,14 @@ _CENTERS = """
 )
 """
 
+_MEDOIDS = """
+, sized AS (
+  SELECT domain, cluster_key, count(*) AS n, arg_min(tokens, seq_id) FILTER (is_medoid) AS tokens FROM m GROUP BY ALL HAVING count(*) FILTER (is_medoid) > 0
+), medoid AS (
+  SELECT domain, cluster_key, tokens, row_number() OVER (PARTITION BY domain ORDER BY n DESC, cluster_key) - 1 AS place FROM sized
+)
+"""
+
 _REPLACED = _JUDGED + """
 , medoid AS (
   SELECT cluster_key, arg_min({'seq_id': seq_id, 'tokens': tokens, 'valid': valid, 'reason': reason, 'bad': bad_idx}, seq_id) AS x FROM judged WHERE is_medoid GROUP BY ALL
@@ -258,6 +266,15 @@ FROM (SELECT x.domain, x.place AS i, y.place AS j, x.tokens AS a, y.tokens AS b,
   SELECT domain, seq_id, place, CASE WHEN greatest(len(a), len(b)) = 0 THEN 0 ELSE levenshtein(array_to_string([chr(32 + list_position(names, x)::INT) FOR x IN a], ''), array_to_string([chr(32 + list_position(names, x)::INT) FOR x IN b], '')) / greatest(len(a), len(b)) END AS d FROM pair
 )
 SELECT domain, seq_id, round(min(d), 9) AS min_distance, arg_min(place, d * 1000000 + place) AS nearest, round(avg(d), 9) AS mean_distance FROM measured GROUP BY ALL""",
+    "medoid_pairs": _SEQS + _MEDOIDS + """
+SELECT domain, i, j, levenshtein(array_to_string([chr(32 + list_position(names, x)::INT) FOR x IN a], ''), array_to_string([chr(32 + list_position(names, x)::INT) FOR x IN b], ''))::DOUBLE AS distance
+FROM (SELECT x.domain, x.place AS i, y.place AS j, x.tokens AS a, y.tokens AS b, list_distinct(list_concat(x.tokens, y.tokens)) AS names FROM medoid x JOIN medoid y ON x.domain = y.domain AND x.place < y.place)""",
+    "nearest_medoid": _SEQS + _MEDOIDS + """, pair AS (
+  SELECT m.domain, seq_id, place, medoid.cluster_key, m.tokens AS a, medoid.tokens AS b, list_distinct(list_concat(m.tokens, medoid.tokens)) AS names FROM m JOIN medoid ON m.domain = medoid.domain
+), measured AS (
+  SELECT domain, seq_id, place, cluster_key, CASE WHEN greatest(len(a), len(b)) = 0 THEN 0 ELSE levenshtein(array_to_string([chr(32 + list_position(names, x)::INT) FOR x IN a], ''), array_to_string([chr(32 + list_position(names, x)::INT) FOR x IN b], '')) / greatest(len(a), len(b)) END AS d FROM pair
+)
+SELECT domain, seq_id, round(min(d), 9) AS min_distance, arg_min(place, d * 1000000 + place) AS nearest, arg_min(cluster_key, d * 1000000 + place) AS nearest_cluster, round(avg(d), 9) AS mean_distance FROM measured GROUP BY domain, seq_id""",
     "cluster_sizes": _SEQS + "SELECT domain, count(*) AS n_clusters, min(size) AS min_size, max(size) AS max_size, round(avg(size), 6) AS mean_size, median(size) AS median_size FROM (SELECT domain, cluster_key, count(*) AS size FROM m GROUP BY ALL) GROUP BY ALL",
     "medoid_replacement": _REPLACED + "SELECT cluster_key, status, array_to_string(final, '>') AS final_sequence, attempts, original_valid, reason FROM replaced",
     "validation_status": _REPLACED + "SELECT status, count(*) AS n, sum(attempts) AS attempts FROM replaced GROUP BY ALL",

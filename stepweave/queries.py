@@ -208,11 +208,16 @@ def weighted_distances(spark: SparkSession, d: str) -> DataFrame:
     return distance.weighted(_to_medoid(spark, d), "tokens", "medoid", distance.Costs(_types(_vocab(spark, d)))).select("domain", "seq_id", F.round("distance", 2).alias("distance"))
 
 
-def _centers(spark: SparkSession, d: str) -> DataFrame:
-    """The medoids of the CENTERS largest clusters of each domain."""
+def _medoids(spark: SparkSession, d: str) -> DataFrame:
+    """The medoids of each domain, placed by the size of their clusters."""
     sizes = _members(spark, d).groupBy("domain", "cluster_key").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("is_medoid"), F.struct("seq_id", "tokens"))).alias("m")).where("m is not null")
     rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("n"), "cluster_key"))
-    return sizes.withColumn("place", rank - 1).where(F.col("place") < CENTERS).select("domain", "place", F.col("m.tokens").alias("tokens"))
+    return sizes.withColumn("place", rank - 1).select("domain", "place", "cluster_key", F.col("m.tokens").alias("tokens"))
+
+
+def _centers(spark: SparkSession, d: str) -> DataFrame:
+    """The medoids of the CENTERS largest clusters of each domain."""
+    return _medoids(spark, d).where(F.col("place") < CENTERS).drop("cluster_key")
 
 
 def nearest_center(spark: SparkSession, d: str) -> DataFrame:
@@ -229,6 +234,20 @@ def center_pairs(spark: SparkSession, d: str) -> DataFrame:
     return distance.all_pairs(_centers(spark, d).withColumnRenamed("place", "idx"), distance.Costs(None))
 
 
+def nearest_medoid(spark: SparkSession, d: str) -> DataFrame:
+    """Distance of each sequence to all medoids of its domain, in blocks; nearest is a place, those of larger clusters first."""
+    members = cut(_members(spark, d).select("domain", "seq_id", "tokens").distinct())
+    medoids = cut(_medoids(spark, d))
+    found = distance.to_sets(members, medoids).join(medoids.select("domain", F.col("place").alias("nearest"), F.col("cluster_key").alias("nearest_cluster")), ["domain", "nearest"])
+    out = members.join(found, ["domain", "tokens"], "left")
+    return out.select("domain", "seq_id", F.round("min_distance", 9).alias("min_distance"), "nearest", "nearest_cluster", F.round("mean_distance", 9).alias("mean_distance"))
+
+
+def medoid_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Plain edit distances of all pairs of medoids of a domain, in blocks of pairs."""
+    return distance.all_pairs(cut(_medoids(spark, d)).withColumnRenamed("place", "idx"), distance.Costs(None), limit=None)
+
+
 def pool_distances(spark: SparkSession, d: str) -> DataFrame:
     """Weighted distances of all pairs of a sampled pool of 300 sequences per domain."""
     counts, vocab = cut(_counts(spark, d)), _vocab(spark, d)
@@ -435,7 +454,7 @@ def stream_daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_periods, p1_current, p3_found, p3_tables, p3_legs, p6_found, p6_kinds, p6_table, p6_alternatives, p6_lines, seq_tokens, seed_sequences, seq_length_stats, length_histogram, ngram_counts, context_totals, seen_scores, top_continuation, temperature_schedule, window_acceptance, write_fractions, token_classes, rubric_verdicts, ordering_rules, duplicate_status, edit_distances, weighted_distances, nearest_center, center_pairs, pool_distances, cluster_sizes, medoid_replacement, validation_status, merged_validation, first_valid_member, pending_clusters, write_summary, missing_users, unlisted_reservations, users_over_limit, reused_flights, ambiguous_flights, rule_chain, merged_users, merged_reservation_lists, back_links, flight_dates, follow_ups, redacted_arguments, argument_parse_stages, template_marks, task_actions, task_changes, trial_mismatches, all_trial_mismatches, sampled_sequences, clustered_pool, stream_daily)}
+    return {f.__name__: f for f in (p1_found, p1_periods, p1_current, p3_found, p3_tables, p3_legs, p6_found, p6_kinds, p6_table, p6_alternatives, p6_lines, seq_tokens, seed_sequences, seq_length_stats, length_histogram, ngram_counts, context_totals, seen_scores, top_continuation, temperature_schedule, window_acceptance, write_fractions, token_classes, rubric_verdicts, ordering_rules, duplicate_status, edit_distances, weighted_distances, nearest_center, center_pairs, nearest_medoid, medoid_pairs, pool_distances, cluster_sizes, medoid_replacement, validation_status, merged_validation, first_valid_member, pending_clusters, write_summary, missing_users, unlisted_reservations, users_over_limit, reused_flights, ambiguous_flights, rule_chain, merged_users, merged_reservation_lists, back_links, flight_dates, follow_ups, redacted_arguments, argument_parse_stages, template_marks, task_actions, task_changes, trial_mismatches, all_trial_mismatches, sampled_sequences, clustered_pool, stream_daily)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -153,3 +153,25 @@ def test_first_valid_and_pending(spark, rows):
     entries = spark.createDataFrame([(1,), (2,), (3,)], "k int")
     progress = spark.createDataFrame([(1, True), (1, False), (2, False)], "k int, success boolean")
     assert rows(V.pending(entries, progress, "k")) == [(2,), (3,)]
+
+
+@pytest.mark.parametrize("rows,places", [(4000, 1000), (2, 3)])
+def test_distances_to_sets_in_blocks(spark, rows, places, monkeypatch):
+    monkeypatch.setattr(D, "ROWS", rows)
+    monkeypatch.setattr(D, "PLACES", places)
+    lists = [list(w) for w in ("abc", "abd", "", "xyz", "ab", "ba", "c", "dd", "abc")]
+    sets = [list(w) for w in ("xy", "", "abc", "ab", "pqr", "abc", "dd", "c")]
+    df = spark.createDataFrame([("d", t) for t in lists] + [("e", ["a"]), (None, ["a"]), ("d", None)], "domain string, tokens array<string>")
+    given = spark.createDataFrame([("d", i, t) for i, t in enumerate(sets)] + [("f", 0, ["a"])], "domain string, place int, tokens array<string>")
+    got = {tuple(r.tokens): tuple(r)[2:] for r in D.to_sets(df, given).collect()}
+    want = {tuple(r.tokens): tuple(r)[2:] for r in D.to_set(df.where("domain = 'd' and tokens is not null"), "tokens", "domain", {"d": sets}).collect()}
+    assert set(got) == set(want) and all(got[k][:2] == want[k][:2] and got[k][2] == pytest.approx(want[k][2]) for k in want)
+
+
+def test_pairs_of_a_pool_over_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", 3)
+    df = spark.createDataFrame([("p", i, ["a"] * i) for i in range(12)], "domain string, idx int, tokens array<string>")
+    got = D.all_pairs(df, D.Costs(None), limit=None).collect()
+    assert len(got) == 66 and all(r.distance == r.j - r.i for r in got)
+    with pytest.raises(Exception, match="too large"):
+        D.all_pairs(df, D.Costs(None), limit=11).collect()

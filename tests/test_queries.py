@@ -39,3 +39,11 @@ def test_mismatches_of_all_trials(spark, rows, tmp_path):
 def test_all_trials_hold_the_first_two(spark, rows):
     every = Q.all_trial_mismatches(spark, oracle.DATA)
     assert rows(every.where("trial = 1").drop("trial")) == rows(Q.trial_mismatches(spark, oracle.DATA)) and every.where("trial > 1").count()
+
+
+def test_all_medoids_are_candidates(spark, rows, tmp_path):
+    members = [("d", i, k, i < 10, 0.0, ["t" + "abcdefghij"[k]] * 2) for i, k in enumerate([*range(10), *range(9)])]
+    spark.createDataFrame(members, "domain string, seq_id long, cluster_key long, is_medoid boolean, distance_to_medoid double, tokens array<string>").write.parquet(f"{tmp_path}/cluster_members.parquet")
+    got = Q.nearest_medoid(spark, str(tmp_path))
+    assert rows(got.select("seq_id", "min_distance", "nearest_cluster")) == sorted(((i, 0.0, k) for _, i, k, *_ in members), key=repr)
+    assert Q.medoid_pairs(spark, str(tmp_path)).count() == 45
