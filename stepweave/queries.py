@@ -87,6 +87,8 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
 
 #: Steps of a window of acceptance, medoids of a domain that sequences are compared with, tries for a replacement.
 EVERY, CENTERS, BUDGET = 400, 8, 3
+#: Sequences of a sampled pool and rounds of re-clustering, the defaults of the reference.
+POOL, ROUNDS = 2_000, 3
 #: Rules on the order of steps, for ordering_violations().
 ORDER_RULES = [("only_last", {"transfer_to_human_agents"}, set()), ("first_block", {"find_user_id_by_email", "find_user_id_by_name_zip"}, set()), ("before", {"get_user_details"}, {"cancel_reservation"}), ("between", {"get_order_details"}, {"return_delivered_order_items", "exchange_delivered_order_items"}), ("not_after", {"resume_line"}, {"reboot_device"})]
 
@@ -249,10 +251,10 @@ def medoid_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pool_distances(spark: SparkSession, d: str) -> DataFrame:
-    """Weighted distances of all pairs of a sampled pool of 300 sequences per domain."""
+    """Weighted distances of all pairs of a sampled pool of POOL sequences per domain."""
     counts, vocab = cut(_counts(spark, d)), _vocab(spark, d)
     drawn = lengths.skew_normal(lengths.LengthConfig("skew_normal", 7.0, 5.0, 2.0, 1, 15), F.lit(1.0), F.lit(15.0), "domain", "attempt")
-    pool = pipeline.sample_pool(counts, vocab, 300, drawn, seed=5)
+    pool = pipeline.sample_pool(counts, vocab, POOL, drawn, seed=5)
     return distance.all_pairs(cut(pool), distance.Costs(_types(vocab)))
 
 
@@ -436,11 +438,11 @@ def sampled_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clustered_pool(spark: SparkSession, d: str) -> DataFrame:
-    """12 validated clusters per domain of a sampled pool of 150 sequences, with up to two rounds around frozen centers."""
+    """12 validated clusters per domain of a sampled pool of POOL sequences, with up to ROUNDS rounds around frozen centers."""
     counts, vocab = cut(_counts(spark, d)), _vocab(spark, d)
     config = lengths.LengthConfig("skew_normal", 7.0, 5.0, 2.0, 1, 15)
     drawn = lengths.skew_normal(config, F.lit(1.0), F.lit(15.0), "domain", "attempt")
-    out = pipeline.cluster_and_validate(spark, counts, vocab, providers.by_rules(vocab), 12, 150, drawn, distance.Costs(_types(vocab)), seed=42, rounds=2)
+    out = pipeline.cluster_and_validate(spark, counts, vocab, providers.by_rules(vocab), 12, POOL, drawn, distance.Costs(_types(vocab)), seed=42, rounds=ROUNDS)
     return out.select("domain", "cluster_idx", "status", F.array_join("final_sequence", ">").alias("final_sequence"), "attempts")
 
 

@@ -47,3 +47,13 @@ def test_all_medoids_are_candidates(spark, rows, tmp_path):
     got = Q.nearest_medoid(spark, str(tmp_path))
     assert rows(got.select("seq_id", "min_distance", "nearest_cluster")) == sorted(((i, 0.0, k) for _, i, k, *_ in members), key=repr)
     assert Q.medoid_pairs(spark, str(tmp_path)).count() == 45
+
+
+def test_pools_have_the_size_and_rounds_of_the_reference(spark, monkeypatch):
+    sizes, rounds = [], []
+    sample, whole = Q.pipeline.sample_pool, Q.pipeline.cluster_and_validate
+    monkeypatch.setattr(Q.pipeline, "sample_pool", lambda c, v, size, *a, **k: (sizes.append(size), sample(c, v, 20, *a, **k))[1])
+    monkeypatch.setattr(Q.pipeline, "cluster_and_validate", lambda *a, **k: (rounds.append((a[5], k["rounds"])), whole(*a[:5], 20, *a[6:], **k))[1])
+    Q.pool_distances(spark, oracle.DATA)
+    Q.clustered_pool(spark, oracle.DATA)
+    assert sizes[0] == 2000 and rounds == [(2000, 3)]
