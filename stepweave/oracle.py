@@ -377,3 +377,6 @@ SQL |= {
 SELECT CASE ref_field WHEN 'user_id' THEN 'agent_users' WHEN 'reservation_id' THEN 'agent_reservations' ELSE 'agent_flights' END AS target, ref_key, count(*) AS refs
 FROM refs SEMI JOIN live USING (src_table, src_row_id) ANTI JOIN here USING (ref_field, ref_key) WHERE regexp_matches(ref_key, '[0-9]') GROUP BY ALL""",
 }
+
+#: The same with the 99 tries of the reference.
+SQL |= {f"full_{k}": SQL[k].replace("tries <= 3 ", "tries <= 99 ").replace("least(3, ", "least(99, ") for k in ("medoid_replacement", "validation_status", "merged_validation", "write_summary")}

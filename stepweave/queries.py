@@ -85,8 +85,8 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent(fields, cut(drift.changes(fields)))
 
 
-#: Steps of a window of acceptance, medoids of a domain that sequences are compared with, tries for a replacement.
-EVERY, CENTERS, BUDGET = 400, 8, 3
+#: Steps of a window of acceptance, medoids of a domain that sequences are compared with, tries for a replacement and those of the reference.
+EVERY, CENTERS, BUDGET, FULL_BUDGET = 400, 8, 3, 99
 #: Sequences of a sampled pool and rounds of re-clustering, the defaults of the reference.
 POOL, ROUNDS = 2_000, 3
 #: Rules on the order of steps, for ordering_violations().
@@ -267,22 +267,22 @@ def cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
     return select.cluster_sizes(_members(spark, d), "cluster_key", "domain").withColumn("mean_size", F.round("mean_size", 6))
 
 
-def _validated(spark: SparkSession, d: str) -> DataFrame:
-    return select.validate_clusters(_judged(spark, d), BUDGET)
+def _validated(spark: SparkSession, d: str, budget: int = BUDGET) -> DataFrame:
+    return select.validate_clusters(_judged(spark, d), budget)
 
 
-def medoid_replacement(spark: SparkSession, d: str) -> DataFrame:
-    return _validated(spark, d).withColumn("final_sequence", F.array_join("final_sequence", ">"))
+def medoid_replacement(spark: SparkSession, d: str, budget: int = BUDGET) -> DataFrame:
+    return _validated(spark, d, budget).withColumn("final_sequence", F.array_join("final_sequence", ">"))
 
 
-def validation_status(spark: SparkSession, d: str) -> DataFrame:
-    return select.status_counts(_validated(spark, d))
+def validation_status(spark: SparkSession, d: str, budget: int = BUDGET) -> DataFrame:
+    return select.status_counts(_validated(spark, d, budget))
 
 
-def merged_validation(spark: SparkSession, d: str) -> DataFrame:
+def merged_validation(spark: SparkSession, d: str, budget: int = BUDGET) -> DataFrame:
     """All clusters of cluster_info with what validation said of them."""
     info = table(spark, d, "cluster_info").select("cluster_key", "domain", F.col("status").alias("listed_status"), "n_members").distinct()
-    return select.with_validation(info, _validated(spark, d).select("cluster_key", "status", "attempts"))
+    return select.with_validation(info, _validated(spark, d, budget).select("cluster_key", "status", "attempts"))
 
 
 def first_valid_member(spark: SparkSession, d: str) -> DataFrame:
@@ -295,11 +295,28 @@ def pending_clusters(spark: SparkSession, d: str) -> DataFrame:
     return select.pending(select.usable(info), _judged(spark, d).select("cluster_key", F.col("valid").alias("success")), "cluster_key").select("cluster_key", "domain", "status")
 
 
-def write_summary(spark: SparkSession, d: str) -> DataFrame:
-    finals = _validated(spark, d).join(_members(spark, d).select("cluster_key", "domain").distinct(), "cluster_key")
+def write_summary(spark: SparkSession, d: str, budget: int = BUDGET) -> DataFrame:
+    finals = _validated(spark, d, budget).join(_members(spark, d).select("cluster_key", "domain").distinct(), "cluster_key")
     return select.write_summary(finals, sequences.action_types(_vocab(spark, d)))
 
 
+def full_medoid_replacement(spark: SparkSession, d: str) -> DataFrame:
+    """medoid_replacement with the tries of the reference; so are the next three."""
+    return medoid_replacement(spark, d, FULL_BUDGET)
+
+
+def full_validation_status(spark: SparkSession, d: str) -> DataFrame:
+    return validation_status(spark, d, FULL_BUDGET)
+
+
+def full_merged_validation(spark: SparkSession, d: str) -> DataFrame:
+    return merged_validation(spark, d, FULL_BUDGET)
+
+
+def full_write_summary(spark: SparkSession, d: str) -> DataFrame:
+    return write_summary(spark, d, FULL_BUDGET)
+
+
 def _keyed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     users = table(spark, d, "agent_users").select("row_id", "user_id", "email", "membership", "reservations", "loaded_at").distinct().withColumn("user", key_form("user_id"))
     reservations = table(spark, d, "agent_reservations").distinct().withColumns({"user": key_form("user_id"), "reservation": key_form("reservation_id")})
@@ -456,7 +473,7 @@ def stream_daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_periods, p1_current, p3_found, p3_tables, p3_legs, p6_found, p6_kinds, p6_table, p6_alternatives, p6_lines, seq_tokens, seed_sequences, seq_length_stats, length_histogram, ngram_counts, context_totals, seen_scores, top_continuation, temperature_schedule, window_acceptance, write_fractions, token_classes, rubric_verdicts, ordering_rules, duplicate_status, edit_distances, weighted_distances, nearest_center, center_pairs, nearest_medoid, medoid_pairs, pool_distances, cluster_sizes, medoid_replacement, validation_status, merged_validation, first_valid_member, pending_clusters, write_summary, missing_users, unlisted_reservations, users_over_limit, reused_flights, ambiguous_flights, rule_chain, merged_users, merged_reservation_lists, back_links, flight_dates, follow_ups, redacted_arguments, argument_parse_stages, template_marks, task_actions, task_changes, trial_mismatches, all_trial_mismatches, sampled_sequences, clustered_pool, stream_daily)}
+    return {f.__name__: f for f in (p1_found, p1_periods, p1_current, p3_found, p3_tables, p3_legs, p6_found, p6_kinds, p6_table, p6_alternatives, p6_lines, seq_tokens, seed_sequences, seq_length_stats, length_histogram, ngram_counts, context_totals, seen_scores, top_continuation, temperature_schedule, window_acceptance, write_fractions, token_classes, rubric_verdicts, ordering_rules, duplicate_status, edit_distances, weighted_distances, nearest_center, center_pairs, nearest_medoid, medoid_pairs, pool_distances, cluster_sizes, medoid_replacement, validation_status, merged_validation, first_valid_member, pending_clusters, write_summary, full_medoid_replacement, full_validation_status, full_merged_validation, full_write_summary, missing_users, unlisted_reservations, users_over_limit, reused_flights, ambiguous_flights, rule_chain, merged_users, merged_reservation_lists, back_links, flight_dates, follow_ups, redacted_arguments, argument_parse_stages, template_marks, task_actions, task_changes, trial_mismatches, all_trial_mismatches, sampled_sequences, clustered_pool, stream_daily)}
 
 
 def oracle_sql() -> dict[str, str]:

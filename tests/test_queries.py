@@ -57,3 +57,11 @@ def test_pools_have_the_size_and_rounds_of_the_reference(spark, monkeypatch):
     Q.pool_distances(spark, oracle.DATA)
     Q.clustered_pool(spark, oracle.DATA)
     assert sizes[0] == 2000 and rounds == [(2000, 3)]
+
+
+def test_a_fourth_member_replaces_a_medoid(spark, rows, tmp_path, monkeypatch):
+    judged = [("d", 1, i, i == 0, float(i), [f"t{i}"], i in (4, 8), "r", []) for i in range(9)]
+    df = spark.createDataFrame(judged, "domain string, cluster_key long, seq_id long, is_medoid boolean, distance double, tokens array<string>, valid boolean, reason string, bad_idx array<int>")
+    monkeypatch.setattr(Q, "_judged", lambda *_: df)
+    assert rows(Q.full_medoid_replacement(spark, "")) == [(1, "replaced", "t4", 5, False, "r")]
+    assert rows(Q.full_validation_status(spark, "")) == [("replaced", 1, 5)]
