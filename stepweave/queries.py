@@ -71,14 +71,28 @@ def p6_alternatives(spark: SparkSession, d: str) -> DataFrame:
     return drift.alternatives(_fields(spark, d))
 
 
-def p6_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The lines of all files as one table of typed columns, with branches for values of other kinds."""
+def _entity(spark: SparkSession, d: str, entity: str) -> DataFrame:
     fields = _fields(spark, d)
     _, present = drift.file_fields(fields)
-    out = drift.entity_table(cut(drift.consistent(fields, cut(drift.changes(fields)))), cut(present.drop("kinds")), "lines")
+    out = drift.entity_table(cut(drift.consistent(fields, cut(drift.changes(fields)))), cut(present.drop("kinds")), entity)
     return out.withColumn("other", F.to_json("other"))
 
 
+def p6_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of all files as one table of typed columns, with branches for values of other kinds."""
+    return _entity(spark, d, "lines")
+
+
+def p6_device(spark: SparkSession, d: str) -> DataFrame:
+    """The same of devices."""
+    return _entity(spark, d, "device")
+
+
+def p6_customers(spark: SparkSession, d: str) -> DataFrame:
+    """The same of customers."""
+    return _entity(spark, d, "customers")
+
+
 def p6_table(spark: SparkSession, d: str) -> DataFrame:
     """All records of all files in one consistent table."""
     fields = _fields(spark, d)
@@ -422,10 +436,11 @@ def task_actions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def task_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Scalars of the criteria that differ between the first and the last row of a task."""
-    rank = F.struct("created_at", "row_id")
-    both = table(spark, d, "tasks").groupBy("task_id").agg(F.min_by("evaluation_criteria", rank).alias("old"), F.max_by("evaluation_criteria", rank).alias("new"), F.count_distinct("row_id").alias("n")).where("n > 1")
-    return json_ops.deep_diff(both.select("task_id", F.col("old").alias("doc")), both.select("task_id", F.col("new").alias("doc")), ["task_id"], "doc")
+    """Scalars of the criteria that differ between each row of a task and the row before it."""
+    w = Window.partitionBy("task_id").orderBy("created_at", "row_id")
+    rows = table(spark, d, "tasks").groupBy("task_id", "created_at", "row_id").agg(F.max("evaluation_criteria").alias("new"))
+    both = cut(rows.withColumns({"old": F.lag("new").over(w), "n": F.row_number().over(w)}).where("n > 1"))
+    return json_ops.deep_diff(both.select("task_id", "row_id", F.col("old").alias("doc")), both.select("task_id", "row_id", F.col("new").alias("doc")), ["task_id", "row_id"], "doc")
 
 
 def trial_mismatches(spark: SparkSession, d: str) -> DataFrame:
@@ -473,7 +488,7 @@ def stream_daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_periods, p1_current, p3_found, p3_tables, p3_legs, p6_found, p6_kinds, p6_table, p6_alternatives, p6_lines, seq_tokens, seed_sequences, seq_length_stats, length_histogram, ngram_counts, context_totals, seen_scores, top_continuation, temperature_schedule, window_acceptance, write_fractions, token_classes, rubric_verdicts, ordering_rules, duplicate_status, edit_distances, weighted_distances, nearest_center, center_pairs, nearest_medoid, medoid_pairs, pool_distances, cluster_sizes, medoid_replacement, validation_status, merged_validation, first_valid_member, pending_clusters, write_summary, full_medoid_replacement, full_validation_status, full_merged_validation, full_write_summary, missing_users, unlisted_reservations, users_over_limit, reused_flights, ambiguous_flights, rule_chain, merged_users, merged_reservation_lists, back_links, flight_dates, follow_ups, redacted_arguments, argument_parse_stages, template_marks, task_actions, task_changes, trial_mismatches, all_trial_mismatches, sampled_sequences, clustered_pool, stream_daily)}
+    return {f.__name__: f for f in (p1_found, p1_periods, p1_current, p3_found, p3_tables, p3_legs, p6_found, p6_kinds, p6_table, p6_alternatives, p6_lines, p6_device, p6_customers, seq_tokens, seed_sequences, seq_length_stats, length_histogram, ngram_counts, context_totals, seen_scores, top_continuation, temperature_schedule, window_acceptance, write_fractions, token_classes, rubric_verdicts, ordering_rules, duplicate_status, edit_distances, weighted_distances, nearest_center, center_pairs, nearest_medoid, medoid_pairs, pool_distances, cluster_sizes, medoid_replacement, validation_status, merged_validation, first_valid_member, pending_clusters, write_summary, full_medoid_replacement, full_validation_status, full_merged_validation, full_write_summary, missing_users, unlisted_reservations, users_over_limit, reused_flights, ambiguous_flights, rule_chain, merged_users, merged_reservation_lists, back_links, flight_dates, follow_ups, redacted_arguments, argument_parse_stages, template_marks, task_actions, task_changes, trial_mismatches, all_trial_mismatches, sampled_sequences, clustered_pool, stream_daily)}
 
 
 def oracle_sql() -> dict[str, str]:

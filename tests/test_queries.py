@@ -65,3 +65,15 @@ def test_a_fourth_member_replaces_a_medoid(spark, rows, tmp_path, monkeypatch):
     monkeypatch.setattr(Q, "_judged", lambda *_: df)
     assert rows(Q.full_medoid_replacement(spark, "")) == [(1, "replaced", "t4", 5, False, "r")]
     assert rows(Q.full_validation_status(spark, "")) == [("replaced", 1, 5)]
+
+
+def test_changes_of_versions_between(spark, rows, tmp_path):
+    table = [(i, "t", f"2024-01-0{i}", '{"a": %d}' % a) for i, a in ((1, 1), (2, 5), (3, 1))] * 2
+    spark.createDataFrame(table, "row_id long, task_id string, created_at string, evaluation_criteria string").selectExpr("row_id", "task_id", "timestamp(created_at) AS created_at", "evaluation_criteria").write.parquet(f"{tmp_path}/tasks.parquet")
+    got = Q.task_changes(spark, str(tmp_path)).select("row_id", "change", "old_value", "new_value")
+    assert [r[:2] for r in rows(got)] == [(2, "changed"), (3, "changed")]
+
+
+def test_every_entity_has_a_wide_table(spark):
+    for name, entity in (("p6_device", "device"), ("p6_customers", "customers")):
+        assert Q.queries()[name](spark, oracle.DATA).count() > 0, entity
