@@ -141,8 +141,9 @@ def reference_deltas(refs: DataFrame) -> DataFrame:
 
 
 def fold(state: DataFrame | None, references: DataFrame, existence: DataFrame) -> DataFrame:
-    """The state (target, ref_key, refs, exists) after more deltas: sums by key, combined before the shuffle. With the
-    state of the last batch and the deltas of the next one, this maintains the report without reading history again."""
+    """The state (target, ref_key, refs, exists) after more deltas: sums by key, combined before the shuffle. The
+    deltas must be those of the full log: reference_deltas() and existence_deltas() of one batch alone don't take back what
+    an earlier batch pointed at or ended."""
     parts = references.select("target", "ref_key", F.col("delta").cast("long").alias("refs"), F.lit(0).cast("long").alias("exists")).unionByName(existence.select("target", "ref_key", F.lit(0).cast("long").alias("refs"), F.col("delta").cast("long").alias("exists")))
     if state is not None:
         parts = parts.unionByName(state)
