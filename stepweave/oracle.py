@@ -360,22 +360,36 @@ def _children() -> str:
     )
 
 
+#: The change log of records, replayed in three spans of time: of each record the version loaded last rules, and gives its
+#: own existence and its references unless it is deleted.
+_LOG = (
+    _ORPHANS
+    + f""", own AS (
+  SELECT 'agent_users' AS tab, CASE WHEN regexp_matches(user_id, '[0-9]') THEN {_key("user_id")} ELSE '#' || row_id END AS k, row_id, loaded_at, deleted_at FROM agent_users
+  UNION SELECT 'agent_flights', CASE WHEN regexp_matches(flight_number, '[0-9]') THEN {_key("flight_number")} ELSE '#' || row_id END, row_id, loaded_at, deleted_at FROM agent_flights
+  UNION SELECT 'agent_reservations', CASE WHEN regexp_matches(reservation_id, '[0-9]') THEN {_key("reservation_id")} ELSE '#' || row_id END, row_id, loaded_at, deleted_at FROM agent_reservations
+), told AS (
+  SELECT DISTINCT src_row_id, ref_field, ref_key, seen_at FROM refs WHERE src_table = 'eval_actions' AND regexp_matches(ref_key, '[0-9]') AND seen_at IS NOT NULL
+), ends AS (
+  SELECT min(epoch_us(t)) AS lo, max(epoch_us(t)) - min(epoch_us(t)) + 1 AS span FROM (SELECT loaded_at AS t FROM own UNION ALL SELECT seen_at FROM told)
+), ruling AS (
+  SELECT b.range AS batch, tab, k, row_id, deleted_at IS NULL AS live FROM own, ends, range(3) b WHERE (epoch_us(loaded_at) - lo) * 3 // span <= b.range
+  QUALIFY row_number() OVER (PARTITION BY b.range, tab, k ORDER BY loaded_at DESC, row_id DESC) = 1
+), asked AS (
+  SELECT DISTINCT batch, tab, k, ref_field, ref_key FROM ruling JOIN refs ON src_table = tab AND src_row_id = row_id WHERE live AND regexp_matches(ref_key, '[0-9]')
+  UNION ALL SELECT b.range, 'eval_actions', src_row_id::VARCHAR, ref_field, ref_key FROM told, ends, range(3) b WHERE (epoch_us(seen_at) - lo) * 3 // span <= b.range
+), report AS (
+  SELECT batch, CASE ref_field WHEN 'user_id' THEN 'agent_users' WHEN 'reservation_id' THEN 'agent_reservations' ELSE 'agent_flights' END AS target, ref_key, count(*) AS refs FROM asked a
+  WHERE NOT EXISTS (FROM ruling r WHERE r.live AND r.batch = a.batch AND r.k = a.ref_key AND r.tab = CASE a.ref_field WHEN 'user_id' THEN 'agent_users' WHEN 'reservation_id' THEN 'agent_reservations' ELSE 'agent_flights' END)
+  GROUP BY ALL
+)
+"""
+)
+
 SQL |= {
     "p3_found": _children(),
-    "p1_current": _ORPHANS
-    + f""", src AS (
-  SELECT 'agent_reservations' AS src_table, row_id AS src_row_id, {_key("reservation_id")} AS k, loaded_at, deleted_at FROM agent_reservations
-  UNION SELECT 'agent_users', row_id, {_key("user_id")}, loaded_at, deleted_at FROM agent_users
-  UNION SELECT 'eval_actions', row_id, NULL, NULL, NULL FROM eval_actions
-), live AS (
-  SELECT src_table, src_row_id FROM (
-    SELECT s.*, max(s.loaded_at) OVER (PARTITION BY s.src_table, k) AS newest FROM src s JOIN (SELECT DISTINCT src_table, src_row_id FROM refs WHERE regexp_matches(ref_key, '[0-9]')) USING (src_table, src_row_id))
-  WHERE (k IS NULL OR loaded_at = newest) AND deleted_at IS NULL
-), here AS (
-  SELECT ref_field, ref_key FROM versions WHERE ref_key IS NOT NULL GROUP BY ALL HAVING arg_max({{'d': deleted_at}}, {{'a': seen_at, 's': seq}}).d IS NULL
-)
-SELECT CASE ref_field WHEN 'user_id' THEN 'agent_users' WHEN 'reservation_id' THEN 'agent_reservations' ELSE 'agent_flights' END AS target, ref_key, count(*) AS refs
-FROM refs SEMI JOIN live USING (src_table, src_row_id) ANTI JOIN here USING (ref_field, ref_key) WHERE regexp_matches(ref_key, '[0-9]') GROUP BY ALL""",
+    "p1_current": _LOG + "SELECT target, ref_key, refs FROM report WHERE batch = 2",
+    "p1_folds": _LOG + "SELECT batch, target, ref_key, refs FROM report",
 }
 
 #: The same with the 99 tries of the reference.

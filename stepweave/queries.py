@@ -30,10 +30,32 @@ def p1_periods(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphans(*_airline(spark, d)).groupBy("src_table", "ref_field", month).agg(F.count(F.lit(1)).alias("n_orphans"), F.count_distinct("ref_key").alias("n_keys"))
 
 
+#: Batches that the change log is replayed in.
+BATCHES = 3
+
+
+def _batches(spark: SparkSession, d: str) -> list[DataFrame]:
+    log = orphans.airline_log(*(table(spark, d, t) for t in ("agent_users", "agent_flights", "agent_reservations", "eval_actions")))
+    return orphans.in_spans(log, BATCHES)
+
+
 def p1_current(spark: SparkSession, d: str) -> DataFrame:
-    """Keys that live records point at and that don't exist, once all deltas are in."""
-    refs, versions = _airline(spark, d)
-    return orphans.current_orphans(orphans.fold(None, orphans.reference_deltas(refs), orphans.existence_deltas(versions)))
+    """Keys that live records point at and that don't exist, once all batches are in; the latest batch comes first, so that
+    all others are late."""
+    state = None
+    for batch in reversed(_batches(spark, d)):
+        state = orphans.fold(state, batch)
+    return orphans.current_orphans(state)
+
+
+def p1_folds(spark: SparkSession, d: str) -> DataFrame:
+    """The report after each batch, in the order of time."""
+    state, out = None, None
+    for i, batch in enumerate(_batches(spark, d)):
+        state = orphans.fold(state, batch)
+        report = orphans.current_orphans(state).select(F.lit(i).alias("batch"), "*")
+        out = report if out is None else out.unionByName(report)
+    return out
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -488,7 +510,7 @@ def stream_daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_periods, p1_current, p3_found, p3_tables, p3_legs, p6_found, p6_kinds, p6_table, p6_alternatives, p6_lines, p6_device, p6_customers, seq_tokens, seed_sequences, seq_length_stats, length_histogram, ngram_counts, context_totals, seen_scores, top_continuation, temperature_schedule, window_acceptance, write_fractions, token_classes, rubric_verdicts, ordering_rules, duplicate_status, edit_distances, weighted_distances, nearest_center, center_pairs, nearest_medoid, medoid_pairs, pool_distances, cluster_sizes, medoid_replacement, validation_status, merged_validation, first_valid_member, pending_clusters, write_summary, full_medoid_replacement, full_validation_status, full_merged_validation, full_write_summary, missing_users, unlisted_reservations, users_over_limit, reused_flights, ambiguous_flights, rule_chain, merged_users, merged_reservation_lists, back_links, flight_dates, follow_ups, redacted_arguments, argument_parse_stages, template_marks, task_actions, task_changes, trial_mismatches, all_trial_mismatches, sampled_sequences, clustered_pool, stream_daily)}
+    return {f.__name__: f for f in (p1_found, p1_periods, p1_current, p1_folds, p3_found, p3_tables, p3_legs, p6_found, p6_kinds, p6_table, p6_alternatives, p6_lines, p6_device, p6_customers, seq_tokens, seed_sequences, seq_length_stats, length_histogram, ngram_counts, context_totals, seen_scores, top_continuation, temperature_schedule, window_acceptance, write_fractions, token_classes, rubric_verdicts, ordering_rules, duplicate_status, edit_distances, weighted_distances, nearest_center, center_pairs, nearest_medoid, medoid_pairs, pool_distances, cluster_sizes, medoid_replacement, validation_status, merged_validation, first_valid_member, pending_clusters, write_summary, full_medoid_replacement, full_validation_status, full_merged_validation, full_write_summary, missing_users, unlisted_reservations, users_over_limit, reused_flights, ambiguous_flights, rule_chain, merged_users, merged_reservation_lists, back_links, flight_dates, follow_ups, redacted_arguments, argument_parse_stages, template_marks, task_actions, task_changes, trial_mismatches, all_trial_mismatches, sampled_sequences, clustered_pool, stream_daily)}
 
 
 def oracle_sql() -> dict[str, str]:

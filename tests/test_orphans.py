@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import pytest
+
 from stepweave.operators import orphans as O
 
 T0 = datetime(2025, 1, 1)
@@ -49,21 +51,73 @@ def test_empty_tables(spark):
     assert O.orphans(refs, spark.createDataFrame([("t", "K1", day(1), 1, None, 0, "")], VERSIONS)).count() == 0
 
 
-def test_deltas_and_state(spark, rows):
+def test_existence_deltas(spark, rows):
     v = spark.createDataFrame([("t", "K1", day(1), 1, None, 0, ""), ("t", "K1", day(3), 2, day(5), 0, ""), ("t", "K2", day(2), 3, day(1), 0, "")], VERSIONS)
     assert rows(O.existence_deltas(v)) == sorted([("t", "K1", day(1), 1), ("t", "K1", day(3), -1), ("t", "K1", day(3), 1), ("t", "K1", day(5), -1)], key=repr)
-    refs = spark.createDataFrame([("s", "f", "t", "K1", 1), ("s", "f", "t", "K2", 1), ("s", "f", "t", "K2", 1)], "src_table string, ref_field string, target string, ref_key string, delta int")
-    state = O.fold(None, refs, O.existence_deltas(v))
-    assert rows(O.current_orphans(state)) == [("t", "K1", 1), ("t", "K2", 2)]
-    back = spark.createDataFrame([("s", "f", "t", "K2", -2)], refs.schema)
-    later = O.fold(state, back, spark.createDataFrame([("t", "K1", day(9), 1)], "target string, ref_key string, at timestamp_ntz, delta int"))
-    assert rows(O.current_orphans(later)) == []
-
-
-def test_reference_deltas_take_back_what_earlier_versions_said(spark, rows):
-    schema = REFS + ", src_key string, gone_at timestamp_ntz"
-    data = [("s", 1, "f", "t", "K1", day(1), "R", None), ("s", 2, "f", "t", "K2", day(2), "R", None), ("s", 3, "f", "t", "K3", day(1), None, None), ("s", 4, "f", "t", "K4", day(1), "Q", day(3))]
-    assert rows(O.reference_deltas(spark.createDataFrame(data, schema)).select("ref_key", "delta")) == [("K2", 1), ("K3", 1)]
+
+
+def test_hot_days_are_split_by_time(spark):
+    rnd = random.Random(3)
+    at = lambda: T0 + timedelta(microseconds=rnd.randrange(3_000_000))
+    versions = [("t", "A1", at(), i, rnd.choice([None, at()]), 1, "x") for i in range(300)] + [("t", "B2", T0, 900, None, 1, "")]
+    refs = [("s", i, "f", "t", rnd.choice(["A1", "A1", "B2", "C3"]), at()) for i in range(300)]
+    r, v = spark.createDataFrame(refs, REFS), spark.createDataFrame(versions, VERSIONS)
+    hot, limit = O._hot_days(r, O._collapsed(v), 20, 1000)
+    assert limit == 20 and {x.ref_key: len(x.bounds) for x in hot.collect()}["A1"] > 30
+    assert {tuple(x) for x in O.orphans(r, v, hot_rows=20).collect()} == brute(refs, versions) != set()
+
+
+LOG = "src_table string, src_key string, at timestamp_ntz, seq long, live boolean, keys array<struct<target:string,ref_key:string>>"
+
+
+def report_of(log):
+    """The orphans of a whole log, in Python."""
+    last = {}
+    for src, key, at, seq, live, keys in log:
+        if key is not None and at is not None and ((src, key) not in last or (at, seq) > last[src, key][:2]):
+            last[src, key] = (at, seq, live, keys)
+    asked = {}
+    for _, _, live, keys in last.values():
+        for k in keys if live else ():
+            asked[k] = asked.get(k, 0) + 1
+    return sorted((*k, n) for k, n in asked.items() if not (k in last and last[k][2]))
+
+
+@pytest.mark.parametrize("seed", [1, 4])
+def test_any_split_into_batches_gives_the_report_of_one(spark, seed):
+    rnd = random.Random(seed)
+    names = [("t", f"K{i}") for i in range(5)] + [("s", f"R{i}") for i in range(5)]
+    log = []
+    for i in range(60):
+        src, key = rnd.choice(names)
+        keys = rnd.sample([("t", f"K{j}") for j in range(7)], rnd.choice([0, 1, 1, 2, 3])) if src == "s" else []
+        log.append((src, rnd.choice([key] * 20 + [None]), rnd.choice([day(rnd.randrange(9))] * 20 + [None]), i, rnd.random() < 0.5, keys))
+    log += rnd.sample(log, 6)
+    for n in (2, 6):
+        batches = [[] for _ in range(n)]
+        for r in log:
+            batches[rnd.randrange(n)].append(r)
+        state = None
+        for k, b in enumerate(batches):
+            state = O.fold(state, spark.createDataFrame(b, LOG))
+            if k == 3:
+                state = O.compact(state)
+        assert sorted(map(tuple, O.current_orphans(state).collect())) == report_of(log)
+    assert report_of(log)
+
+
+def test_moved_and_deleted_records_take_back_what_they_gave(spark, rows):
+    batch = lambda *r: spark.createDataFrame(list(r), LOG)
+    ok, gone = [("t", "OK")], [("t", "GONE")]
+    state = O.fold(None, batch(("t", "OK", day(1), 1, True, []), ("s", "A", day(1), 2, True, gone), ("s", "B", day(1), 3, True, ok)))
+    assert rows(O.current_orphans(state)) == [("t", "GONE", 1)]
+    moved = O.fold(state, batch(("s", "A", day(2), 4, True, ok)))
+    assert rows(O.current_orphans(moved)) == []
+    deleted = O.fold(moved, batch(("t", "OK", day(3), 5, False, [])))
+    assert rows(O.current_orphans(deleted)) == [("t", "OK", 2)]
+    late = O.fold(deleted, batch(("t", "OK", day(2), 6, True, []), ("s", "A", day(1), 9, True, gone)))
+    assert rows(O.current_orphans(late)) == [("t", "OK", 2)]
+    assert rows(O.current_orphans(O.fold(late, batch(("s", "A", day(5), 7, False, ok), ("s", "B", day(5), 8, True, []))))) == []
 
 
 def test_values_by_name_at_any_depth(spark, rows):
