@@ -17,12 +17,21 @@ ALPHABET = "".join(map(chr, range(0x4E00, 0x4E00 + 4000)))
 BATCH = 4096
 
 
+#: Where characters for more distinct tokens begin, and how many there are.
+PLANES, MOST_TOKENS = 0x10000, 0x100000
+
+
 def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two arrays, in the JVM: tokens become characters, numbered within the pair. Null for a null
-    array and for pairs with more than 4,000 distinct tokens, for which weighted() with plain costs can be used."""
+    """Levenshtein distance of two arrays, in the JVM: tokens become characters, numbered within the pair, by a table for
+    up to 4,000 distinct tokens and by code points beyond. Null for a null array. A pair with more than a million
+    distinct tokens, whose table of distances no machine could fill, is an error."""
     names = F.array_distinct(F.concat(a, b))
-    spell = lambda s: F.array_join(F.transform(s, lambda t: F.substring(F.lit(ALPHABET), F.array_position(names, t).cast("int"), F.lit(1))), "")
-    return F.when(F.size(names) <= len(ALPHABET), F.levenshtein(spell(a), spell(b)))
+    place = lambda t: F.array_position(names, t)
+    few = lambda t: F.substring(F.lit(ALPHABET), place(t).cast("int"), F.lit(1))
+    many = lambda t: F.decode(F.unhex(F.lpad(F.hex(place(t) + (PLANES - 1)), 8, "0")), "UTF-32")
+    spelled = lambda to: F.levenshtein(*(F.array_join(F.transform(s, to), "") for s in (a, b)))
+    n = F.size(names)
+    return F.when(names.isNull(), None).when(n <= len(ALPHABET), spelled(few)).when(n <= MOST_TOKENS, spelled(many)).otherwise(F.raise_error(F.lit("more than a million distinct tokens")).cast("int"))
 
 
 def normalized(a: Column, b: Column) -> Column:
@@ -38,6 +47,9 @@ class Costs:
     def __init__(self, types: Mapping[str, str] | None, groups: Mapping[str, str] | None = None):
         self.types, self.groups = types, groups or {}
 
+    def of(self, domain: str | None) -> Costs:
+        return self
+
     def matrix(self, names: list[str]) -> np.ndarray:
         n = len(names)
         out = np.full((n, n), OTHER_TYPE, np.int32)
@@ -52,6 +64,16 @@ class Costs:
         return out
 
 
+class DomainCosts:
+    """Costs by domain, for a token may have another type elsewhere; a domain that isn't known has no types."""
+
+    def __init__(self, types: Mapping[str | None, Mapping[str, str]]):
+        self.costs = {d: Costs(t) for d, t in types.items()}
+
+    def of(self, domain: str | None) -> Costs:
+        return self.costs.get(domain) or Costs({})
+
+
 class Encoded:
     """Lists of tokens as a padded matrix of numbers, with the costs among the tokens that occur."""
 
@@ -97,15 +119,21 @@ def pair_distances(a: list[list[str]], b: list[list[str]], costs: Costs) -> np.n
     return Encoded([*a, *b], costs).distances(np.arange(n), np.arange(n, 2 * n)) if n else np.zeros(0, np.int64)
 
 
-def weighted(df: DataFrame, a: str, b: str, costs: Costs, to: str = "distance") -> DataFrame:
-    """df with the weighted edit distance of its arrays a and b, null where one is null. One pass in Arrow batches."""
+def weighted(df: DataFrame, a: str, b: str, costs: Costs | DomainCosts, to: str = "distance", by: str = "domain") -> DataFrame:
+    """df with the weighted edit distance of its arrays a and b, null where one is null. One pass in Arrow batches. Costs
+    of domains go by the column `by`."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{to}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             la, lb = batch.column(a).to_pylist(), batch.column(b).to_pylist()
             null = np.array([x is None or y is None for x, y in zip(la, lb)], bool)
-            d = pair_distances([x or [] for x in la], [y or [] for y in lb], costs)
+            groups: dict = {}
+            for i, g in enumerate(batch.column(by).to_pylist() if isinstance(costs, DomainCosts) else [None] * len(la)):
+                groups.setdefault(g, []).append(i)
+            d = np.zeros(len(la), np.int64)
+            for g, at in groups.items():
+                d[at] = pair_distances([la[i] or [] for i in at], [lb[i] or [] for i in at], costs.of(g))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d / 100.0, pa.float64(), mask=null)], [*batch.schema.names, to])
 
     return df.mapInArrow(run, schema)
@@ -115,6 +143,8 @@ def to_set(df: DataFrame, tokens: str, by: str, given: Mapping[object, list[list
     """df with min_distance, nearest (the first place in the set on ties) and mean_distance of each sequence to the given
     set of its group. The set is a parameter, sent to the workers; rows are never paired with each other. Sequences
     without a set get nulls, for one has no distance to an empty set; so do null sequences."""
+    if sum(map(len, given.values())) > MOST_GIVEN:
+        raise ValueError(f"more than {MOST_GIVEN} rows in a given set; to_sets() takes any number")
     sent = df.sparkSession.sparkContext.broadcast((dict(given), costs or Costs(None)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", min_distance double, nearest int, mean_distance double"
 
@@ -146,6 +176,9 @@ def to_set(df: DataFrame, tokens: str, by: str, given: Mapping[object, list[list
     return df.mapInArrow(run, schema)
 
 
+#: Rows of a set at most, over all groups, that to_set() sends to the workers.
+MOST_GIVEN = 100_000
+
 #: Sequences of a group, and members of its set, that one task of to_sets() compares.
 ROWS, PLACES = 4_000, 1_000
 
@@ -184,23 +217,21 @@ def to_sets(df: DataFrame, sets: DataFrame, costs: Costs | None = None) -> DataF
     return whole.select("domain", "tokens", F.col("x.best").alias("min_distance"), F.col("x.place").alias("nearest"), "mean_distance")
 
 
-#: Sequences of a pool at most, and of a block of it.
-POOL, BLOCK = 5_000, 250
+#: Sequences of a block of a pool.
+BLOCK = 250
 
 
-def all_pairs(pools: DataFrame, costs: Costs, limit: int | None = POOL) -> DataFrame:
+def all_pairs(pools: DataFrame, costs: Costs | DomainCosts) -> DataFrame:
     """(domain, i, j, distance), i < j, of pools (domain, idx, tokens): the upper triangle of each pool's matrix.
 
-    A pool has a stated size, POOL at most (more is an error), so each sequence is sent to at most POOL / BLOCK tasks, one
-    per pair of blocks; limit=None takes pools of any size, whose pairs grow with the square. For distances of any number
-    of sequences to a given set see to_set()."""
+    Pools may have any size; each pair of blocks of one is a task of BLOCK by BLOCK pairs at most. The matrix grows with
+    the square of a pool, which is what is asked for: a pool is a stated number of sequences. For distances of any number
+    of sequences to a given set see to_set() and to_sets()."""
     kept = pools.select("domain", F.col("idx").cast("int").alias("idx"), "tokens")
     block = F.floor(F.col("idx") / BLOCK).cast("int")
-    if limit is not None:
-        block = F.when(F.col("idx") < limit, block).otherwise(F.raise_error(F.lit("a pool is too large")).cast("int"))
     sizes = kept.groupBy("domain").agg(F.floor(F.max("idx") / BLOCK).cast("int").alias("_last")).withColumnRenamed("domain", "_d")
     placed = kept.withColumn("block", block).join(sizes, F.col("domain").eqNullSafe(F.col("_d")))
-    both = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_last") if limit is None else F.least(F.lit((limit - 1) // BLOCK), F.col("_last")))))
+    both = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_last"))))
     dealt = both.select("domain", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "idx", "tokens")
 
     def measure(t: pa.Table) -> pa.Table:
@@ -210,8 +241,37 @@ def all_pairs(pools: DataFrame, costs: Costs, limit: int | None = POOL) -> DataF
         x, y = np.triu_indices(len(rows), 1)
         use = (block[x] == a) & (block[y] == b)
         x, y = x[use], y[use]
-        d = Encoded([r[2] or [] for r in rows], costs).distances(x, y) / 100.0
+        d = Encoded([r[2] or [] for r in rows], costs.of(t.column("domain")[0].as_py())).distances(x, y) / 100.0
         domain = pa.array([t.column("domain")[0].as_py()] * len(x), pa.string())
         return pa.table({"domain": domain, "i": pa.array(idx[x].astype(np.int32)), "j": pa.array(idx[y].astype(np.int32)), "distance": pa.array(d, pa.float64())})
 
     return dealt.groupBy("domain", "a", "b").applyInArrow(measure, "domain string, i int, j int, distance double")
+
+
+def medoid_costs(members: DataFrame, costs: Costs | DomainCosts, key: str = "cluster_key") -> DataFrame:
+    """(key, tokens, cost): for each distinct sequence of a cluster (domain, key, tokens), the sum of its weighted distances
+    to all of the cluster's members, copies included: the least one is the cluster's best medoid.
+
+    Equal sequences are one, with their number as a weight. Blocks of a cluster's sequences meet in pairs, in tasks of
+    BLOCK by BLOCK, each of which gives sums only, not pairs. Null sequences count as empty ones; null keys are none."""
+    filled = F.coalesce("tokens", F.array().cast("array<string>"))
+    one = members.where(F.col(key).isNotNull()).groupBy("domain", key, filled.alias("tokens")).agg(F.count(F.lit(1)).alias("w"))
+    blocks = one.groupBy(F.col(key).alias("_k")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n"))
+    dealt = one.join(blocks, F.col(key) == F.col("_k")).withColumn("block", F.pmod(F.xxhash64("tokens"), F.col("_n")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("domain", key, "tokens", "w", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+
+    def measure(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        block, w = t.column("block").to_numpy(), t.column("w").to_numpy()
+        a, b = t.column("a")[0].as_py(), t.column("b")[0].as_py()
+        left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
+        x, y = (m.ravel() for m in np.meshgrid(left, right, indexing="ij"))
+        d = Encoded(t.column("tokens").to_pylist(), costs.of(t.column("domain")[0].as_py())).distances(x, y)
+        cost = np.bincount(x, d * w[y], t.num_rows)
+        if a != b:
+            cost += np.bincount(y, d * w[x], t.num_rows)
+        return t.select(["domain", key, "tokens"]).append_column("cost", pa.array(np.rint(cost).astype(np.int64)))
+
+    kind = members.schema[key].dataType.simpleString()
+    parts = dealt.groupBy("domain", key, "a", "b").applyInArrow(measure, f"domain string, `{key}` {kind}, tokens array<string>, cost long")
+    return parts.groupBy(key, "tokens").agg((F.sum("cost") / 100.0).alias("cost"))

@@ -71,19 +71,38 @@ def back_links(owners: DataFrame, owned: DataFrame, key: str, links: str, item:
 def missing_follow_ups(actions: DataFrame, keys: Sequence[str], position: str, trigger: Column, other: Column, follower: Column) -> DataFrame:
     """The rows of actions where `trigger` holds and the next row of the same keys where `other` holds isn't one where
     `follower` holds, or there is none: where a follow-up step must be put in."""
-    w = Window.partitionBy(*keys).orderBy(position).rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy(*keys).orderBy(F.desc(position)).rowsBetween(Window.unboundedPreceding, -1)  # runs backwards: one pass
     flagged = actions.withColumns({"_t": F.coalesce(trigger, F.lit(False)), "_f": F.when(F.coalesce(other, F.lit(False)), F.coalesce(follower, F.lit(False)))})
-    return flagged.withColumn("_next", F.first("_f", ignorenulls=True).over(w)).where(F.col("_t") & ~F.coalesce("_next", F.lit(False))).drop("_t", "_f", "_next")
+    return flagged.withColumn("_next", F.last("_f", ignorenulls=True).over(w)).where(F.col("_t") & ~F.coalesce("_next", F.lit(False))).drop("_t", "_f", "_next")
+
+
+#: Cells that the hashes of a group's rows are cut into.
+CELLS = 1_024
 
 
 def redact(actions: DataFrame, group: Sequence[str], key: Sequence[str], share: float, arguments: str, may: Column, seed: int = 0) -> DataFrame:
     """actions with covered: of each group's rows where `may` holds, the share (at least one if share > 0, rounded down)
-    with the least hash is covered, and its JSON arguments keep their names only, as name=???."""
-    n = F.count_if(may).over(Window.partitionBy(*group))
-    rank = F.row_number().over(Window.partitionBy(*group, may).orderBy(uniform(*key, seed=seed), *key))
-    covered = F.lit(share > 0) & may & (rank <= F.greatest(F.lit(1), F.floor(n * share)))
+    with the least hash is covered, and its JSON arguments keep their names only, as name=???.
+
+    Hashes are cut into CELLS equal cells. Counts of a group's cells say in which cell its share ends: rows in cells before
+    it are covered, and only those in it are ranked, so that a group with most of the rows is spread over its cells. The
+    key names a row; rows that share one are ranked in any order."""
+    u = uniform(*key, seed=seed)
+    names_of = {g: f"_g{i}" for i, g in enumerate(group)}
+    flagged = actions.withColumns({"_may": F.coalesce(may, F.lit(False)), "_u": u, "_cell": F.floor(u * CELLS).cast("int")})
+    cells = flagged.where("_may").groupBy(*(F.col(g).alias(n) for g, n in names_of.items()), F.col("_cell").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*names_of.values())
+    before = F.sum("_n").over(whole.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.withColumns({"_before": F.coalesce(before, F.lit(0)), "_want": F.greatest(F.lit(1), F.floor(F.sum("_n").over(whole) * share))})
+    same = F.col("_cell") == F.col("_c")
+    for g, n in names_of.items():
+        same = same & F.col(g).eqNullSafe(F.col(n))
+    rank = F.row_number().over(Window.partitionBy(*group, "_cell", "_may").orderBy("_u", *key))
+    placed = flagged.join(cells, same, "left").withColumn("_rank", rank)
+    covered = F.lit(share > 0) & F.col("_may") & (F.col("_before") + F.col("_rank") <= F.col("_want"))
+    actions = placed.withColumn("covered", F.coalesce(covered, F.lit(False))).drop("_may", "_u", "_cell", "_c", "_n", "_before", "_want", "_rank", *names_of.values())
     names = F.map_keys(F.from_json(arguments, "map<string,string>"))
-    return actions.withColumn("covered", F.coalesce(covered, F.lit(False))).withColumn("shown", F.when(F.col("covered"), F.array_join(F.transform(F.array_sort(names), lambda k: F.concat(k, F.lit("=???"))), ", ")).otherwise(F.col(arguments)))
+    return actions.withColumn("shown", F.when(F.col("covered"), F.array_join(F.transform(F.array_sort(names), lambda k: F.concat(k, F.lit("=???"))), ", ")).otherwise(F.col(arguments)))
 
 
 def task_rows(tasks: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -71,10 +72,11 @@ def score(p_pos: Column, p_neg: Column, lam: float, eps: float) -> Column:
 def score_table(counts: DataFrame, vocabulary: DataFrame, config: Config = Config()) -> DataFrame:
     """(domain, ctx, token, p_pos, p_neg, score) for every seen context and every token of its domain's vocabulary.
 
-    Contexts come from counts, at most (v+1)^(n-1) per domain whatever the number of sequences is."""
+    Contexts come from counts, at most (v+1)^(n-1) per domain whatever the number of sequences is. This is the whole
+    table; for best continuations and for cells that were seen, see seen_scores()."""
     vocab = vocabulary.select("domain", "token").distinct()
     sizes = vocab.groupBy("domain").agg(F.count(F.lit(1)).alias("v"), F.sort_array(F.collect_set("token")).alias("tokens"))
-    cells = counts.groupBy("domain", "ctx", "token").agg(F.sum(F.when(F.col("sign") == "pos", F.col("w")).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("sign") == "neg", F.col("w")).otherwise(0.0)).alias("neg"))
+    cells = _cells(counts)
     ctx = cells.groupBy("domain", "ctx").agg(F.sum("pos").alias("pos_total"), F.sum("neg").alias("neg_total"), F.map_from_entries(F.collect_list(F.struct("token", F.struct("pos", "neg")))).alias("seen"))
     grid = ctx.alias("c").join(sizes.alias("s"), F.col("c.domain").eqNullSafe(F.col("s.domain"))).select("c.domain", "ctx", "pos_total", "neg_total", "seen", "v", F.explode("tokens").alias("token"))
     got = F.try_element_at("seen", F.col("token"))
@@ -82,6 +84,30 @@ def score_table(counts: DataFrame, vocabulary: DataFrame, config: Config = Confi
     return out.withColumn("score", score(F.col("p_pos"), F.col("p_neg"), config.lam, config.eps))
 
 
+def _cells(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("domain", "ctx", "token").agg(F.sum(F.when(F.col("sign") == "pos", F.col("w")).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("sign") == "neg", F.col("w")).otherwise(0.0)).alias("neg"))
+
+
+def seen_scores(counts: DataFrame, vocabulary: DataFrame, config: Config = Config(), unseen: bool = False) -> DataFrame:
+    """score_table() of the cells that were seen, and with unseen of one more name per context: the first one, in the order
+    of names, that was never seen there, which stands for all of them, as they have one score. No row is made of the
+    product of contexts and names. Names are numbered within their domain, and the first gap in the numbers seen is the
+    first name not seen. Cells of names outside of the vocabulary, such as ends, count in totals only."""
+    sizes = vocabulary.select("domain", "token").distinct().groupBy("domain").agg(F.sort_array(F.collect_set("token")).alias("names"))
+    sizes = sizes.select(F.col("domain").alias("_d"), "names", F.size("names").alias("v"))
+    joined = _cells(counts).join(sizes, F.col("domain").eqNullSafe(F.col("_d"))).withColumn("no", F.array_position("names", F.col("token")))
+    by = joined.groupBy("domain", "ctx").agg(F.first("v").alias("v"), F.sum("pos").alias("pos_total"), F.sum("neg").alias("neg_total"), F.array_sort(F.collect_list(F.when(F.col("no") > 0, F.struct("no", "token", "pos", "neg")))).alias("cells"))
+    each = F.col("cells")
+    if unseen:
+        gap = F.size(F.filter(F.transform("cells", lambda c, i: c["no"] == i + 1), lambda same: same)) + 1
+        by = by.join(sizes.select("_d", "names"), F.col("domain").eqNullSafe(F.col("_d")))
+        none = F.struct(gap.cast("long").alias("no"), F.get("names", gap - 1).alias("token"), F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"))
+        each = F.when(gap <= F.col("v"), F.concat("cells", F.array(none))).otherwise(F.col("cells"))
+    cells = by.select("domain", "ctx", "v", "pos_total", "neg_total", F.explode(each).alias("c"))
+    out = cells.select("domain", "ctx", "c.token", posterior(F.col("c.pos"), F.col("pos_total"), F.col("v"), config.alpha0).alias("p_pos"), posterior(F.col("c.neg"), F.col("neg_total"), F.col("v"), config.alpha0).alias("p_neg"))
+    return out.withColumn("score", score(F.col("p_pos"), F.col("p_neg"), config.lam, config.eps))
+
+
 def temperature(t: Column, tau0: float, decay: float) -> Column:
     """From tau0 at step 0 down to 1."""
     return 1 + (tau0 - 1) * F.exp(-t / decay)
@@ -161,29 +187,51 @@ class Scores:
         return out
 
 
-#: Attempts that one task generates.
-PIECE = 5_000
+#: Attempts that one task generates, and rows of counts and names up to which a model is sent to all workers.
+PIECE, SENT = 5_000, 200_000
 
 
 def generate(attempts: DataFrame, counts: DataFrame, vocabulary: DataFrame, seed: int = 0, config: Config = Config()) -> DataFrame:
     """attempts (domain, attempt, length, tau) with tokens: one sampled sequence each, the same for the same seed and
-    attempt however rows are partitioned. Attempts go in pieces of PIECE, each with its domain's counts, which are as
-    small as the contexts seen. A domain without a vocabulary gives empty sequences; null tokens are none."""
+    attempt however rows are partitioned. A model of up to SENT rows, which are as few as the contexts seen, is sent to
+    the workers, and attempts aren't shuffled; a larger one is joined with attempts in pieces of PIECE. A domain without
+    a vocabulary gives empty sequences; null tokens are none."""
     spec = attempts.select("domain", F.col("attempt").cast("long").alias("attempt"), "length", "tau")
     seen = counts.select("domain", "ctx", "token", "sign", "w")
     none = [F.lit(None).cast("array<string>").alias("ctx"), "token", F.lit(None).cast("string").alias("sign"), F.lit(None).cast("double").alias("w")]
     table = seen.unionByName(vocabulary.where(F.col("token").isNotNull()).select("domain", *none).distinct())
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spec.schema.fields) + ", tokens array<string>"
+
+    def model(rows: list[dict]) -> Scores:
+        return Scores([(r["ctx"], r["token"], r["sign"], r["w"]) for r in rows if r["sign"] is not None], [r["token"] for r in rows if r["sign"] is None], config)
+
+    small = table.limit(SENT + 1).toArrow()
+    if small.num_rows <= SENT:
+        sent = attempts.sparkSession.sparkContext.broadcast(small)
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            by: dict = {}
+            for r in sent.value.to_pylist():
+                by.setdefault(r["domain"], []).append(r)
+            models: dict = {}
+            for b in batches:
+                made = []
+                for d, a, n, tau in zip(*(b.column(c).to_pylist() for c in ("domain", "attempt", "length", "tau"))):
+                    if d not in models:
+                        models[d] = model(by.get(d, []))
+                    made.append(models[d].generate(seed, a, n, tau) if models[d].vocabulary else [])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.list_(pa.string()))], [*b.schema.names, "tokens"])
+
+        return spec.mapInArrow(each, schema)
     last = (spec.agg(F.max("attempt").alias("a")).first()["a"] or 0) // PIECE
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = right.to_pylist()
-        scores = Scores([(r["ctx"], r["token"], r["sign"], r["w"]) for r in rows if r["sign"] is not None], [r["token"] for r in rows if r["sign"] is None], config)
+        scores = model(right.to_pylist())
         made = [scores.generate(seed, a, n, tau) if scores.vocabulary else [] for a, n, tau in zip(*(left.column(c).to_pylist() for c in ("attempt", "length", "tau")))]
         return left.drop_columns(["piece"]).append_column("tokens", pa.array(made, pa.list_(pa.string())))
 
     dealt = spec.withColumn("piece", F.floor(F.col("attempt") / PIECE).cast("int"))
     copied = table.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(last)).cast("array<int>")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spec.schema.fields) + ", tokens array<string>"
     return dealt.groupBy("domain", "piece").cogroup(copied.groupBy("domain", "piece")).applyInArrow(run, schema)
 
 

@@ -14,19 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: How often a string that holds a string that holds JSON is opened.
-OPENINGS = 8
-
-
 def _reject(constant: str):
     raise ValueError(constant)
 
 
 def _open(value):
-    """A value, or the content of a string that holds JSON. A string that begins like JSON and doesn't parse is null."""
-    for _ in range(OPENINGS):
-        if not isinstance(value, str) or (head := value.lstrip()[:1]) not in '{["' or not head:
-            break
+    """A value, or the content of a string that holds JSON, however often it is wrapped: each opening leaves a shorter
+    string. A string that begins like JSON and doesn't parse is null."""
+    while isinstance(value, str) and (head := value.lstrip()[:1]) and head in '{["':
         try:
             value = json.loads(value, parse_constant=_reject)
         except (ValueError, RecursionError):
@@ -152,10 +147,16 @@ def task_tables(tasks: DataFrame) -> DataFrame:
     return child_tables(nodes, "row_id", TASK_TABLES)
 
 
-#: Names of a table's scalars at most; more are an error, as they would be values taken for names.
+#: Names of a table's scalars at most; more are an error, as they would be values taken for names. The long form of
+#: child_tables() and attributes() holds any number.
 MOST_COLUMNS = 2_000
 
 
+def attributes(tables: DataFrame, id_column: str) -> DataFrame:
+    """(id_column, child_table, parent_key, child_key, name, value): every scalar of child_tables(), in long form."""
+    return tables.select(id_column, "child_table", "parent_key", "child_key", F.explode("attrs").alias("name", "value"))
+
+
 def flat_table(tables: DataFrame, id_column: str, child_table: str) -> DataFrame:
     """One of child_tables() as a flat table: id_column, parent_label, label, parent_key, child_key and a text column per
     scalar; names that are taken, in any case, get a suffix. Repeated records count once."""

@@ -125,6 +125,8 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
 EVERY, CENTERS, BUDGET, FULL_BUDGET = 400, 8, 3, 99
 #: Sequences of a sampled pool and rounds of re-clustering, the defaults of the reference.
 POOL, ROUNDS = 2_000, 3
+#: Names of all vocabularies at most, for costs by type.
+MOST_NAMES = 100_000
 #: Rules on the order of steps, for ordering_violations().
 ORDER_RULES = [("only_last", {"transfer_to_human_agents"}, set()), ("first_block", {"find_user_id_by_email", "find_user_id_by_name_zip"}, set()), ("before", {"get_user_details"}, {"cancel_reservation"}), ("between", {"get_order_details"}, {"return_delivered_order_items", "exchange_delivered_order_items"}), ("not_after", {"resume_line"}, {"reboot_device"})]
 
@@ -181,14 +183,13 @@ def context_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def seen_scores(spark: SparkSession, d: str) -> DataFrame:
     """Posteriors and signed scores of the n-grams that were seen."""
-    counts = cut(_counts(spark, d))
-    scores = ngram.score_table(counts, _vocab(spark, d)).join(counts.select("domain", "ctx", "token").distinct(), ["domain", "ctx", "token"], "left_semi")
+    scores = ngram.seen_scores(_counts(spark, d), _vocab(spark, d))
     return scores.select("domain", F.array_join("ctx", ">").alias("ctx"), "token", *(F.round(c, 7).alias(c) for c in ("p_pos", "p_neg", "score")))
 
 
 def top_continuation(spark: SparkSession, d: str) -> DataFrame:
-    """The best continuation of each context."""
-    scores = ngram.score_table(_counts(spark, d), _vocab(spark, d))
+    """The best continuation of each context; one unseen name stands for all of them."""
+    scores = ngram.seen_scores(_counts(spark, d), _vocab(spark, d), unseen=True)
     best = scores.groupBy("domain", "ctx").agg(F.min(F.struct((-F.round("score", 7)).alias("s"), "token")).alias("b"))
     return best.select("domain", F.array_join("ctx", ">").alias("ctx"), F.col("b.token").alias("token"), (-F.col("b.s")).alias("score"))
 
@@ -204,7 +205,7 @@ def window_acceptance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def write_fractions(spark: SparkSession, d: str) -> DataFrame:
-    joined = _members(spark, d).join(F.broadcast(sequences.type_map(_vocab(spark, d))), "domain", "left")
+    joined = _members(spark, d).join(sequences.type_map(_vocab(spark, d)), "domain", "left")
     types = F.coalesce("types", F.create_map().cast("map<string,string>"))
     return joined.select("domain", "seq_id", F.round(sequences.write_fraction(F.col("tokens"), types), 9).alias("write_fraction"), sequences.only_writes(F.col("tokens"), types).alias("only_writes"))
 
@@ -243,19 +244,23 @@ def edit_distances(spark: SparkSession, d: str) -> DataFrame:
 
 def weighted_distances(spark: SparkSession, d: str) -> DataFrame:
     """Weighted edit distance of each member to its medoid; types come from the vocabulary, a table of fixed size."""
-    return distance.weighted(_to_medoid(spark, d), "tokens", "medoid", distance.Costs(_types(_vocab(spark, d)))).select("domain", "seq_id", F.round("distance", 2).alias("distance"))
+    return distance.weighted(_to_medoid(spark, d), "tokens", "medoid", _costs(_vocab(spark, d))).select("domain", "seq_id", F.round("distance", 2).alias("distance"))
 
 
 def _medoids(spark: SparkSession, d: str) -> DataFrame:
     """The medoids of each domain, placed by the size of their clusters."""
     sizes = _members(spark, d).groupBy("domain", "cluster_key").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("is_medoid"), F.struct("seq_id", "tokens"))).alias("m")).where("m is not null")
     rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("n"), "cluster_key"))
-    return sizes.withColumn("place", rank - 1).select("domain", "place", "cluster_key", F.col("m.tokens").alias("tokens"))
+    return sizes.withColumn("rank", rank).select("domain", "rank", "cluster_key", F.col("m.tokens").alias("tokens"))
+
+
+def _placed(ranked: DataFrame) -> DataFrame:
+    return ranked.withColumn("place", F.col("rank") - 1).drop("rank")
 
 
 def _centers(spark: SparkSession, d: str) -> DataFrame:
     """The medoids of the CENTERS largest clusters of each domain."""
-    return _medoids(spark, d).where(F.col("place") < CENTERS).drop("cluster_key")
+    return _placed(_medoids(spark, d).where(F.col("rank") <= CENTERS)).drop("cluster_key")
 
 
 def nearest_center(spark: SparkSession, d: str) -> DataFrame:
@@ -275,7 +280,7 @@ def center_pairs(spark: SparkSession, d: str) -> DataFrame:
 def nearest_medoid(spark: SparkSession, d: str) -> DataFrame:
     """Distance of each sequence to all medoids of its domain, in blocks; nearest is a place, those of larger clusters first."""
     members = cut(_members(spark, d).select("domain", "seq_id", "tokens").distinct())
-    medoids = cut(_medoids(spark, d))
+    medoids = cut(_placed(_medoids(spark, d)))
     found = distance.to_sets(members, medoids).join(medoids.select("domain", F.col("place").alias("nearest"), F.col("cluster_key").alias("nearest_cluster")), ["domain", "nearest"])
     out = members.join(found, ["domain", "tokens"], "left")
     return out.select("domain", "seq_id", F.round("min_distance", 9).alias("min_distance"), "nearest", "nearest_cluster", F.round("mean_distance", 9).alias("mean_distance"))
@@ -283,7 +288,7 @@ def nearest_medoid(spark: SparkSession, d: str) -> DataFrame:
 
 def medoid_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Plain edit distances of all pairs of medoids of a domain, in blocks of pairs."""
-    return distance.all_pairs(cut(_medoids(spark, d)).withColumnRenamed("place", "idx"), distance.Costs(None), limit=None)
+    return distance.all_pairs(cut(_placed(_medoids(spark, d))).withColumnRenamed("place", "idx"), distance.Costs(None))
 
 
 def pool_distances(spark: SparkSession, d: str) -> DataFrame:
@@ -291,12 +296,18 @@ def pool_distances(spark: SparkSession, d: str) -> DataFrame:
     counts, vocab = cut(_counts(spark, d)), _vocab(spark, d)
     drawn = lengths.skew_normal(lengths.LengthConfig("skew_normal", 7.0, 5.0, 2.0, 1, 15), F.lit(1.0), F.lit(15.0), "domain", "attempt")
     pool = pipeline.sample_pool(counts, vocab, POOL, drawn, seed=5)
-    return distance.all_pairs(cut(pool), distance.Costs(_types(vocab)))
+    return distance.all_pairs(cut(pool), _costs(vocab))
 
 
-def _types(vocab: DataFrame) -> dict[str, str]:
-    """The types of a vocabulary, a table of fixed size."""
-    return {r.token: r.type for r in sequences.action_types(vocab).select("token", "type").distinct().limit(10_000).collect()}
+def _costs(vocab: DataFrame) -> distance.DomainCosts:
+    """Costs by the types of each domain's vocabulary, of MOST_NAMES names at most; more are an error."""
+    rows = sequences.action_types(vocab).select("domain", "token", "type").distinct().limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names in the vocabularies")
+    types: dict = {}
+    for r in rows:
+        types.setdefault(r.domain, {})[r.token] = r.type
+    return distance.DomainCosts(types)
 
 
 def cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -496,7 +507,7 @@ def clustered_pool(spark: SparkSession, d: str) -> DataFrame:
     counts, vocab = cut(_counts(spark, d)), _vocab(spark, d)
     config = lengths.LengthConfig("skew_normal", 7.0, 5.0, 2.0, 1, 15)
     drawn = lengths.skew_normal(config, F.lit(1.0), F.lit(15.0), "domain", "attempt")
-    out = pipeline.cluster_and_validate(spark, counts, vocab, providers.by_rules(vocab), 12, POOL, drawn, distance.Costs(_types(vocab)), seed=42, rounds=ROUNDS)
+    out = pipeline.cluster_and_validate(spark, counts, vocab, providers.by_rules(vocab), 12, POOL, drawn, _costs(vocab), seed=42, rounds=ROUNDS)
     return out.select("domain", "cluster_idx", "status", F.array_join("final_sequence", ">").alias("final_sequence"), "attempts")
 
 

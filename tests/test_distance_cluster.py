@@ -93,10 +93,37 @@ def test_medoid_update_and_ties():
     assert C.init(np.zeros((3, 3)), 2, 1, frozen=[0]) == [] and len(C.init(np.zeros((3, 3)), 2, 1)) == 2
 
 
-def test_large_pools_are_an_error(spark):
-    rows = [("d", D.POOL, ["a"]), ("d", 0, ["b"])]
-    with pytest.raises(Exception, match="too large"):
-        D.all_pairs(spark.createDataFrame(rows, "domain string, idx int, tokens array<string>"), D.Costs(None)).collect()
+def test_pools_larger_than_a_kept_matrix_give_the_same(spark, monkeypatch):
+    pool = [(d, i, t, d == "e" and i == 3) for d in "de" for i, t in enumerate(two_groups(20))]
+    df = spark.createDataFrame(pool, "domain string, idx int, tokens array<string>, is_frozen boolean")
+    costs = D.DomainCosts({"d": {"a": "READ", "z": "WRITE"}})
+    want = sorted(map(tuple, C.k_medoids(df, 3, costs, seed=5, bias=0.2).collect()))
+    monkeypatch.setattr(C, "POOL", 10)
+    monkeypatch.setattr(C, "ROWS", 7)
+    assert sorted(map(tuple, C.k_medoids(df, 3, costs, seed=5, bias=0.2).collect())) == want
+
+
+def test_more_distinct_tokens_than_the_alphabet(spark):
+    n = len(D.ALPHABET)
+    a, b = [f"t{i}" for i in range(n + 50)], [f"t{i}" for i in range(n + 50) if i % 1000]
+    df = spark.createDataFrame([(a, b, 1), (a, a[:-1] + ["new"], 1), (["x"], ["y"], 1)], "a array<string>, b array<string>, k int")
+    assert [r[0] for r in df.select(D.edit_distance(F.col("a"), F.col("b"))).collect()] == [5, 1, 1]
+
+
+def test_costs_go_by_domain(spark):
+    df = spark.createDataFrame([("d", ["get_a"], ["get_b"]), ("e", ["get_a"], ["get_b"]), (None, ["get_a"], ["put_b"])], "domain string, a array<string>, b array<string>")
+    costs = D.DomainCosts({"d": {"get_a": "READ", "get_b": "READ"}, "e": {"get_a": "READ", "get_b": "WRITE"}})
+    assert [r.distance for r in D.weighted(df, "a", "b", costs).collect()] == [0.33, 1.0, 0.66]
+
+
+@pytest.mark.parametrize("block", [250, 2])
+def test_medoid_costs(spark, block, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", block)
+    lists = [list(w) for w in ("abc", "abd", "", "xyz", "ab", "ab", "c")]
+    df = spark.createDataFrame([("d", k, t) for k in (1, 2) for t in lists[: 3 * k + 1]] + [("d", None, ["q"]), ("d", 3, None)], "domain string, cluster_key long, tokens array<string>")
+    got = {(r.cluster_key, tuple(r.tokens)): r.cost for r in D.medoid_costs(df, D.Costs(None)).collect()}
+    want = {(k, tuple(t)): sum(slow(t, o, D.Costs(None)) for o in lists[: 3 * k + 1]) / 100 for k in (1, 2) for t in lists[: 3 * k + 1]}
+    assert got == want | {(3, ()): 0.0}
 
 
 def test_pool_keeps_first_of_equal_ones(spark, rows):
@@ -168,10 +195,8 @@ def test_distances_to_sets_in_blocks(spark, rows, places, monkeypatch):
     assert set(got) == set(want) and all(got[k][:2] == want[k][:2] and got[k][2] == pytest.approx(want[k][2]) for k in want)
 
 
-def test_pairs_of_a_pool_over_the_limit(spark, monkeypatch):
+def test_pairs_of_a_pool_of_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK", 3)
     df = spark.createDataFrame([("p", i, ["a"] * i) for i in range(12)], "domain string, idx int, tokens array<string>")
-    got = D.all_pairs(df, D.Costs(None), limit=None).collect()
+    got = D.all_pairs(df, D.Costs(None)).collect()
     assert len(got) == 66 and all(r.distance == r.j - r.i for r in got)
-    with pytest.raises(Exception, match="too large"):
-        D.all_pairs(df, D.Costs(None), limit=11).collect()

@@ -62,6 +62,19 @@ def test_follow_up_steps(spark, rows):
     assert check("A resume", "U other", "U reboot") == [0] and check("A resume") == [0]
 
 
+def test_follow_ups_of_one_large_key_are_linear(spark):
+    n = 200_000
+    df = spark.range(n).select(F.lit("k").alias("k"), F.col("id").alias("pos"), F.when(F.col("id") % 3 == 0, "resume").otherwise("other").alias("name"))
+    assert N.missing_follow_ups(df, ["k"], "pos", F.col("name") == "resume", F.lit(True), F.col("name") == "reboot").count() == -(-n // 3)
+
+
+def test_redaction_of_one_large_group_by_brute_force(spark):
+    df = spark.range(20_000).select(F.lit(None).cast("string").alias("g"), F.col("id").alias("i"), F.lit("{}").alias("args"))
+    out = N.redact(df, ["g"], ["i"], 0.3, "args", F.col("i") % 2 == 0, seed=4).withColumn("u", N.uniform("i", seed=4)).collect()
+    u = sorted((r.u, r.i) for r in out if r.i % 2 == 0)
+    assert {r.i for r in out if r.covered} == {i for _, i in u[:3000]}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, i, "assistant" if i < 6 else "user", '{"b": 1, "a": 2}') for i in range(9)], "g int, i int, who string, args string")
     may = F.col("who") == "assistant"

@@ -51,6 +51,13 @@ def test_deep_long_and_empty(spark):
     assert found(spark, []) == []
 
 
+def test_strings_wrapped_many_times(spark):
+    doc = state({"users": {"a": {}}})
+    for _ in range(11):
+        doc = json.dumps(doc)
+    assert found(spark, [(doc, None), (json.dumps('"'), None)]) == [(0, "user", "", "a")]
+
+
 def test_names_with_separators_are_no_paths(spark):
     assert found(spark, [(json.dumps({"initialization_data/agent_data": {"users": {"a": {}}}}), None)]) == []
 
