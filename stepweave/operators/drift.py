@@ -1,12 +1,19 @@
 """Schemas that drift between files, by tagged-union inference.
 
 Every value keeps a tag, its kind. Per file and field the tags are counted (the union of alternatives of that path),
-counts of separate parts add up, so parts of a file fuse in any order. Files of a feed are compared in the order of
-their export; conflicting kinds become typed branches beside one canonical text in consistent().
+counts of separate parts add up, so parts of a file fuse in any order. paths() does so for every path below the top
+level too. Files of a feed are compared in the order of their export; conflicting kinds become typed branches beside one
+canonical text in consistent().
 """
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+from collections.abc import Iterator
+from decimal import Decimal
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +21,11 @@ from ..session import checked_broadcast, cut
 
 #: Kinds of values, in the order that settles ties of the most frequent one.
 KINDS = ("string", "integer", "decimal", "boolean", "array", "object")
+_KIND_OF = {str: "string", int: "integer", Decimal: "decimal", bool: "boolean", list: "array", dict: "object", type(None): "null"}
 #: A file has a field when more than one in so many of its records carry it.
 CARRY = 20
 #: A field was renamed when at least so many of so many pairs of values agree.
 AGREE, OF = 4, 5
-#: Chains of up to 2 to the power of this many renames are followed.
-DOUBLINGS = 30
 
 
 def tagged(raw: DataFrame, ids: dict[str, str]) -> DataFrame:
@@ -101,19 +107,63 @@ def alternatives(fields: DataFrame) -> DataFrame:
     return both.where((F.col("n") > 0) & (F.col("old_n") == 0)).select("feed_id", "file_no", "field", "kind", "n")
 
 
+def paths(fields: DataFrame) -> DataFrame:
+    """Alternative types of every path: (feed_id, file_no, path, kind, n), in how many records of a file a path has a kind.
+
+    fields are those of tagged(). A path is a field's name, then `.name` for the members of an object and `[]` for the
+    elements of an array, at any depth; kinds are those of KINDS and `null`. A record that has a kind at a path
+    repeatedly, as in an array, counts once. Each batch of records is summed up before the only shuffle."""
+    kept = fields.select("feed_id", "file_no", "field", "kind", F.when(F.col("kind").isin("array", "object"), F.col("text")).alias("below"))
+    scalar = kept.where(F.col("below").isNull()).select("feed_id", "file_no", F.col("field").alias("path"), F.coalesce("kind", F.lit("null")).alias("kind"), F.lit(1).cast("long").alias("n"))
+    spec = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts: Counter = Counter()
+            for feed, file, field, text in zip(*(b.column(c).to_pylist() for c in ("feed_id", "file_no", "field", "below"))):
+                found, todo = set(), [(field, json.loads(text, parse_float=Decimal))]
+                while todo:
+                    path, v = todo.pop()
+                    found.add((path, _KIND_OF[type(v)]))
+                    if isinstance(v, dict):
+                        todo.extend((f"{path}.{k}", x) for k, x in v.items())
+                    elif isinstance(v, list):
+                        todo.extend((path + "[]", x) for x in v)
+                counts.update((feed, file, p, k) for p, k in found)
+            feeds, files, ps, ks = zip(*counts) if counts else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(feeds, b.schema.field("feed_id").type), pa.array(files, b.schema.field("file_no").type), pa.array(ps, pa.string()), pa.array(ks, pa.string()), pa.array(list(counts.values()), pa.int64())], ["feed_id", "file_no", "path", "kind", "n"])
+
+    deep = kept.where(F.col("below").isNotNull()).mapInArrow(walk, f"feed_id {spec['feed_id']}, file_no {spec['file_no']}, path string, kind string, n long")
+    return scalar.unionByName(deep).groupBy("feed_id", "file_no", "path", "kind").agg(F.sum("n").alias("n"))
+
+
+def path_alternatives(fields: DataFrame) -> DataFrame:
+    """(feed_id, file_no, path, kind, n): kinds that a path has in a file and hadn't in the file before, which has the path as
+    well: where a type begins to drift, below the top level too. Paths that come anew are no alternatives."""
+    files, _ = file_fields(fields)
+    follow = files.where(F.col("prev_no").isNotNull()).select("feed_id", "file_no", "prev_no")
+    each = cut(paths(fields))
+    old = each.groupBy("feed_id", F.col("file_no").alias("prev_no"), "path").agg(F.collect_set("kind").alias("before"))  # seven kinds at most
+    both = each.join(follow, ["feed_id", "file_no"]).join(old, ["feed_id", "prev_no", "path"])
+    return both.where(~F.array_contains("before", F.col("kind"))).select("feed_id", "file_no", "path", "kind", "n")
+
+
 def lineages(change_rows: DataFrame) -> DataFrame:
     """The canonical name of each renamed field: (feed_id, field, canonical), the name that a chain of renames began
-    with. Chains are followed by pointer doubling over the renames alone, whose number is that of schema changes, not
-    of rows. Where renames merge or circle, the least name that is reached is kept."""
+    with; of several old names the least is followed. A chain that ends in a circle has no beginning: its least name
+    counts. Chains are followed by pointer doubling over the renames alone, whose number is that of schema changes, not
+    of rows: after k rounds a name knows the least of the 2^k names behind it and the first one, if it is among them. When
+    a round changes neither, every chain has been followed to its end and every circle once around."""
     step = change_rows.where((F.col("change") == "renamed") & (F.col("old_field") != F.col("new_field"))).groupBy("feed_id", F.col("new_field").alias("field")).agg(F.min("old_field").alias("to"))
-    step = cut(step)
-    for _ in range(DOUBLINGS):
-        over = step.select("feed_id", F.col("field").alias("to"), F.col("to").alias("further"))
-        moved = cut(step.join(over, ["feed_id", "to"], "left").select("feed_id", "field", F.when(F.col("further") == F.col("field"), F.least("field", "to")).otherwise(F.coalesce("further", "to")).alias("to"), F.col("to").alias("was")))
-        step = moved.drop("was")
-        if not moved.where(F.col("to") != F.col("was")).limit(1).count():
+    step = cut(step.select("feed_id", "field", "to", F.least("field", "to").alias("least"), F.lit(True).alias("open")))
+    while True:
+        over = step.select("feed_id", F.col("field").alias("to"), F.col("to").alias("further"), F.col("least").alias("low"), F.col("open").alias("more"))
+        moved = step.join(over, ["feed_id", "to"], "left").select("feed_id", "field", F.coalesce("further", "to").alias("to"), F.coalesce(F.least("least", "low"), "least").alias("least"), F.coalesce("more", F.lit(False)).alias("open"), F.col("least").alias("was"), F.col("open").alias("was_open"))
+        moved = cut(moved)
+        step = moved.drop("was", "was_open")
+        if not moved.where((F.col("least") != F.col("was")) | (F.col("open") != F.col("was_open"))).limit(1).count():
             break
-    return step.select("feed_id", "field", F.col("to").alias("canonical"))
+    return step.select("feed_id", "field", F.when(F.col("open"), F.col("least")).otherwise(F.col("to")).alias("canonical"))
 
 
 def consistent(fields: DataFrame, change_rows: DataFrame) -> DataFrame:
@@ -138,6 +188,7 @@ TELECOM_IDS = {"device": "device_id", "customers": "customer_id", "lines": "line
 
 
 #: Fields of an entity's table at most; more are an error, as they would be values taken for names.
+#: The long form of consistent() holds any number.
 MOST_FIELDS = 5_000
 _TYPES = {"string": "string", "integer": "bigint", "decimal": "double", "boolean": "boolean", "array": "string", "object": "string"}
 

@@ -57,10 +57,9 @@ WITH fields AS (
 )
 """
 
-SQL: dict[str, str] = {
-    "p1_found": _ORPHANS + "SELECT DISTINCT src_table, src_row_id, ref_field, ref_key FROM orphan",
-    "p1_periods": _ORPHANS + "SELECT src_table, ref_field, strftime(seen_at, '%Y-%m') AS period, count(*) AS n_orphans, count(DISTINCT ref_key) AS n_keys FROM orphan GROUP BY ALL",
-    "p6_found": _TREE
+#: What comes, goes and is renamed from file to file.
+_CHANGES = (
+    _TREE
     + """, pair AS (
   SELECT o.feed_id, o.file_no, o.prev_no FROM ordered o WHERE o.prev_no IS NOT NULL
 ), now AS (
@@ -79,7 +78,27 @@ SQL: dict[str, str] = {
   WHERE a.text IS NOT NULL AND b.text IS NOT NULL
   GROUP BY ALL HAVING 5 * count(*) FILTER (a.text = b.text) >= 4 * count(*)
 )
-SELECT feed_id, file_no, 'renamed' AS change, old_field, new_field FROM renamed
+"""
+)
+
+_KIND = "WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'integer' WHEN 'UBIGINT' THEN 'integer' WHEN 'HUGEINT' THEN 'integer' WHEN 'DOUBLE' THEN 'decimal' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'null'"
+
+_PATHS = (
+    _TREE
+    + f""", pathed AS (
+  SELECT feed_id, file_no, path, kind, count(DISTINCT row_id) AS n FROM (
+    SELECT s.feed_id, s.file_no, s.row_id, CASE t.type {_KIND} END AS kind, regexp_replace(regexp_replace(substr(t.fullkey, 3), '\\[[0-9]+\\]', '[]', 'g'), '"', '', 'g') AS path
+    FROM (SELECT feed_id, file_no, row_id, body::JSON AS body FROM telecom_snapshots WHERE json_valid(body)) s, json_tree(s.body) t WHERE t.fullkey <> '$')
+  GROUP BY ALL
+)
+"""
+)
+
+SQL: dict[str, str] = {
+    "p1_found": _ORPHANS + "SELECT DISTINCT src_table, src_row_id, ref_field, ref_key FROM orphan",
+    "p1_periods": _ORPHANS + "SELECT src_table, ref_field, strftime(seen_at, '%Y-%m') AS period, count(*) AS n_orphans, count(DISTINCT ref_key) AS n_keys FROM orphan GROUP BY ALL",
+    "p6_found": _CHANGES
+    + """SELECT feed_id, file_no, 'renamed' AS change, old_field, new_field FROM renamed
 UNION ALL SELECT feed_id, file_no, 'added', '', field FROM come c WHERE NOT EXISTS (FROM renamed r WHERE r.feed_id = c.feed_id AND r.file_no = c.file_no AND r.new_field = c.field)
 UNION ALL SELECT feed_id, file_no, 'removed', field, '' FROM gone g WHERE NOT EXISTS (FROM renamed r WHERE r.feed_id = g.feed_id AND r.file_no = g.file_no AND r.old_field = g.field)
 UNION ALL SELECT feed_id, file_no, 'retyped', field, field FROM now JOIN was USING (feed_id, file_no, field) WHERE now.kind <> was.kind""",
@@ -87,6 +106,26 @@ UNION ALL SELECT feed_id, file_no, 'retyped', field, field FROM now JOIN was USI
     + """SELECT c.feed_id, c.file_no, c.field, c.kind, c.n FROM counted c JOIN present p USING (feed_id, file_no, field) JOIN ordered o USING (feed_id, file_no)
 JOIN present b ON b.feed_id = c.feed_id AND b.file_no = o.prev_no AND b.field = c.field
 WHERE c.kind IS NOT NULL AND NOT EXISTS (FROM counted x WHERE x.feed_id = c.feed_id AND x.file_no = o.prev_no AND x.field = c.field AND x.kind = c.kind)""",
+    "p6_table": _CHANGES
+    + """, step AS (
+  SELECT feed_id, new_field AS field, min(old_field) AS was FROM renamed WHERE old_field <> new_field GROUP BY ALL
+), back AS (
+  WITH RECURSIVE b(feed_id, field, upto, seen) AS (
+    SELECT feed_id, field, was, [field, was] FROM step
+    UNION ALL SELECT b.feed_id, b.field, s.was, list_append(b.seen, s.was) FROM b JOIN step s ON s.feed_id = b.feed_id AND s.field = b.upto WHERE NOT list_contains(b.seen[:-2], b.upto)
+  ) SELECT feed_id, field, arg_max(upto, len(seen)) AS upto, arg_max(seen, len(seen)) AS seen FROM b GROUP BY ALL
+), named AS (
+  SELECT b.feed_id, b.field, CASE WHEN EXISTS (FROM step s WHERE s.feed_id = b.feed_id AND s.field = b.upto) THEN list_min(b.seen) ELSE b.upto END AS canonical FROM back b
+)
+SELECT f.entity, f.feed_id, f.file_no, f.row_id, f.record_id, coalesce(n.canonical, f.field) AS field, f.field AS source_field, f.kind,
+  CASE WHEN kind = 'string' THEN text END AS as_string, CASE WHEN kind = 'integer' THEN try_cast(text AS BIGINT) END AS as_integer, CASE WHEN kind = 'decimal' THEN round(try_cast(text AS DOUBLE), 6) END AS as_decimal,
+  CASE WHEN kind = 'boolean' THEN text::BOOLEAN END AS as_boolean, CASE WHEN kind IN ('array', 'object') THEN text END AS as_json, text AS canonical
+FROM fields f LEFT JOIN named n USING (feed_id, field)""",
+    "p6_paths": _PATHS + "SELECT * FROM pathed",
+    "p6_path_alternatives": _PATHS
+    + """SELECT p.* FROM pathed p JOIN ordered o USING (feed_id, file_no)
+WHERE EXISTS (FROM pathed b WHERE b.feed_id = p.feed_id AND b.file_no = o.prev_no AND b.path = p.path)
+AND NOT EXISTS (FROM pathed b WHERE b.feed_id = p.feed_id AND b.file_no = o.prev_no AND b.path = p.path AND b.kind = p.kind)""",
     "p6_kinds": _TREE + "SELECT c.feed_id, c.file_no, c.field, c.kind, c.n FROM counted c JOIN present p USING (feed_id, file_no, field) WHERE c.kind IS NOT NULL",
 }
 

@@ -78,6 +78,11 @@ def _fields(spark: SparkSession, d: str) -> DataFrame:
     return drift.tagged(table(spark, d, "telecom_snapshots"), drift.TELECOM_IDS)
 
 
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    """The same, for queries that read it several times: bodies are parsed once."""
+    return cut(_fields(spark, d))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(_fields(spark, d))
 
@@ -90,11 +95,21 @@ def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_alternatives(spark: SparkSession, d: str) -> DataFrame:
     """Kinds of values that a field has in a file and hadn't in the file before."""
-    return drift.alternatives(_fields(spark, d))
+    return drift.alternatives(_parsed(spark, d))
+
+
+def p6_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The union of kinds of each path, below the top level too, in each file, with counts."""
+    return drift.paths(_fields(spark, d))
+
+
+def p6_path_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds that a path has in a file and hadn't in the file before."""
+    return drift.path_alternatives(_parsed(spark, d))
 
 
 def _entity(spark: SparkSession, d: str, entity: str) -> DataFrame:
-    fields = _fields(spark, d)
+    fields = _parsed(spark, d)
     _, present = drift.file_fields(fields)
     out = drift.entity_table(cut(drift.consistent(fields, cut(drift.changes(fields)))), cut(present.drop("kinds")), entity)
     return out.withColumn("other", F.to_json("other"))
@@ -117,8 +132,9 @@ def p6_customers(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_table(spark: SparkSession, d: str) -> DataFrame:
     """All records of all files in one consistent table."""
-    fields = _fields(spark, d)
-    return drift.consistent(fields, cut(drift.changes(fields)))
+    fields = _parsed(spark, d)
+    long = drift.consistent(fields, cut(drift.changes(fields)))
+    return long.withColumn("as_decimal", F.round("as_decimal", 6))
 
 
 #: Steps of a window of acceptance, medoids of a domain that sequences are compared with, tries for a replacement and those of the reference.
@@ -521,7 +537,7 @@ def stream_daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_periods, p1_current, p1_folds, p3_found, p3_tables, p3_legs, p6_found, p6_kinds, p6_table, p6_alternatives, p6_lines, p6_device, p6_customers, seq_tokens, seed_sequences, seq_length_stats, length_histogram, ngram_counts, context_totals, seen_scores, top_continuation, temperature_schedule, window_acceptance, write_fractions, token_classes, rubric_verdicts, ordering_rules, duplicate_status, edit_distances, weighted_distances, nearest_center, center_pairs, nearest_medoid, medoid_pairs, pool_distances, cluster_sizes, medoid_replacement, validation_status, merged_validation, first_valid_member, pending_clusters, write_summary, full_medoid_replacement, full_validation_status, full_merged_validation, full_write_summary, missing_users, unlisted_reservations, users_over_limit, reused_flights, ambiguous_flights, rule_chain, merged_users, merged_reservation_lists, back_links, flight_dates, follow_ups, redacted_arguments, argument_parse_stages, template_marks, task_actions, task_changes, trial_mismatches, all_trial_mismatches, sampled_sequences, clustered_pool, stream_daily)}
+    return {f.__name__: f for f in (p1_found, p1_periods, p1_current, p1_folds, p3_found, p3_tables, p3_legs, p6_found, p6_kinds, p6_table, p6_alternatives, p6_paths, p6_path_alternatives, p6_lines, p6_device, p6_customers, seq_tokens, seed_sequences, seq_length_stats, length_histogram, ngram_counts, context_totals, seen_scores, top_continuation, temperature_schedule, window_acceptance, write_fractions, token_classes, rubric_verdicts, ordering_rules, duplicate_status, edit_distances, weighted_distances, nearest_center, center_pairs, nearest_medoid, medoid_pairs, pool_distances, cluster_sizes, medoid_replacement, validation_status, merged_validation, first_valid_member, pending_clusters, write_summary, full_medoid_replacement, full_validation_status, full_merged_validation, full_write_summary, missing_users, unlisted_reservations, users_over_limit, reused_flights, ambiguous_flights, rule_chain, merged_users, merged_reservation_lists, back_links, flight_dates, follow_ups, redacted_arguments, argument_parse_stages, template_marks, task_actions, task_changes, trial_mismatches, all_trial_mismatches, sampled_sequences, clustered_pool, stream_daily)}
 
 
 def oracle_sql() -> dict[str, str]:

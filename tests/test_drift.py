@@ -69,3 +69,20 @@ def test_entity_table_has_branches_and_keeps_strays(spark):
     assert [(r.a, r.a__integer) for r in rows[:2]] == [("0", 0), ("1", 1)] and (rows[10].a, rows[10].a__integer) == ("no", None)
     assert rows[11].other == {"odd": "1"} and rows[0].other == {} and rows[0].stray == "[0]"
     assert D.entity_table(D.consistent(fields, D.changes(fields)), present, "device").count() == 0
+
+
+def test_lineages_of_chains_merges_and_circles(spark, rows):
+    renames = [(f"f{i:03}", f"f{i + 1:03}") for i in range(40)] + [("b", "c"), ("c", "d"), ("d", "b"), ("d", "tail"), ("y", "z"), ("x", "z"), ("q", "q")]
+    df = spark.createDataFrame([(1, 2, "renamed", a, b) for a, b in renames] + [(2, 2, "renamed", "p", "b"), (1, 2, "added", "", "n")], "feed_id long, file_no long, change string, old_field string, new_field string")
+    want = [(1, f"f{i:03}", "f000") for i in range(1, 41)] + [(1, x, "b") for x in ("b", "c", "d", "tail")] + [(1, "z", "x"), (2, "b", "p")]
+    assert rows(D.lineages(df)) == sorted(want, key=repr)
+
+
+def test_kinds_of_paths_below_the_top_level(spark, rows):
+    a = recs(2, lambda i: {"p": {"q": [1, 2.5, {"r": None}] if i else []}, "s": "{}"})
+    b = recs(1, lambda i: {"p": {"q": "gone"}, "s": {}})
+    fields = D.tagged(table(spark, [(1, 1, a), (2, 2, b)]), D.TELECOM_IDS)
+    got = rows(D.paths(fields).where("path not in ('line_id')").select("file_no", "path", "kind", "n"))
+    first = [("p", "object", 2), ("p.q", "array", 2), ("p.q[]", "integer", 1), ("p.q[]", "decimal", 1), ("p.q[]", "object", 1), ("p.q[].r", "null", 1), ("s", "string", 2)]
+    assert got == sorted([(1, *x) for x in first] + [(2, "p", "object", 1), (2, "p.q", "string", 1), (2, "s", "object", 1)], key=repr)
+    assert rows(D.path_alternatives(fields).select("file_no", "path", "kind", "n")) == [(2, "p.q", "string", 1), (2, "s", "object", 1)]
