@@ -1,20 +1,25 @@
-"""Encoding with a byte-level BPE of given ranks, by merge replay over the words of many texts at once.
+"""Encoding with a byte-level BPE of given ranks, by merge replay over the words of the whole corpus.
 
-The distinct words of a batch that weren't met before are laid out as bytes in one array. An inverted index leads from
-each pair's rank to the positions where that pair begins; merges are replayed in the order of their ranks, each at all
-of its positions, and only the neighbours of a merge get new entries. Texts are then put together from their words.
+The distinct words of the corpus that are no token as a whole are gathered first, each is replayed once, and texts are
+then put together from their words. In a replay many words are laid out as bytes in one array. An inverted index leads
+from each pair's rank to the positions where that pair begins; merges are replayed in the order of their ranks, each at
+all of its positions, and only the neighbours of a merge get new entries. The table of replayed words is bounded: of a
+corpus with more distinct words, those that few tasks met are replayed where they are met again, with the same result.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import cut
 
 #: Where the vocabulary is unless a caller says otherwise.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -24,6 +29,8 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}
 REMEMBERED = 400_000
 #: Longer pieces of a text aren't remembered.
 LONG = 48
+#: Words of the corpus whose ids are sent to all workers, at most, and words that are replayed together.
+WORDS, TOGETHER = 300_000, 50_000
 
 
 class MergeReplay:
@@ -95,10 +102,11 @@ class MergeReplay:
 
 
 class Encoder:
-    """Texts to ids. Keeps what it learned of words and pieces between batches."""
+    """Texts to ids. Keeps what it learned of words and pieces between batches, beside the words that it is given."""
 
-    def __init__(self, vocabulary: bytes):
+    def __init__(self, vocabulary: bytes, given: dict[str, tuple[int, ...]] | None = None):
         self.replay = MergeReplay({base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)})
+        self.given = given or {}
         self.split = regex.compile(WORD).findall
         self.words: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
@@ -117,6 +125,24 @@ class Encoder:
         pieces.append(now)
         return pieces
 
+    def new_words(self, texts: list[str | None]) -> list[str]:
+        """The distinct words of texts that are no token as a whole and were not met before in this way."""
+        if len(self.words) + len(self.pieces) > 2 * REMEMBERED:
+            self.words.clear()
+            self.pieces.clear()
+        found: dict[str, None] = {}
+        pieces, words, ranks = self.pieces, self.words, self.replay.ranks
+        for t in texts:
+            for p in {*self.cut(t)} if t else ():
+                if p not in pieces:
+                    if len(p) <= LONG:
+                        pieces[p] = ()
+                    for w in self.split(p):
+                        if w not in words and w not in found and w.encode() not in ranks:
+                            found[w] = None
+        words.update((w, ()) for w in found if len(w) <= LONG)
+        return list(found)
+
     def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
         """The ids of each text, in order; none for empty and null texts."""
         if len(self.words) + len(self.pieces) > 2 * REMEMBERED:
@@ -126,8 +152,11 @@ class Encoder:
         cuts = [self.cut(t) if t else [] for t in texts]
         new = {p: None for c in cuts for p in c if p not in known}
         spelled = {p: split(p) for p in new}
+        given = self.given
         unseen = list({w: None for ws in spelled.values() for w in ws if w not in words})
-        words.update(zip(unseen, self.replay.encode([w.encode() for w in unseen])))
+        words.update((w, given[w]) for w in unseen if w in given)
+        fresh = [w for w in unseen if w not in given]
+        words.update(zip(fresh, self.replay.encode([w.encode() for w in fresh])))
         long = {}
         for p, ws in spelled.items():
             (known if len(p) <= LONG else long)[p] = tuple(i for w in ws for i in words[w])
@@ -141,22 +170,62 @@ class Encoder:
             yield ids
 
 
-@lru_cache(2)
-def _encoder(vocabulary: bytes) -> Encoder:
-    return Encoder(vocabulary)
+#: A worker's encoders by the name of the job that they belong to; those of the last two jobs are kept.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(job: str, vocabulary: bytes, table: pa.Table | None = None) -> Encoder:
+    if job not in _ENCODERS:
+        while len(_ENCODERS) > 1:
+            del _ENCODERS[next(iter(_ENCODERS))]
+        given = {} if table is None else dict(zip(table.column("word").to_pylist(), map(tuple, table.column("ids").to_pylist())))
+        _ENCODERS[job] = Encoder(vocabulary, given)
+    return _ENCODERS[job]
+
+
+def replayed_words(df: DataFrame, text_column: str, vocabulary: bytes, most: int = WORDS) -> DataFrame:
+    """(word, ids) of the distinct words of the corpus that are no token as a whole, each replayed once; where there are more
+    than `most`, of those that most tasks met. Each task tells a word once as long as it remembers it, so what is shuffled
+    is about the distinct words of each task, not the texts."""
+    sent, job = df.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(job, sent.value)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(encoder.new_words(b.column(0).to_pylist()), pa.string())], ["word"])
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, words = _encoder(job, sent.value), []
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(encoder.replay.encode([w.encode() for w in words]), pa.list_(pa.int32()))], ["word", "ids"])
+
+        for b in batches:
+            words += b.column("word").to_pylist()
+            if len(words) >= TOGETHER:
+                yield done()
+                words = []
+        yield done()
+
+    told = cut(df.select(text_column).mapInArrow(tell, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    if told.limit(most + 1).count() > most:
+        told = told.orderBy(F.desc("n"), "word").limit(most)
+    return told.select("word").mapInArrow(replay, "word string, ids array<int>")
 
 
-def encode(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = VOCABULARY, counts_only: bool = False) -> DataFrame:
+def encode(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = VOCABULARY, counts_only: bool = False, most: int = WORDS) -> DataFrame:
     """(id_column, ids array<int>) of each row, without special tokens, or (id_column, n_tokens) with counts_only.
 
     Empty and null texts give an empty list (0 tokens); repeated rows and null ids give a row each; whole texts are
-    encoded, of any length. No shuffle; the vocabulary's file, of a fixed size near 1 MB, is sent to the workers.
-    Strings of special tokens in a text are ordinary text."""
-    sent = df.sparkSession.sparkContext.broadcast(open(vocabulary, "rb").read())
+    encoded, of any length. Texts are read twice and never shuffled: once for the corpus's distinct words, each of which is
+    replayed once, and once to be put together. What is sent to the workers is the vocabulary's file, of a fixed size near
+    1 MB, and the ids of `most` words at most. Strings of special tokens in a text are ordinary text."""
+    raw, job = open(vocabulary, "rb").read(), uuid.uuid4().hex
+    sent = df.sparkSession.sparkContext.broadcast((raw, replayed_words(df, text_column, raw, most).toArrow()))
     kind = df.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(sent.value)
+        encoder = _encoder(job, *sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)

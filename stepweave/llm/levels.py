@@ -21,8 +21,9 @@ from ..session import cut
 LEVELS = 5
 #: Words of a window at most, of one line and without regard to marks, which a text may lack.
 WINDOW = 24
-#: Labelled documents that the models are trained on at most, drawn by a hash of their ids; and words of the models.
-MAX_LABELLED, MAX_WORDS = 20_000, 200_000
+#: Labelled documents that the models are trained on at most, drawn by a hash of their ids. All words of these are words of
+#: the models; that they are more than MOST_WORDS is an error, for which fewer documents are the remedy.
+MAX_LABELLED, MOST_WORDS = 20_000, 2_000_000
 #: Rounds of training, pseudo-count of each word, and how a label's weight is spread on itself and the levels beside it.
 ROUNDS, ALPHA, NEAR = 3, 0.1, (0.7, 0.1, 0.03)
 #: The share of letters from which a line is running text.
@@ -105,7 +106,7 @@ def priors(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
 
 def train(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED) -> LevelModels:
     """Models from documents (doc_id, text) and labels. What is broadcast is bounded by max_labelled rows of a few
-    numbers, what is collected by MAX_WORDS words; without labels every level is as likely as any other."""
+    numbers, what is collected by the words of these documents; without labels every level is as likely as any other."""
     labelled = documents.select("doc_id", "text").join(F.broadcast(priors(labels, max_labelled)), "doc_id")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +141,9 @@ def train(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_lab
 
         each = parts.mapInArrow(weigh, "word string, " + ", ".join(f"c{k} double" for k in range(LEVELS)))
         counts = each.groupBy("word").agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(LEVELS)))
-        total = sum(F.col(f"c{k}") for k in range(LEVELS))
-        rows = counts.where(total > 1.5).orderBy(total.desc(), "word").limit(MAX_WORDS).toPandas().sort_values("word")
+        rows = counts.limit(MOST_WORDS + 1).toPandas().sort_values("word")
+        if len(rows) > MOST_WORDS:
+            raise ValueError(f"more than {MOST_WORDS} words in {max_labelled} labelled documents")
         model = LevelModels(rows["word"].tolist(), np.round(rows[[f"c{k}" for k in range(LEVELS)]].to_numpy(np.float64).reshape(-1, LEVELS), 9))
     return model
 

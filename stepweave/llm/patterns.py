@@ -21,37 +21,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checked_broadcast, cut
+from .coding import Form, coded
 
-#: Sequences that one task mines.
-CHUNK = 20_000
+#: Sequences that one task mines, and their steps; a chunk has more only where a single sequence has.
+CHUNK, STEPS = 20_000, 2_000_000
 END = np.iinfo(np.int64).max
 
 
 class Chunk:
-    """Sequences of names as a padded matrix of ids; ids are in the order of the names."""
+    """Sequences as flat arrays: of each item its places, in the order of rows and positions. Items are numbers in the
+    order of the names. Beside the places stand the first and last one of each row and item: as only items that are
+    frequent in the chunk are kept, that is a few numbers per step at most."""
 
-    def __init__(self, names: list[str], flat: np.ndarray, lengths: np.ndarray):
-        self.names, n = names, len(lengths)
-        rows = np.repeat(np.arange(n), lengths)
+    def __init__(self, names: list, flat: np.ndarray, lengths: np.ndarray):
+        self.names, self.n = names, len(lengths)
+        rows = np.repeat(np.arange(self.n), lengths)
         at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        width = int(lengths.max()) if n else 0
-        self.steps = np.full((n, width), -1, np.int32)
-        self.steps[rows, at] = flat
-        self.first = np.full((n, len(names)), width, np.int32)
-        self.last = np.full((n, len(names)), -1, np.int32)
+        self.width = int(lengths.max()) + 1 if self.n else 1
+        self.first = np.full((self.n, len(names)), self.width, np.int32)
+        self.last = np.full((self.n, len(names)), -1, np.int32)
         np.minimum.at(self.first, (rows, flat), at)
         np.maximum.at(self.last, (rows, flat), at)
+        order = np.argsort(flat, kind="stable")
+        self.places = (rows * self.width + at)[order]
+        self.begins = np.searchsorted(flat[order], np.arange(len(names) + 1))
 
     @classmethod
-    def of(cls, items: pa.Array, least: int) -> Chunk:
-        """Of an array of lists of names without nulls; names in fewer than `least` sequences are left out."""
+    def of(cls, items: pa.Array, least: int, only: set | None = None) -> Chunk:
+        """Of an array of lists of names or numbers without nulls; those in fewer than `least` sequences are left out, as are
+        those outside of `only`."""
         flat = items.flatten().dictionary_encode()
         lengths = pc.fill_null(pc.list_value_length(items), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        words = np.array(flat.dictionary.to_pylist(), dtype=object)
+        words = flat.dictionary.to_pylist()
         ids = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         rows = np.repeat(np.arange(len(lengths)), lengths)
         held = np.bincount(np.unique(rows * max(len(words), 1) + ids) % max(len(words), 1), minlength=len(words)) if len(ids) else np.zeros(len(words), np.int64)
-        kept = sorted((w, i) for i, w in enumerate(words) if held[i] >= least)
+        kept = sorted((w, i) for i, w in enumerate(words) if held[i] >= least and (only is None or w in only))
         new = np.full(len(words) + 1, -1)
         for k, (_, i) in enumerate(kept):
             new[i] = k
@@ -61,13 +66,14 @@ class Chunk:
 
     def after(self, rows: np.ndarray, ends: np.ndarray, item: int) -> np.ndarray:
         """The first place of an item after ends, in rows that have it there."""
-        hit = (self.steps[rows] == item) & (np.arange(self.steps.shape[1]) > ends[:, None])
-        return hit.argmax(1).astype(np.int32)
+        mine = self.places[self.begins[item] : self.begins[item + 1]]
+        start = rows.astype(np.int64) * self.width
+        return (mine[np.searchsorted(mine, start + ends + 1)] - start).astype(np.int32)
 
-    def count(self, pattern: list[str]) -> int:
+    def count(self, pattern: list) -> int:
         """The sequences that hold a pattern."""
         where = {w: i for i, w in enumerate(self.names)}
-        rows, ends = np.arange(len(self.steps)), np.full(len(self.steps), -1, np.int32)
+        rows, ends = np.arange(self.n), np.full(self.n, -1, np.int32)
         for name in pattern:
             if (item := where.get(name)) is None:
                 return 0
@@ -131,10 +137,10 @@ def _extend(c: Chunk, prefixes: list[tuple[tuple[int, ...], np.ndarray, np.ndarr
             move(np.flatnonzero(key < dth), j, t)
 
 
-def frequent(c: Chunk, d: int, shortest: int = 3, longest: int = 5) -> Iterator[tuple[list[str], int]]:
+def frequent(c: Chunk, d: int, shortest: int = 3, longest: int = 5) -> Iterator[tuple[list, int]]:
     """The patterns of shortest to longest steps in at least d sequences, with their counts. Patterns of up to two steps
     are found by counting, one first pair of steps at a time is then mined, so that memory stays that of one pair."""
-    n, v = len(c.steps), len(c.names)
+    n, v = c.n, len(c.names)
     if n < d or not v:
         return
     names = c.names
@@ -157,23 +163,25 @@ def frequent(c: Chunk, d: int, shortest: int = 3, longest: int = 5) -> Iterator[
                         yield [names[i] for i in pattern], len(r)
 
 
-def frequent_patterns(sequences: DataFrame, least: int = 10, share: int = 8, shortest: int = 3, longest: int = 5, chunk: int = CHUNK) -> DataFrame:
+def frequent_patterns(sequences: DataFrame, least: int = 10, share: int = 8, shortest: int = 3, longest: int = 5, chunk: int = CHUNK, form: Form | None = None, steps: int = STEPS) -> DataFrame:
     """(src, domain, pattern array<string>, support, n) of sequences (src, domain, seq_id, items array<string>).
 
     The result holds each ordered pattern of shortest to longest steps (steps may repeat, others may lie between) that
     at least `least` and at least one in `share` of the n sequences of its src and domain hold, with its exact
     support. A sequence counts once per seq_id, also when its items are null or empty; sequences without an id are
-    told apart by their items. Null items are no steps. Null domains are a domain. Repeated rows collapse before they are
-    sent to chunks. One task mines about `chunk`
-    sequences, drawn by a hash of their ids, whatever the sizes of domains are; what tasks return is bounded by
-    patterns that are frequent in a chunk, not by sequences."""
-    items = F.filter(F.coalesce("items", F.array().cast("array<string>")), lambda x: x.isNotNull())
-    rows = sequences.select("src", "domain", "seq_id", items.alias("items"))
+    told apart by their items. form, if given, makes a step of each item, or None. Null items are no steps. Null domains
+    are a domain. Items are numbered before anything is shuffled. Repeated rows collapse before they are sent to chunks. One
+    task mines about `chunk` sequences and `steps` steps, drawn by a hash of ids, whatever the sizes of domains are; what
+    tasks return is bounded by patterns that are frequent in a chunk, not by sequences."""
+    rows, names = coded(sequences.select("src", "domain", "seq_id", "items"), "items", form)
+    known = sequences.sparkSession.sparkContext.broadcast(names)
     rows = rows.select("src", "domain", F.when(F.col("seq_id").isNull(), F.xxhash64("items")).otherwise(F.col("seq_id").cast("long")).alias("seq_key"), "items")
     rows = cut(rows.groupBy("src", "domain", "seq_key").agg(F.first("items").alias("items")))
-    sizes = cut(rows.groupBy("src", "domain").agg(F.count(F.lit(1)).alias("n")).select(F.col("src").alias("s"), F.col("domain").alias("d"), "n", F.greatest(F.lit(least), F.ceil(F.col("n") / share)).cast("long").alias("least")))
+    sizes = rows.groupBy("src", "domain").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("items").cast("long")).alias("steps"))
+    chunks_of = F.greatest(F.ceil(F.col("n") / chunk), F.least(F.col("n"), F.ceil(F.col("steps") / steps))).alias("chunks_of")
+    sizes = cut(sizes.select(F.col("src").alias("s"), F.col("domain").alias("d"), "n", chunks_of, F.greatest(F.lit(least), F.ceil(F.col("n") / share)).cast("long").alias("least")))
     mine = F.col("src").eqNullSafe(F.col("s")) & F.col("domain").eqNullSafe(F.col("d"))
-    placed = rows.join(checked_broadcast(sizes), mine).select("src", "domain", F.pmod(F.xxhash64("seq_key"), F.ceil(F.col("n") / chunk)).cast("int").alias("chunk"), "seq_key", "items", "n", "least")
+    placed = rows.join(checked_broadcast(sizes), mine).select("src", "domain", F.pmod(F.xxhash64("seq_key"), F.col("chunks_of")).cast("int").alias("chunk"), "seq_key", "items", "n", "least")
 
     def mine_chunk(key: tuple, t: pa.Table) -> pa.Table:
         lists, size = t.column("items").combine_chunks(), t.num_rows
@@ -181,7 +189,7 @@ def frequent_patterns(sequences: DataFrame, least: int = 10, share: int = 8, sho
         d = -(-needed * size // n)
         found = [(None, d)]
         if size >= d:
-            found += frequent(Chunk.of(lists, d), d, shortest, longest)
+            found += ((p if known.value is None else [known.value[i] for i in p], k) for p, k in frequent(Chunk.of(lists, d), d, shortest, longest))
         m = len(found)
         return pa.table({"src": pa.array([key[0].as_py()] * m, pa.string()), "domain": pa.array([key[1].as_py()] * m, pa.string()), "chunk": pa.array([key[2].as_py()] * m, pa.int32()), "n": pa.array([n] * m, pa.int64()), "least": pa.array([needed] * m, pa.int64()), "pattern": pa.array([p for p, _ in found], pa.list_(pa.string())), "held": pa.array([k for _, k in found], pa.int64()), "d": pa.array([d] * m, pa.int64())})
 
@@ -201,8 +209,10 @@ def frequent_patterns(sequences: DataFrame, least: int = 10, share: int = 8, sho
         wanted = right.column("pattern").to_pylist()
         counts = []
         if wanted and left.num_rows:
-            c = Chunk.of(left.column("items").combine_chunks(), 1)
-            counts = [c.count(p) for p in wanted]
+            number = None if known.value is None else {n: i for i, n in enumerate(known.value)}
+            spelled = wanted if number is None else [[number[x] for x in p] for p in wanted]
+            c = Chunk.of(left.column("items").combine_chunks(), 1, {x for p in spelled for x in p})
+            counts = [c.count(p) for p in spelled]
         m = len(counts)
         return pa.table({"src": pa.array([key[0].as_py()] * m, pa.string()), "domain": pa.array([key[1].as_py()] * m, pa.string()), "pattern": pa.array(wanted[:m], pa.list_(pa.string())), "more": pa.array(counts, pa.int64())})
 

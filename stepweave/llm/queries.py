@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import name_form, name_forms
+from ..session import cut
 from ..sources.tables import table
-from . import bpe, levels, packing, pairs, patterns, terms, varied
+from . import bpe, coding, levels, packing, pairs, patterns, terms, varied
 
 #: Tokens of a container.
 CAPACITY = 2048
@@ -18,12 +19,12 @@ SUBSET = 40
 
 
 def _patterns(spark: SparkSession, d: str, medoids: bool = False) -> DataFrame:
-    members = table(spark, d, "cluster_members").select(F.lit("members").alias("src"), "domain", "seq_id", name_forms("tokens").alias("items"))
-    accepted = table(spark, d, "sampler_accepted").select(F.lit("accepted").alias("src"), "domain", "seq_id", name_forms("tokens").alias("items"))
+    members = table(spark, d, "cluster_members").select(F.lit("members").alias("src"), "domain", "seq_id", F.col("tokens").alias("items"))
+    accepted = table(spark, d, "sampler_accepted").select(F.lit("accepted").alias("src"), "domain", "seq_id", F.col("tokens").alias("items"))
     sequences = members.unionByName(accepted)
     if medoids:
-        sequences = sequences.unionByName(table(spark, d, "cluster_info").select(F.lit("medoids").alias("src"), "domain", F.col("cluster_key").alias("seq_id"), name_forms("medoid_sequence").alias("items")))
-    found = patterns.frequent_patterns(sequences)
+        sequences = sequences.unionByName(table(spark, d, "cluster_info").select(F.lit("medoids").alias("src"), "domain", F.col("cluster_key").alias("seq_id"), F.col("medoid_sequence").alias("items")))
+    found = patterns.frequent_patterns(sequences, form=coding.name_form)
     return found.withColumn("pattern", F.array_join("pattern", ">"))
 
 
@@ -32,19 +33,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_patterns(spark: SparkSession, d: str) -> DataFrame:
-    """Frequent patterns with their support and the number of sequences."""
-    return _patterns(spark, d)
-
-
-def p2_all_patterns(spark: SparkSession, d: str) -> DataFrame:
-    """p2_patterns with the medoids of cluster_info as a third source, one per cluster."""
+    """Frequent patterns with their support and the number of sequences, of the medoids of cluster_info too, one per cluster."""
     return _patterns(spark, d, medoids=True)
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
-    records = table(spark, d, "cluster_members").select("domain", "seq_id", name_forms("tokens").alias("terms"))
     vocabulary = table(spark, d, "model_vocab").select("domain", name_form("token").alias("term"))
-    return terms.term_frequencies(terms.term_bitmaps(records), vocabulary)
+    return terms.term_frequencies(_layout(spark, d), vocabulary)
+
+
+def _layout(spark: SparkSession, d: str) -> DataFrame:
+    """The vertical layout as a table that is kept: it is written once and read for every count."""
+    records = table(spark, d, "cluster_members").select("domain", "seq_id", F.col("tokens").alias("terms"))
+    return cut(terms.term_bitmaps(records, coding.name_form))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -56,6 +57,12 @@ def p5_terms(spark: SparkSession, d: str) -> DataFrame:
     return _terms(spark, d)
 
 
+def p5_layout(spark: SparkSession, d: str) -> DataFrame:
+    """The containers of each term with their cardinalities and bytes; the term '' has all records."""
+    sums = _layout(spark, d).groupBy("domain", "term").agg(F.count(F.lit(1)).alias("containers"), F.sum(F.col("n").cast("long")).alias("n_records"), F.sum(F.length("ids") + F.coalesce(F.length("more"), F.lit(0))).alias("bytes"))
+    return sums
+
+
 def _baskets(spark: SparkSession, d: str) -> DataFrame:
     actions = table(spark, d, "eval_actions").select(F.lit("actions").alias("src"), "domain", "task_id", "trial", name_form("name").alias("item"))
     members = table(spark, d, "cluster_members").select(F.lit("members").alias("src"), "domain", "seq_id", F.sort_array(F.array_distinct(name_forms("tokens"))).alias("items"))
@@ -86,9 +93,9 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_subset(spark: SparkSession, d: str) -> DataFrame:
     """SUBSET varied sequences per domain, of all members and medoids."""
-    members = table(spark, d, "cluster_members").select("domain", F.lit("members").alias("src"), F.col("seq_id").alias("id"), name_forms("tokens").alias("items"))
-    medoids = table(spark, d, "cluster_info").select("domain", F.lit("medoids").alias("src"), F.col("cluster_key").alias("id"), name_forms("medoid_sequence").alias("items"))
-    chosen = varied.varied_subset(members.distinct().unionByName(medoids.distinct()), SUBSET)
+    members = table(spark, d, "cluster_members").select("domain", F.lit("members").alias("src"), F.col("seq_id").alias("id"), F.col("tokens").alias("items"))
+    medoids = table(spark, d, "cluster_info").select("domain", F.lit("medoids").alias("src"), F.col("cluster_key").alias("id"), F.col("medoid_sequence").alias("items"))
+    chosen = varied.varied_subset(members.unionByName(medoids), SUBSET, form=coding.name_form)
     return chosen.select("domain", "src", "id", F.array_join("items", ">").alias("sequence"), "copies", F.round("spread", 6).alias("spread"))
 
 
@@ -107,7 +114,7 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_patterns, p2_all_patterns, p4_subset, p5_found, p5_terms, p7_found, p7_pairs, p8_ids, p9_containers, p10_found, p10_levels)}
+    return {f.__name__: f for f in (p2_found, p2_patterns, p4_subset, p5_found, p5_terms, p5_layout, p7_found, p7_pairs, p8_ids, p9_containers, p10_found, p10_levels)}
 
 
 def _name(x: str) -> str:
@@ -178,10 +185,16 @@ WITH seqs AS (
 
 SQL: dict[str, str] = {
     "p2_found": _grown() + "SELECT src, domain, pattern FROM found",
-    "p2_patterns": _grown() + "SELECT src, domain, pattern, support, n FROM found JOIN least USING (src, domain)",
-    "p2_all_patterns": _grown(" UNION ALL SELECT DISTINCT 'medoids', domain, cluster_key, medoid_sequence FROM cluster_info") + "SELECT src, domain, pattern, support, n FROM found JOIN least USING (src, domain)",
+    "p2_patterns": _grown(" UNION ALL SELECT DISTINCT 'medoids', domain, cluster_key, medoid_sequence FROM cluster_info") + "SELECT src, domain, pattern, support, n FROM found JOIN least USING (src, domain)",
     "p5_found": _TERMS + "SELECT domain, term, mark FROM marked WHERE mark IS NOT NULL",
     "p5_terms": _TERMS + "SELECT * FROM marked",
+    "p5_layout": _TERMS
+    + """, posting AS (
+  SELECT domain, term, seq_id, count(*) AS times FROM held GROUP BY ALL UNION ALL SELECT domain, '', seq_id, 1 FROM seqs
+), container AS (
+  SELECT domain, term, seq_id >> 16 AS bucket, count(*) AS n, count(*) FILTER (times > 1) AS more FROM posting GROUP BY ALL
+)
+SELECT domain, term, count(*) AS containers, sum(n) AS n_records, sum(CASE WHEN n < 4096 THEN 2 * n ELSE 8192 END + 6 * more) AS bytes FROM container GROUP BY ALL""",
     "p7_found": _PAIRS + "SELECT src, domain, item_a, item_b FROM scored WHERE n_ab >= 5 AND 200 * n_ab >= n AND n_ab * n >= 3 * n_a * n_b",
     "p7_pairs": _PAIRS + "SELECT *, round(n_ab * n / (n_a * n_b), 6) AS lift, CASE WHEN n_a > n_ab THEN round(n_a * (n - n_b) / (n * (n_a - n_ab)), 6) END AS conviction FROM scored",
 }

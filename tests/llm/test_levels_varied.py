@@ -64,6 +64,25 @@ def test_local_search_is_near_the_optimum():
         assert len({*got}) == 4 and total(lists, got) >= 0.9 * best
 
 
+def test_core_sets_reach_the_total_of_one_block(spark):
+    rnd = random.Random(10)
+    lists = [[rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(1, 9))] for _ in range(3_000)]
+    df = spark.createDataFrame([("d", "m", i, s) for i, s in enumerate(lists)], "domain string, src string, id long, items array<string>")
+    one, many = (sum(r.spread for r in V.varied_subset(df, 20, block=b).collect()) for b in (4_000, 300))
+    assert many >= 0.995 * one > 0
+
+
+def test_memory_of_many_features():
+    import tracemalloc
+
+    lists = [[f"s{(i * 7 + k * k) % 5000}" for k in range(40)] for i in range(3_000)]
+    tracemalloc.start()
+    assert len({*V.dispersed(lists, 10)}) == 10
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 120
+
+
 def test_small_groups_come_out_beside_large_ones(spark):
     rnd = random.Random(9)
     schema = "domain string, src string, id long, items array<string>, copies int, bucket int"

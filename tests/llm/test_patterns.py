@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stepweave.llm import patterns as P
+from stepweave.llm.coding import coded
 
 SCHEMA = "src string, domain string, seq_id long, items array<string>, n int, pattern string, chunk int"
 
@@ -46,6 +47,32 @@ def test_chunks_add_up_to_the_whole(spark, chunk):
     assert {(r.src, r.domain, tuple(r.pattern)): (r.support, r.n) for r in got} == want and len(got) == len(want) and len(want) > 50
 
 
+def test_memory_of_one_long_sequence_and_of_many_rare_names():
+    import tracemalloc
+
+    short = [["a", "b", "c"]] * 3_000
+    rare = [["a", "b", "c", *(f"r{i}_{k}" for k in range(5))] for i in range(20_000)]
+    for lists, most in ((short + [["a", "b"] * 25_000], 60), (rare, 120)):
+        array = pa.array(lists, pa.list_(pa.string()))
+        tracemalloc.start()
+        d = len(lists) // 8
+        found = {tuple(p): n for p, n in P.frequent(P.Chunk.of(array, d), d)}
+        counted = P.Chunk.of(array, 1, {"a", "b"}).count(["a", "b", "a"])
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert peak < most and found["a", "b", "c"] >= len(lists) - 1 and counted == (len(lists) == 3_001)
+
+
+def test_chunks_are_bounded_by_steps_and_names_may_be_many(spark, monkeypatch):
+    rnd = random.Random(3)
+    data = [("m", "x", i, [rnd.choice("abcd") for _ in range(rnd.randint(0, 12))], 0, "", 0) for i in range(150)]
+    want = {p: c for p, c in brute([r[3] for r in data], 19).items()}
+    for most in (200_000, 3):
+        monkeypatch.setattr(P, "coded", lambda df, column, form, most=most: coded(df, column, form, most))
+        got = P.frequent_patterns(spark.createDataFrame(data, SCHEMA), steps=300)
+        assert {tuple(r.pattern): r.support for r in got.collect()} == want != {}
+
+
 def test_empty_null_and_long(spark):
     assert P.frequent_patterns(spark.createDataFrame([], SCHEMA)).count() == 0
     no_id = [(None, None, None, ["a"] * i, 0, "", 0) for i in range(12)] * 2

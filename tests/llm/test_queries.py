@@ -46,12 +46,12 @@ def test_patterns_of_medoids(spark, rows, tmp_path):
         spark.createDataFrame([("d", 1, ["x", "y", "z"])], none).write.parquet(f"{tmp_path}/{name}.parquet")
     info = [("d", i, ["a", "Q" + "q" * i, "b", "C"]) for i in range(10)] * 2 + [("d", 10, None), ("e", 11, ["a", "b", "c"])]
     spark.createDataFrame(info, "domain string, cluster_key long, medoid_sequence array<string>").write.parquet(f"{tmp_path}/cluster_info.parquet")
-    assert rows(Q.p2_all_patterns(spark, str(tmp_path))) == [("medoids", "d", "a>b>c", 10, 11)]
+    assert rows(Q.p2_patterns(spark, str(tmp_path))) == [("medoids", "d", "a>b>c", 10, 11)]
 
 
-def test_all_patterns_hold_those_of_two_sources(spark, rows):
-    every = Q.p2_all_patterns(spark, oracle.DATA)
-    assert rows(every.where("src <> 'medoids'")) == rows(Q.p2_patterns(spark, oracle.DATA))
+def test_patterns_of_medoids_stand_beside_those_found(spark, rows):
+    every = Q.p2_patterns(spark, oracle.DATA)
+    assert rows(every.where("src <> 'medoids'").select("src", "domain", "pattern")) == rows(Q.p2_found(spark, oracle.DATA))
 
 
 def test_ids_of_whole_tables_by_two_public_libraries(spark):
