@@ -76,6 +76,46 @@ def missing_follow_ups(actions: DataFrame, keys: Sequence[str], position: str, t
     return flagged.withColumn("_next", F.last("_f", ignorenulls=True).over(w)).where(F.col("_t") & ~F.coalesce("_next", F.lit(False))).drop("_t", "_f", "_next")
 
 
+def with_follow_ups(actions: DataFrame, missing: DataFrame, position: str, action_id: str, changes: Mapping[str, Column], prefix: str) -> DataFrame:
+    """actions with a follow-up step put in right after each row of missing (rows of actions): its columns are those of that
+    row with changes, its id the row's with a prefix, its position half a step on."""
+    new = missing.withColumns({**changes, action_id: F.concat(F.lit(prefix), F.col(action_id).cast("string")), position: F.col(position) + 0.5})
+    return actions.withColumn(position, F.col(position).cast("double")).unionByName(new.select(*actions.columns))
+
+
+def assembled(tasks: DataFrame, basis: Sequence[str] = ("DB", "COMMUNICATE")) -> DataFrame:
+    """(row_id, task_id, n_actions, reward_basis) of tasks whose criteria hold a list of actions: what a task is made of, with
+    the default basis where it names none."""
+    v = F.try_parse_json("evaluation_criteria")
+    v = F.coalesce(F.try_parse_json(F.try_variant_get(v, "$", "string")), v)
+    actions = F.try_variant_get(v, "$.actions", "array<variant>")
+    named = F.try_variant_get(v, "$.reward_basis", "array<string>")
+    return tasks.select("row_id", "task_id", F.size(actions).alias("n_actions"), F.coalesce(named, F.array(*map(F.lit, basis))).alias("reward_basis"), actions.isNotNull().alias("_ok")).where("_ok").drop("_ok")
+
+
+def patched(record: Column, patch: Column, fields: Sequence[str]) -> Column:
+    """A struct with the fields of another one, where that has them."""
+    for f in fields:
+        record = record.withField(f, F.coalesce(patch[f], record[f]))
+    return record
+
+
+def called(messages: DataFrame, column: str) -> DataFrame:
+    """messages with pos, name and arguments of each action that a message's JSON calls: those of the list tool_calls, else the
+    one of function_call. Name and arguments have several spellings; arguments that are a JSON string are opened, and those
+    that don't parse are kept as they are. A message that calls nothing, or isn't JSON, gives no row."""
+    v = F.try_parse_json(column)
+    many = F.try_variant_get(v, "$.tool_calls", "array<variant>")
+    one = F.try_variant_get(v, "$.function_call", "variant")
+    rows = messages.select("*", F.posexplode(F.when(F.size(many) > 0, many).when(one.isNotNull() & ~F.is_variant_null(one), F.array(one))).alias("pos", "_c"))
+    inner = F.coalesce(F.try_variant_get("_c", "$.function", "variant"), F.col("_c"))
+    rows = rows.withColumn("_f", inner)
+    first = lambda kind, *names: F.coalesce(*(F.try_variant_get("_f", f"$.{n}", kind) for n in names))
+    args = first("variant", "arguments", "args", "parameters")
+    spelled = F.when(F.schema_of_variant(args) == "STRING", args.cast("string"))
+    return rows.select(*messages.columns, "pos", first("string", "name", "tool_name", "action_name").alias("name"), F.coalesce(F.to_json(F.try_parse_json(spelled)), spelled, F.to_json(args), F.lit("{}")).alias("arguments"))
+
+
 #: Cells that the hashes of a group's rows are cut into.
 CELLS = 1_024
 

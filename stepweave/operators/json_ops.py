@@ -67,7 +67,7 @@ def leaves(df: DataFrame, keys: list[str], column: str) -> DataFrame:
                     else:
                         at.append(i)
                         paths.append(path)
-                        values.append(json.dumps(v))
+                        values.append(json.dumps(v, ensure_ascii=False, separators=(",", ":")))
             idx = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(idx) for k in keys), pa.array(paths, pa.string()), pa.array(values, pa.string())], [*keys, "path", "value"])
 

@@ -2,44 +2,23 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, fields
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .ngram import uniform
 
 
-@dataclass(frozen=True)
-class LengthConfig:
-    """How lengths are drawn: from_seed fits a kernel density to given lengths, skew_normal needs mean and std."""
-
-    mode: str = "from_seed"
-    mean: float | None = None
-    std: float | None = None
-    skew: float = 0.0
-    low: int | None = None
-    high: int | None = None
-
-    def __post_init__(self):
-        if self.mode not in ("from_seed", "skew_normal"):
-            raise ValueError(self.mode)
-        if self.mode == "skew_normal" and (self.mean is None or self.std is None):
-            raise ValueError("skew_normal needs mean and std")
-
-    def to_dict(self) -> dict:
-        return asdict(self)
-
-    @classmethod
-    def from_dict(cls, d: dict) -> LengthConfig:
-        known = {f.name for f in fields(cls)}
-        return cls(**{k: v for k, v in d.items() if k in known})
-
-
 def fit(lengths: DataFrame, *by: str) -> DataFrame:
     """(by..., n, median, std, low, high, p10, p90) of lengths (by..., length): population std, linear percentiles, low
     at least 1, p10 and p90 within low and high. Aggregates of histograms: the shuffle holds distinct lengths only."""
-    hist = lengths.where(F.col("length").isNotNull()).groupBy(*by, "length").agg(F.count(F.lit(1)).alias("k"))
+    return fit_histogram(lengths.where(F.col("length").isNotNull()).groupBy(*by, "length").agg(F.count(F.lit(1)).alias("k")), *by)
+
+
+def fit_histogram(hist: DataFrame, *by: str) -> DataFrame:
+    """fit() of how often each length occurs (by..., length, k)."""
     p = lambda q: F.expr(f"percentile(length, {q}, k)")
     mean = F.sum(F.col("length") * F.col("k")) / F.sum("k")
     square = F.sum(F.col("length").cast("double") * F.col("length") * F.col("k")) / F.sum("k")
@@ -48,6 +27,25 @@ def fit(lengths: DataFrame, *by: str) -> DataFrame:
     return raw.where("n > 0").select(*by, "n", "median", "std", "low", "high", clamp("p10"), clamp("p90"))
 
 
+class Fitted:
+    """Statistics of lengths that keep up with what is added: only the histogram is kept, statistics are worked out when they
+    are asked for and kept until lengths are added again."""
+
+    def __init__(self, lengths: DataFrame, *by: str):
+        self.by, self.hist, self.stats = by, None, None
+        self.add(lengths)
+
+    def add(self, lengths: DataFrame) -> None:
+        new = lengths.where(F.col("length").isNotNull()).groupBy(*self.by, "length").agg(F.count(F.lit(1)).alias("k"))
+        both = new if self.hist is None else self.hist.unionByName(new).groupBy(*self.by, "length").agg(F.sum("k").alias("k"))
+        self.hist, self.stats = cut(both), None
+
+    def get(self) -> DataFrame:
+        if self.stats is None:
+            self.stats = cut(fit_histogram(self.hist, *self.by))
+        return self.stats
+
+
 def fit_or(lengths: DataFrame, fallback: DataFrame, *by: str) -> DataFrame:
     """fit() of lengths, and of fallback for the groups that lengths hasn't."""
     main, other = fit(lengths, *by), fit(fallback, *by)
@@ -72,11 +70,13 @@ def _round(x: Column, low: Column, high: Column) -> Column:
     return F.bround(F.greatest(low, F.least(high, x))).cast("int")
 
 
-def skew_normal(config: LengthConfig, low: Column, high: Column, *key: Column | str, seed: int = 0) -> Column:
-    """A length from a skew normal distribution, cut to the bounds of config or else of low and high, half to even."""
-    delta = config.skew / (1 + config.skew**2) ** 0.5
-    x = config.mean + config.std * (delta * F.abs(normal(*key, seed=10 + seed)) + (1 - delta**2) ** 0.5 * normal(*key, seed=20 + seed))
-    return _round(x, low if config.low is None else F.lit(float(config.low)), high if config.high is None else F.lit(float(config.high)))
+def skew_normal(mean: float, std: float, skew: float, low: int, high: int, *key: Column | str, seed: int = 0) -> Column:
+    """A length from a skew normal distribution, cut to its bounds, half to even."""
+    if std <= 0 or low > high:
+        raise ValueError("std > 0 and low <= high are needed")
+    delta = skew / (1 + skew**2) ** 0.5
+    x = mean + std * (delta * F.abs(normal(*key, seed=10 + seed)) + (1 - delta**2) ** 0.5 * normal(*key, seed=20 + seed))
+    return _round(x, F.lit(float(low)), F.lit(float(high)))
 
 
 def kernel(draws: DataFrame, lengths: DataFrame, by: str, *key: str, seed: int = 0) -> DataFrame:
@@ -91,3 +91,29 @@ def kernel(draws: DataFrame, lengths: DataFrame, by: str, *key: str, seed: int =
     joined = draws.join(stats.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).withColumn("_u", uniform(*key, seed=seed))
     x = cumulative + F.col("h") * normal(*key, seed=30 + seed)
     return joined.withColumn("length", _round(x, F.col("hist")[0]["length"].cast("double"), F.element_at("hist", -1)["length"].cast("double"))).drop("_by", "_u", "hist", "n", "mean", "h")
+
+
+def drawing(settings: Mapping, given: DataFrame, by: str, *key: str, seed: int = 0) -> Callable[[DataFrame], DataFrame]:
+    """What adds length to draws (by, key...), by the settings of a checkpoint: mode `skew_normal` with its mean and std,
+    or `from_seed`, the kernel density of given (by, length). Bounds that the settings lack are those of given's fit, per
+    group; other settings say nothing here."""
+    mode = settings.get("mode", "from_seed")
+    if mode == "from_seed":
+        return lambda draws: kernel(draws, given, by, *key, seed=seed)
+    if mode != "skew_normal":
+        raise ValueError(f"no way of drawing is named {mode}")
+    mean, std = (settings.get(k) for k in ("mean", "std"))
+    if mean is None or std is None:
+        raise ValueError("a skew normal distribution has a mean and a std")
+    low, high = settings.get("min"), settings.get("max")
+    bounds = fit(given, by).select(F.col(by).alias("_by"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+
+    def add(draws: DataFrame) -> DataFrame:
+        if low is not None and high is not None:
+            return draws.withColumn("length", skew_normal(mean, std, settings.get("skew", 0.0), low, high, *key, seed=seed))
+        free = skew_normal(mean, std, settings.get("skew", 0.0), -(1 << 30), 1 << 30, *key, seed=seed)
+        joined = draws.join(bounds, F.col(by).eqNullSafe(F.col("_by")), "left")
+        least, most = (F.col(c) if x is None else F.lit(x) for c, x in (("_low", low), ("_high", high)))
+        return joined.withColumn("length", F.greatest(least, F.least(most, free)).cast("int")).drop("_by", "_low", "_high")
+
+    return add

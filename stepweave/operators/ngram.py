@@ -54,6 +54,12 @@ def count(sequences: DataFrame, vocabulary: DataFrame, config: Config = Config()
     return sums.join(known, is_known, "left").where((F.col("token") == config.eos) | F.col("_t").isNotNull()).drop("_d", "_t")
 
 
+def from_sequences(positive: DataFrame, negative: DataFrame, vocabulary: DataFrame, config: Config = Config(), positive_weight: float = 1.0, negative_weight: float = 1.0) -> DataFrame:
+    """count() of whole sequences (domain, tokens), good and bad ones, each with one weight."""
+    of = lambda df, sign, w: df.select("domain", "tokens", F.lit(sign).alias("sign"), F.lit(float(w)).alias("weight"), F.lit(None).cast("array<int>").alias("bad_idx"))
+    return count(of(positive, "pos", positive_weight).unionByName(of(negative, "neg", negative_weight)), vocabulary, config)
+
+
 def context_totals(counts: DataFrame) -> DataFrame:
     """(domain, sign, ctx, total), ends included."""
     return counts.groupBy("domain", "sign", "ctx").agg(F.sum("w").alias("total"))

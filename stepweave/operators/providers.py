@@ -58,6 +58,22 @@ def by_function(function: Callable[[list[list[str]]], list[tuple[bool, str | Non
     return judge
 
 
+def ladder(rungs: list[tuple[str, Callable[[DataFrame], DataFrame]]], entries: DataFrame) -> DataFrame:
+    """entries with rung and evolved: each rung's function gives the entries that are left a success column, and those that
+    succeed keep its result; what no rung settles stays as it was, with rung `original` and evolved false. A rung may
+    itself be with_retries(). What has been settled isn't computed again."""
+    from ..session import cut
+
+    left, out = entries, None
+    for name, attempt in rungs:
+        tried = cut(attempt(left))
+        done = tried.where("success").select(*entries.columns, F.lit(name).alias("rung"), F.lit(True).alias("evolved"))
+        out = done if out is None else out.unionByName(done)
+        left = tried.where("not success").select(*entries.columns)
+    rest = left.select("*", F.lit("original").alias("rung"), F.lit(False).alias("evolved"))
+    return rest if out is None else out.unionByName(rest)
+
+
 def with_retries(attempt: Callable[[DataFrame, int], DataFrame], repair: Callable[[DataFrame, int], DataFrame], entries: DataFrame, patches: int = 3) -> DataFrame:
     """The state machine of validation with patches over whole tables: attempt() gives entries a success column;
     those that failed are repaired and tried again, up to `patches` times. Returns all rows with retries_used. What has

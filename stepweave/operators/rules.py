@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,21 @@ def missing_in_any(df: DataFrame, column: str, targets: Sequence[tuple[DataFrame
     return df.where(F.col(column).isNotNull()).join(ids, F.col(column).cast("string") == F.col("_id"), "left_anti")
 
 
+def missing_links(tables: DataFrame, id_column: str, links: Sequence[tuple[str, str, str]], form=None) -> DataFrame:
+    """(id_column, child_table, child_key, name, value): the records of child tables (id_column, child_table, child_key,
+    attrs map<string,string>) whose attribute names a record that their own document hasn't, by links (table, attribute,
+    target table). form makes keys comparable. A null attribute links to nothing."""
+    form = form or (lambda c: c)
+    same = lambda t, a: (F.col("child_table") == t) & (F.col("name") == a)
+    each = tables.select(id_column, "child_table", "child_key", F.explode("attrs").alias("name", "value"))
+    target = F.lit(None).cast("string")
+    for t, a, to in links:
+        target = F.when(same(t, a), to).otherwise(target)
+    asked = each.withColumn("_to", target).where(F.col("_to").isNotNull()).withColumn("_key", form(F.col("value"))).distinct()
+    have = tables.where(F.col("child_table").isin([to for _, _, to in links])).select(F.col(id_column).alias("_id"), F.col("child_table").alias("_t"), form(F.col("child_key")).alias("_k"))
+    return asked.join(have, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_to") == F.col("_t")) & (F.col("_key") == F.col("_k")), "left_anti").drop("_to", "_key")
+
+
 def not_listed(df: DataFrame, owners: DataFrame, key: str, item: str, links: str) -> DataFrame:
     """The rows (key, item) of df whose owner exists and doesn't list the item."""
     listed = owners.select(F.col(key).alias("_k"), F.explode(links).alias("_i"))
@@ -84,8 +99,8 @@ def route(failures: DataFrame, narrow: Sequence[str], wide_messages: Sequence[st
 
 def at_most(candidates: DataFrame, keys: Sequence[str], priority: Sequence[str], limit: int) -> DataFrame:
     """The first `limit` candidates of each key in the order of priority (a report of the top few)."""
-    kept = F.slice(F.array_sort(F.collect_list(F.struct(*priority))), 1, limit)
-    return candidates.groupBy(*keys).agg(kept.alias("_l")).select(*keys, F.inline("_l"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*priority))
+    return candidates.select(*keys, *priority).withColumn("_n", place).where(F.col("_n") <= limit).drop("_n")  # limited before the shuffle
 
 
 def usage_costs(usage: DataFrame, prices: dict[str, tuple[float, float]], default: tuple[float, float]) -> DataFrame:

@@ -64,6 +64,17 @@ def pending(entries: DataFrame, progress: DataFrame, key: str) -> DataFrame:
     return entries.join(progress.where("success").select(key), key, "left_anti")
 
 
+def frozen(entries: DataFrame, progress: DataFrame, key: str) -> DataFrame:
+    """The entries that some successful row of progress (key, success) has: what stays as it is when others are made again."""
+    return entries.join(progress.where("success").select(key), key, "left_semi")
+
+
+def failed(progress: DataFrame, key: str) -> DataFrame:
+    """(key): the non-null keys of progress that no row finished."""
+    known = progress.where(F.col(key).isNotNull())
+    return known.groupBy(key).agg(F.bool_or("success").alias("_s")).where(~F.coalesce("_s", F.lit(False))).select(key)
+
+
 def usable(validation: DataFrame, indices: list[int] | None = None, index: str = "cluster_idx") -> DataFrame:
     """Clusters that aren't unusable, of given indices if there are any."""
     kept = validation.where(F.col("status").isin("valid_medoid", "replaced"))

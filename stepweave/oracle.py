@@ -229,9 +229,9 @@ _REPLACED = _JUDGED + """
 ), best AS (
   SELECT cluster_key, count(*) AS n, min(rank) FILTER (valid) AS tries, arg_min(tokens, rank) FILTER (valid) AS tokens FROM other GROUP BY ALL
 ), replaced AS (
-  SELECT cluster_key, CASE WHEN x.valid THEN 'valid_medoid' WHEN tries <= 3 THEN 'replaced' ELSE 'unusable' END AS status,
-    CASE WHEN x.valid THEN x.tokens WHEN tries <= 3 THEN tokens END AS final,
-    CASE WHEN x.valid THEN 1 WHEN tries <= 3 THEN 1 + tries ELSE 1 + least(3, coalesce(n, 0) * CASE WHEN len(x.bad) = 0 THEN 2 ELSE 1 END) END AS attempts,
+  SELECT cluster_key, CASE WHEN x.valid THEN 'valid_medoid' WHEN tries <= 99 THEN 'replaced' ELSE 'unusable' END AS status,
+    CASE WHEN x.valid THEN x.tokens WHEN tries <= 99 THEN tokens END AS final,
+    CASE WHEN x.valid THEN 1 WHEN tries <= 99 THEN 1 + tries ELSE 1 + least(99, coalesce(n, 0) * CASE WHEN len(x.bad) = 0 THEN 2 ELSE 1 END) END AS attempts,
     x.valid AS original_valid, CASE WHEN NOT x.valid THEN x.reason END AS reason
   FROM medoid LEFT JOIN best USING (cluster_key)
 )
@@ -258,7 +258,54 @@ WITH c AS (
 )
 """
 
+#: Weighted edit distance of the lists a and b of a row, in hundredths: rows of the table of a dynamic program, step by step. A
+#: step is a struct of its token, effective type and group.
+_STEPS = """
+, kinds AS (
+  SELECT domain, token, CASE WHEN coalesce(action_type, 'GENERIC') = 'GENERIC' THEN 'READ' ELSE action_type END AS kind FROM (SELECT DISTINCT domain, token, action_type FROM model_vocab)
+), maps AS (
+  SELECT domain, map_from_entries(list({'key': token, 'value': kind})) AS kinds FROM kinds GROUP BY ALL
+), typed AS (
+  SELECT s.*, [{'t': x, 'k': coalesce(kinds[x], 'READ'), 'g': split_part(x, '_', 1)} FOR x IN tokens] AS steps FROM (SELECT DISTINCT domain, tokens FROM m) s LEFT JOIN maps USING (domain)
+)
+"""
+
+
+def _weighted(pairs: str) -> str:
+    """CTE `measured`: pairs (..., a, b) of lists of steps with d, their distance in hundredths."""
+    cost = "CASE WHEN x.t = y.t THEN 0 WHEN x.k = y.k AND x.g = y.g THEN 33 WHEN x.k = y.k THEN 66 ELSE 100 END"
+    return f"""
+, pairs AS (SELECT row_number() OVER () AS pair, * FROM ({pairs})
+), grown AS (
+  WITH RECURSIVE g(pair, step, line) AS (
+    SELECT pair, 0, [100 * j FOR j IN range(len(b) + 1)] FROM pairs
+    UNION ALL
+    SELECT g.pair, step + 1, list_reduce([{{'up': line[j + 1], 'diagonal': line[j], 'y': b[j]}} FOR j IN range(1, len(b) + 1)], lambda acc, c: list_append(acc, least(c.up + 100, acc[-1] + 100, c.diagonal + list_transform([{{'x': a[step + 1], 'y': c.y}}], lambda q: {cost.replace("x.", "q.x.").replace("y.", "q.y.")})[1])), [100 * (step + 1)])
+    FROM g JOIN pairs USING (pair) WHERE step < len(a)
+  ) SELECT pair, line[-1] AS d FROM g JOIN pairs USING (pair) WHERE step = len(a)
+), measured AS (SELECT * FROM pairs JOIN grown USING (pair))
+"""
+
+
 SQL |= {
+    "weighted_distances": _SEQS
+    + """, medoid AS (
+  SELECT cluster_key, arg_min(tokens, seq_id) AS medoid FROM m WHERE is_medoid GROUP BY ALL
+)"""
+    + _STEPS
+    + _weighted("SELECT DISTINCT m.domain, m.tokens, medoid, x.steps AS a, y.steps AS b FROM m JOIN medoid USING (cluster_key) JOIN typed x ON x.domain = m.domain AND x.tokens = m.tokens JOIN typed y ON y.domain = m.domain AND y.tokens = medoid")
+    + "SELECT m.domain, seq_id, round(d / 100, 2) AS distance FROM m JOIN medoid USING (cluster_key) JOIN measured w ON w.domain = m.domain AND w.tokens = m.tokens AND w.medoid = medoid.medoid",
+    "weighted_medoid_pairs": _SEQS + _MEDOIDS + _STEPS + _weighted("SELECT p.domain, p.place AS i, q.place AS j, x.steps AS a, y.steps AS b FROM medoid p JOIN medoid q ON p.domain = q.domain AND p.place < q.place JOIN typed x ON x.domain = p.domain AND x.tokens = p.tokens JOIN typed y ON y.domain = q.domain AND y.tokens = q.tokens") + "SELECT domain, i, j, round(d / 100, 2) AS distance FROM measured",
+    "best_medoids": _SEQS
+    + """, one AS (SELECT domain, cluster_key, tokens, count(*) AS w, min(seq_id) AS seq_id FROM m WHERE cluster_key IS NOT NULL GROUP BY ALL)"""
+    + _STEPS
+    + _weighted("SELECT DISTINCT p.domain, p.tokens AS ta, q.tokens AS tb, x.steps AS a, y.steps AS b FROM one p JOIN one q ON p.cluster_key = q.cluster_key AND p.tokens < q.tokens JOIN typed x ON x.domain = p.domain AND x.tokens = p.tokens JOIN typed y ON y.domain = q.domain AND y.tokens = q.tokens")
+    + """, cost AS (
+  SELECT p.cluster_key, p.seq_id, round(coalesce(sum(d * q.w), 0) / 100, 2) AS cost FROM one p LEFT JOIN one q ON p.cluster_key = q.cluster_key AND p.tokens <> q.tokens
+  LEFT JOIN measured w ON w.domain = p.domain AND w.ta = least(p.tokens, q.tokens) AND w.tb = greatest(p.tokens, q.tokens) GROUP BY ALL
+)
+SELECT cluster_key, seq_id, cost FROM cost QUALIFY row_number() OVER (PARTITION BY cluster_key ORDER BY cost, seq_id) = 1""",
+    "accepted_pool": _SEQS + "SELECT domain, row_number() OVER (PARTITION BY domain ORDER BY f.t, f.s) - 1 AS idx, array_to_string(tokens, '>') AS tokens FROM (SELECT domain, tokens, min({'t': t, 's': seq_id}) AS f FROM acc GROUP BY ALL) QUALIFY idx < 2000",
     "seq_tokens": _SEQS + "SELECT domain, seq_id, unnest(range(len(tokens))) AS pos, unnest(tokens) AS token FROM m",
     "seed_sequences": _CRITERIA + "SELECT c.row_id, c.task_id, coalesce((SELECT string_agg(a->>'$.name', '>' ORDER BY pos) FROM a WHERE a.row_id = c.row_id AND a->>'$.name' IS NOT NULL), '') AS tokens FROM c WHERE json_type(j->'$.actions') = 'ARRAY'",
     "seq_length_stats": _SEQS + "SELECT domain, count(*) AS n, round(median(len(tokens)), 6) AS median, round(stddev_pop(len(tokens)), 6) AS std, greatest(1, min(len(tokens))) AS low, max(len(tokens)) AS high, round(greatest(greatest(1, min(len(tokens))), quantile_cont(len(tokens), 0.1)), 6) AS p10, round(least(max(len(tokens)), quantile_cont(len(tokens), 0.9)), 6) AS p90 FROM m GROUP BY ALL",
@@ -296,9 +343,6 @@ UNION ALL SELECT domain, seq_id, '3:between' FROM two
 UNION ALL SELECT domain, seq_id, '4:not_after' FROM p WHERE reboot > 0 AND list_max(resumes) > reboot - 1""",
     "duplicate_status": _JUDGED + "SELECT domain, seq_id, CASE WHEN tokens IN (SELECT tokens FROM acc) THEN 'accepted_dup' WHEN tokens IN (SELECT tokens FROM judged WHERE is_medoid AND NOT valid) THEN 'rejected_dup' ELSE 'new' END AS status FROM m",
     "edit_distances": _ENCODED + "SELECT domain, seq_id, d AS distance, CASE WHEN longest = 0 THEN 0 ELSE round(d / longest, 9) END AS normalized FROM measured",
-    "center_pairs": _SEQS + _CENTERS + """
-SELECT domain, i, j, levenshtein(array_to_string([chr(32 + list_position(names, x)::INT) FOR x IN a], ''), array_to_string([chr(32 + list_position(names, x)::INT) FOR x IN b], ''))::DOUBLE AS distance
-FROM (SELECT x.domain, x.place AS i, y.place AS j, x.tokens AS a, y.tokens AS b, list_distinct(list_concat(x.tokens, y.tokens)) AS names FROM center x JOIN center y ON x.domain = y.domain AND x.place < y.place)""",
     "nearest_center": _SEQS + _CENTERS + """, pair AS (
   SELECT m.domain, seq_id, place, m.tokens AS a, c.tokens AS b, list_distinct(list_concat(m.tokens, c.tokens)) AS names FROM m JOIN center c USING (domain)
 ), measured AS (
@@ -342,10 +386,19 @@ SELECT row_id, rule, message, CASE WHEN rule = 'references' AND NOT contains(mes
 SELECT row_id, task_id, trial, position FROM n WHERE step = 'resume_line' AND NOT coalesce(nxt, false)""",
     "redacted_arguments": _ACTIONS + "SELECT domain, trial, task_id, count(*) AS n, CASE WHEN count(*) FILTER (requestor = 'assistant') = 0 THEN 0 ELSE greatest(1, floor(count(*) FILTER (requestor = 'assistant') * 0.33))::BIGINT END AS n_covered FROM a GROUP BY ALL",
     "argument_parse_stages": _ACTIONS + "SELECT row_id, CASE WHEN arguments IS NULL THEN NULL WHEN json_valid(arguments) THEN 1 WHEN json_valid(regexp_replace(arguments, ',(\\s*[\\]}])', '\\1', 'g')) THEN 2 ELSE 0 END AS stage FROM a",
-    "template_marks": "SELECT doc_id, unnest(regexp_extract_all(text, '\\{[a-zA-Z_][a-zA-Z0-9_]*\\}')) AS mark FROM documents",
     "task_actions": _CRITERIA + "SELECT row_id, pos, coalesce(a->>'$.action_id', pos::VARCHAR) AS action_id, coalesce(a->>'$.name', a->>'$.tool_name', a->>'$.action_name') AS name, coalesce(a->>'$.requestor', 'assistant') AS requestor, CASE WHEN json_type(a->'$.info') = 'VARCHAR' THEN a->>'$.info' END AS info FROM a WHERE json_type(a) = 'OBJECT'",
-    "trial_mismatches": _ACTIONS + "SELECT task_id, position, e.step AS expected, x.step AS actual FROM (FROM a WHERE trial = 0) e FULL JOIN (FROM a WHERE trial = 1) x USING (task_id, position) WHERE e.step IS DISTINCT FROM x.step",
-    "all_trial_mismatches": _ACTIONS + """, t AS (
+    "task_changes": """WITH r AS (
+  SELECT task_id, created_at, row_id, max(evaluation_criteria) AS doc FROM tasks GROUP BY ALL
+), o AS (
+  SELECT task_id, row_id, doc AS new, lag(doc) OVER w AS old FROM r WINDOW w AS (PARTITION BY task_id ORDER BY created_at, row_id) QUALIFY row_number() OVER w > 1
+), leaf AS (
+  SELECT task_id, row_id, side, replace(t.fullkey, '"', '') AS path, t.value::VARCHAR AS value
+  FROM (SELECT task_id, row_id, 'old' AS side, old::JSON AS doc FROM o WHERE json_valid(old) UNION ALL SELECT task_id, row_id, 'new', new::JSON FROM o WHERE json_valid(new)) d, json_tree(d.doc) t
+  WHERE t.type NOT IN ('OBJECT', 'ARRAY') OR t.value::VARCHAR IN ('{}', '[]')
+)
+SELECT task_id, row_id, path, CASE WHEN a.value IS NULL THEN 'added' WHEN b.value IS NULL THEN 'removed' ELSE 'changed' END AS change, a.value AS old_value, b.value AS new_value
+FROM (FROM leaf WHERE side = 'old') a FULL JOIN (FROM leaf WHERE side = 'new') b USING (task_id, row_id, path) WHERE a.value IS DISTINCT FROM b.value""",
+    "trial_mismatches": _ACTIONS + """, t AS (
   SELECT task_id, trial FROM a WHERE trial > 0 UNION SELECT task_id, 1 FROM a WHERE trial = 0
 ), e AS (
   SELECT a.task_id, t.trial, a.position, a.step FROM a JOIN t ON a.task_id IS NOT DISTINCT FROM t.task_id WHERE a.trial = 0
@@ -395,10 +448,19 @@ def _children() -> str:
         + _elements("app", f"SELECT row_id, 'app_status' AS tab, '$.app_name' AS own, 'device' AS parent, {_opened('device->' + repr('app_statuses'))} AS v FROM device")
         + _elements("act", f"SELECT row_id, 'action' AS tab, '$.-' AS own, '' AS parent, {_opened('crit->' + repr('actions'))} AS v FROM doc")
         + _elements("more", more)
-        + "\nSELECT DISTINCT row_id, tab AS child_table, parent AS parent_key, key AS child_key FROM (FROM top UNION ALL FROM below UNION ALL FROM app UNION ALL FROM act UNION ALL FROM more)"
+        + """, record AS (FROM top UNION ALL FROM below UNION ALL FROM app UNION ALL FROM act UNION ALL FROM more
+), attribute AS (
+  SELECT DISTINCT row_id, tab AS child_table, parent AS parent_key, key AS child_key, name, v->>'$' AS value
+  FROM (SELECT r.row_id, r.tab, r.parent, r.key, a.key AS name, """
+        + _opened("a.value")
+        + """ AS v FROM record r, json_each(r.v) a) WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY', 'NULL')
+)
+"""
     )
 
 
+CHILDREN = _children()
+
 #: The change log of records, replayed in three spans of time: of each record the version loaded last rules, and gives its
 #: own existence and its references unless it is deleted.
 _LOG = (
@@ -426,10 +488,8 @@ _LOG = (
 )
 
 SQL |= {
-    "p3_found": _children(),
+    "p3_found": CHILDREN + "SELECT DISTINCT row_id, tab AS child_table, parent AS parent_key, key AS child_key FROM record",
+    "p3_attributes": CHILDREN + "SELECT * FROM attribute",
     "p1_current": _LOG + "SELECT target, ref_key, refs FROM report WHERE batch = 2",
     "p1_folds": _LOG + "SELECT batch, target, ref_key, refs FROM report",
 }
-
-#: The same with the 99 tries of the reference.
-SQL |= {f"full_{k}": SQL[k].replace("tries <= 3 ", "tries <= 99 ").replace("least(3, ", "least(99, ") for k in ("medoid_replacement", "validation_status", "merged_validation", "write_summary")}

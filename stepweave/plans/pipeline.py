@@ -13,10 +13,20 @@ from ..session import cut
 
 def sample_pool(counts: DataFrame, vocabulary: DataFrame, size: int, lengths, tau: float = 1.5, seed: int = 0, keep=None, config: ngram.Config = ngram.Config(), oversample: int = 10) -> DataFrame:
     """(domain, idx, tokens): up to `size` distinct sequences per domain of at most oversample times as many attempts.
-    lengths is a column of attempt."""
-    attempts = ngram._attempts(vocabulary, 0, size * oversample).withColumns({"length": lengths.cast("int"), "tau": F.lit(float(tau))})
-    made = ngram.generate(attempts, counts, vocabulary, seed, config)
-    return cluster.unique_pool(made, size, keep)
+    lengths is a column of attempt. Attempts are made in rounds, twice the size at first and then as many again, until
+    every domain's pool is full: an attempt gives the same sequence in whichever round it is made."""
+    first, start, end = None, 0, 2 * size
+    n_domains = vocabulary.select("domain").distinct().count()
+    while True:
+        attempts = ngram._attempts(vocabulary, start, end).withColumns({"length": lengths.cast("int"), "tau": F.lit(float(tau))})
+        made = ngram.generate(attempts, counts, vocabulary, seed, config).select("domain", "attempt", "tokens")
+        made = made if keep is None else made.where(keep)
+        both = made if first is None else first.unionByName(made)
+        first = cut(both.groupBy("domain", "tokens").agg(F.min("attempt").alias("attempt")))
+        full = first.groupBy("domain").count().where(F.col("count") >= size).count()
+        if full >= n_domains or end >= size * oversample:
+            return cluster.unique_pool(first, size)
+        start, end = end, min(2 * end, size * oversample)
 
 
 def cluster_and_validate(spark: SparkSession, counts: DataFrame, vocabulary: DataFrame, judge: Provider, k: int, size: int, lengths, costs: Costs, seed: int = 0, rounds: int = 3, budget: int = 99, keep=None) -> DataFrame:

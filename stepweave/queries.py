@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.text import key_form, name_form, name_forms
 from .operators import cluster, distance, drift, entities, json_ops, lengths, ngram, orphans, providers, rules, select, sequences, shred
 from .plans import pipeline
-from .session import cut, shared_dir
+from .session import cut, place
 from .sources.tables import table
 from .streaming import online
 
@@ -69,9 +68,9 @@ def p3_tables(spark: SparkSession, d: str) -> DataFrame:
     return t.select("row_id", "child_table", dotted("parent_label").alias("parent_label"), dotted("label").alias("label"), "parent_key", "child_key", F.to_json("attrs").alias("attrs")).distinct()
 
 
-def p3_legs(spark: SparkSession, d: str) -> DataFrame:
-    """The legs of reservations as a flat table."""
-    return shred.flat_table(cut(shred.task_tables(table(spark, d, "tasks"))), "row_id", "leg")
+def p3_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """Every scalar of every child record, all tables in one long form."""
+    return shred.attributes(shred.task_tables(table(spark, d, "tasks")), "row_id").distinct()
 
 
 def _fields(spark: SparkSession, d: str) -> DataFrame:
@@ -137,8 +136,10 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
     return long.withColumn("as_decimal", F.round("as_decimal", 6))
 
 
-#: Steps of a window of acceptance, medoids of a domain that sequences are compared with, tries for a replacement and those of the reference.
-EVERY, CENTERS, BUDGET, FULL_BUDGET = 400, 8, 3, 99
+#: Steps of a window of acceptance, medoids of a stated set that sequences are compared with, and tries for a replacement.
+EVERY, CENTERS, BUDGET = 400, 8, 99
+#: Mean, std, skew and bounds of drawn lengths (fixed values).
+LENGTHS = (7.0, 5.0, 2.0, 1, 15)
 #: Sequences of a sampled pool and rounds of re-clustering, the defaults of the reference.
 POOL, ROUNDS = 2_000, 3
 #: Names of all vocabularies at most, for costs by type.
@@ -288,11 +289,6 @@ def nearest_center(spark: SparkSession, d: str) -> DataFrame:
     return out.select("domain", "seq_id", F.round("min_distance", 9).alias("min_distance"), "nearest", F.round("mean_distance", 9).alias("mean_distance"))
 
 
-def center_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Plain edit distances of all pairs of the given centers."""
-    return distance.all_pairs(_centers(spark, d).withColumnRenamed("place", "idx"), distance.Costs(None))
-
-
 def nearest_medoid(spark: SparkSession, d: str) -> DataFrame:
     """Distance of each sequence to all medoids of its domain, in blocks; nearest is a place, those of larger clusters first."""
     members = cut(_members(spark, d).select("domain", "seq_id", "tokens").distinct())
@@ -307,10 +303,31 @@ def medoid_pairs(spark: SparkSession, d: str) -> DataFrame:
     return distance.all_pairs(cut(_placed(_medoids(spark, d))).withColumnRenamed("place", "idx"), distance.Costs(None))
 
 
+def weighted_medoid_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted edit distances of all pairs of medoids of a domain, in blocks of pairs."""
+    pairs = distance.all_pairs(cut(_placed(_medoids(spark, d))).withColumnRenamed("place", "idx"), _costs(_vocab(spark, d)))
+    return pairs.withColumn("distance", F.round("distance", 2))
+
+
+def best_medoids(spark: SparkSession, d: str) -> DataFrame:
+    """Each cluster's best medoid: the member with the least sum of weighted distances to all, the first id on ties."""
+    m = _members(spark, d)
+    costs = distance.medoid_costs(m.select("domain", "cluster_key", "tokens"), _costs(_vocab(spark, d)))
+    ids = m.groupBy("cluster_key", "tokens").agg(F.min("seq_id").alias("seq_id"))
+    best = costs.join(ids, ["cluster_key", "tokens"]).groupBy("cluster_key").agg(F.min(F.struct(F.round("cost", 2).alias("cost"), "seq_id")).alias("b"))
+    return best.select("cluster_key", "b.seq_id", "b.cost")
+
+
+def accepted_pool(spark: SparkSession, d: str) -> DataFrame:
+    """The first POOL distinct sequences of each domain that were accepted, in the order of their steps and ids."""
+    made = _accepted(spark, d).select("domain", F.struct("t", "seq_id").alias("attempt"), "tokens")
+    return cluster.unique_pool(made, POOL).select("domain", "idx", F.array_join("tokens", ">").alias("tokens"))
+
+
 def pool_distances(spark: SparkSession, d: str) -> DataFrame:
     """Weighted distances of all pairs of a sampled pool of POOL sequences per domain."""
     counts, vocab = cut(_counts(spark, d)), _vocab(spark, d)
-    drawn = lengths.skew_normal(lengths.LengthConfig("skew_normal", 7.0, 5.0, 2.0, 1, 15), F.lit(1.0), F.lit(15.0), "domain", "attempt")
+    drawn = lengths.skew_normal(*LENGTHS, "domain", "attempt")
     pool = pipeline.sample_pool(counts, vocab, POOL, drawn, seed=5)
     return distance.all_pairs(cut(pool), _costs(vocab))
 
@@ -330,22 +347,22 @@ def cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
     return select.cluster_sizes(_members(spark, d), "cluster_key", "domain").withColumn("mean_size", F.round("mean_size", 6))
 
 
-def _validated(spark: SparkSession, d: str, budget: int = BUDGET) -> DataFrame:
-    return select.validate_clusters(_judged(spark, d), budget)
+def _validated(spark: SparkSession, d: str) -> DataFrame:
+    return select.validate_clusters(_judged(spark, d), BUDGET)
 
 
-def medoid_replacement(spark: SparkSession, d: str, budget: int = BUDGET) -> DataFrame:
-    return _validated(spark, d, budget).withColumn("final_sequence", F.array_join("final_sequence", ">"))
+def medoid_replacement(spark: SparkSession, d: str) -> DataFrame:
+    return _validated(spark, d).withColumn("final_sequence", F.array_join("final_sequence", ">"))
 
 
-def validation_status(spark: SparkSession, d: str, budget: int = BUDGET) -> DataFrame:
-    return select.status_counts(_validated(spark, d, budget))
+def validation_status(spark: SparkSession, d: str) -> DataFrame:
+    return select.status_counts(_validated(spark, d))
 
 
-def merged_validation(spark: SparkSession, d: str, budget: int = BUDGET) -> DataFrame:
+def merged_validation(spark: SparkSession, d: str) -> DataFrame:
     """All clusters of cluster_info with what validation said of them."""
     info = table(spark, d, "cluster_info").select("cluster_key", "domain", F.col("status").alias("listed_status"), "n_members").distinct()
-    return select.with_validation(info, _validated(spark, d, budget).select("cluster_key", "status", "attempts"))
+    return select.with_validation(info, _validated(spark, d).select("cluster_key", "status", "attempts"))
 
 
 def first_valid_member(spark: SparkSession, d: str) -> DataFrame:
@@ -358,28 +375,11 @@ def pending_clusters(spark: SparkSession, d: str) -> DataFrame:
     return select.pending(select.usable(info), _judged(spark, d).select("cluster_key", F.col("valid").alias("success")), "cluster_key").select("cluster_key", "domain", "status")
 
 
-def write_summary(spark: SparkSession, d: str, budget: int = BUDGET) -> DataFrame:
-    finals = _validated(spark, d, budget).join(_members(spark, d).select("cluster_key", "domain").distinct(), "cluster_key")
+def write_summary(spark: SparkSession, d: str) -> DataFrame:
+    finals = _validated(spark, d).join(_members(spark, d).select("cluster_key", "domain").distinct(), "cluster_key")
     return select.write_summary(finals, sequences.action_types(_vocab(spark, d)))
 
 
-def full_medoid_replacement(spark: SparkSession, d: str) -> DataFrame:
-    """medoid_replacement with the tries of the reference; so are the next three."""
-    return medoid_replacement(spark, d, FULL_BUDGET)
-
-
-def full_validation_status(spark: SparkSession, d: str) -> DataFrame:
-    return validation_status(spark, d, FULL_BUDGET)
-
-
-def full_merged_validation(spark: SparkSession, d: str) -> DataFrame:
-    return merged_validation(spark, d, FULL_BUDGET)
-
-
-def full_write_summary(spark: SparkSession, d: str) -> DataFrame:
-    return write_summary(spark, d, FULL_BUDGET)
-
-
 def _keyed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     users = table(spark, d, "agent_users").select("row_id", "user_id", "email", "membership", "reservations", "loaded_at").distinct().withColumn("user", key_form("user_id"))
     reservations = table(spark, d, "agent_reservations").distinct().withColumns({"user": key_form("user_id"), "reservation": key_form("reservation_id")})
@@ -475,11 +475,6 @@ def argument_parse_stages(spark: SparkSession, d: str) -> DataFrame:
     return _actions(spark, d).select("row_id", json_ops.parse_stage(F.col("arguments")).alias("stage"))
 
 
-def template_marks(spark: SparkSession, d: str) -> DataFrame:
-    marks = json_ops.template_marks(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.explode(marks).alias("mark"))
-
-
 def task_actions(spark: SparkSession, d: str) -> DataFrame:
     return entities.task_rows(table(spark, d, "tasks").distinct()).select("row_id", "pos", "action_id", "name", "requestor", "info")
 
@@ -493,14 +488,8 @@ def task_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trial_mismatches(spark: SparkSession, d: str) -> DataFrame:
-    """Steps of a task's first two trials that differ."""
-    a = _actions(spark, d)
-    return entities.mismatches(a.where("trial = 0"), a.where("trial = 1"), ["task_id"], "position", "step")
-
-
-def all_trial_mismatches(spark: SparkSession, d: str) -> DataFrame:
-    """Steps of every later trial of a task that differ from its trial 0. Trial 1 counts for each task, as in
-    trial_mismatches, also where it was never run; others where they have rows."""
+    """Steps of every later trial of a task that differ from its trial 0. Trial 1 counts for each task, also where it was
+    never run; others where they have rows."""
     a = cut(_actions(spark, d).select("task_id", "trial", "position", "step"))
     first, later = a.where("trial = 0").drop("trial"), a.where("trial > 0")
     second = first.select("task_id", F.lit(1).cast(a.schema["trial"].dataType).alias("trial"))
@@ -521,8 +510,7 @@ def sampled_sequences(spark: SparkSession, d: str) -> DataFrame:
 def clustered_pool(spark: SparkSession, d: str) -> DataFrame:
     """12 validated clusters per domain of a sampled pool of POOL sequences, with up to ROUNDS rounds around frozen centers."""
     counts, vocab = cut(_counts(spark, d)), _vocab(spark, d)
-    config = lengths.LengthConfig("skew_normal", 7.0, 5.0, 2.0, 1, 15)
-    drawn = lengths.skew_normal(config, F.lit(1.0), F.lit(15.0), "domain", "attempt")
+    drawn = lengths.skew_normal(*LENGTHS, "domain", "attempt")
     out = pipeline.cluster_and_validate(spark, counts, vocab, providers.by_rules(vocab), 12, POOL, drawn, _costs(vocab), seed=42, rounds=ROUNDS)
     return out.select("domain", "cluster_idx", "status", F.array_join("final_sequence", ">").alias("final_sequence"), "attempts")
 
@@ -532,15 +520,30 @@ def stream_daily(spark: SparkSession, d: str) -> DataFrame:
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
     events = online.stream(spark, f"{d}/events.parquet*", schema)
     daily = events.groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    name = f"daily_{uuid.uuid4().hex}"
-    return online.run_to_memory(daily, name, f"{shared_dir(spark)}/{name}", "complete").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    return online.run_to_table(daily, place(spark, "daily"), "complete").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+#: Child tables that are registered one by one as flat tables.
+FLAT = list(dict.fromkeys(t for t, _, _ in shred.TASK_TABLES))
+
+
+def _flat(child: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return shred.flat_table(cut(shred.task_tables(table(spark, d, "tasks"))), "row_id", child)
+
+    query.__name__ = f"p3_{child}s" if not child.endswith("s") else f"p3_{child}es"
+    query.__doc__ = f"The records of {child} as a flat table with links to their parents."
+    return query
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_periods, p1_current, p1_folds, p3_found, p3_tables, p3_legs, p6_found, p6_kinds, p6_table, p6_alternatives, p6_paths, p6_path_alternatives, p6_lines, p6_device, p6_customers, seq_tokens, seed_sequences, seq_length_stats, length_histogram, ngram_counts, context_totals, seen_scores, top_continuation, temperature_schedule, window_acceptance, write_fractions, token_classes, rubric_verdicts, ordering_rules, duplicate_status, edit_distances, weighted_distances, nearest_center, center_pairs, nearest_medoid, medoid_pairs, pool_distances, cluster_sizes, medoid_replacement, validation_status, merged_validation, first_valid_member, pending_clusters, write_summary, full_medoid_replacement, full_validation_status, full_merged_validation, full_write_summary, missing_users, unlisted_reservations, users_over_limit, reused_flights, ambiguous_flights, rule_chain, merged_users, merged_reservation_lists, back_links, flight_dates, follow_ups, redacted_arguments, argument_parse_stages, template_marks, task_actions, task_changes, trial_mismatches, all_trial_mismatches, sampled_sequences, clustered_pool, stream_daily)}
+    from . import run_queries
+
+    return {f.__name__: f for f in (p1_found, p1_periods, p1_current, p1_folds, p3_found, p3_tables, p3_attributes, *map(_flat, FLAT), p6_found, p6_kinds, p6_table, p6_alternatives, p6_paths, p6_path_alternatives, p6_lines, p6_device, p6_customers, seq_tokens, seed_sequences, seq_length_stats, length_histogram, ngram_counts, context_totals, seen_scores, top_continuation, temperature_schedule, window_acceptance, write_fractions, token_classes, rubric_verdicts, ordering_rules, duplicate_status, edit_distances, weighted_distances, nearest_center, nearest_medoid, medoid_pairs, weighted_medoid_pairs, best_medoids, accepted_pool, pool_distances, cluster_sizes, medoid_replacement, validation_status, merged_validation, first_valid_member, pending_clusters, write_summary, missing_users, unlisted_reservations, users_over_limit, reused_flights, ambiguous_flights, rule_chain, merged_users, merged_reservation_lists, back_links, flight_dates, follow_ups, redacted_arguments, argument_parse_stages, task_actions, task_changes, trial_mismatches, sampled_sequences, clustered_pool, stream_daily)} | run_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import run_queries
     from .oracle import SQL
 
-    return {k: v for k, v in SQL.items() if k in queries()}
+    return {k: v for k, v in (SQL | run_queries.SQL).items() if k in queries()}

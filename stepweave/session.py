@@ -67,11 +67,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new folder for files of a run in the shared folder, removed when the program ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, it survives lost executors, and what
     reads it several times doesn't compute it again. Columnar and compressed, unlike DataFrame.checkpoint()."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    atexit.register(_remove, df.sparkSession, path)
+    path = place(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

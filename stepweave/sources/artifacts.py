@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import lengths
+
 TOOL_SPEC = "map<string,struct<type:string,actor:string,description:string,parameters:map<string,struct<type:string,description:string>>>>"
 
 
@@ -22,6 +26,21 @@ def tasks_json(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def write_tasks_json(tasks: DataFrame, folder: str) -> None:
+    """Tasks as JSON arrays, one whole array per file: each task writes its own, record by record."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = "["
+        for b in batches:
+            rows = b.column(0).to_pylist()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([before + rows[0], *("," + r for r in rows[1:])])], ["value"])
+                before = ","
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if before == "," else "[]"])], ["value"])
+
+    tasks.select(F.to_json(F.struct(*tasks.columns)).alias("value")).mapInArrow(lines, "value string").write.mode("overwrite").text(folder)
+
+
 def text(spark: SparkSession, path: str) -> DataFrame:
     """(value): each file's whole text."""
     return spark.read.text(path, wholetext=True)
@@ -45,6 +64,20 @@ def domain_config(folder: str) -> dict:
     return json.loads(f.read_text()) if f.exists() else {}
 
 
+def domain_configs(spark: SparkSession, root: str) -> DataFrame:
+    """(domain, config): the domain.json of each folder of root that has one, as text; on any file system."""
+    files = spark.read.text(f"{root}/*/domain.json", wholetext=True)
+    return files.select(F.regexp_extract(F.input_file_name(), r"/([^/]+)/domain\.json", 1).alias("domain"), F.col("value").alias("config"))
+
+
+def prompt_sections(spark: SparkSession, path: str) -> DataFrame:
+    """(file, section, body) of text files whose sections are each headed by a line ===NAME===; what stands before the first
+    one is left out, bodies are trimmed. On any file system."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"(?m)^===(?=\w+===\s*$)").alias("parts"))
+    each = files.select("file", F.explode(F.slice("parts", 2, F.greatest(F.size("parts"), F.lit(1)))).alias("p"))
+    return each.select("file", F.regexp_extract("p", r"^(\w+)===", 1).alias("section"), F.regexp_replace(F.regexp_replace("p", r"^\w+===\s*", ""), r"\s+$", "").alias("body"))
+
+
 def domains(root: str) -> list[str]:
     """The names of the folders that have a domain.json."""
     return sorted(p.parent.name for p in Path(root).glob("*/domain.json"))
@@ -107,11 +140,27 @@ def checkpoint_json(spark: SparkSession, path: str, domain: str) -> DataFrame:
 
 
 def write_checkpoint_json(counts: DataFrame, path: str, settings: dict) -> None:
-    """The JSON checkpoint of one domain's counts; a model is as large as its contexts, so one file holds it."""
-    rows = counts.groupBy("sign").agg(F.map_from_entries(F.collect_list(F.struct(F.to_json(F.array_append("ctx", F.col("token"))), "w"))).alias("m")).collect()
-    maps = {r.sign: dict(r.m) for r in rows}
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps({"model": {"config": settings, "counts": {f"{s}_ngram": maps.get(s, {}) for s in ("pos", "neg")}}}, indent=2))
+    """The JSON checkpoint of one domain's counts, a folder that holds one file: the format wants a single document. One
+    task writes it entry by entry in the order of signs, so that nothing is gathered in memory or on the driver."""
+    entry = F.concat(F.to_json(F.struct(F.to_json(F.array_append("ctx", F.col("token"))).alias("k"))), F.lit("\t"), F.to_json(F.struct(F.col("w").alias("w")))).alias("e")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, first = None, True
+        line = lambda *t: pa.RecordBatch.from_arrays([pa.array(t, pa.string())], ["value"])
+        yield line('{"model": {"config": ' + json.dumps(settings) + ', "counts": {')
+        for b in batches:
+            out = []
+            for sign, e in zip(b.column("sign").to_pylist(), b.column("e").to_pylist()):
+                if sign != open_:
+                    out.append(("" if open_ is None else "}, ") + f'"{sign}_ngram": {{')
+                    open_, first = sign, True
+                k, w = e.split("\t", 1)
+                out.append(("" if first else ", ") + k[len('{"k":') : -1] + ": " + w[len('{"w":') : -1])
+                first = False
+            yield line(*out)
+        yield line(("" if open_ is None else "}") + "}}}")
+
+    counts.select("sign", entry).coalesce(1).sortWithinPartitions("sign").mapInArrow(write, "value string").write.mode("overwrite").text(path)
 
 
 def write_clusters(clusters: DataFrame, folder: str) -> None:
@@ -146,6 +195,21 @@ def write_task_set(tasks: DataFrame, folder: str, metadata: DataFrame) -> None:
     metadata.write.mode("overwrite").json(f"{folder}/metadata")
 
 
+def read_task_set(spark: SparkSession, folder: str, schema: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(tasks, metadata) of a set."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.json(f"{folder}/tasks"), spark.read.json(f"{folder}/metadata")
+
+
+def generation_metadata(sequences: DataFrame, *by: str) -> DataFrame:
+    """(by..., n_tasks, n_empty, median, std, low, high, p10, p90, histogram): what a run made, from sequences (by...,
+    tokens); the histogram is a map from lengths to counts."""
+    sized = sequences.select(*by, F.size("tokens").alias("length")).where("length >= 0")
+    made = sized.groupBy(*by).agg(F.count(F.lit(1)).alias("n_tasks"), F.count_if(F.col("length") == 0).alias("n_empty"))
+    stats = lengths.fit(sized, *by).drop("n")
+    return made.join(stats, list(by)).join(lengths.histogram(sized, *by).withColumnRenamed("lengths", "histogram"), list(by))
+
+
 def evolved_output(tasks: DataFrame, results: DataFrame, key: str = "task_id", position: str = "pos") -> DataFrame:
     """The tasks that results (key, evolved) has, in their order of input."""
     return tasks.join(results, key).orderBy(position)
@@ -154,3 +218,17 @@ def evolved_output(tasks: DataFrame, results: DataFrame, key: str = "task_id", p
 def append_errors(errors: DataFrame, folder: str) -> None:
     """Error rows by step; nothing is ever wiped."""
     errors.write.mode("append").partitionBy("step").json(folder)
+
+
+def failures(rows: DataFrame, step: str, key: str, message, **detail) -> DataFrame:
+    """Rows of the failure log of a step: step, id (the key, with `_` for what a file name can't hold), message, and detail
+    columns as JSON. Logs of assertions and of alignments are those of their steps."""
+    body = F.to_json(F.struct(*(c.alias(n) for n, c in detail.items()))) if detail else F.lit("{}")
+    return rows.select(F.lit(step).alias("step"), F.regexp_replace(F.col(key).cast("string"), "[^A-Za-z0-9_.-]", "_").alias("id"), message.alias("message"), body.alias("detail"))
+
+
+def prompt_log(rows: DataFrame, run: str, order: str, prompt: str) -> DataFrame:
+    """Rows of the prompt log, (step, run, n, prompt): the prompts of a run in its order, numbered from 1. Nothing is wiped:
+    append_errors() adds them under the step `prompt`."""
+    n = F.row_number().over(Window.partitionBy(run).orderBy(order))
+    return rows.select(F.lit("prompt").alias("step"), F.col(run).alias("run"), n.alias("n"), F.col(prompt).alias("prompt"))

@@ -48,8 +48,19 @@ def read_online(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder).groupBy("domain", "sign", "ctx", "token").agg(F.sum("w").alias("w"))
 
 
-def run_to_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that a stream has now, as a table; for tests and small reports."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All that a stream has now, as a table of folder: in mode append each batch is a part of its own, which a repeated batch
+    overwrites, in mode complete the last batch is the table. Nothing goes through the driver. The stream's checkpoint
+    stands in the same folder, so that a later run goes on where this one ended."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/table/batch={0 if mode == 'complete' else batch_id}")
+
+    q = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    try:
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/table").select(*df.columns)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" in str(e):  # no batch came
+            return df.sparkSession.createDataFrame([], df.schema)
+        raise

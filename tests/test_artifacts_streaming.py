@@ -91,9 +91,54 @@ def test_windows_sessions_and_repeats(spark, tmp_path, rows):
     schema = "id int, ts timestamp_ntz, kind string"
     spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     source = lambda: O.stream(spark, str(tmp_path / "in"), schema)
-    w = O.run_to_memory(O.tumbling(source(), "ts", "10 minutes", "1 hour", "kind"), "w", str(tmp_path / "w"))
+    w = O.run_to_table(O.tumbling(source(), "ts", "10 minutes", "1 hour", "kind"), str(tmp_path / "w"))
     assert rows(w.select(F.hour("start"), "kind", "n")) == [(1, "a", 3), (3, "b", 1)]
-    s = O.run_to_memory(O.sessions(source(), "ts", "10 minutes", "30 minutes", "kind"), "s", str(tmp_path / "s"))
+    s = O.run_to_table(O.sessions(source(), "ts", "10 minutes", "30 minutes", "kind"), str(tmp_path / "s"))
     assert rows(s.select(F.hour("start"), F.minute("end"), "kind", "n")) == [(1, 50, "a", 3), (3, 30, "b", 1)]
-    o = O.run_to_memory(O.once(source(), ["id"], "ts", "10 minutes"), "o", str(tmp_path / "o"))
+    o = O.run_to_table(O.once(source(), ["id"], "ts", "10 minutes"), str(tmp_path / "o"))
     assert o.count() == 4
+
+
+def test_json_arrays_of_tasks(spark, tmp_path, rows):
+    df = spark.createDataFrame([(i, f'a "{i}"' if i % 2 else None) for i in range(25)], "i int, t string").repartition(4)
+    A.write_tasks_json(df, str(tmp_path / "a"))
+    A.write_tasks_json(df.limit(0), str(tmp_path / "b"))
+    assert rows(A.tasks_json(spark, str(tmp_path / "a"), "i int, t string")) == rows(df) and A.tasks_json(spark, str(tmp_path / "b"), "i int").count() == 0
+    assert all(isinstance(json.loads(p.read_text()), list) for p in (tmp_path / "a").glob("part-*"))
+
+
+def test_configs_and_sections_on_any_file_system(spark, tmp_path, rows):
+    for name, text in (("air", '{"k": 1}'), ("rail", "{}")):
+        (tmp_path / "d" / name).mkdir(parents=True)
+        (tmp_path / "d" / name / "domain.json").write_text(text)
+    assert rows(A.domain_configs(spark, str(tmp_path / "d"))) == [("air", '{"k": 1}'), ("rail", "{}")]
+    (tmp_path / "p.txt").write_text("before\n===A===\none\ntwo\n===B===\n\nx ===C=== y\n\n")
+    assert rows(A.prompt_sections(spark, str(tmp_path / "p.txt")).select("section", "body")) == [("A", "one\ntwo"), ("B", "x ===C=== y")]
+    assert A.sections(str(tmp_path / "p.txt")) == {"A": "one\ntwo", "B": "x ===C=== y"}
+
+
+def test_metadata_and_logs(spark, rows):
+    seqs = spark.createDataFrame([("d", ["a", "b"]), ("d", []), ("d", None)], "domain string, tokens array<string>")
+    m = A.generation_metadata(seqs, "domain").first()
+    assert (m.n_tasks, m.n_empty, m.low, m.high, m.histogram) == (2, 1, 1, 2, {"0": 1, "2": 1})
+    df = spark.createDataFrame([("x/y z", "m", 1), ("q", None, 2)], "k string, m string, n int")
+    assert rows(A.failures(df, "s", "k", F.col("m"), n=F.col("n"))) == sorted([("s", "x_y_z", "m", '{"n":1}'), ("s", "q", None, '{"n":2}')], key=repr)
+    assert rows(A.prompt_log(df.withColumn("run", F.lit("r")), "run", "n", "k")) == sorted([("prompt", "r", 1, "x/y z"), ("prompt", "r", 2, "q")], key=repr)
+
+
+def test_one_shot_builder_and_batches_of_training(spark, rows):
+    """The counts of training are those of its ledger, whatever the size of a batch is; the builder stops once it has enough."""
+    vocab = spark.createDataFrame([("d", x) for x in "abc"], "domain string, token string")
+    seeds = spark.createDataFrame([("d", ["a", "b"]), ("d", [])], "domain string, tokens array<string>")
+    bad = F.transform(F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.get("tokens", i) == "c"), lambda i: i)
+
+    def verdict(df):
+        return df.withColumns({"bad_idx": F.when(F.size("tokens") > 0, bad).otherwise(F.array().cast("array<int>")), "reason": F.lit("r")}).withColumn("valid", F.size("bad_idx") == 0)
+
+    for batch in (1, 4):
+        counts, ledger = N.train(spark, seeds, vocab, verdict, 6 if batch == 1 else 12, batch, F.lit(3), seed=2)
+        again = N.count(N.feedback(ledger.select("domain", "tokens", "valid", "bad_idx").unionByName(verdict(seeds.where(F.size("tokens") > 0)).select("domain", "tokens", "valid", "bad_idx"))), vocab)
+        assert rows(counts.select("domain", "sign", "ctx", "token", "w")) == rows(again.select("domain", "sign", "ctx", "token", "w")) and ledger.count() == (6 if batch == 1 else 12)
+    _, known = N.until_valid(spark, counts, vocab, verdict, 3, 5, 10, 2, seed=1)
+    valid = [tuple(r.tokens) for r in known.collect()]
+    assert len(valid) == len(set(valid)) >= 3 and all("c" not in t for t in valid)

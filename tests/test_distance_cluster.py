@@ -143,16 +143,30 @@ def test_lengths(spark):
 
 def test_drawn_lengths(spark):
     base = spark.range(4000).select(F.lit("d").alias("domain"), F.col("id").alias("attempt"))
-    config = L.LengthConfig("skew_normal", 7.0, 5.0, 2.0, 1, 15)
-    x = [r.x for r in base.select(L.skew_normal(config, F.lit(1.0), F.lit(99.0), "attempt").alias("x")).collect()]
+    x = [r.x for r in base.select(L.skew_normal(7.0, 5.0, 2.0, 1, 15, "attempt").alias("x")).collect()]
     assert min(x) >= 1 and max(x) <= 15 and 9.0 < np.mean(x) < 11.0
     given = spark.createDataFrame([("d", k) for k in (2, 2, 2, 8)], "domain string, length int")
     y = [r.length for r in L.kernel(base, given, "domain", "attempt").collect()]
     assert min(y) == 2 and max(y) == 8 and len(y) == 4000 and np.mean(np.array(y) > 5) == pytest.approx(0.25, abs=0.08)
-    for bad in ({"mode": "x"}, {"mode": "skew_normal"}):
+    for bad in ({"mode": "x"}, {"mode": "skew_normal"}, {"mode": "skew_normal", "mean": 1.0}):
         with pytest.raises(ValueError):
-            L.LengthConfig(**bad)
-    assert L.LengthConfig.from_dict(config.to_dict() | {"other": 1}) == config
+            L.drawing(bad, given, "domain", "attempt")
+    with pytest.raises(ValueError):
+        L.skew_normal(1.0, 0.0, 0.0, 1, 5, "attempt")
+    drawn = lambda s: [r.length for r in L.drawing(s, given, "domain", "attempt")(base).orderBy("attempt").collect()]
+    whole = {"mode": "skew_normal", "mean": 7.0, "std": 5.0, "skew": 2.0, "min": 1, "max": 15, "other": 1}
+    assert drawn(whole) == x and drawn({"mode": "from_seed"}) == drawn({}) == y
+    free = drawn({"mode": "skew_normal", "mean": 7.0, "std": 5.0})
+    assert min(free) == 2 and max(free) == 8
+
+
+def test_statistics_keep_up_with_what_is_added(spark):
+    df = lambda *x: spark.createDataFrame([("a", k) for k in x], "domain string, length int")
+    fitted = L.Fitted(df(2, 4), "domain")
+    one = fitted.get()
+    assert fitted.get() is one and one.first().median == 3.0
+    fitted.add(df(9, None))
+    assert fitted.stats is None and [tuple(r) for r in fitted.get().collect()] == [tuple(r) for r in L.fit(df(2, 4, 9), "domain").collect()]
 
 
 M = "cluster_key long, seq_id long, is_medoid boolean, distance double, tokens array<string>, valid boolean, reason string, bad_idx array<int>"

@@ -141,3 +141,37 @@ def test_small_helpers(spark, rows):
     t = spark.createDataFrame([(["p", "q"], " #ab-1_c ", " Get.User--Details9 "), (None, None, "--"), ([], "", None)], "l array<string>, k string, n string")
     got = [tuple(r) for r in t.select(numbered(F.col("l")), key_form("k"), has_digit(F.col("k")), name_form("n")).collect()]
     assert got == [("1. p\n2. q", "AB1C", True, "get_user_details"), (None, None, None, None), ("", "", False, None)]
+
+
+def test_called_actions(spark, rows):
+    call = {"function": {"name": "f", "arguments": '{"a": 1}'}}
+    docs = [{"tool_calls": [call, {"tool_name": "g", "args": {"b": [1]}}], "function_call": {"name": "no"}}, {"tool_calls": [], "function_call": {"action_name": "h", "parameters": "not {json"}}, {"tool_calls": None, "function_call": None}, {"content": "x"}]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(docs)] + [(9, None), (10, "{")], "i int, m string")
+    got = rows(N.called(df, "m").select("i", "pos", "name", "arguments"))
+    assert got == [(0, 0, "f", '{"a":1}'), (0, 1, "g", '{"b":[1]}'), (1, 0, "h", "not {json")]
+
+
+def test_links_within_a_document(spark, rows):
+    t = spark.createDataFrame([(1, "line", "L1", {"plan_id": "p-1", "x": "y"}), (1, "line", "L2", {"plan_id": "P9"}), (1, "plan", "P1", {}), (2, "line", "L3", {"plan_id": "P1"}), (2, "line", "L4", None), (2, "plan", "Q", None)], "row_id int, child_table string, child_key string, attrs map<string,string>")
+    from stepweave.functions.text import key_form
+
+    assert rows(R.missing_links(t, "row_id", [("line", "plan_id", "plan")], key_form)) == [(1, "line", "L2", "plan_id", "P9"), (2, "line", "L3", "plan_id", "P1")]
+
+
+def test_ladder_and_progress(spark, rows):
+    from stepweave.operators import providers as P
+    from stepweave.operators import select as V
+
+    df = spark.createDataFrame([(1,), (5,), (9,), (None,)], "n int")
+    rung = lambda top: lambda d: d.withColumn("success", F.coalesce(F.col("n") <= top, F.lit(False)))
+    assert rows(P.ladder([("a", rung(1)), ("b", rung(5))], df)) == sorted([(1, "a", True), (5, "b", True), (9, "original", False), (None, "original", False)], key=repr)
+    assert rows(P.ladder([], df.limit(1))) == [(1, "original", False)]
+    progress = spark.createDataFrame([(1, False), (1, True), (2, False), (3, None), (None, False)], "k int, success boolean")
+    assert rows(V.failed(progress, "k")) == [(2,), (3,)] and rows(V.frozen(spark.createDataFrame([(1,), (2,)], "k int"), progress, "k")) == [(1,)]
+
+
+def test_inserted_and_patched(spark, rows):
+    df = spark.createDataFrame([("a", 0, "x"), ("b", 1, "y")], "id string, pos int, name string")
+    assert rows(N.with_follow_ups(df, df.limit(1), "pos", "id", {"name": F.lit("z")}, "after_")) == sorted([("a", 0.0, "x"), ("b", 1.0, "y"), ("after_a", 0.5, "z")], key=repr)
+    s = spark.createDataFrame([((("o", "k"), ("n", None))), ((("o", "k"), None))], "old struct<a:string,b:string>, new struct<a:string,b:string>")
+    assert rows(s.select(N.patched(F.col("old"), F.col("new"), ["a", "b"]).alias("x")).select("x.*")) == [("n", "k"), ("o", "k")]
