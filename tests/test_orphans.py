@@ -90,7 +90,7 @@ def test_any_split_into_batches_gives_the_report_of_one(spark, seed):
     log = []
     for i in range(60):
         src, key = rnd.choice(names)
-        keys = rnd.sample([("t", f"K{j}") for j in range(7)], rnd.choice([0, 1, 1, 2, 3])) if src == "s" else []
+        keys = rnd.sample([("t", f"K{j}") for j in range(12)], rnd.choice([0, 1, 1, 2, 3])) if src == "s" else []
         log.append((src, rnd.choice([key] * 20 + [None]), rnd.choice([day(rnd.randrange(9))] * 20 + [None]), i, rnd.random() < 0.5, keys))
     log += rnd.sample(log, 6)
     for n in (2, 6):

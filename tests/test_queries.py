@@ -76,7 +76,7 @@ def test_every_child_table_is_a_flat_table(spark):
     from stepweave.operators import shred
     from stepweave.session import cut
 
-    assert len(Q.FLAT) == 22 and {"p3_users", "p3_legs", "p3_app_statuses"} <= set(Q.queries())
+    assert len(Q.FLAT) == 21 and {"p3_users", "p3_legs", "p3_app_statuses"} <= set(Q.queries())
     tables = cut(shred.task_tables(spark.read.parquet(f"{oracle.DATA}/tasks.parquet")))
     want = {(r.child_table, r.row_id, ".".join(map(str, r.label)), n, v) for r in tables.collect() for n, v in r.attrs.items()}
     got = set()
