@@ -6,9 +6,12 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Substitution costs in hundredths for the same type and group, the same type, different types; insertions.
 SAME_GROUP, SAME_TYPE, OTHER_TYPE, INDEL = 33, 66, 100, 100
 #: Distinct tokens of a pair for which the built-in distance can be used.
@@ -63,6 +66,17 @@ class Costs:
         np.fill_diagonal(out, 0)
         return out
 
+    def marks(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the types and of the groups of names, from which substitution() has what matrix() has; without types
+        every name is a type of its own."""
+        if self.types is None:
+            return np.arange(len(names)), np.arange(len(names))
+        numbers: tuple[dict, dict] = ({}, {})
+        kinds = [self.types.get(t) or "GENERIC" for t in names]
+        kinds = ["READ" if k == "GENERIC" else k for k in kinds]
+        groups = [self.groups.get(t, t.split("_", 1)[0]) for t in names]
+        return tuple(np.array([of.setdefault(x, len(of)) for x in marks], np.int64) for of, marks in zip(numbers, (kinds, groups)))
+
 
 class DomainCosts:
     """Costs by domain, for a token may have another type elsewhere; a domain that isn't known has no types."""
@@ -113,6 +127,112 @@ class Encoded:
         return out
 
 
+#: Texts of a sweep that share a table of gains, patterns beside each other, bytes of a row of states, of states, of a table
+#: of gains, and cells of padded texts.
+TEXTS, SIDE, ROW_BYTES, STATE_BYTES, GAIN_BYTES, CELLS = 1_024, 128, 1 << 17, 1 << 22, 1 << 25, 1 << 22
+#: Steps by which texts are sorted.
+SORTED = 32
+
+
+class Swept:
+    """Lists of tokens as numbers, for the distances of all of some to all of others."""
+
+    def __init__(self, columns: list[pa.ChunkedArray], costs: Costs):
+        lists = pa.chunked_array([c for column in columns for c in column.chunks], columns[0].type).combine_chunks()
+        n, values = len(lists), lists.flatten()
+        owner = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        if values.null_count:  # null tokens are no steps
+            owner, values = owner[values.is_valid().to_numpy(zero_copy_only=False)], values.drop_null()
+        coded = values.dictionary_encode()
+        self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.kind, self.group = costs.marks(coded.dictionary.to_pylist())
+        self.plain = costs.types is None
+        self.lengths = np.bincount(owner, minlength=n)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        costs_of_one = [2 * INDEL, OTHER_TYPE] if self.plain else [2 * INDEL, OTHER_TYPE, SAME_TYPE, SAME_GROUP]
+        self.unit = int(np.gcd.reduce(costs_of_one))
+
+    def padded(self, at: np.ndarray, most: int | None = None) -> np.ndarray:
+        """The numbers of lists, as rows of equal length that are filled up with -1."""
+        width = int(self.lengths[at].max(initial=0)) if most is None else most
+        place = np.arange(width)
+        inside = place < self.lengths[at][:, None]
+        out = np.full(inside.shape, -1, np.int64)
+        out[inside] = self.codes[(self.starts[at][:, None] + place)[inside]]
+        return out
+
+    def gains(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """What it saves to put tokens u in the place of tokens v, against taking one out and putting one in."""
+        cost = np.full((len(u), len(v)), OTHER_TYPE, np.int64)
+        if not self.plain:
+            same = self.kind[u][:, None] == self.kind[v]
+            cost[same] = SAME_TYPE
+            cost[same & (self.group[u][:, None] == self.group[v])] = SAME_GROUP
+        cost[u[:, None] == v] = 0
+        return np.maximum(2 * INDEL - cost, 0) // self.unit
+
+    def sweep(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places in a, places in b, weighted edit distances in hundredths), whose blocks cover all pairs of a and b once.
+        Places in b are in the order of b.
+
+        A distance is the cost of taking all out and putting all in, less the most that an alignment saves: a table of
+        small numbers, in which padding saves nothing. Texts of a are sorted and share the rows of equal beginnings;
+        patterns of b of about the same length stand side by side."""
+        first = self.padded(a, SORTED)
+        a = a[np.lexsort(first.T[::-1])]
+        b_places = np.argsort(self.lengths[b], kind="stable")
+        longest = [int(self.lengths[x].max(initial=0)) for x in (a, b)]
+        many = min(TEXTS, max(1, CELLS // max(1, longest[0])))
+        for at in range(0, len(a), many):
+            texts = a[at : at + many]
+            la, rows = self.lengths[texts], self.padded(texts)
+            u = np.unique(rows[rows >= 0])
+            tokens = np.searchsorted(u, rows)
+            differs = rows[1:] != rows[:-1]
+            shared = np.concatenate([[0], np.where(differs.any(1), differs.argmax(1) if differs.size else 0, rows.shape[1])])
+            shared[1:] = np.minimum(shared[1:], np.minimum(la[1:], la[:-1]))
+            side = min(SIDE, max(1, GAIN_BYTES // max(1, 2 * len(u) * longest[1])))
+            for to in range(0, len(b), side):
+                patterns = b[np.sort(b_places[to : to + side])]
+                lb = self.lengths[patterns]
+                saved = self._saved(tokens, la, shared, u, patterns)
+                yield texts, patterns, INDEL * (la[:, None] + lb) - saved.astype(np.int64) * self.unit
+
+    def _saved(self, tokens: np.ndarray, la: np.ndarray, shared: np.ndarray, u: np.ndarray, patterns: np.ndarray) -> np.ndarray:
+        """The most that alignments of texts with patterns save, in units. shared: steps that a text has in common with the
+        one before."""
+        lb, columns = self.lengths[patterns], self.padded(patterns).T
+        width, n = columns.shape
+        most = 2 * INDEL // self.unit * min(int(la.max(initial=0)), width)
+        kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int64
+        out = np.zeros((len(la), n), kind)
+        if not width or not len(u):
+            return out
+        v = np.unique(columns[columns >= 0])
+        gain = self.gains(u, v).astype(kind).T[np.searchsorted(v, columns)]  # of places, patterns and tokens
+        gain[columns < 0] = 0
+        gain = np.ascontiguousarray(gain.transpose(0, 2, 1))
+        at_once = max(1, min(ROW_BYTES, STATE_BYTES // (width + 1)) // (n * out.itemsize))
+        for at in range(0, len(la), at_once):
+            steps, ends, common = tokens[at : at + at_once], la[at : at + at_once], shared[at : at + at_once]
+            node, state = np.zeros(len(ends), np.int64), np.zeros((width + 1, 1, n), kind)
+            for step in range(int(ends.max())):
+                alive = np.flatnonzero(ends > step)
+                new = common[alive] <= step
+                new[0] = True
+                begin = alive[new]
+                row = state.take(node[begin], axis=1)
+                by = gain.take(steps[begin, step], axis=1)
+                by += row[:-1]
+                np.maximum(by, row[1:], out=row[1:])
+                for j in range(2, width + 1):
+                    np.maximum(row[j], row[j - 1], out=row[j])
+                node[alive], state = np.cumsum(new) - 1, row
+                if len(ended := np.flatnonzero(ends == step + 1)):
+                    out[at + ended] = state[width][node[ended]]
+        return out
+
+
 def pair_distances(a: list[list[str]], b: list[list[str]], costs: Costs) -> np.ndarray:
     """Weighted edit distances of pairs of lists, in hundredths."""
     n = len(a)
@@ -248,30 +368,42 @@ def all_pairs(pools: DataFrame, costs: Costs | DomainCosts) -> DataFrame:
     return dealt.groupBy("domain", "a", "b").applyInArrow(measure, "domain string, i int, j int, distance double")
 
 
+#: Sequences of a block of a cluster: PART where that gives MOST_PARTS blocks at most, for all cores to have work, and WHOLE
+#: where that gives more, for each sequence is sent once for each block.
+PART, MOST_PARTS, WHOLE = 2_000, 16, 8_000
+
+
+def _dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df by keys of tasks, over all cores: pairs make the work, not the few bytes by which partitions are put together."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *by)
+
+
 def medoid_costs(members: DataFrame, costs: Costs | DomainCosts, key: str = "cluster_key") -> DataFrame:
     """(key, tokens, cost): for each distinct sequence of a cluster (domain, key, tokens), the sum of its weighted distances
     to all of the cluster's members, copies included: the least one is the cluster's best medoid.
 
     Equal sequences are one, with their number as a weight. Blocks of a cluster's sequences meet in pairs, in tasks of
-    BLOCK by BLOCK, each of which gives sums only, not pairs. Null sequences count as empty ones; null keys are none."""
+    WHOLE by WHOLE at most, each of which gives sums only, not pairs. Null sequences count as empty ones; null keys are none."""
     filled = F.coalesce("tokens", F.array().cast("array<string>"))
     one = members.where(F.col(key).isNotNull()).groupBy("domain", key, filled.alias("tokens")).agg(F.count(F.lit(1)).alias("w"))
-    blocks = one.groupBy(F.col(key).alias("_k")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n"))
+    one = cut(one.withColumn("_id", F.monotonically_increasing_id()))
+    size = F.count(F.lit(1))
+    blocks = one.groupBy(F.col(key).alias("_k")).agg(F.greatest(F.ceil(size / WHOLE), F.least(F.ceil(size / PART), F.lit(MOST_PARTS))).cast("int").alias("_n"))
     dealt = one.join(blocks, F.col(key) == F.col("_k")).withColumn("block", F.pmod(F.xxhash64("tokens"), F.col("_n")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("domain", key, "tokens", "w", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("domain", key, "_id", "tokens", "w", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
 
     def measure(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
         block, w = t.column("block").to_numpy(), t.column("w").to_numpy()
         a, b = t.column("a")[0].as_py(), t.column("b")[0].as_py()
         left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
-        x, y = (m.ravel() for m in np.meshgrid(left, right, indexing="ij"))
-        d = Encoded(t.column("tokens").to_pylist(), costs.of(t.column("domain")[0].as_py())).distances(x, y)
-        cost = np.bincount(x, d * w[y], t.num_rows)
-        if a != b:
-            cost += np.bincount(y, d * w[x], t.num_rows)
-        return t.select(["domain", key, "tokens"]).append_column("cost", pa.array(np.rint(cost).astype(np.int64)))
-
-    kind = members.schema[key].dataType.simpleString()
-    parts = dealt.groupBy("domain", key, "a", "b").applyInArrow(measure, f"domain string, `{key}` {kind}, tokens array<string>, cost long")
-    return parts.groupBy(key, "tokens").agg((F.sum("cost") / 100.0).alias("cost"))
+        cost = np.zeros(t.num_rows, np.int64)
+        for x, y, d in Swept([t.column("tokens")], costs.of(t.column("domain")[0].as_py())).sweep(left, right):
+            d = d.astype(np.float64)  # whole numbers, whose sums of a block are exact
+            cost[x] += (d @ w[y]).astype(np.int64)
+            if a != b:
+                cost[y] += (w[x] @ d).astype(np.int64)
+        return pa.table({"_id": t.column("_id"), "cost": pa.array(cost)})
+
+    parts = _dealt(dealt, "domain", key, "a", "b").groupBy("domain", key, "a", "b").applyInArrow(measure, "_id long, cost long")
+    return parts.groupBy("_id").agg(F.sum("cost").alias("cost")).join(one, "_id").groupBy(key, "tokens").agg((F.sum("cost") / 100.0).alias("cost"))

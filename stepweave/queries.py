@@ -311,7 +311,7 @@ def weighted_medoid_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def best_medoids(spark: SparkSession, d: str) -> DataFrame:
     """Each cluster's best medoid: the member with the least sum of weighted distances to all, the first id on ties."""
-    m = _members(spark, d)
+    m = cut(_members(spark, d).select("domain", "cluster_key", "seq_id", "tokens"))
     costs = distance.medoid_costs(m.select("domain", "cluster_key", "tokens"), _costs(_vocab(spark, d)))
     ids = m.groupBy("cluster_key", "tokens").agg(F.min("seq_id").alias("seq_id"))
     best = costs.join(ids, ["cluster_key", "tokens"]).groupBy("cluster_key").agg(F.min(F.struct(F.round("cost", 2).alias("cost"), "seq_id")).alias("b"))

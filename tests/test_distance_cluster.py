@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -126,6 +129,53 @@ def test_medoid_costs(spark, block, monkeypatch):
     assert got == want | {(3, ()): 0.0}
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from([*TYPES, "new_f", None]), max_size=7)), max_size=9), st.integers(0, 9), st.sampled_from([1, 2, 1 << 20]))
+def test_sweeps_have_all_pairs(lists, cut_at, small):
+    sizes = {k: getattr(D, k) for k in ("TEXTS", "SIDE", "ROW_BYTES", "SORTED")}
+    n = min(cut_at, len(lists))
+    try:
+        for k in sizes:
+            setattr(D, k, min(sizes[k], small))
+        for costs in (D.Costs(TYPES), D.Costs(None), D.Costs({}), D.Costs(TYPES, {"get_a": "x", "find_c": "x"})):
+            swept, got = D.Swept([pa.chunked_array([pa.array(x, pa.list_(pa.string()))]) for x in (lists[:n], lists[n:])], costs), {}
+            for x, y, d in swept.sweep(np.arange(n), np.arange(n, len(lists))):
+                assert (np.diff(y) > 0).all() and not got.keys() & {(i, j) for i in x for j in y}
+                got |= {(i, j): v for i, line in zip(x, d.tolist()) for j, v in zip(y, line)}
+            steps = [[t for t in s or [] if t is not None] for s in lists]
+            assert got == {(i, j): slow(steps[i], steps[j], costs) for i in range(n) for j in range(n, len(lists))}
+    finally:
+        for k, v in sizes.items():
+            setattr(D, k, v)
+
+
+@pytest.mark.parametrize("types", [TYPES, None])
+def test_sweeps_take_a_small_part_of_the_time_of_pairs(types):
+    draw = np.random.default_rng(1)
+    lists = [draw.choice([*TYPES, "new_f"], n).tolist() for n in draw.integers(5, 16, 2000)]
+    swept, pairs = D.Swept([pa.chunked_array([pa.array(lists)])], D.Costs(types)), D.Encoded(lists, D.Costs(types))
+    some, every = np.arange(0, 2000, 10), np.arange(2000)
+    for _ in range(2):  # the first isn't counted
+        began = time.process_time()
+        total = sum(int(d.sum()) for *_, d in swept.sweep(some, every))
+        between = time.process_time()
+        assert pairs.distances(np.repeat(some, 2000), np.tile(every, 200)).sum() == total
+        ended = time.process_time()
+    assert (between - began) * 5 < ended - between
+
+
+def test_costs_of_clusters_in_blocks_of_both_kinds(spark, monkeypatch):
+    lists = [[*w] for w in ("abc", "abd", "", "xyz", "ab", "ab", "c", "abc", "cab", "bca", "a", "b")]
+    df = spark.createDataFrame([(dom, k, t) for k, dom in ((1, "d"), (2, "e"), (3, None)) for t in lists[: 4 * k]], "domain string, cluster_key long, tokens array<string>")
+    costs = D.DomainCosts({"d": {"a": "READ", "b": "READ"}, "e": {"a": "WRITE"}})
+    want = {(k, tuple(t)): sum(slow(t, o, costs.of(dom)) for o in lists[: 4 * k]) / 100 for k, dom in ((1, "d"), (2, "e"), (3, None)) for t in lists[: 4 * k]}
+    for part, most, whole in ((2000, 16, 8000), (1, 2, 3), (2, 2, 100)):
+        for name, value in (("PART", part), ("MOST_PARTS", most), ("WHOLE", whole)):
+            monkeypatch.setattr(D, name, value)
+        got = {(r.cluster_key, tuple(r.tokens)): r.cost for r in D.medoid_costs(df, costs).collect()}
+        assert got == want
+
+
 def test_pool_keeps_first_of_equal_ones(spark, rows):
     df = spark.createDataFrame([("d", 3, ["a"]), ("d", 1, ["a"]), ("d", 2, ["b"]), ("d", 4, []), ("d", 5, ["c"])], "domain string, attempt long, tokens array<string>")
     assert rows(C.unique_pool(df, 2, F.size("tokens") > 0)) == [("d", 0, ["a"]), ("d", 1, ["b"])]
