@@ -300,39 +300,48 @@ def to_set(df: DataFrame, tokens: str, by: str, given: Mapping[object, list[list
 MOST_GIVEN = 100_000
 
 #: Sequences of a group, and members of its set, that one task of to_sets() compares.
-ROWS, PLACES = 4_000, 1_000
+ROWS, PLACES = 4_000, 8_000
+
+
+def _dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df by keys of tasks, over all cores: pairs make the work, not the few bytes by which partitions are put together."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *by)
 
 
 def to_sets(df: DataFrame, sets: DataFrame, costs: Costs | None = None) -> DataFrame:
     """(domain, tokens, min_distance, nearest, mean_distance) of the distinct sequences of df (domain, tokens), to sets
     (domain, place, tokens) of any size: what to_set() gives with normalize, but blocks of ROWS sequences and PLACES
-    places meet in tasks, so that neither side goes through the driver. Null domains and null sequences are left out, as
-    are domains without a set."""
+    places meet in tasks, so that neither side goes through the driver. Equal members of a set are measured once. Null
+    domains and null sequences are left out, as are domains without a set."""
     left = df.select("domain", "tokens").where("domain is not null and tokens is not null").distinct()
     blocks = left.groupBy("domain").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("_n"))
     given = sets.select("domain", F.col("place").cast("int").alias("place"), F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+    given = given.groupBy("domain", "tokens").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("w"))
     given = given.join(blocks, "domain").withColumns({"b": F.floor(F.col("place") / PLACES).cast("int"), "a": F.explode(F.sequence(F.lit(0), F.col("_n") - 1))})
     last = sets.groupBy("domain").agg(F.floor(F.max("place") / PLACES).cast("int").alias("_last"))
     dealt = left.join(blocks, "domain").join(last, "domain").withColumns({"a": F.pmod(F.xxhash64("tokens"), F.col("_n")).cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("_last")))})
     cost = costs or Costs(None)
 
     def measure(rows: pa.Table, places: pa.Table) -> pa.Table:
-        lists, n = rows.column("tokens").to_pylist(), rows.num_rows
+        n = rows.num_rows if places.num_rows else 0
         places = places.sort_by("place")
-        place = places.column("place").to_pylist()
+        place, w = (places.column(c).to_numpy() for c in ("place", "w"))
         best, which, total = np.full(n, np.inf), np.full(n, -1), np.zeros(n)
-        coded = Encoded([*lists, *places.column("tokens").to_pylist()], cost)
-        for k, p in enumerate(place):
-            longest = np.maximum(coded.lengths[:n], coded.lengths[n + k] if n else 0)
-            d = coded.distances(np.arange(n), np.full(n, n + k)) / 100.0 / np.where(longest > 0, longest, 1)
-            total += d
-            closer = d < best
-            best[closer], which[closer] = d[closer], p
-        use = np.flatnonzero(which >= 0)
-        took = pa.array(use)
-        return pa.table({"domain": rows.column("domain").take(took), "tokens": rows.column("tokens").take(took), "best": pa.array(best[use]), "place": pa.array(which[use].astype(np.int32)), "total": pa.array(total[use]), "n": pa.array(np.full(len(use), len(place)))})
-
-    parts = dealt.select("domain", "a", "b", "tokens").groupBy("domain", "a", "b").cogroup(given.select("domain", "a", "b", "place", "tokens").groupBy("domain", "a", "b")).applyInArrow(measure, "domain string, tokens array<string>, best double, place int, total double, n long")
+        if n:
+            coded = Swept([rows.column("tokens"), places.column("tokens")], cost)
+            for x, y, d in coded.sweep(np.arange(n), np.arange(n, n + len(place))):
+                longest = np.maximum(coded.lengths[x][:, None], coded.lengths[y])
+                d = d / 100.0 / np.where(longest > 0, longest, 1)
+                total[x] += d @ w[y - n]
+                least = d.argmin(1)  # y is in the order of places
+                own, at = d[np.arange(len(x)), least], place[y[least] - n]
+                closer = (own < best[x]) | ((own == best[x]) & (at < which[x]))
+                best[x[closer]], which[x[closer]] = own[closer], at[closer]
+        return pa.table({"domain": rows.column("domain")[:n], "tokens": rows.column("tokens")[:n], "best": pa.array(best), "place": pa.array(which.astype(np.int32)), "total": pa.array(total), "n": pa.array(np.full(n, w.sum(), np.int64))})
+
+    sides = [_dealt(side, "domain", "a", "b").groupBy("domain", "a", "b") for side in (dealt.select("domain", "a", "b", "tokens"), given.select("domain", "a", "b", "place", "w", "tokens"))]
+    parts = sides[0].cogroup(sides[1]).applyInArrow(measure, "domain string, tokens array<string>, best double, place int, total double, n long")
     whole = parts.groupBy("domain", "tokens").agg(F.min(F.struct("best", "place")).alias("x"), (F.sum("total") / F.sum("n")).alias("mean_distance"))
     return whole.select("domain", "tokens", F.col("x.best").alias("min_distance"), F.col("x.place").alias("nearest"), "mean_distance")
 
@@ -373,12 +382,6 @@ def all_pairs(pools: DataFrame, costs: Costs | DomainCosts) -> DataFrame:
 PART, MOST_PARTS, WHOLE = 2_000, 16, 8_000
 
 
-def _dealt(df: DataFrame, *by: str) -> DataFrame:
-    """df by keys of tasks, over all cores: pairs make the work, not the few bytes by which partitions are put together."""
-    spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *by)
-
-
 def medoid_costs(members: DataFrame, costs: Costs | DomainCosts, key: str = "cluster_key") -> DataFrame:
     """(key, tokens, cost): for each distinct sequence of a cluster (domain, key, tokens), the sum of its weighted distances
     to all of the cluster's members, copies included: the least one is the cluster's best medoid.

@@ -264,9 +264,9 @@ def weighted_distances(spark: SparkSession, d: str) -> DataFrame:
     return distance.weighted(_to_medoid(spark, d), "tokens", "medoid", _costs(_vocab(spark, d))).select("domain", "seq_id", F.round("distance", 2).alias("distance"))
 
 
-def _medoids(spark: SparkSession, d: str) -> DataFrame:
+def _medoids(spark: SparkSession, d: str, members: DataFrame | None = None) -> DataFrame:
     """The medoids of each domain, placed by the size of their clusters."""
-    sizes = _members(spark, d).groupBy("domain", "cluster_key").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("is_medoid"), F.struct("seq_id", "tokens"))).alias("m")).where("m is not null")
+    sizes = (_members(spark, d) if members is None else members).groupBy("domain", "cluster_key").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("is_medoid"), F.struct("seq_id", "tokens"))).alias("m")).where("m is not null")
     rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("n"), "cluster_key"))
     return sizes.withColumn("rank", rank).select("domain", "rank", "cluster_key", F.col("m.tokens").alias("tokens"))
 
@@ -291,8 +291,8 @@ def nearest_center(spark: SparkSession, d: str) -> DataFrame:
 
 def nearest_medoid(spark: SparkSession, d: str) -> DataFrame:
     """Distance of each sequence to all medoids of its domain, in blocks; nearest is a place, those of larger clusters first."""
-    members = cut(_members(spark, d).select("domain", "seq_id", "tokens").distinct())
-    medoids = cut(_placed(_medoids(spark, d)))
+    every = cut(_members(spark, d))
+    members, medoids = every.select("domain", "seq_id", "tokens").distinct(), cut(_placed(_medoids(spark, d, every)))
     found = distance.to_sets(members, medoids).join(medoids.select("domain", F.col("place").alias("nearest"), F.col("cluster_key").alias("nearest_cluster")), ["domain", "nearest"])
     out = members.join(found, ["domain", "tokens"], "left")
     return out.select("domain", "seq_id", F.round("min_distance", 9).alias("min_distance"), "nearest", "nearest_cluster", F.round("mean_distance", 9).alias("mean_distance"))

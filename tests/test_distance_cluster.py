@@ -264,3 +264,31 @@ def test_pairs_of_a_pool_of_many_blocks(spark, monkeypatch):
     df = spark.createDataFrame([("p", i, ["a"] * i) for i in range(12)], "domain string, idx int, tokens array<string>")
     got = D.all_pairs(df, D.Costs(None)).collect()
     assert len(got) == 66 and all(r.distance == r.j - r.i for r in got)
+
+
+@pytest.mark.parametrize("size", [1, 2, 1000])
+def test_equal_members_of_a_set_and_ties_in_any_block(spark, size, monkeypatch):
+    for name in ("ROWS", "PLACES", "SIDE", "TEXTS"):
+        monkeypatch.setattr(D, name, size)
+    sets = [list(w) for w in ("abcd", "", "ab", "ab", "xy", "abcd", "yx", "ab", "q", "")] + [None]
+    lists = [list(w) for w in ("ab", "", "y", "abxy", "dcba", "q", "zzzzzz")]
+    df = spark.createDataFrame([("d", t) for t in lists], "domain string, tokens array<string>")
+    given = spark.createDataFrame([("d", i, t) for i, t in enumerate(sets)], "domain string, place int, tokens array<string>")
+    for costs in (None, D.Costs({"a": "READ", "b": "READ", "x": "WRITE", "y": "WRITE"})):
+        got = {tuple(r.tokens): tuple(r)[2:] for r in D.to_sets(df, given, costs).collect()}
+        want = {tuple(r.tokens): tuple(r)[2:] for r in D.to_set(df, "tokens", "domain", {"d": [s or [] for s in sets]}, costs).collect()}
+        assert set(got) == set(want) and all(got[k][:2] == want[k][:2] and got[k][2] == pytest.approx(want[k][2]) for k in want)
+
+
+def test_sets_take_a_small_part_of_the_time_of_pairs(spark):
+    draw = np.random.default_rng(2)
+    lists = [["t" + "abcdefgh"[x] for x in draw.integers(0, 8, n)] for n in draw.integers(5, 16, 4000)]
+    df, sets = (spark.createDataFrame([("d", i, t) for i, t in enumerate(lists)], "domain string, place int, tokens array<string>") for _ in range(2))
+    pairs, some = D.Encoded(lists, D.Costs(None)), np.arange(0, 4000, 80)
+    began = time.perf_counter()
+    pairs.distances(np.repeat(some, 4000), np.tile(np.arange(4000), 50))
+    every = (time.perf_counter() - began) * 80
+    D.to_sets(df.limit(20), sets.limit(20)).count()  # the first isn't counted
+    began = time.perf_counter()
+    assert D.to_sets(df, sets).where("min_distance = 0").count() == len({*map(tuple, lists)})
+    assert (time.perf_counter() - began) * 3 < every
