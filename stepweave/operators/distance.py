@@ -172,12 +172,12 @@ class Swept:
         return np.maximum(2 * INDEL - cost, 0) // self.unit
 
     def sweep(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(places in a, places in b, weighted edit distances in hundredths), whose blocks cover all pairs of a and b once.
-        Places in b are in the order of b.
+        """(places in a, places in b, what is saved in units), whose blocks cover all pairs of a and b once. Places in b
+        are ordered by length, then as in b.
 
-        A distance is the cost of taking all out and putting all in, less the most that an alignment saves: a table of
-        small numbers, in which padding saves nothing. Texts of a are sorted and share the rows of equal beginnings;
-        patterns of b of about the same length stand side by side."""
+        The weighted edit distance is INDEL for each step of both, less unit times the most that an alignment saves: a
+        table of small numbers, in which padding saves nothing. Texts of a are sorted and share the rows of equal
+        beginnings; patterns of b of about the same length stand side by side."""
         first = self.padded(a, SORTED)
         a = a[np.lexsort(first.T[::-1])]
         b_places = np.argsort(self.lengths[b], kind="stable")
@@ -193,10 +193,8 @@ class Swept:
             shared[1:] = np.minimum(shared[1:], np.minimum(la[1:], la[:-1]))
             side = min(SIDE, max(1, GAIN_BYTES // max(1, 2 * len(u) * longest[1])))
             for to in range(0, len(b), side):
-                patterns = b[np.sort(b_places[to : to + side])]
-                lb = self.lengths[patterns]
-                saved = self._saved(tokens, la, shared, u, patterns)
-                yield texts, patterns, INDEL * (la[:, None] + lb) - saved.astype(np.int64) * self.unit
+                patterns = b[b_places[to : to + side]]
+                yield texts, patterns, self._saved(tokens, la, shared, u, patterns)
 
     def _saved(self, tokens: np.ndarray, la: np.ndarray, shared: np.ndarray, u: np.ndarray, patterns: np.ndarray) -> np.ndarray:
         """The most that alignments of texts with patterns save, in units. shared: steps that a text has in common with the
@@ -221,18 +219,30 @@ class Swept:
                 new = common[alive] <= step
                 new[0] = True
                 begin = alive[new]
-                row = state.take(node[begin], axis=1)
-                by = gain.take(steps[begin, step], axis=1)
+                parents, step_of, row = node[begin], steps[begin, step], state
+                if len(begin) > 0.8 * state.shape[1] and (np.diff(parents) > 0).all():  # one child each: rows stay where they are, few of them unused
+                    step_of = np.zeros(state.shape[1], np.int64)
+                    step_of[parents] = steps[begin, step]
+                else:
+                    row = state.take(parents, axis=1)
+                    node[alive] = np.cumsum(new) - 1
+                by = gain.take(step_of, axis=1)
                 by += row[:-1]
                 np.maximum(by, row[1:], out=row[1:])
                 for j in range(2, width + 1):
                     np.maximum(row[j], row[j - 1], out=row[j])
-                node[alive], state = np.cumsum(new) - 1, row
+                state = row
                 if len(ended := np.flatnonzero(ends == step + 1)):
                     out[at + ended] = state[width][node[ended]]
         return out
 
 
+def _weighed(saved: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums of a matrix of whole numbers by weights, exact: in single precision where they fit."""
+    kind = np.float32 if np.iinfo(saved.dtype).bits < 32 and float(saved.max(initial=0)) * w.sum() < 1 << 24 else np.float64
+    return (saved.astype(kind) @ w.astype(kind)).astype(np.int64)
+
+
 def pair_distances(a: list[list[str]], b: list[list[str]], costs: Costs) -> np.ndarray:
     """Weighted edit distances of pairs of lists, in hundredths."""
     n = len(a)
@@ -330,14 +340,17 @@ def to_sets(df: DataFrame, sets: DataFrame, costs: Costs | None = None) -> DataF
         best, which, total = np.full(n, np.inf), np.full(n, -1), np.zeros(n)
         if n:
             coded = Swept([rows.column("tokens"), places.column("tokens")], cost)
-            for x, y, d in coded.sweep(np.arange(n), np.arange(n, n + len(place))):
-                longest = np.maximum(coded.lengths[x][:, None], coded.lengths[y])
-                d = d / 100.0 / np.where(longest > 0, longest, 1)
-                total[x] += d @ w[y - n]
-                least = d.argmin(1)  # y is in the order of places
-                own, at = d[np.arange(len(x)), least], place[y[least] - n]
-                closer = (own < best[x]) | ((own == best[x]) & (at < which[x]))
-                best[x[closer]], which[x[closer]] = own[closer], at[closer]
+            for x, y, saved in coded.sweep(np.arange(n), np.arange(n, n + len(place))):
+                la, lb = coded.lengths[x], coded.lengths[y]
+                for at in np.flatnonzero(np.diff(lb, prepend=-1)):  # for patterns of one length, who saves most is nearest
+                    own = slice(at, np.searchsorted(lb, lb[at], "right"))
+                    longest, both, weight = np.maximum(la, lb[at]), INDEL * (la + lb[at]), w[y[own] - n]
+                    per = np.where(longest > 0, longest, 1)
+                    total[x] += (both * weight.sum() - coded.unit * _weighed(saved[:, own], weight)) / 100.0 / per
+                    most = saved[:, own].argmax(1)  # the first place of them
+                    d, p = (both - coded.unit * saved[np.arange(len(x)), at + most].astype(np.int64)) / 100.0 / per, place[y[at + most] - n]
+                    closer = (d < best[x]) | ((d == best[x]) & (p < which[x]))
+                    best[x[closer]], which[x[closer]] = d[closer], p[closer]
         return pa.table({"domain": rows.column("domain")[:n], "tokens": rows.column("tokens")[:n], "best": pa.array(best), "place": pa.array(which.astype(np.int32)), "total": pa.array(total), "n": pa.array(np.full(n, w.sum(), np.int64))})
 
     sides = [_dealt(side, "domain", "a", "b").groupBy("domain", "a", "b") for side in (dealt.select("domain", "a", "b", "tokens"), given.select("domain", "a", "b", "place", "w", "tokens"))]
@@ -401,11 +414,11 @@ def medoid_costs(members: DataFrame, costs: Costs | DomainCosts, key: str = "clu
         a, b = t.column("a")[0].as_py(), t.column("b")[0].as_py()
         left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
         cost = np.zeros(t.num_rows, np.int64)
-        for x, y, d in Swept([t.column("tokens")], costs.of(t.column("domain")[0].as_py())).sweep(left, right):
-            d = d.astype(np.float64)  # whole numbers, whose sums of a block are exact
-            cost[x] += (d @ w[y]).astype(np.int64)
-            if a != b:
-                cost[y] += (w[x] @ d).astype(np.int64)
+        coded = Swept([t.column("tokens")], costs.of(t.column("domain")[0].as_py()))
+        for x, y, saved in coded.sweep(left, right):
+            for x, y, saved in ((x, y, saved), (y, x, saved.T))[: 1 + (a != b)]:
+                out = INDEL * (coded.lengths[x] * w[y].sum() + (w[y] * coded.lengths[y]).sum())
+                cost[x] += out - coded.unit * _weighed(saved, w[y])
         return pa.table({"_id": t.column("_id"), "cost": pa.array(cost)})
 
     parts = _dealt(dealt, "domain", key, "a", "b").groupBy("domain", key, "a", "b").applyInArrow(measure, "_id long, cost long")

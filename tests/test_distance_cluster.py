@@ -139,8 +139,9 @@ def test_sweeps_have_all_pairs(lists, cut_at, small):
             setattr(D, k, min(sizes[k], small))
         for costs in (D.Costs(TYPES), D.Costs(None), D.Costs({}), D.Costs(TYPES, {"get_a": "x", "find_c": "x"})):
             swept, got = D.Swept([pa.chunked_array([pa.array(x, pa.list_(pa.string()))]) for x in (lists[:n], lists[n:])], costs), {}
-            for x, y, d in swept.sweep(np.arange(n), np.arange(n, len(lists))):
-                assert (np.diff(y) > 0).all() and not got.keys() & {(i, j) for i in x for j in y}
+            for x, y, saved in swept.sweep(np.arange(n), np.arange(n, len(lists))):
+                d = D.INDEL * (swept.lengths[x][:, None] + swept.lengths[y]) - swept.unit * saved.astype(np.int64)
+                assert (np.diff(swept.lengths[y] * 10 + y) > 0).all() and not got.keys() & {(i, j) for i in x for j in y}
                 got |= {(i, j): v for i, line in zip(x, d.tolist()) for j, v in zip(y, line)}
             steps = [[t for t in s or [] if t is not None] for s in lists]
             assert got == {(i, j): slow(steps[i], steps[j], costs) for i in range(n) for j in range(n, len(lists))}
@@ -157,7 +158,7 @@ def test_sweeps_take_a_small_part_of_the_time_of_pairs(types):
     some, every = np.arange(0, 2000, 10), np.arange(2000)
     for _ in range(2):  # the first isn't counted
         began = time.process_time()
-        total = sum(int(d.sum()) for *_, d in swept.sweep(some, every))
+        total = sum(int((D.INDEL * (swept.lengths[x][:, None] + swept.lengths[y]) - swept.unit * saved.astype(np.int64)).sum()) for x, y, saved in swept.sweep(some, every))
         between = time.process_time()
         assert pairs.distances(np.repeat(some, 2000), np.tile(every, 200)).sum() == total
         ended = time.process_time()
