@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import checked_broadcast, cut
 
 #: Substitution costs in hundredths for the same type and group, the same type, different types; insertions.
 SAME_GROUP, SAME_TYPE, OTHER_TYPE, INDEL = 33, 66, 100, 100
@@ -324,13 +324,21 @@ def to_sets(df: DataFrame, sets: DataFrame, costs: Costs | None = None) -> DataF
     (domain, place, tokens) of any size: what to_set() gives with normalize, but blocks of ROWS sequences and PLACES
     places meet in tasks, so that neither side goes through the driver. Equal members of a set are measured once. Null
     domains and null sequences are left out, as are domains without a set."""
-    left = df.select("domain", "tokens").where("domain is not null and tokens is not null").distinct()
-    blocks = left.groupBy("domain").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("_n"))
+    left = cut(df.select("domain", "tokens").where("domain is not null and tokens is not null").distinct().withColumn("_id", F.monotonically_increasing_id()))
+    found = numbered_to_sets(left, sets, costs)
+    return left.join(found, "_id").select("domain", "tokens", "min_distance", "nearest", "mean_distance")
+
+
+def numbered_to_sets(left: DataFrame, sets: DataFrame, costs: Costs | None = None) -> DataFrame:
+    """(_id, min_distance, nearest, mean_distance) of distinct sequences (_id, domain, tokens) that were cut, as to_sets()
+    has them: results go by number, not by sequence."""
+    left = left.select("_id", "domain", "tokens").where("domain is not null and tokens is not null")
     given = sets.select("domain", F.col("place").cast("int").alias("place"), F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+    blocks = left.groupBy("domain").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("_n"))
+    blocks = checked_broadcast(cut(blocks.join(given.groupBy("domain").agg(F.floor(F.max("place") / PLACES).cast("int").alias("_last")), "domain")))
     given = given.groupBy("domain", "tokens").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("w"))
     given = given.join(blocks, "domain").withColumns({"b": F.floor(F.col("place") / PLACES).cast("int"), "a": F.explode(F.sequence(F.lit(0), F.col("_n") - 1))})
-    last = sets.groupBy("domain").agg(F.floor(F.max("place") / PLACES).cast("int").alias("_last"))
-    dealt = left.join(blocks, "domain").join(last, "domain").withColumns({"a": F.pmod(F.xxhash64("tokens"), F.col("_n")).cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("_last")))})
+    dealt = left.join(blocks, "domain").withColumns({"a": F.pmod(F.xxhash64("tokens"), F.col("_n")).cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("_last")))})
     cost = costs or Costs(None)
 
     def measure(rows: pa.Table, places: pa.Table) -> pa.Table:
@@ -351,12 +359,12 @@ def to_sets(df: DataFrame, sets: DataFrame, costs: Costs | None = None) -> DataF
                     d, p = (both - coded.unit * saved[np.arange(len(x)), at + most].astype(np.int64)) / 100.0 / per, place[y[at + most] - n]
                     closer = (d < best[x]) | ((d == best[x]) & (p < which[x]))
                     best[x[closer]], which[x[closer]] = d[closer], p[closer]
-        return pa.table({"domain": rows.column("domain")[:n], "tokens": rows.column("tokens")[:n], "best": pa.array(best), "place": pa.array(which.astype(np.int32)), "total": pa.array(total), "n": pa.array(np.full(n, w.sum(), np.int64))})
+        return pa.table({"_id": rows.column("_id")[:n], "best": pa.array(best), "place": pa.array(which.astype(np.int32)), "total": pa.array(total), "n": pa.array(np.full(n, w.sum(), np.int64))})
 
-    sides = [_dealt(side, "domain", "a", "b").groupBy("domain", "a", "b") for side in (dealt.select("domain", "a", "b", "tokens"), given.select("domain", "a", "b", "place", "w", "tokens"))]
-    parts = sides[0].cogroup(sides[1]).applyInArrow(measure, "domain string, tokens array<string>, best double, place int, total double, n long")
-    whole = parts.groupBy("domain", "tokens").agg(F.min(F.struct("best", "place")).alias("x"), (F.sum("total") / F.sum("n")).alias("mean_distance"))
-    return whole.select("domain", "tokens", F.col("x.best").alias("min_distance"), F.col("x.place").alias("nearest"), "mean_distance")
+    sides = [_dealt(side, "domain", "a", "b").groupBy("domain", "a", "b") for side in (dealt.select("domain", "a", "b", "_id", "tokens"), given.select("domain", "a", "b", "place", "w", "tokens"))]
+    parts = sides[0].cogroup(sides[1]).applyInArrow(measure, "_id long, best double, place int, total double, n long")
+    whole = parts.groupBy("_id").agg(F.min(F.struct("best", "place")).alias("x"), (F.sum("total") / F.sum("n")).alias("mean_distance"))
+    return whole.select("_id", F.col("x.best").alias("min_distance"), F.col("x.place").alias("nearest"), "mean_distance")
 
 
 #: Sequences of a block of a pool.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.text import key_form, name_form, name_forms
 from .operators import cluster, distance, drift, entities, json_ops, lengths, ngram, orphans, providers, rules, select, sequences, shred
 from .plans import pipeline
-from .session import cut, place
+from .session import checked_broadcast, cut, place
 from .sources.tables import table
 from .streaming import online
 
@@ -148,8 +148,10 @@ MOST_NAMES = 100_000
 ORDER_RULES = [("only_last", {"transfer_to_human_agents"}, set()), ("first_block", {"find_user_id_by_email", "find_user_id_by_name_zip"}, set()), ("before", {"get_user_details"}, {"cancel_reservation"}), ("between", {"get_order_details"}, {"return_delivered_order_items", "exchange_delivered_order_items"}), ("not_after", {"resume_line"}, {"reboot_device"})]
 
 
-def _members(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "cluster_members").select("domain", "seq_id", "cluster_key", "is_medoid", F.col("distance_to_medoid").alias("distance"), name_forms("tokens").alias("tokens")).distinct()
+def _members(spark: SparkSession, d: str, *together: str) -> DataFrame:
+    """Distinct members; those that are equal in the columns `together` are in one partition."""
+    m = table(spark, d, "cluster_members").select("domain", "seq_id", "cluster_key", "is_medoid", F.col("distance_to_medoid").alias("distance"), name_forms("tokens").alias("tokens"))
+    return (m.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *together) if together else m).distinct()
 
 
 def _accepted(spark: SparkSession, d: str) -> DataFrame:
@@ -291,11 +293,14 @@ def nearest_center(spark: SparkSession, d: str) -> DataFrame:
 
 def nearest_medoid(spark: SparkSession, d: str) -> DataFrame:
     """Distance of each sequence to all medoids of its domain, in blocks; nearest is a place, those of larger clusters first."""
-    every = cut(_members(spark, d))
-    members, medoids = every.select("domain", "seq_id", "tokens").distinct(), cut(_placed(_medoids(spark, d, every)))
-    found = distance.to_sets(members, medoids).join(medoids.select("domain", F.col("place").alias("nearest"), F.col("cluster_key").alias("nearest_cluster")), ["domain", "nearest"])
-    out = members.join(found, ["domain", "tokens"], "left")
-    return out.select("domain", "seq_id", F.round("min_distance", 9).alias("min_distance"), "nearest", "nearest_cluster", F.round("mean_distance", 9).alias("mean_distance"))
+    by = ["domain", "tokens"]
+    own = _members(spark, d, *by).groupBy(*by).agg(F.collect_list(F.struct("seq_id", "cluster_key", "is_medoid")).alias("own"))
+    own = cut(own.withColumn("_id", F.monotonically_increasing_id()))
+    medoids = cut(_placed(_medoids(spark, d, own.select(*by, F.inline("own")))))
+    named = checked_broadcast(medoids.select("domain", F.col("place").alias("nearest"), F.col("cluster_key").alias("nearest_cluster")))
+    ids = own.select("_id", "domain", F.array_distinct("own.seq_id").alias("ids"))
+    out = ids.join(distance.numbered_to_sets(own, medoids), "_id", "left").join(named, ["domain", "nearest"], "left")
+    return out.select("domain", F.explode("ids").alias("seq_id"), F.round("min_distance", 9).alias("min_distance"), "nearest", "nearest_cluster", F.round("mean_distance", 9).alias("mean_distance"))
 
 
 def medoid_pairs(spark: SparkSession, d: str) -> DataFrame:
