@@ -309,8 +309,9 @@ def to_set(df: DataFrame, tokens: str, by: str, given: Mapping[object, list[list
 #: Rows of a set at most, over all groups, that to_set() sends to the workers.
 MOST_GIVEN = 100_000
 
-#: Sequences of a group, and members of its set, that one task of to_sets() compares.
-ROWS, PLACES = 4_000, 8_000
+#: Sequences of a group that one task of to_sets() compares (up to FOLD times as many where a group has over MOST_BLOCKS
+#: blocks, for its set is sent once for each), and members of its set.
+ROWS, FOLD, MOST_BLOCKS, PLACES = 4_000, 4, 32, 8_000
 
 
 def _dealt(df: DataFrame, *by: str) -> DataFrame:
@@ -321,7 +322,7 @@ def _dealt(df: DataFrame, *by: str) -> DataFrame:
 
 def to_sets(df: DataFrame, sets: DataFrame, costs: Costs | None = None) -> DataFrame:
     """(domain, tokens, min_distance, nearest, mean_distance) of the distinct sequences of df (domain, tokens), to sets
-    (domain, place, tokens) of any size: what to_set() gives with normalize, but blocks of ROWS sequences and PLACES
+    (domain, place, tokens) of any size: what to_set() gives with normalize, but blocks of sequences and of PLACES
     places meet in tasks, so that neither side goes through the driver. Equal members of a set are measured once. Null
     domains and null sequences are left out, as are domains without a set."""
     left = cut(df.select("domain", "tokens").where("domain is not null and tokens is not null").distinct().withColumn("_id", F.monotonically_increasing_id()))
@@ -334,7 +335,8 @@ def numbered_to_sets(left: DataFrame, sets: DataFrame, costs: Costs | None = Non
     has them: results go by number, not by sequence."""
     left = left.select("_id", "domain", "tokens").where("domain is not null and tokens is not null")
     given = sets.select("domain", F.col("place").cast("int").alias("place"), F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
-    blocks = left.groupBy("domain").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("_n"))
+    size = F.count(F.lit(1))
+    blocks = left.groupBy("domain").agg(F.greatest(F.ceil(size / (ROWS * FOLD)), F.least(F.ceil(size / ROWS), F.lit(MOST_BLOCKS))).cast("int").alias("_n"))
     blocks = checked_broadcast(cut(blocks.join(given.groupBy("domain").agg(F.floor(F.max("place") / PLACES).cast("int").alias("_last")), "domain")))
     given = given.groupBy("domain", "tokens").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("w"))
     given = given.join(blocks, "domain").withColumns({"b": F.floor(F.col("place") / PLACES).cast("int"), "a": F.explode(F.sequence(F.lit(0), F.col("_n") - 1))})
