@@ -237,10 +237,14 @@ class Swept:
         return out
 
 
-def _weighed(saved: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Sums of a matrix of whole numbers by weights, exact: in single precision where they fit."""
-    kind = np.float32 if np.iinfo(saved.dtype).bits < 32 and float(saved.max(initial=0)) * w.sum() < 1 << 24 else np.float64
-    return (saved.astype(kind) @ w.astype(kind)).astype(np.int64)
+def _summable(saved: np.ndarray, *weights: np.ndarray) -> np.ndarray:
+    """A matrix of whole numbers as floats whose sums by weights are exact: single ones where they fit."""
+    most = float(saved.max(initial=0)) * max(w.sum() for w in weights)
+    return saved.astype(np.float32 if most < 1 << 24 else np.float64)
+
+
+def _weighed(floats: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return (floats @ w.astype(floats.dtype)).astype(np.int64)
 
 
 def pair_distances(a: list[list[str]], b: list[list[str]], costs: Costs) -> np.ndarray:
@@ -356,7 +360,7 @@ def numbered_to_sets(left: DataFrame, sets: DataFrame, costs: Costs | None = Non
                     own = slice(at, np.searchsorted(lb, lb[at], "right"))
                     longest, both, weight = np.maximum(la, lb[at]), INDEL * (la + lb[at]), w[y[own] - n]
                     per = np.where(longest > 0, longest, 1)
-                    total[x] += (both * weight.sum() - coded.unit * _weighed(saved[:, own], weight)) / 100.0 / per
+                    total[x] += (both * weight.sum() - coded.unit * _weighed(_summable(saved[:, own], weight), weight)) / 100.0 / per
                     most = saved[:, own].argmax(1)  # the first place of them
                     d, p = (both - coded.unit * saved[np.arange(len(x)), at + most].astype(np.int64)) / 100.0 / per, place[y[at + most] - n]
                     closer = (d < best[x]) | ((d == best[x]) & (p < which[x]))
@@ -426,9 +430,10 @@ def medoid_costs(members: DataFrame, costs: Costs | DomainCosts, key: str = "clu
         cost = np.zeros(t.num_rows, np.int64)
         coded = Swept([t.column("tokens")], costs.of(t.column("domain")[0].as_py()))
         for x, y, saved in coded.sweep(left, right):
-            for x, y, saved in ((x, y, saved), (y, x, saved.T))[: 1 + (a != b)]:
-                out = INDEL * (coded.lengths[x] * w[y].sum() + (w[y] * coded.lengths[y]).sum())
-                cost[x] += out - coded.unit * _weighed(saved, w[y])
+            floats = _summable(saved, w[x], w[y])
+            for p, q, m in ((x, y, floats), (y, x, floats.T))[: 1 + (a != b)]:
+                out = INDEL * (coded.lengths[p] * w[q].sum() + (w[q] * coded.lengths[q]).sum())
+                cost[p] += out - coded.unit * _weighed(m, w[q])
         return pa.table({"_id": t.column("_id"), "cost": pa.array(cost)})
 
     parts = _dealt(dealt, "domain", key, "a", "b").groupBy("domain", key, "a", "b").applyInArrow(measure, "_id long, cost long")
